@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python; documents are a few KB, so a batch is a few MB.
 ARROW_ROWS = 2000
+#: Bytes in such a batch, where Spark can hold to it.
+ARROW_BYTES = 16 << 20
 #: Bytes of text that one Python step holds at a time.
 SLICE_BYTES = 4 << 20
 
@@ -44,6 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the batches that go to Python workers; texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def slices(sizes, limit: int = SLICE_BYTES):

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._common import table
+from quarry.llm.bpe import bpe_digests
 from quarry.llm.line_dedup import line_dedup
+from quarry.llm.mixing import mix
+from quarry.llm.simhash import simhash_groups
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +37,60 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op2_line_dedup": op2_line_dedup}
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+    return done.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
+  FROM doc GROUP BY source
+), run AS (
+  SELECT *, 3 * source_size AS top,
+         coalesce(sum(3 * source_size) OVER r, 0)::BIGINT AS spent, coalesce(sum(w) OVER r, 0)::BIGINT AS used,
+         (sum(source_size) OVER ())::BIGINT AS total, (sum(w) OVER ())::BIGINT AS weight
+  FROM src
+  WINDOW r AS (ORDER BY (3 * source_size)::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), lev AS (
+  SELECT *, (total - spent)::DOUBLE / (weight - used)::DOUBLE AS level FROM run
+), target AS (
+  SELECT source, source_size, least(top::DOUBLE, coalesce(
+           (SELECT level FROM lev WHERE level * w <= top ORDER BY top::DOUBLE / w, level LIMIT 1) * w, top::DOUBLE)) AS target
+  FROM lev
+), placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
+         (row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id))::DOUBLE AS place,
+         ('0x' || substr(md5('mix:' || coalesce(d.source, chr(0))), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+  FROM doc d JOIN target t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       size * least(floor(place * rate + u)::BIGINT - floor((place - 1) * rate + u)::BIGINT, 3) AS taken
+FROM placed
+"""
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return bpe_digests(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), width=3, radius=2, seed=42)
+
+
+QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op4_mixing": op4_mixing,
+    "op8_bpe": op8_bpe,
+    "op9_simhash": op9_simhash,
+}
+#: op8 and op9 need a tokenizer and XXH64, which SQL doesn't have; tests hold them against brute force.
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op4_mixing": OP4_SQL}
