@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm._common import table
 from quarry.llm.bpe import bpe_digests
+from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.simhash import simhash_groups
+from quarry.llm.warc import warc_roundtrip
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,27 @@ FROM marked GROUP BY doc_id
 
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_roundtrip(table(spark, sf_dir, "pages"))
+
+
+# DuckDB has SHA-1 as hexadecimal text only; base32 takes its bits by five
+OP3_SQL = r"""
+WITH page AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), grp AS (SELECT h, max(page_id) AS keep FROM page GROUP BY h
+), digits AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(h, 10 * k + 1, 10))::BIGINT >> (35 - 5 * j)) & 31)::INT + 1, 1), '' ORDER BY k, j) AS b32
+  FROM grp, (SELECT unnest(range(4)) AS k), (SELECT unnest(range(8)) AS j) GROUP BY h
+)
+SELECT p.page_id, octet_length(p.b)::BIGINT AS payload_bytes, d.b32 AS payload_digest,
+       CASE WHEN p.page_id = g.keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> g.keep THEN g.keep END AS refers_to
+FROM page p JOIN grp g ON p.h = g.h JOIN digits d ON p.h = d.h
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
     return done.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,7 +69,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH doc AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
@@ -76,6 +100,18 @@ FROM placed
 """
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = exact_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+OP6_SQL = """
+WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM documents GROUP BY 1)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
+FROM documents d JOIN g ON coalesce(d.text, '') = g.t
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -88,9 +124,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
 }
-#: op8 and op9 need a tokenizer and XXH64, which SQL doesn't have; tests hold them against brute force.
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op4_mixing": OP4_SQL}
+#: The others need XXH64, tokenizers or models, which SQL doesn't have; tests hold them against brute force.
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL}
