@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm._common import table
 from quarry.llm.bpe import bpe_digests
 from quarry.llm.exact_dedup import exact_dedup
+from quarry.llm.langid import identify, train, training_rows
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.simhash import simhash_groups
@@ -100,6 +101,12 @@ FROM placed
 """
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = identify(docs, train(docs))
+    return done.select("doc_id", (~training_rows(done, "doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = exact_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -126,6 +133,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
+    "op5_langid": op5_langid,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
