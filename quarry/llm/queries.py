@@ -12,6 +12,7 @@ from quarry.llm.langid import identify, train, training_rows
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.simhash import simhash_groups
+from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.warc import warc_roundtrip
 
 
@@ -129,6 +130,34 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), width=3, radius=2, seed=42)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50).drop("kept")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM documents
+), pos AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM pos
+), first AS (
+  SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, i FROM win JOIN first USING (h) WHERE doc_id > m
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit
+), word AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
@@ -137,6 +166,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 #: The others need XXH64, tokenizers or models, which SQL doesn't have; tests hold them against brute force.
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
