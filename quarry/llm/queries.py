@@ -10,6 +10,7 @@ from quarry.llm.bpe import bpe_digests
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.langid import identify, train, training_rows
 from quarry.llm.line_dedup import line_dedup
+from quarry.llm.maxent import lm_scores
 from quarry.llm.mixing import mix
 from quarry.llm.simhash import simhash_groups
 from quarry.llm.substring_dedup import substring_dedup
@@ -120,6 +121,10 @@ FROM documents d JOIN g ON coalesce(d.text, '') = g.t
 """
 
 
+def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -136,7 +141,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM documents
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS w FROM documents
 ), pos AS (
   SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d
 ), win AS (
@@ -164,6 +170,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_langid": op5_langid,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_maxent": op7_maxent,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
