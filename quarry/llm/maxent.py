@@ -39,6 +39,8 @@ END = b""
 SMOOTH, STEP = 0.5, 0.5
 BLOCKS = 32
 BATCH = 8192
+#: Tokens that a task sums at a time.
+PIECE = 1 << 21
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -87,17 +89,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(40)).astype(np.int64) % ROWS
 
 
-def features(ids: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of both tables for texts laid end to end; starts: where each begins."""
+def contexts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The two ids before each place as one number, for texts laid end to end; starts: where each begins."""
     one = np.concatenate(([START], ids[:-1])).astype(np.uint64)
     one[starts] = START
     two = np.concatenate(([START], one[:-1])).astype(np.uint64)
     two[starts] = START
-    first = [_mix(one * np.uint64(4) + np.uint64(1)), _mix(two * np.uint64(4) + np.uint64(2)), _mix(((one << np.uint64(16)) | two) * np.uint64(4) + np.uint64(3))]
-    # in the second table, each class has rows of its own
+    return one << np.uint64(16) | two
+
+
+def rows_of(context: np.ndarray, klass: np.ndarray | None = None) -> list[np.ndarray]:
+    """Rows of the first table for each context; with classes of frequent tokens, of the second, where each class has rows of its own."""
+    one, two = context >> np.uint64(16), context & np.uint64(0xFFFF)
+    first, second = one * np.uint64(4) + np.uint64(1), two * np.uint64(4) + np.uint64(2)
+    if klass is None:
+        return [_mix(first), _mix(second), _mix(context * np.uint64(4) + np.uint64(3))]
     own = ROWS // HEAD
-    klass = np.minimum(ids, FREQUENT - 1).astype(np.int64) // WIDTH * own
-    return first, [klass + _mix(one * np.uint64(4) + np.uint64(1)) % own, klass + _mix(two * np.uint64(4) + np.uint64(2)) % own]
+    return [klass * own + _mix(x) % own for x in (first, second)]
 
 
 def classes(ids: np.ndarray) -> np.ndarray:
@@ -112,19 +120,20 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _forward(w: Weights, ids: np.ndarray, rows1, rows2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class probabilities, places of frequent tokens, their probabilities within the class)."""
-    logits = w.table1[rows1[0]]
-    for r in rows1[1:]:
+def _class_probabilities(w: Weights, rows: list[np.ndarray]) -> np.ndarray:
+    logits = w.table1[rows[0]]
+    for r in rows[1:]:
         logits += w.table1[r]
     logits += w.bias1
-    p1 = softmax(logits)
-    at = np.flatnonzero(ids < FREQUENT)
-    logits = w.table2[rows2[0][at]]
-    for r in rows2[1:]:
-        logits += w.table2[r[at]]
-    logits += w.bias2[ids[at] // WIDTH]
-    return p1, at, softmax(logits)
+    return softmax(logits)
+
+
+def _token_probabilities(w: Weights, klass: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    logits = w.table2[rows[0]]
+    for r in rows[1:]:
+        logits += w.table2[r]
+    logits += w.bias2[klass]
+    return softmax(logits)
 
 
 def _scatter(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -136,31 +145,77 @@ def _scatter(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 
 def gradient(w: Weights | None, texts: Iterator[np.ndarray]) -> np.ndarray:
-    """Observed or, with weights, expected counts of every weight over texts: ROWS x (CLASSES + WIDTH)."""
+    """Observed or, with weights, expected counts of every weight over texts: ROWS x (CLASSES + WIDTH).
+
+    Places with the same context expect the same, so each distinct context of a piece is worked once.
+    """
     total1, total2 = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, WIDTH), np.float32)
     counts1, counts2 = np.zeros(ROWS * CLASSES), np.zeros(ROWS * WIDTH)
-    for ids, starts in joined(texts):
-        rows1, rows2 = features(ids, starts)
+    for ids, starts in joined(texts, PIECE):
+        context = contexts(ids, starts)
+        at = np.flatnonzero(ids < FREQUENT)
+        klass = ids[at].astype(np.uint64) // np.uint64(WIDTH)
         if w is None:
-            k, at = classes(ids), np.flatnonzero(ids < FREQUENT)
-            for r in rows1:
+            k = classes(ids)
+            for r in rows_of(context):
                 counts1 += np.bincount(r * CLASSES + k, minlength=len(counts1))
-            for r in rows2:
-                counts2 += np.bincount(r[at] * WIDTH + ids[at] % WIDTH, minlength=len(counts2))
+            for r in rows_of(context[at], klass.astype(np.int64)):
+                counts2 += np.bincount(r * WIDTH + ids[at] % WIDTH, minlength=len(counts2))
             continue
-        for s in range(0, len(ids), BATCH):
+        both, n2 = np.unique(klass << np.uint64(32) | context[at], return_counts=True)
+        context, n1 = np.unique(context, return_counts=True)
+        for s in range(0, len(context), BATCH):
             cut = slice(s, s + BATCH)
-            p1, at, p2 = _forward(w, ids[cut], [r[cut] for r in rows1], [r[cut] for r in rows2])
-            for r in rows1:
-                _scatter(total1, r[cut], p1)
-            for r in rows2:
-                _scatter(total2, r[cut][at], p2)
+            rows = rows_of(context[cut])
+            p = _class_probabilities(w, rows) * n1[cut, None].astype(np.float32)
+            for r in rows:
+                _scatter(total1, r, p)
+        for s in range(0, len(both), BATCH):
+            part = both[s : s + BATCH]
+            klass = (part >> np.uint64(32)).astype(np.int64)
+            rows = rows_of(part & np.uint64(0xFFFFFFFF), klass)
+            p = _token_probabilities(w, klass, rows) * n2[s : s + BATCH, None].astype(np.float32)
+            for r in rows:
+                _scatter(total2, r, p)
     if w is None:
         total1, total2 = counts1.reshape(total1.shape), counts2.reshape(total2.shape)
     return np.concatenate((total1, total2), axis=1).astype(np.float32)
 
 
-def joined(texts: Iterator[np.ndarray], size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys of under 38 bits, places sorted by key, the distinct key's number at each of these)."""
+    packed = np.sort(key << np.uint64(26) | np.arange(len(key), dtype=np.uint64))
+    place = (packed & np.uint64((1 << 26) - 1)).astype(np.int64)
+    key = packed >> np.uint64(26)
+    fresh = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    return key[fresh], place, np.cumsum(fresh) - 1
+
+
+def place_scores(w: Weights, norm: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """By place: the log10 probability of its id."""
+    out = np.zeros(len(ids))
+    context = contexts(ids, starts)
+    keys, place, number = _by_key(context)
+    k = classes(ids)[place]
+    for s in range(0, len(keys), BATCH):
+        p = _class_probabilities(w, rows_of(keys[s : s + BATCH]))
+        a, b = np.searchsorted(number, (s, s + BATCH))
+        out[place[a:b]] = np.log10(np.maximum(p[number[a:b] - s, k[a:b]], 1e-30))
+    at = np.flatnonzero(ids < FREQUENT)
+    keys, place, number = _by_key((ids[at].astype(np.uint64) // np.uint64(WIDTH)) << np.uint64(32) | context[at])
+    place = at[place]
+    for s in range(0, len(keys), BATCH):
+        part = keys[s : s + BATCH]
+        klass = (part >> np.uint64(32)).astype(np.int64)
+        p = _token_probabilities(w, klass, rows_of(part & np.uint64(0xFFFFFFFF), klass))
+        a, b = np.searchsorted(number, (s, s + BATCH))
+        out[place[a:b]] += np.log10(np.maximum(p[number[a:b] - s, ids[place[a:b]] % WIDTH], 1e-30))
+    other = np.flatnonzero(ids >= FREQUENT)
+    out[other] -= norm[ids[other].astype(np.int64) - FREQUENT]
+    return out
+
+
+def joined(texts: Iterator[np.ndarray], size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Texts laid end to end in pieces of about size tokens, with their starts."""
     held, n = [], 0
     for t in chain(texts, [None]):
@@ -172,25 +227,11 @@ def joined(texts: Iterator[np.ndarray], size: int = 1 << 19) -> Iterator[tuple[n
             n += len(t)
 
 
-def log_scores(w: Weights, vocab_norm: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+def log_scores(w: Weights, norm: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """By text: the log10 probability of its ids, without the counts of tokens in classes by last letters."""
-    out = np.zeros(len(texts))
     of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    done = 0
-    for ids, starts in joined(iter(texts)):
-        rows1, rows2 = features(ids, starts)
-        for s in range(0, len(ids), BATCH):
-            cut = slice(s, s + BATCH)
-            part = ids[cut]
-            p1, at, p2 = _forward(w, part, [r[cut] for r in rows1], [r[cut] for r in rows2])
-            k = classes(part)
-            logp = np.log10(np.maximum(p1[np.arange(len(part)), k], 1e-30)).astype(np.float64)
-            logp[at] += np.log10(np.maximum(p2[np.arange(len(at)), part[at] % WIDTH], 1e-30))
-            other = np.flatnonzero(part >= FREQUENT)
-            logp[other] -= vocab_norm[part[other].astype(np.int64) - FREQUENT]
-            out += np.bincount(of[done + s : done + s + len(part)], logp, len(texts))
-        done += len(ids)
-    return out
+    found = [place_scores(w, norm, ids, starts) for ids, starts in joined(iter(texts))]
+    return np.bincount(of, np.concatenate(found), len(texts)) if found else np.zeros(len(texts))
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
