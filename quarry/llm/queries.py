@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._common import table
+from quarry.llm.bm25 import bm25_topk
 from quarry.llm.bpe import bpe_digests
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.langid import identify, train, training_rows
@@ -17,6 +18,33 @@ from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.warc import warc_roundtrip
 
 
+def op1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 asks, as a whole, for its ten best among all documents."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25_topk(docs, asked, k=10, k1=1.2, b=0.75)
+
+
+OP1_SQL = r"""
+WITH tok AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^ 	-]+')) AS t FROM documents
+), tf AS (SELECT doc_id, t, count(*) AS n FROM tok GROUP BY ALL
+), len AS (SELECT doc_id, sum(n) AS dl FROM tf GROUP BY doc_id
+), stat AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(dl) FROM len)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl
+), df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t
+), pair AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(q.n * ln(1 + (stat.n - df.df + 0.5) / (df.df + 0.5))
+                   * (d.n * 2.2::DOUBLE / (d.n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len.dl / stat.avgdl)))), 6) AS score
+  FROM tf q JOIN tf d ON q.t = d.t JOIN df ON q.t = df.t JOIN len ON len.doc_id = d.doc_id, stat
+  WHERE q.doc_id % 20 = 0 GROUP BY ALL
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM pair QUALIFY rank <= 10
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -165,6 +193,7 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 
 
 QUERIES = {
+    "op1_bm25": op1_bm25,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
@@ -176,4 +205,4 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 #: The others need XXH64, tokenizers or models, which SQL doesn't have; tests hold them against brute force.
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_bm25": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
