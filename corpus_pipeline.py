@@ -1,10 +1,82 @@
-"""The training-data pipeline over documents."""
+"""The training-data pipeline over documents: language ID, exact dedup, near-dedup, mixing, tokens.
+
+Each stage takes what the one before it kept, writes nothing but what its operator stages in the shared
+folder, and returns the columns of documents; only the last returns counts and digests of tokens. A column of
+the input that has the name of a helper column is carried through unharmed.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, exact_dedup, langid, mixing, simhash
+from quarry.llm._common import staged, table
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, staged, with a row number of its own for each row, so that rows can be named even where ids repeat."""
+    return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "stage")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that no language model accepts: without letters, or beyond the calibrated cross-entropy."""
+    model = langid.train(docs)
+    kept = langid.identify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
+    return kept.where(~F.col("__rejected")).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, one row stays: that with the largest doc_id."""
+    rows = _numbered(docs)
+    # the row number stands in for the id among rows that repeat one
+    named = rows.select(F.struct(F.col("doc_id"), F.col("__row")).alias("id"), "text")
+    done = exact_dedup.exact_dedup(named, id_col="id")
+    keep = done.where("kept").select(F.col("id.__row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (shingles of five words, similarity 0.8 or more), the document with the smallest doc_id stays."""
+    rows = _numbered(docs)
+    groups = simhash.near_duplicate_groups(rows, row_col="__row", width=5, similarity=0.8)
+    groups = groups.select("__row", "group").join(rows.select("__row", "doc_id"), "__row")
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as the mix of its source takes it; repeats are rows of their own."""
+    rows = _numbered(docs)
+    done = mixing.mix(rows.select("__row", "text", "source"), id_col="__row")
+    copies = done.where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    both = rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return both.select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every emitted document."""
+    from public_tokenizers import path
+
+    return bpe.bpe_digests(docs, path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("mix_sources", mix_sources),
+    ("bpe_tokens", tokenize),
+]
+
+#: Language models, XXH64 and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, name)
+    return docs

@@ -242,8 +242,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(samples)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id_col, the columns of keep, lang_pred, score, cross_entropy, rejected.
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """One row per input row: id_col, the columns of keep, and lang_pred, score, cross_entropy, rejected, with prefix before these names.
 
     lang_pred is a language of the model, or und (rejected, score 0) if the text is null or has no letter;
     ties go to the first language by name. Whole texts are scored, of any length, in bounded slices. Repeated
@@ -254,6 +254,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = spark.sparkContext.broadcast(model)
     picked = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), *[F.col(c) for c in keep])
     names = picked.columns[1:]
+    new = [prefix + x for x in ("lang_pred", "score", "cross_entropy", "rejected")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +265,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 part = batch.slice(a, b - a)
                 lang, score, cross, rejected = known.predict(part.column(0).to_pylist())
                 found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cross, pa.float64()), pa.array(rejected, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], names=[*names, "lang_pred", "score", "cross_entropy", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], names=[*names, *new])
 
-    done = picked.mapInArrow(run, f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    done = picked.mapInArrow(run, f"{schema}, {new[0]} string, {new[1]} double, {new[2]} double, {new[3]} boolean")
     return done.withColumnRenamed("__id", id_col)

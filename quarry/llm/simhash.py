@@ -208,3 +208,115 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return every.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Buckets of the sketch that checks a candidate's similarity, and rows of a tile of such sketches.
+BUCKETS, SKETCH_TILE = 128, 16384
+
+
+def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One-permutation sketches (len(counts) x BUCKETS bytes): of each bucket's least hash a byte from 1 on, 0 for an empty bucket."""
+    least = np.full(len(counts) * BUCKETS, np.uint64(2**64 - 1))
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.repeat(np.arange(len(counts)) * BUCKETS, counts) + (mixed >> np.uint64(57)).astype(np.int64)
+    np.minimum.at(least, at, mixed)
+    empty = least == np.uint64(2**64 - 1)
+    return np.where(empty, 0, 1 + least % np.uint64(255)).astype(np.uint8).reshape(-1, BUCKETS)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sketches row by row; two empty ones are alike."""
+    some = (a != 0) | (b != 0)
+    return np.where(some.any(axis=1), ((a == b) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1)), 1.0)
+
+
+def similar_links(a: tuple, b: tuple | None, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (id, id), of the pairs of tiles (ids, fps, sketches) within radius whose sketches are alike enough."""
+    ids, fps, sketch = a if b is None else (np.concatenate(x) for x in zip(a, b))
+    label = np.arange(len(ids))
+    base = 0 if b is None else len(a[0])
+    other = fps[base:]
+    step = max(1, (1 << 20) // max(1, len(other)))
+    for at in range(0, len(a[0]), step):
+        i, j = np.nonzero(np.bitwise_count(fps[at : min(at + step, len(a[0])), None] ^ other[None, :]) <= radius)
+        i, j = i + at, j + base
+        while len(i):
+            # what is joined already need not be compared again
+            open_ = label[i] != label[j]
+            i, j = i[open_], j[open_]
+            x, y = i[:50_000], j[:50_000]
+            good = alike(sketch[x], sketch[y]) >= least
+            if good.any():
+                label = forest(len(ids), x[good], y[good], label)
+            i, j = i[50_000:], j[50_000:]
+    joined = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[joined], ids[label[joined]]
+
+
+def near_duplicate_groups(docs: DataFrame, row_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 14, seed: int = 42) -> DataFrame:
+    """(row_col, group): rows are grouped by links; group is the least row of its component. row_col is a distinct long.
+
+    Rows link if their fingerprints differ in at most radius bits and a sketch puts the Jaccard similarity of
+    their shingles at similarity or more, within its error. At a similarity of 0.8, fingerprints differ in
+    some ten bits, so the radius finds nineteen of twenty such pairs, and the sketch turns away what is close by
+    chance. Tiles hold rows of like population count, and tile pairs whose counts differ by more than the radius
+    are skipped. Texts without a word are alike. The driver holds the histogram of population counts only.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    picked = docs.select(F.col(row_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = partial(xxhash.xxh64_intdigest, seed=seed)
+        for batch in batches:
+            texts = batch.column(1)
+            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
+                found = [list(map(digest, shingles(t, width))) for t in texts.slice(a, b - a).to_pylist()]
+                counts = np.array([len(x) for x in found], np.int64)
+                hashes = np.fromiter((h for x in found for h in x), np.uint64, counts.sum())
+                flat = [x.tobytes() for x in sketches(hashes, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(majority(hashes, counts).view(np.int64)), pa.array(flat, pa.binary())], names=["id", "fp", "sketch"])
+
+    every = staged(picked.mapInArrow(prints, "id long, fp long, sketch binary").withColumn("ones", F.bit_count("fp")), "sketches")
+    size = dict(sorted((r["ones"], r["n"]) for r in every.groupBy("ones").agg(F.count("*").alias("n")).collect()))
+    total = sum(size.values())
+    # rows in order of population count are dealt to tiles of like size; a tile's range of counts is known from the histogram
+    before, span, seen = [], {}, 0
+    for ones, n in size.items():
+        before.append((ones, seen, n))
+        for t in range(seen // SKETCH_TILE, (seen + n - 1) // SKETCH_TILE + 1):
+            span.setdefault(t, []).append(ones)
+        seen += n
+    if not total:
+        return every.select(F.col("id").alias(row_col), F.col("id").alias("group"))
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    placed = every.join(F.broadcast(spark.createDataFrame(before, "ones int, before long, n long")), "ones")
+    tile = placed.select(F.floor((F.col("before") + part * F.col("n")) / SKETCH_TILE).alias("tile"), F.struct("id", "fp", "sketch").alias("row"))
+    tile = staged(tile.groupBy("tile").agg(F.collect_list("row").alias("rows")), "sketch-tiles")
+    spans = spark.createDataFrame([(t, min(x), max(x)) for t, x in span.items()], "t long, low int, high int")
+    right = spans.select(F.col("t").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    pairs = spans.select(F.col("t").alias("ta"), "low", "high").join(right, (F.col("tb") >= F.col("ta")) & (F.col("lb") <= F.col("high") + radius) & (F.col("low") <= F.col("hb") + radius))
+    pairs = pairs.select("ta", "tb")
+    work = pairs.join(tile.select(F.col("tile").alias("ta"), F.col("rows").alias("ra")), "ta").join(tile.select(F.col("tile").alias("tb"), F.col("rows").alias("rb")), "tb")
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    work = work.select("ta", "tb", "ra", F.when(F.col("ta") != F.col("tb"), F.col("rb")).alias("rb")).repartition(spread, "ta", "tb")
+    bound = similarity - 0.03
+
+    def unpack(rows) -> tuple | None:
+        if not rows.is_valid:
+            return None
+        rows = rows.values
+        flat = b"".join(rows.field("sketch").to_pylist())
+        return np.asarray(rows.field("id")), np.asarray(rows.field("fp")).view(np.uint64), np.frombuffer(flat, np.uint8).reshape(-1, BUCKETS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = similar_links(unpack(batch.column(2)[k]), unpack(batch.column(3)[k]), radius, bound)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+
+    roots = components(work.mapInArrow(run, "a long, b long"))
+    named = every.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+    named = staged(named, "near-roots")
+    least = staged(named.groupBy("root").agg(F.min("id").alias("group")), "near-groups")
+    return named.join(least, "root").select(F.col("id").alias(row_col), "group")
