@@ -13,6 +13,8 @@ from quarry.llm._common import ascii_lower
 
 #: White space that is stripped at both ends of a line: \x20 and \x09-\x0D.
 STRIP = " \t\n\x0b\x0c\r"
+#: Tasks over which a hot key is spread.
+SALTS = 16
 
 
 def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -52,8 +54,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select("id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
         )
     over = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    # a line that very many documents hold is spread over SALTS tasks; the dropped keys are few and are repeated for each
+    over = over.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    keys = keys.withColumn("salt", F.pmod(F.hash("id", "fid"), F.lit(SALTS)))
     gone = (
-        keys.join(over, ["h1", "h2"])
+        keys.join(over, ["h1", "h2", "salt"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "fid")
         .agg(F.collect_set("pos").alias("gone"))
