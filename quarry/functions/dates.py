@@ -48,7 +48,8 @@ def canonical_domain(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Null stays null, which greatest() and least() alone would skip."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def freshness_linear_volatility(age: Column, domain: Column) -> Column:

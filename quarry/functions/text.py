@@ -98,8 +98,8 @@ def claims(c: Column, most: int = 10) -> Column:
     """Sentences of 20 characters or more that speak about the matter, the first ones."""
     marked = F.regexp_replace(F.trim(text_or_empty(c)), r"([.!?])\s+", "$1\u0001")
     kept = F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: F.char_length(s) >= 20)
-    for p in META_PREFIXES:
-        kept = F.filter(kept, lambda s, p=p: ~F.startswith(F.lower(s), F.lit(p)))
+    about = "^(" + "|".join(META_PREFIXES) + ")"
+    kept = F.filter(kept, lambda s: ~F.lower(s).rlike(about))
     return F.slice(kept, 1, most)
 
 

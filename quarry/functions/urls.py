@@ -85,9 +85,15 @@ def search_query(*texts: Column) -> Column:
 
 def unique_phrases(values: Column) -> Column:
     """Trimmed phrases in order, each once whatever its case."""
-    trimmed = F.filter(F.transform(values, lambda v: F.trim(text_or_empty(v))), lambda v: v != "")
-    lowered = F.transform(trimmed, lambda v: F.lower(v))
-    return F.filter(trimmed, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, v: Column) -> Column:
+        v = F.trim(text_or_empty(v))
+        known = (v == "") | F.array_contains(state["seen"], F.lower(v))
+        add = F.struct(F.array_append(state["seen"], F.lower(v)).alias("seen"), F.array_append(state["out"], v).alias("out"))
+        return F.when(known, state).otherwise(add)
+
+    return F.aggregate(values, F.struct(none.alias("seen"), none.alias("out")), step, lambda state: state["out"])
 
 
 def source_api(name: Column, url: Column) -> Column:

@@ -26,11 +26,11 @@ def pool(base: Column, domain: Column, short: Column, long: Column, queries: Col
 
 def padded(pool_: Column, seeds: Column, kind: Column, least: Column) -> Column:
     """The pool, filled up to least phrases by seeds and fillers in turn, numbered from 1."""
-    seeds = F.when(F.size(unique_phrases(seeds)) > 0, unique_phrases(seeds)).otherwise(F.array(F.lit("research")))
+    seeds = unique_phrases(F.when(F.size(seeds) > 0, seeds).otherwise(F.array(F.lit("research"))))
     fill = F.array(*[F.lit(f) for f in FILLERS])
     made = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), least)), lambda i: F.concat_ws(" ", F.get(seeds, (i - 1) % F.size(seeds)), kind, F.get(fill, (i - 1) % len(FILLERS)), F.lit("query"), i.cast("string")))
     missing = F.greatest(F.lit(0), least - F.size(pool_))
-    fresh = F.filter(made, lambda m: ~F.array_contains(F.transform(pool_, lambda p: F.lower(p)), F.lower(m)))
+    fresh = F.filter(made, lambda m: ~F.exists(pool_, lambda p: F.lower(p) == F.lower(m)))
     return F.concat(pool_, F.slice(fresh, F.lit(1), missing))
 
 
@@ -46,10 +46,12 @@ def expand(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Adds expanded: target phrases of the pool in an order by hash, then the domain's extras and anchors; each once."""
     c = F.col
     least = F.lit(250) + 15 * c("round") + F.when((c("kind") == "technical") & (c("domain") == "technology"), 120).otherwise(0) + F.when((c("kind") == "news") & (c("domain") == "history"), 60).otherwise(0)
-    whole = padded(pool(c("base"), c("domain"), c("short"), c("long"), c("queries")), F.concat(c("base"), c("queries"), F.array("domain")), c("kind"), least)
-    shuffled = F.transform(F.array_sort(F.transform(whole, lambda p: F.struct(F.xxhash64(F.lit(seed), p).alias("h"), p.alias("p")))), lambda x: x["p"])
+    # each step is a column, as the next one asks for it more than once
+    rows = rows.withColumn("__least", least).withColumn("__pool", pool(c("base"), c("domain"), c("short"), c("long"), c("queries")))
+    rows = rows.withColumn("__whole", padded(c("__pool"), F.concat(c("base"), c("queries"), F.array("domain")), c("kind"), c("__least")))
+    shuffled = F.transform(F.array_sort(F.transform(c("__whole"), lambda p: F.struct(F.xxhash64(F.lit(seed), p).alias("h"), p.alias("p")))), lambda x: x["p"])
     extras = F.array(*[F.concat(c("domain"), F.lit(e)) for e in (" research", " latest developments", " review article", " case study", " analysis")])
-    return rows.withColumn("expanded", unique_phrases(F.concat(F.slice(shuffled, F.lit(1), least), extras, anchors(c("base"), c("domain"), c("kind")))))
+    return rows.withColumn("expanded", unique_phrases(F.concat(F.slice(shuffled, F.lit(1), c("__least")), extras, anchors(c("base"), c("domain"), c("kind"))))).drop("__least", "__pool", "__whole")
 
 
 def strict_floor(target: Column) -> Column:

@@ -50,7 +50,7 @@ def ols(rows: DataFrame, target: str, names: list[str]) -> DataFrame:
     out = []
     for name, c, s in zip(["intercept", *names], beta, se):
         t = float(c / s) if s > 0 else 0.0
-        out.append((name, round(float(c), 6), round(float(s), 6), round(t, 6), round(2 * (1 - dist.cumulativeProbability(abs(t))), 6), round(r2, 6), round(adj, 6), n))
+        out.append((name, round(float(c), 6), round(float(s), 6), round(t, 6), round(2 * (1 - dist.cumulativeProbability(abs(t))), 6), round(float(r2), 6), round(float(adj), 6), n))
     return spark.createDataFrame(out, "feature string, coef double, std_err double, t double, p double, r2 double, adj_r2 double, n long")
 
 

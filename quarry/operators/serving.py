@@ -40,7 +40,8 @@ def predict(requests: DataFrame, coefficients: DataFrame, bounds: DataFrame) ->
     terms = request_features(requests).join(F.broadcast(coefficients), "feature")
     sums = terms.groupBy("request_id", "metric").agg(F.sum(F.col("coef") * F.col("value")).alias("raw"))
     m = F.col("metric")
-    v = clamp_metric(m, F.col("raw"))
+    # rounded once finely, so that the order of summing does not decide a half
+    v = clamp_metric(m, F.round("raw", 9))
     both = sums.join(F.broadcast(bounds), "metric")
     return both.select("request_id", "metric", F.round(v, 4).alias("expected"), F.round(clamp_metric(m, v - F.col("mae")), 4).alias("lower"), F.round(clamp_metric(m, v + F.col("mae")), 4).alias("upper"), F.round("mae", 4).alias("mae"))
 

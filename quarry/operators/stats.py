@@ -38,10 +38,10 @@ def sums_of_squares(cells: DataFrame, by: list[str], group: str) -> DataFrame:
     groups = marked.groupBy(*by, group).agg(
         F.sum("n").alias("gn"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("gm"),
-        F.first("__g").alias("g"),
+        F.first("__g").alias("__mid"),
         F.sum((F.col("n") - 1) * F.col("std") * F.col("std") + F.col("n") * F.pow(F.col("mean") - F.col("__g"), F.lit(2))).alias("ss"),
     )
-    return groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum("gn").alias("n"), F.sum("ss").alias("sst"), F.sum(F.col("gn") * F.pow(F.col("gm") - F.col("g"), F.lit(2))).alias("ssb"))
+    return groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum("gn").alias("n"), F.sum("ss").alias("sst"), F.sum(F.col("gn") * F.pow(F.col("gm") - F.col("__mid"), F.lit(2))).alias("ssb"))
 
 
 def one_way(cells: DataFrame, by: list[str], group: str) -> DataFrame:
@@ -101,7 +101,7 @@ def design_test(n: np.ndarray, mean: np.ndarray, full: np.ndarray, drop: list[in
 
     less = np.delete(full, drop, axis=1)
     (a, ra), (b, rb) = rss(full), rss(less)
-    return ((b - a) / (ra - rb) / mse, ra - rb) if ra > rb else (float("nan"), 0)
+    return (float((b - a) / (ra - rb) / mse), ra - rb) if ra > rb else (float("nan"), 0)
 
 
 def two_way(cells: DataFrame, by: str, a: str, b: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """The registered queries over the reference model, by name."""
 
-from quarry.plans import corpora, experiments, statistics, texts  # noqa: F401
+from quarry.plans import corpora, experiments, feeds, statistics, texts  # noqa: F401
 from quarry.plans.registry import QUERIES, SQL  # noqa: F401

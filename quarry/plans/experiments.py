@@ -107,9 +107,9 @@ mt AS (SELECT *, list_transform(h, lambda t: list_contains(r, t)::INT) AS hit FR
 cn AS (SELECT *, list_sum(hit)::DOUBLE AS m, 1 + list_sum(list_transform(hit, lambda x, i: x * (CASE WHEN i = 1 THEN 1 ELSE 1 - hit[i - 1] END)))::DOUBLE AS chunks FROM mt)"""
 
 
-@query("q112_meteor", f"WITH {QA_SQL}, {METEOR_SQL} SELECT conv_id, turn, round(CASE WHEN coalesce(m, 0) = 0 OR len(r) = 0 THEN 0 ELSE greatest(0, (m / len(h)) * (m / len(r)) / (0.9 * (m / len(h)) + 0.1 * (m / len(r)) + 1e-9) * (1 - 0.5 * pow(chunks / m, 3))) END, 5) AS meteor FROM cn")
+@query("q112_meteor", f"WITH {QA_SQL}, {METEOR_SQL} SELECT conv_id, turn, round(CASE WHEN coalesce(m, 0) = 0 OR len(r) = 0 THEN 0 ELSE greatest(0, (m / len(h)) * (m / len(r)) / (0.9 * (m / len(h)) + 0.1 * (m / len(r)) + 1e-9) * (1 - 0.5 * pow(chunks / m, 3))) END, 6) AS meteor FROM cn")
 def q112(spark, d):
-    return qa(spark, d).select("conv_id", "turn", F.round(ev.meteor(F.col("response"), F.col("reference")), 5).alias("meteor"))
+    return ev.meteor_batches(qa(spark, d), "response", "reference").select("conv_id", "turn", "meteor")
 
 
 @query("q113_rescaled_cosine", f"WITH {TOP_SQL} SELECT query_id, rank, round((greatest(-1, least(1, similarity)) + 1) / 2, 6) AS score FROM top")

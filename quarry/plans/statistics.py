@@ -155,7 +155,7 @@ REQUESTS_SQL = f"""req AS (SELECT o_orderkey AS request_id, ['technology', 'heal
 ft AS (SELECT *, {VOL} AS v, exp(-ln(2) * age / 180.0) AS f FROM req),
 x AS (SELECT request_id, s, v, unnest([{{'n': 'intercept', 'x': 1.0::DOUBLE}}, {{'n': 'freshness_score', 'x': f}}, {{'n': 'source_diversity_index', 'x': s}}, {{'n': 'domain_volatility', 'x': v}}, {{'n': 'fresh_x_diversity', 'x': f * s}}, {{'n': 'fresh_x_volatility', 'x': f * v}}, {{'n': 'source_x_volatility', 'x': s * v}}]) AS u FROM ft),
 coef(metric, feature, coef) AS (VALUES {', '.join(map(str, COEF))}), mae(metric, mae) AS (VALUES {', '.join(map(str, MAE))}),
-raw AS (SELECT request_id, metric, sum(coef::DOUBLE * u.x) AS raw FROM x JOIN coef ON u.n = feature GROUP BY ALL),
+raw AS (SELECT request_id, metric, round(sum(coef::DOUBLE * u.x), 9) AS raw FROM x JOIN coef ON u.n = feature GROUP BY ALL),
 lim AS (SELECT *, CASE WHEN metric = 'human_eval_score' THEN 1.0 ELSE 0.0 END::DOUBLE AS lo, CASE WHEN metric = 'human_eval_score' THEN 5.0 ELSE 1.0 END::DOUBLE AS hi FROM raw JOIN mae USING (metric)),
 pred AS (SELECT *, greatest(lo, least(hi, raw)) AS p FROM lim)"""
 

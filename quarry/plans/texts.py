@@ -56,10 +56,10 @@ def q030(spark, d):
 
 
 @query("q031_freshness_three", f"""WITH {AGED_SQL}
-SELECT id, round(coalesce(greatest(0, least(1, 1 - age_days / {CASE_DAYS})), 0), 4) AS linear_volatility,
-  CASE WHEN coalesce(greatest(0, least(1, 1 - age_days / {CASE_DAYS})), 0) >= 0.66 THEN 'High'
-    WHEN coalesce(greatest(0, least(1, 1 - age_days / {CASE_DAYS})), 0) >= 0.33 THEN 'Medium' ELSE 'Low' END AS label,
-  coalesce(round(greatest(0, least(1, 1 - floor(age_days) / {CASE_MAX})), 6), 0) AS linear_maxage,
+SELECT id, round(CASE WHEN age_days IS NULL THEN 0 ELSE greatest(0, least(1, 1 - age_days / {CASE_DAYS})) END, 4) AS linear_volatility,
+  CASE WHEN CASE WHEN age_days IS NULL THEN 0 ELSE greatest(0, least(1, 1 - age_days / {CASE_DAYS})) END >= 0.66 THEN 'High'
+    WHEN CASE WHEN age_days IS NULL THEN 0 ELSE greatest(0, least(1, 1 - age_days / {CASE_DAYS})) END >= 0.33 THEN 'Medium' ELSE 'Low' END AS label,
+  CASE WHEN age_days IS NULL THEN 0 ELSE round(greatest(0, least(1, 1 - floor(age_days) / {CASE_MAX})), 6) END AS linear_maxage,
   round(exp(-ln(2) * age_days / 180.0), 4) AS half_life FROM aged""")
 def q031(spark, d):
     age, dom = F.col("age"), F.col("domain")
@@ -105,12 +105,12 @@ def q038(spark, d):
 
 @query("q039_build_doc", f"""WITH {AGED_SQL} SELECT domain || '_' || source_type || '_' ||
   substr(md5(url || chr(1) || title || chr(1) || publication_date), 1, 12) AS id, trim(title) AS title, md5(trim(text)) AS digest,
-  round(coalesce(greatest(0, least(1, 1 - age_days / {CASE_DAYS})), 0), 4) AS freshness_score FROM aged""")
+  round(CASE WHEN age_days IS NULL THEN 0 ELSE greatest(0, least(1, 1 - age_days / {CASE_DAYS})) END, 4) AS freshness_score FROM aged""")
 def q039(spark, d):
     return quality.build_docs(corpus(spark, d), AS_OF).select("id", "title", F.md5("text").alias("digest"), "freshness_score")
 
 
-@query("q173_final_fields", f"""WITH {AGED_SQL} SELECT id, round(coalesce(greatest(0, least(1, 1 - age_days / {CASE_DAYS})), 0), 4) AS freshness_score, {window_sql()} AS freshness_window FROM aged""")
+@query("q173_final_fields", f"""WITH {AGED_SQL} SELECT id, round(CASE WHEN age_days IS NULL THEN 0 ELSE greatest(0, least(1, 1 - age_days / {CASE_DAYS})) END, 4) AS freshness_score, {window_sql()} AS freshness_window FROM aged""")
 def q173(spark, d):
     return quality.add_final_fields(corpus(spark, d), AS_OF).select("id", "freshness_score", "freshness_window")
 
