@@ -250,7 +250,16 @@ def count_tokens(rows: DataFrame) -> DataFrame:
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
     """Takes the most frequent tokens, a fixed number, and the sums of all to the driver."""
     sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    top = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(COUNTED).collect()]
+    # tokens by an eighth of a power of two of their count: a few hundred rows tell from which count on they fit
+    sizes = counts.groupBy(F.floor(8 * F.log2(F.col("n").cast("double"))).alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    cut, room = None, COUNTED
+    for r in sizes.orderBy(F.desc("b")).collect():
+        room -= r["k"]
+        if room < 0:
+            break
+        cut = r["least"]
+    found = counts.where(F.col("n") >= (cut if cut is not None else 1 << 62)).toArrow()
+    top = sorted(zip(found.column("token").to_pylist(), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
     frequent = {END: 0}
     for token, _ in top:
         if len(frequent) == FREQUENT:
