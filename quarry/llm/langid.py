@@ -152,6 +152,8 @@ def fit(samples: dict[str, list[str]]) -> LanguageModel:
     """Models of the languages of samples. A character of its own probability is kept for what no text has."""
     langs = sorted(samples)
     model = LanguageModel(langs)
+    if not langs:
+        return model
     fitted = {x: [t for i, t in enumerate(samples[x]) if len(samples[x]) < CALIBRATE or i % CALIBRATE] for x in langs}
     counts, alphabet = [], set()
     for lang in langs:
