@@ -42,6 +42,8 @@ class DedupState:
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
+        # else every partition's store takes megabytes of disk before it holds a row
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals_dir)
         out = f"{self.path}/updates"
 
