@@ -61,9 +61,10 @@ def greedy_leader(vectors: DataFrame, threshold: float, seq: str = "seq", vec: s
     spark = vectors.sparkSession
     checkpoints(spark)
     rows = vectors.select(F.col(seq).alias("seq"), F.transform(F.col(vec), lambda x: x.cast("double")).alias("v"))
-    block = F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int")
-    pairs = spark.createDataFrame([(i, j, i * blocks + j) for i in range(blocks) for j in range(i, blocks)], "bi int, bj int, pair int")
-    dealt = rows.withColumn("b", block).join(F.broadcast(pairs), (F.col("b") == F.col("bi")) | (F.col("b") == F.col("bj")))
+    # a row goes to every pair of blocks that has its own
+    own = F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("b", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"bi": F.least("b", "other"), "bj": F.greatest("b", "other")})
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf["v"].tolist(), np.float64)
@@ -78,7 +79,7 @@ def greedy_leader(vectors: DataFrame, threshold: float, seq: str = "seq", vec: s
         p = np.sort(p[p[:, 0] != p[:, 1]], axis=1)
         return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
-    links = dealt.groupBy("pair").applyInPandas(near, "a long, b long").distinct().checkpoint()
+    links = dealt.groupBy("bi", "bj").applyInPandas(near, "a long, b long").distinct().checkpoint()
     state = rows.select("seq", F.lit(None).cast("boolean").alias("kept"))
     linked = links.select(F.col("b").alias("seq")).distinct()
     state = state.join(linked.withColumn("has", F.lit(True)), "seq", "left").select("seq", F.when(F.col("has").isNull(), True).alias("kept")).checkpoint()

@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text, vectors
+from quarry.functions import text
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, index_id: str, index_vec: str, query_id: str, query_vec: str, blocks: int = 8, measure: str = "cosine") -> DataFrame:
     """(query_id, rank, index_id, similarity): for each query its k most similar rows, ties by id.
 
-    A block nested loop: queries are cut to blocks, each row of the index meets each block in an Arrow batch as
-    one matrix product, and only a block's best k per batch leave the worker. Nothing is broadcast but the block
-    numbers, so neither side has to be small.
+    A block nested loop: the index is cut to shards and the queries to blocks; each shard meets each block once, as
+    matrix products, and only its best k leave the worker. Nothing is broadcast, so neither side has to be small.
     """
     import numpy as np
     import pandas as pd
 
     spark = index.sparkSession
-    numbers = spark.range(blocks).select(F.col("id").cast("int").alias("block"))
     shards = spark.sparkContext.defaultParallelism
-    shard = F.pmod(F.xxhash64(index_id), F.lit(shards)).cast("int")
-    left = index.select(F.col(index_id).cast("long").alias("id"), F.col(index_vec).alias("v"), shard.alias("shard")).crossJoin(F.broadcast(numbers))
-    shard_numbers = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
-    right = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("block")).crossJoin(F.broadcast(shard_numbers))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = index.select(F.col(index_id).cast("long").alias("id"), F.col(index_vec).alias("v"), of(index_id, shards).alias("shard"), numbers(blocks).alias("block"))
+    right = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("q"), of(query_id, blocks).alias("block"), numbers(shards).alias("shard"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -45,14 +43,6 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, index_id: str, index_vec
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias(query_id), "rank", F.col("id").alias(index_id), "similarity")
 
 
-def top_k_by_join(index: DataFrame, queries: DataFrame, k: int, index_id: str, index_vec: str, query_id: str, query_vec: str) -> DataFrame:
-    """top_k() as a join and a rank in SQL operators only, for query sets that are small: the nested loop broadcasts one side."""
-    pairs = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("q")).join(index.select(F.col(index_id).alias("id"), F.col(index_vec).alias("v")))
-    scored = pairs.select("qid", "id", F.round(vectors.cosine(F.col("q"), F.col("v")), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias(query_id), "rank", F.col("id").alias(index_id), "similarity")
-
-
 def relevance_label(title: Column, body: Column, keywords: Column) -> Column:
     """1 if any lower-case keyword is a part of title and text; 1 for all without keywords."""
     blob = F.lower(F.concat_ws(" ", text.text_or_empty(title), text.text_or_empty(body)))

@@ -41,12 +41,6 @@ def q101(spark, d):
     return _top(spark, d)
 
 
-@query("q079_top_k_join", f"WITH {TOP_SQL} SELECT query_id, rank, vec_id, similarity FROM top")
-def q079(spark, d):
-    e = table(spark, d, "embeddings")
-    return rt.top_k_by_join(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5, "vec_id", "embedding", "query_id", "q")
-
-
 @query("q099_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS norm FROM embeddings")
 def q099(spark, d):
     v = vectors.normalize(F.col("embedding"))
