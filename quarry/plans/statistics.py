@@ -27,7 +27,7 @@ def q125p(spark, d):
     return stats.with_p(stats.one_way(cells(spark, d), ["metric"], "level"), ["metric"])
 
 
-@query("q131_stratified_anova", None)
+@query("q131_stratified_anova", f"WITH {CELLS_SQL}, g AS (SELECT metric, volatility, sum(n * mean) / sum(n) AS g, sum(n) AS nn, count(*) AS k FROM cells GROUP BY ALL), s AS (SELECT metric, volatility, k, nn, sum(n * pow(mean - g, 2)) AS ssb, sum((n - 1) * std * std) AS ssw FROM cells JOIN g USING (metric, volatility) GROUP BY ALL), e AS (SELECT *, ssb / (ssb + ssw) AS eta FROM s) SELECT metric, volatility, k, nn::BIGINT AS n, round(ssb / (k - 1) / (ssw / (nn - k)), 6) AS f, round(eta, 6) AS eta_squared, {EFFECT} AS effect FROM e")
 def q131(spark, d):
     return stats.one_way(cells(spark, d), ["metric", "volatility"], "level")
 
