@@ -149,7 +149,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, ord, tid), each a Parquet table in its own folder; a run is listed once it is whole."""
+    """Sorted immutable runs of (fp, did), did a document's number, each a Parquet table in its own folder; a run is listed once it is whole."""
 
     def __init__(self, spark: SparkSession, path: str, fan_in: int = 4):
         self.spark, self.path, self.fan_in = spark, path, fan_in
@@ -158,17 +158,17 @@ class FingerprintIndex:
     def _write(self, postings: DataFrame) -> str:
         name = f"{self.path}/run-{len(self.runs)}-{new_path(self.spark, 'r').rsplit('-', 1)[1]}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        postings.repartitionByRange(parts, "fp", "ord", "tid").sortWithinPartitions("fp").write.parquet(name)
+        postings.repartitionByRange(parts, "fp", "did").sortWithinPartitions("fp").write.parquet(name)
         return name
 
     def history(self) -> DataFrame | None:
         return self.spark.read.parquet(*self.runs) if self.runs else None
 
     def ingest(self, postings: DataFrame) -> DataFrame:
-        """Appends a batch of distinct postings(fp, ord, tid); returns the fingerprints that it shares with the runs or within itself."""
+        """Appends a batch of distinct postings(fp, did); returns the fingerprints that it shares with the runs or within itself."""
         run = self._write(postings)
         batch = self.spark.read.parquet(run)
-        ends = batch.groupBy("fp").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
+        ends = batch.groupBy("fp").agg(F.min("did").alias("least"), F.max("did").alias("most"))
         shared = ends.where("least < most").select("fp")
         if self.runs:
             old = self.history().select("fp")
@@ -216,7 +216,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = long.join(copies, ["ord", "tid"], "left_anti")
 
     cuts = sorted(set(own.approxQuantile("ord", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    index = FingerprintIndex(spark, new_path(spark, "fingerprints"), fan_in=max(2, batches))
+    index = FingerprintIndex(spark, new_path(spark, "fingerprints"))
+    # postings name a document by one number; two that share it would only be verified together
+    did = F.xxhash64("ord", "tid").alias("did")
     shared = None
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
@@ -225,11 +227,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             part = part.where(F.col("ord") > int(low))
         if high is not None:
             part = part.where(F.col("ord") <= int(high))
-        found = index.ingest(part.select(F.explode("fps").alias("fp"), "ord", "tid"))
+        found = index.ingest(part.select(F.explode("fps").alias("fp"), did))
         shared = found if shared is None else shared.union(found)
     shared = shared.distinct()
-    marks = index.history().join(shared, "fp").groupBy("ord", "tid").agg(F.collect_set("fp").alias("marks"))
-    texts = rows.join(marks, ["ord", "tid"])
+    marks = index.history().join(shared, "fp").groupBy("did").agg(F.collect_set("fp").alias("marks"))
+    texts = rows.withColumn("did", did).join(marks, "did")
     texts = staged(texts.select("ord", "tid", "text", "marks"), "texts")
     starts = verified(texts, window, k)
     cut = _cut(texts.select("ord", "tid", "text").join(starts, ["ord", "tid"]).select("ord", "tid", "text", "starts"), window)
