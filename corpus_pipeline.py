@@ -15,7 +15,9 @@ from quarry.llm._common import staged, table
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs, staged, with a row number of its own for each row, so that rows can be named even where ids repeat."""
+    """docs with a number of its own for each row: the id where ids are there and don't repeat, else a new one, for which docs is staged."""
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
     return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "stage")
 
 
