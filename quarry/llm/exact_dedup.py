@@ -90,8 +90,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = staged(hits, "dedup-hits")
     content = hits.where("located").dropDuplicates(["digest"]).select("digest", F.col("t").alias("content"))
     content = staged(content, "dedup-content")
-    false = hits.join(content, "digest").where("t <> content").select("digest").distinct()
-    false = staged(false, "dedup-false")
+    # made distinct only after the table is cut, so that the join above may be split where one text has very many copies
+    false = staged(hits.join(content, "digest").where("t <> content").select("digest"), "dedup-false").distinct()
     if not false.isEmpty():
         again = hits.join(false, "digest", "left_semi")
         regrouped = again.groupBy("digest", "t").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
