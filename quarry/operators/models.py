@@ -105,10 +105,24 @@ def boosted(rows: DataFrame, target: str, names: list[str], trees: int = 300, ra
 
 
 def importances(model, names: list[str], spark) -> DataFrame:
-    values = [(n, round(float(v), 6)) for n, v in zip(names, model.featureImportances.toArray())]
+    return _ranked(model.featureImportances.toArray(), names, spark)
+
+
+def _ranked(found: np.ndarray, names: list[str], spark) -> DataFrame:
+    values = [(n, round(float(v), 6)) for n, v in zip(names, found)]
     return spark.createDataFrame(values, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def boosted_importances(rows: DataFrame, target: str, names: list[str], key: str, folds: int = 10) -> DataFrame:
+    """(feature, importance): means over folds; each fit sees four fifths of the rows outside its fold, by hash, as the rest is set aside for validation."""
+    outside = rows.where(fold(F.col(key), 5, 43) != 0).withColumn("__fold", fold(F.col(key), folds)).cache()
+    try:
+        found = [boosted(outside.where(F.col("__fold") != k), target, names).featureImportances.toArray() for k in range(folds)]
+    finally:
+        outside.unpersist()
+    return _ranked(np.mean(found, axis=0), names, rows.sparkSession)
+
+
 def held_out_groups(rows: DataFrame, target: str, names: list[str], group: str, boundary: float = 0.25, trees: int = 100, depth: int = 5) -> DataFrame:
     """(group, n, actual_mean, predicted_mean, absolute_error, low, high, is_boundary): each group is predicted by a forest fitted on all others.
 

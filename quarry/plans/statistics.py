@@ -123,12 +123,12 @@ def q146(spark, d):
 
 @query("q148_forest", None)
 def q148(spark, d):
-    return models.importances(models.forest(_model_rows(spark, d), "y", models.BASE, trees=10), models.BASE, spark)
+    return models.importances(models.forest(_model_rows(spark, d), "y", models.BASE, trees=500), models.BASE, spark)
 
 
 @query("q149_boosted", None)
 def q149(spark, d):
-    return models.importances(models.boosted(_model_rows(spark, d), "y", models.BASE, trees=10), models.BASE, spark)
+    return models.boosted_importances(_model_rows(spark, d), "y", models.BASE, "key")
 
 
 @query("q150_decay", None)
@@ -140,7 +140,7 @@ def q150(spark, d):
 
 @query("q151_held_out_groups", None)
 def q151(spark, d):
-    return models.held_out_groups(_model_rows(spark, d), "y", models.BASE, "l_returnflag", trees=10)
+    return models.held_out_groups(_model_rows(spark, d), "y", models.BASE, "l_returnflag")
 
 
 @query("q152_t_interval", "SELECT o_orderpriority, count(o_totalprice) AS n, round(avg(o_totalprice), 6) AS mean, round(avg(o_totalprice) - 1.96 * stddev_samp(o_totalprice) / sqrt(count(o_totalprice)), 6) AS low, round(avg(o_totalprice) + 1.96 * stddev_samp(o_totalprice) / sqrt(count(o_totalprice)), 6) AS high FROM orders GROUP BY 1")
