@@ -151,7 +151,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
 class FingerprintIndex:
     """Sorted immutable runs of (fp, did), did a document's number, each a Parquet table in its own folder; a run is listed once it is whole."""
 
-    def __init__(self, spark: SparkSession, path: str, fan_in: int = 4):
+    def __init__(self, spark: SparkSession, path: str, fan_in: int = 2):
         self.spark, self.path, self.fan_in = spark, path, fan_in
         self.runs: list[str] = []
 
@@ -180,9 +180,12 @@ class FingerprintIndex:
         return shared
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        merged = self._write(self.history())
+        """Merges all runs into one and deletes them; the new run is listed once it is whole."""
+        merged, old = self._write(self.history()), self.runs
         self.runs = [merged]
+        for name in old:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def verified(texts: DataFrame, window: int, k: int) -> DataFrame:
