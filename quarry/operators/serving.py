@@ -21,6 +21,11 @@ def clamp_metric(metric: Column, value: Column) -> Column:
     return F.when(metric == "human_eval_score", F.greatest(F.lit(1.0), F.least(F.lit(5.0), value))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
+def four(value: Column) -> Column:
+    """Rounded to four places as a decimal number, so that halves go up whatever the double's last bits are."""
+    return F.round(value.cast("decimal(20,9)"), 4).cast("double")
+
+
 def request_features(requests: DataFrame) -> DataFrame:
     """(request_id, feature, value) of requests(request_id, domain, avg_age_days, sdi); a missing age is 30 days."""
     vol = lookup(VOLATILITY_SCORE, F.lower("domain"), UNKNOWN_VOLATILITY)
@@ -43,7 +48,7 @@ def predict(requests: DataFrame, coefficients: DataFrame, bounds: DataFrame) ->
     # rounded once finely, so that the order of summing does not decide a half
     v = clamp_metric(m, F.round("raw", 9))
     both = sums.join(F.broadcast(bounds), "metric")
-    return both.select("request_id", "metric", F.round(v, 4).alias("expected"), F.round(clamp_metric(m, v - F.col("mae")), 4).alias("lower"), F.round(clamp_metric(m, v + F.col("mae")), 4).alias("upper"), F.round("mae", 4).alias("mae"))
+    return both.select("request_id", "metric", four(v).alias("expected"), four(clamp_metric(m, v - F.col("mae"))).alias("lower"), four(clamp_metric(m, v + F.col("mae"))).alias("upper"), F.round("mae", 4).alias("mae"))
 
 
 def warnings(requests: DataFrame) -> DataFrame:

@@ -41,10 +41,11 @@ def q101(spark, d):
     return _top(spark, d)
 
 
-@query("q099_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS norm FROM embeddings")
+@query("q099_normalize", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT vec_id, round(v[1] / n, 6) AS first, round(list_sum(v) / n, 6) AS total, round(list_max(v) / n, 6) AS most FROM e")
 def q099(spark, d):
-    v = vectors.normalize(F.col("embedding"))
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(v), 6).alias("norm"))
+    rows = table(spark, d, "embeddings").select("vec_id", vectors.normalize(F.col("embedding")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(total, 6).alias("total"), F.round(F.array_max("v"), 6).alias("most"))
 
 
 @query("q108_per_query_metrics", f"WITH {PER_QUERY_SQL} SELECT query_id, p5, ndcg, round(sim, 6) AS sim, CASE WHEN sim >= 0.7 THEN 'HIGH' WHEN sim >= 0.5 THEN 'MODERATE' ELSE 'LOW' END AS band FROM per")
@@ -124,9 +125,9 @@ def q114(spark, d):
     return qa(spark, d).select("conv_id", "turn", ev.hallucination_rate(F.col("response"), F.array("reference", "question")).alias("rate"))
 
 
-@query("q117_attribution", f"WITH {QA_SQL} SELECT conv_id, turn, round((contains(lower(response), 'the')::INT + contains(lower(response), lower(substr(question, 1, 3)))::INT + 0) / 3, 6) AS share FROM qa")
+@query("q117_attribution", f"WITH {QA_SQL} SELECT conv_id, turn, round((contains(lower(response), 'the')::INT + contains(lower(response), lower(substr(question, 1, 3)))::INT + contains(lower(response), lower(substr(reference, 1, 2)))::INT) / 4, 6) AS share FROM qa")
 def q117(spark, d):
-    return qa(spark, d).select("conv_id", "turn", ev.source_attribution(F.col("response"), F.array(F.lit("THE"), F.substring("question", 1, 3), F.lit(""))).alias("share"))
+    return qa(spark, d).select("conv_id", "turn", ev.source_attribution(F.col("response"), F.array(F.lit("THE"), F.substring("question", 1, 3), F.substring("reference", 1, 2), F.lit(""))).alias("share"))
 
 
 @query("q118_kappa", "SELECT n, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa FROM (SELECT count(*) AS n, avg((quality = toxic)::INT) AS po, avg((quality = 0)::INT) * avg((toxic = 0)::INT) + avg((quality = 1)::INT) * avg((toxic = 1)::INT) AS pe FROM labels)")

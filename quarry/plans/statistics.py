@@ -172,13 +172,13 @@ def _tables(spark):
     return spark.createDataFrame(COEF, "metric string, feature string, coef double"), spark.createDataFrame(MAE, "metric string, mae double")
 
 
-@query("q153_predict", f"WITH {REQUESTS_SQL} SELECT request_id, metric, round(p, 4) AS expected, round(greatest(lo, least(hi, p - mae)), 4) AS lower, round(greatest(lo, least(hi, p + mae)), 4) AS upper, round(mae::DOUBLE, 4) AS mae FROM pred")
+@query("q153_predict", f"WITH {REQUESTS_SQL} SELECT request_id, metric, round((p)::DECIMAL(20,9), 4)::DOUBLE AS expected, round((greatest(lo, least(hi, p - mae)))::DECIMAL(20,9), 4)::DOUBLE AS lower, round((greatest(lo, least(hi, p + mae)))::DECIMAL(20,9), 4)::DOUBLE AS upper, round(mae::DOUBLE, 4) AS mae FROM pred")
 def q153(spark, d):
     """Predictions with bands #153, batches #154, #164, feature sets #186."""
     return serving.predict(_requests(spark, d), *_tables(spark))
 
 
-@query("q160_readiness", f"WITH {REQUESTS_SQL}, w(metric, w) AS (VALUES ('precision_at_5', 0.35::DOUBLE), ('bertscore_f1', 0.30::DOUBLE), ('hallucination_rate', 0.20::DOUBLE), ('ndcg_at_5', 0.15::DOUBLE)) SELECT request_id, round_even(round(100 * sum(w * CASE WHEN metric = 'hallucination_rate' THEN 1 - round(p, 4) ELSE round(p, 4) END) / sum(w), 9), 0)::INT AS readiness FROM pred JOIN w USING (metric) GROUP BY request_id")
+@query("q160_readiness", f"WITH {REQUESTS_SQL}, w(metric, w) AS (VALUES ('precision_at_5', 0.35::DOUBLE), ('bertscore_f1', 0.30::DOUBLE), ('hallucination_rate', 0.20::DOUBLE), ('ndcg_at_5', 0.15::DOUBLE)) SELECT request_id, round_even(round(100 * sum(w * CASE WHEN metric = 'hallucination_rate' THEN 1 - round((p)::DECIMAL(20,9), 4)::DOUBLE ELSE round((p)::DECIMAL(20,9), 4)::DOUBLE END) / sum(w), 9), 0)::INT AS readiness FROM pred JOIN w USING (metric) GROUP BY request_id")
 def q160(spark, d):
     return serving.readiness(serving.predict(_requests(spark, d), *_tables(spark)))
 

@@ -67,11 +67,17 @@ def q031(spark, d):
     return corpus(spark, d).withColumn("age", dates.age_days(F.col("publication_date"))).select("id", F.round(s, 4).alias("linear_volatility"), dates.freshness_label(s).alias("label"), dates.freshness_linear_maxage(age, dom).alias("linear_maxage"), F.round(dates.freshness_half_life(age), 4).alias("half_life"))
 
 
-@query("q032_freshness_window", f"WITH {AGED_SQL} SELECT id, {window_sql()} AS win, true AS valid FROM aged")
+#: The domain after a record's own, for which its window need not be valid.
+NEXT_DOMAIN = "CASE domain WHEN 'technology' THEN 'healthcare' WHEN 'healthcare' THEN 'history' ELSE 'technology' END"
+VALID_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {{1}} IN ({', '.join(repr(w) for _, w in rows)})" for k, rows in dates.WINDOWS.items()) + " END"
+
+
+@query("q032_freshness_window", f"WITH {AGED_SQL}, w AS (SELECT id, domain, {NEXT_DOMAIN} AS other, {window_sql()} AS win FROM aged) SELECT id, win, {VALID_SQL.format('domain', 'win')} AS valid, {VALID_SQL.format('other', 'win')} AS valid_next FROM w")
 def q032(spark, d):
+    """Windows #32 and their validity #33, for a record's own domain and for another one."""
     aged = corpus(spark, d).withColumn("age", dates.age_days(F.col("publication_date")))
     rows = aged.withColumn("win", dates.freshness_window(F.col("age"), F.col("domain")))
-    return rows.select("id", "win", dates.is_valid_window(F.col("win"), F.col("domain")).alias("valid"))
+    return rows.select("id", "win", dates.is_valid_window(F.col("win"), F.col("domain")).alias("valid"), dates.is_valid_window(F.col("win"), F.expr(NEXT_DOMAIN)).alias("valid_next"))
 
 
 @query("q034_published_date", f"""WITH {AGED_SQL} SELECT id, CASE WHEN age_days IS NOT NULL THEN publication_date || 'T00:00:00+00:00'
@@ -97,10 +103,19 @@ def q036(spark, d):
     return table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
 
 
-@query("q038_metadata", f"""WITH {AGED_SQL} SELECT id, {window_sql()} AS freshness_window, 'unknown' AS source_api,
-  coalesce(nullif(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')), 0), 312)::INT AS word_count, 'en' AS language FROM aged""")
+@query("q038_metadata", f"""WITH {AGED_SQL} SELECT id, {window_sql()} AS freshness_window,
+  CASE seq % 3 WHEN 0 THEN 'own' ELSE {SOURCE_ANSWERS!r}[(seq % 10 + 1)::INT] END AS source_api,
+  coalesce(nullif(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')), 0), 312)::INT AS word_count, CASE seq % 2 WHEN 0 THEN lang ELSE 'en' END AS language FROM aged""")
 def q038(spark, d):
-    return quality.ensure_metadata(corpus(spark, d), AS_OF).select("id", "freshness_window", "source_api", "word_count", "language")
+    """Fields that are there and valid stay, others are filled: windows of another kind, empty sources and languages."""
+    n = F.col("seq")
+    rows = corpus(spark, d).withColumns({
+        "source_name": F.element_at(F.array(*[F.lit(s) for s in SOURCE_NAMES]), (n % 10 + 1).cast("int")),
+        "source_api": F.when(n % 3 == 0, "own").otherwise(""),
+        "language": F.when(n % 2 == 0, F.col("lang")),
+        "freshness_window": F.when(n % 4 == 1, "last week"),
+    })
+    return quality.ensure_metadata(rows, AS_OF).select("id", "freshness_window", "source_api", "word_count", "language")
 
 
 @query("q039_build_doc", f"""WITH {AGED_SQL} SELECT domain || '_' || source_type || '_' ||

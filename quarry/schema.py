@@ -100,19 +100,20 @@ AGED_SQL = CORPUS_SQL + """, aged AS (
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, question, response, reference): user turns with the assistant turn after, and a benchmark text."""
+    """(conv_id, turn, question, response, reference): user turns with the assistant turn after, and a benchmark text, by turns of all that there are."""
     c = table(spark, sf_dir, "conversations")
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     r = c.where("role = 'assistant'").select(F.col("conv_id").alias("c2"), (F.col("turn") - 1).alias("t2"), F.col("text").alias("response"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("reference"))
+    size = (b.agg(F.max("item_id")).first()[0] or 0) + 1
     pairs = q.join(r, (F.col("conv_id") == F.col("c2")) & (F.col("turn") == F.col("t2")))
-    return pairs.join(b, F.col("conv_id") % 40 == F.col("item_id")).select("conv_id", "turn", "question", "response", "reference")
+    return pairs.join(b, F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(size)) == F.col("item_id")).select("conv_id", "turn", "question", "response", "reference")
 
 
 QA_SQL = """qa AS (
   SELECT q.conv_id, q.turn, q.text AS question, r.text AS response, b.text AS reference
   FROM conversations q JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant'
-  JOIN benchmark b ON b.item_id = q.conv_id % 40 WHERE q.role = 'user')"""
+  JOIN benchmark b ON b.item_id = (q.conv_id * 7 + q.turn) % (SELECT max(item_id) + 1 FROM benchmark) WHERE q.role = 'user')"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
