@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm._common import arrow_batches, slices
 
@@ -257,7 +258,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     picked = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("__id"), *[F.col(c) for c in keep])
     names = picked.columns[1:]
     new = [prefix + x for x in ("lang_pred", "score", "cross_entropy", "rejected")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[1:])
+    added = [T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([*picked.schema[1:], *[T.StructField(n, t) for n, t in zip(new, added)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -269,5 +271,4 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cross, pa.float64()), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], names=[*names, *new])
 
-    done = picked.mapInArrow(run, f"{schema}, {new[0]} string, {new[1]} double, {new[2]} double, {new[3]} boolean")
-    return done.withColumnRenamed("__id", id_col)
+    return picked.mapInArrow(run, schema).withColumnRenamed("__id", id_col)

@@ -5,8 +5,7 @@ like population counts (of each half of the bits); a tile is compared with every
 distance within the radius, by exclusive-or and bit counts, and no other. A tile pair passes on a spanning
 forest of the links that it finds, so that a group of n copies makes fewer than n links for each pair.
 
-The pipeline's groups of near copies are decided by the exact Jaccard similarity of shingle sets; fingerprints
-would lose pairs close to the bound, so candidates come from shared rare shingles instead.
+near.py groups near copies by the exact similarity of their shingles, where fingerprints only propose.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -212,214 +210,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return every.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Repeated shingles whose counts every worker holds, the longest list of rows taken pair by pair, bytes of shingle hashes in a tile.
-FREQUENT, LONG, TILE_BYTES = 1 << 18, 64, 4 << 20
-#: Guards comparisons of whole numbers with a fraction of others.
-HAIR = 1e-9
-
-
-def shingle_set(text: bytes | None, width: int, digest) -> np.ndarray:
-    """Sorted distinct hashes (uint64) of a text's shingles; that of an empty run for a text without a word."""
-    found = shingles(text, width) or [b""]
-    return np.unique(np.fromiter(map(digest, found), np.uint64, len(found)))
-
-
-def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, rare ones first: two sets whose Jaccard similarity reaches the bound share one of them.
-
-    common (sorted) and count name the frequent shingles; any order serves that is the same for all sets.
-    """
-    n = np.zeros(len(found), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        n = np.where(common[at] == found, count[at], 0)
-    return found[np.argsort(n, kind="stable")[: len(found) - math.ceil(similarity * len(found) - HAIR) + 1]]
-
-
-def list_pairs(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(long, a, b) of postings sorted by key: the pairs of each list whose sizes allow the similarity, or a star of its rows if it is long."""
-    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-    start, n = edge[:-1], np.diff(edge)
-    out = [(np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for k in np.unique(n[(n > 1) & (n <= LONG)]).tolist():
-        at = start[n == k][:, None] + np.arange(k)
-        i, j = np.triu_indices(k, 1)
-        step = max(1, (1 << 20) // len(i))
-        for s in range(0, len(at), step):
-            a, b = at[s : s + step, i].ravel(), at[s : s + step, j].ravel()
-            fit = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - HAIR
-            a, b = ids[a[fit]], ids[b[fit]]
-            out.append((np.zeros(len(a), bool), np.minimum(a, b), np.maximum(a, b)))
-    for s, k in zip(start[n > LONG].tolist(), n[n > LONG].tolist()):
-        out.append((np.ones(k - 1, bool), np.full(k - 1, ids[s]), ids[s + 1 : s + k]))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sets reaches the bound."""
-    both = np.concatenate((a, b))
-    both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared >= similarity * (len(both) - shared) - HAIR
-
-
-def set_links(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, by position, of the pairs of sets of tiles a and b, or within a, whose Jaccard similarity reaches the bound."""
-    sets = a if b is None else a + b
-    base = 0 if b is None else len(a)
-    label = np.arange(len(sets))
-    size = np.array([len(s) for s in sets])
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    edge = np.concatenate(([0], np.cumsum(size)))
-    mark = np.zeros(len(values), np.int64)
-    for i in range(len(a)):
-        # what is joined already need not be compared again
-        first = i + 1 if b is None else base
-        j = first + np.flatnonzero(label[first:] != label[i])
-        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - HAIR]
-        if not len(j):
-            continue
-        own = flat[edge[i] : edge[i + 1]]
-        mark[own] = 1
-        at = np.repeat(edge[j] - np.concatenate(([0], np.cumsum(size[j])[:-1])), size[j]) + np.arange(size[j].sum())
-        shared = np.add.reduceat(mark[flat[at]], np.concatenate(([0], np.cumsum(size[j])[:-1])))
-        mark[own] = 0
-        j = j[shared >= similarity * (size[i] + size[j] - shared) - HAIR]
-        if len(j):
-            label = forest(len(sets), np.full(len(j), i), j, label)
-    joined = np.flatnonzero(label != np.arange(len(sets)))
-    return joined, label[joined]
-
-
-def _frequent(texts: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes sorted, counts) of shingles that repeat within slices of the texts, the most frequent of them, a fixed number at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = partial(xxhash.xxh64_intdigest, seed=seed)
-        for batch in batches:
-            col = batch.column(0)
-            for a, b in slices(pc.fill_null(pc.binary_length(col), 0).to_pylist(), SLICE_BYTES):
-                h, n = np.unique(np.concatenate([shingle_set(t, width, digest) for t in col.slice(a, b - a).to_pylist()]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
-
-    counts = staged(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
-    # counts by an eighth of a power of two: a few hundred rows tell from which count on they fit
-    sizes = counts.groupBy(F.floor(8 * F.log2(F.col("n").cast("double"))).alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("least"))
-    cut, room = 1 << 62, FREQUENT
-    for r in sizes.orderBy(F.desc("b")).collect():
-        room -= r["k"]
-        if room < 0:
-            break
-        cut = r["least"]
-    found = counts.where(F.col("n") >= cut).toArrow()
-    h, n = (np.array(found.column(c).to_numpy()) for c in ("h", "n"))
-    h = h.view(np.uint64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def near_duplicate_groups(docs: DataFrame, row_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """(row_col, group): rows are grouped by links; group is the least row of its component. row_col is a distinct long.
-
-    Rows link if the Jaccard similarity of their sets of shingles (by 64-bit hash) is similarity or more; none
-    is estimated and none is missed. Candidates share one of the first shingles of their sets, rare ones first
-    (prefix filtering, which loses no pair). Rows of short lists are compared pair by pair; rows that long lists
-    join are compared in tiles, which pass on a spanning forest, so a group of n copies makes no n * n rows.
-    Texts without a word are alike. The driver and workers hold a fixed number of frequent shingles.
-    """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    picked = docs.select(F.col(row_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    shared = spark.sparkContext.broadcast(_frequent(picked.select("t"), width, seed))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = max(spark.sparkContext.defaultParallelism, parts)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = partial(xxhash.xxh64_intdigest, seed=seed)
-        common, count = shared.value
-        for batch in batches:
-            texts, ids = batch.column(1), np.asarray(batch.column(0))
-            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
-                sets = [shingle_set(t, width, digest) for t in texts.slice(a, b - a).to_pylist()]
-                heads = [prefix(s, common, count, similarity) for s in sets]
-                n = [len(x) for x in heads]
-                size = np.array([len(s) for s in sets], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(ids[a:b], n)), pa.array(np.repeat(size, n))], names=["h", "id", "size"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in chain(batches, [None]):
-            now = None if batch is None else [np.asarray(c) for c in batch.columns]
-            if now is not None and not len(now[0]):
-                continue
-            whole = now if held is None else held if now is None else [np.concatenate(x) for x in zip(held, now)]
-            if whole is None:
-                break
-            # the last list may go on in the next batch
-            cut = len(whole[0]) if now is None else int(np.searchsorted(whole[0], whole[0][-1]))
-            held = [x[cut:] for x in whole]
-            if cut:
-                found = list_pairs(*(x[:cut] for x in whole), similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["long", "a", "b"])
-
-    postings = picked.mapInArrow(first, "h long, id long, size int").repartition(parts, "h").sortWithinPartitions("h")
-    candidates = staged(postings.mapInArrow(gather, "long boolean, a long, b long").distinct(), "candidates")
-    pairs = candidates.where(~F.col("long")).select("a", "b")
-    group = components(candidates.where("long"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = partial(xxhash.xxh64_intdigest, seed=seed)
-        for batch in batches:
-            texts = batch.column(1)
-            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
-                sets = [shingle_set(t, width, digest).tobytes() for t in texts.slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "s"])
-
-    asked = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(picked.join(asked, "id", "left_semi").mapInArrow(whole, "id long, s binary"), "sets")
-    # pairs within a group of long lists are compared in its tiles
-    ga, gb = (group.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    pairs = pairs.join(ga, "a", "left").join(gb, "b", "left").where("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), similarity) for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    links = staged(pairs.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "pair-links")
-
-    # tiles are named by ids and sizes first, so that the sets themselves move twice only, and again where a group has several tiles
-    member = sets.select("id", F.octet_length("s").alias("bytes")).join(group, F.col("id") == F.col("node"))
-    weight = staged(member.groupBy("root").agg(F.ceil(F.sum("bytes") / TILE_BYTES).alias("tiles")), "weights")
-    place = staged(member.join(weight, "root").select(F.col("id").alias("node"), "root", F.pmod(F.xxhash64("id"), F.col("tiles")).alias("tile")), "places")
-    tile = sets.join(place, F.col("id") == F.col("node")).select("root", "tile", F.struct("id", "s").alias("row"))
-    tile = staged(tile.groupBy("root", "tile").agg(F.collect_list("row").alias("rows")), "set-tiles")
-    several = weight.where("tiles > 1").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("ta"), "tiles")
-    several = several.select("root", "ta", F.explode(F.sequence("ta", F.col("tiles") - 1)).alias("tb")).where("ta < tb")
-    several = several.join(tile.select("root", F.col("tile").alias("ta"), F.col("rows").alias("ra")), ["root", "ta"]).join(tile.select("root", F.col("tile").alias("tb"), F.col("rows").alias("rb")), ["root", "tb"])
-    several = several.select("root", "ta", "tb", "ra", "rb").repartition(spread, "root", "ta", "tb")
-    alone = tile.select("root", F.col("tile").alias("ta"), F.col("tile").alias("tb"), F.col("rows").alias("ra"))
-    work = alone.withColumn("rb", F.lit(None).cast(tile.schema["rows"].dataType)).union(several)
-
-    def unpack(rows) -> tuple[np.ndarray, list | None]:
-        if not rows.is_valid:
-            return np.zeros(0, np.int64), None
-        rows = rows.values
-        return np.asarray(rows.field("id")), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("s")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (ia, a), (ib, b) = unpack(batch.column(3)[k]), unpack(batch.column(4)[k])
-                ids = np.concatenate((ia, ib))
-                i, j = set_links(a, b, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
-
-    roots = components(links.union(work.mapInArrow(run, "a long, b long")))
-    named = picked.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    named = staged(named, "near-roots")
-    least = staged(named.groupBy("root").agg(F.min("id").alias("group")), "near-groups")
-    return named.join(least, "root").select(F.col("id").alias(row_col), "group")

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from quarry.llm import near
 from quarry.llm import simhash
 
 
@@ -33,8 +34,8 @@ def _edited(rng, words, edits):
 
 @pytest.mark.parametrize("long", [64, 3])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, long):
-    monkeypatch.setattr(simhash, "LONG", long)
-    monkeypatch.setattr(simhash, "TILE_BYTES", 1 << 14)
+    monkeypatch.setattr(near, "LONG", long)
+    monkeypatch.setattr(near, "TILE_BYTES", 1 << 14)
     rng = random.Random(11)
     texts = [None, "", "one", "ONE ", "a b c d e", "a b c d e f"]
     for k in range(120):
@@ -48,7 +49,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, long):
     want, alike = _groups(rows)
     assert sum(0.8 <= x < 0.83 for x in alike.values()) > 20 and sum(0.77 <= x < 0.8 for x in alike.values()) > 20
     docs = spark.createDataFrame([(i, t) for i, t in rows], "__row long, text string")
-    got = {r["__row"]: r["group"] for r in simhash.near_duplicate_groups(docs, "__row").collect()}
+    got = {r["__row"]: r["group"] for r in near.near_duplicate_groups(docs, "__row").collect()}
     assert got == want
 
 
@@ -63,7 +64,7 @@ def test_prefix_and_tiles():
         common = np.sort(rng.choice(200, 40, replace=False)).astype(np.uint64)
         count = rng.integers(2, 9, 40)
         alike = len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 - 1e-12
-        assert simhash.similar(a, b, 0.8) == alike
-        assert (len(simhash.set_links([a], [b], 0.8)[0]) == 1) == alike
+        assert near.similar(a, b, 0.8) == alike
+        assert (len(near.set_links([a], [b], 0.8)[0]) == 1) == alike
         if alike:
-            assert len(np.intersect1d(simhash.prefix(a, common, count, 0.8), simhash.prefix(b, common, count, 0.8)))
+            assert len(np.intersect1d(near.prefix(a, common, count, 0.8), near.prefix(b, common, count, 0.8)))

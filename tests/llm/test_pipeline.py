@@ -17,13 +17,14 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     # rows that repeat, a copy under another id, a null text, a column with a helper's name
     more = docs.limit(3).union(docs.limit(3)).union(docs.limit(1).withColumn("doc_id", F.lit(10**6).cast("long"))).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(10**6 + 1).cast("long")))
-    docs = docs.union(more).withColumn("copies", F.lit(7))
+    docs = docs.union(more).withColumn("copies", F.lit(7)).withColumn("row", F.col("doc_id") % 3).withColumn("__row", F.col("doc_id") + 1).withColumn("rejected", F.lit("no"))
     columns = docs.columns
     kept = {}
     for name, stage in p.STAGES[:-1]:
         docs = staged(stage(spark, docs, SF), name)
         assert docs.columns == columns
         kept[name] = docs.toPandas()
+    assert all((k["row"] == k.doc_id % 3).all() and (k["__row"] == k.doc_id + 1).all() and (k["copies"] == 7).all() for k in kept.values())
     first = kept["language_id"]
     assert first.text.notna().all() and first.text.str.contains(r"[^\W\d_]").all()
     exact = kept["exact_dedup"]
@@ -38,9 +39,9 @@ def test_stages(spark):
         sets[i] = {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or {b" ".join(w)}
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     left = sorted(near.doc_id)
-    assert not [(a, b) for a in left for b in left if a < b and alike(a, b) >= 0.9]
+    assert not [(a, b) for a in left for b in left if a < b and alike(a, b) >= 0.8]
     gone = set(exact.doc_id) - set(left)
-    assert all(any(alike(g, x) >= 0.6 for x in sets if x != g) for g in gone)
+    assert all(any(alike(g, x) >= 0.8 for x in sets if x != g) for g in gone)
 
     mixed = kept["mix_sources"]
     assert set(mixed.doc_id) <= set(left) and mixed.groupby("doc_id").size().max() <= 3
@@ -51,3 +52,19 @@ def test_stages(spark):
     assert len(last) == len(mixed)
     digest = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in zip(near.doc_id, near.text)}
     assert all(digest[i] == d for i, d in zip(last.doc_id, last.decoded_sha256))
+
+
+def test_stages_take_odd_tables(spark):
+    import corpus_pipeline as p
+
+    kind = "doc_id {}, text string, lang string, source string, n_chars long, doc string"
+    empty = spark.createDataFrame([], kind.format("long"))
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, SF).collect() == []
+    # ids that are texts, some null, some repeated; null texts and sources
+    rows = [("b", "one two three four five six", "en", None, 1, "x"), ("b", "one two three four five six", "en", None, 1, "x"), (None, None, None, "s", None, None), ("a", "", None, "s", 0, "y"), (None, "one two three four five six", "en", "s", 1, "z")]
+    docs = spark.createDataFrame(rows, kind.format("string"))
+    assert sorted(str(r.doc_id) + str(r.doc) for r in p.exact(spark, docs, SF).collect()) == ["ay", "bx"]
+    assert sorted(str(r.doc_id) + str(r.doc) for r in p.near(spark, docs, SF).collect()) == ["ay", "bx"]
+    mixed = [tuple(r) for r in p.mix_sources(spark, docs, SF).collect()]
+    assert set(mixed) <= set(rows) and mixed.count(rows[0]) <= 6
