@@ -1,63 +1,78 @@
 """The training-data pipeline over documents: language ID, exact dedup, near-dedup, mixing, tokens.
 
 Each stage takes what the one before it kept, writes nothing but what its operator stages in the shared
-folder, and returns the columns of documents; only the last returns counts and digests of tokens. A column of
-the input that has the name of a helper column is carried through unharmed.
+folder, and returns the columns of documents; only the last returns counts and digests of tokens.
+
+All stages take nulls in any column, empty and very long texts (never cut), rows that repeat, and empty tables.
+A stage carries each row as one value beside the few columns that its operator reads, so that no column of the
+input, whatever its name, meets a helper column. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm import bpe, exact_dedup, langid, mixing, simhash
+from quarry.llm import bpe, exact_dedup, langid, mixing
+from quarry.llm import near as near_copies
 from quarry.llm._common import staged, table
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text, source, lang) of docs, doc being the whole row."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "source", "lang")
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row: the id where ids are there and don't repeat, else a new one, for which docs is staged."""
-    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
-        return docs.withColumn("__row", F.col("doc_id").cast("long"))
-    return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "stage")
+    """_rows() and row, a number of its own: the id where ids are whole numbers that are there and don't repeat, else a new one, for which the rows are staged."""
+    rows = _rows(docs)
+    whole = isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if whole and docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return rows.withColumn("row", F.col("doc_id").cast("long"))
+    return staged(rows.withColumn("row", F.monotonically_increasing_id()), "stage")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that no language model accepts: without letters, or beyond the calibrated cross-entropy."""
+    """Drops documents that no language model accepts: null, empty, without letters, or beyond the calibrated cross-entropy.
+
+    Rows that repeat are accepted or dropped alike. With no labelled document nothing is accepted.
+    """
     model = langid.train(docs)
-    kept = langid.identify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
-    return kept.where(~F.col("__rejected")).select(*docs.columns)
+    done = langid.identify(_rows(docs), model, keep=("doc",))
+    return done.where(~F.col("rejected")).select("doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one row stays: that with the largest doc_id."""
+    """Of equal texts (null counts as empty), one row stays: that with the largest doc_id, null below all others; of rows that repeat the id as well, any one."""
     rows = _numbered(docs)
     # the row number stands in for the id among rows that repeat one
-    named = rows.select(F.struct(F.col("doc_id"), F.col("__row")).alias("id"), "text")
-    done = exact_dedup.exact_dedup(named, id_col="id")
-    keep = done.where("kept").select(F.col("id.__row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+    done = exact_dedup.exact_dedup(rows.select(F.struct("doc_id", "row").alias("id"), "text"), id_col="id")
+    return rows.join(done.where("kept").select("id.row"), "row", "left_semi").select("doc.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, similarity 0.8 or more), the document with the smallest doc_id stays."""
+    """Of each group of near copies (shingles of five words, similarity 0.8 or more), the document with the smallest doc_id stays, null after all others.
+
+    Texts of under five words are one shingle; null, empty and blank texts are copies of each other.
+    """
     rows = _numbered(docs)
-    groups = simhash.near_duplicate_groups(rows, row_col="__row", width=5, similarity=0.8)
-    groups = groups.select("__row", "group").join(rows.select("__row", "doc_id"), "__row")
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))).alias("first"))
-    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    groups = near_copies.near_duplicate_groups(rows, row_col="row", width=5, similarity=0.8)
+    groups = groups.join(rows.select("row", "doc_id"), "row")
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emits each document as often as the mix of its source takes it; repeats are rows of their own."""
+    """Emits each document as often as the mix of its source takes it, three times at most; repeats are rows of their own. A null source is a source."""
     rows = _numbered(docs)
-    done = mixing.mix(rows.select("__row", "text", "source"), id_col="__row")
-    copies = done.where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    both = rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return both.select(*docs.columns)
+    done = mixing.mix(rows.select("row", "text", "source"), id_col="row").where("copies > 0").select("row", "copies")
+    both = rows.select("row", "doc").join(done, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return both.select("doc.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every emitted document."""
+    """Token counts and digests of every emitted document; null and empty texts have no token."""
     from public_tokenizers import path
 
     return bpe.bpe_digests(docs, path("byte_bpe_50k.json"))
