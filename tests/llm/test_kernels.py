@@ -155,11 +155,12 @@ def test_shard_search_is_exact():
     random.seed(4)
     vocab = [f"w{i}" for i in range(60)]
     texts = [" ".join(random.choices(vocab, weights=[1 / (i + 1) for i in range(60)], k=random.randint(0, 40))).encode() for _ in range(500)]
-    shard = bm25.Shard(list(range(500)), texts, 20.0, 1.2, 0.75)
+    shard, worked = bm25.Shard(list(range(500)), texts, 20.0, 1.2, 0.75), 0
     for q in texts[:40]:
         want = {t: random.random() for t in set(bm25.terms(q))}
         hashes = np.array([bm25._hash(t) for t in want], np.uint64)
-        ids, scores = shard.search(hashes, np.array(list(want.values())), 7)
+        ids, scores, scored = shard.search(hashes, np.array(list(want.values())), 7)
+        worked += scored
         brute = []
         for d, text in enumerate(texts):
             tf = {t: bm25.terms(text).count(t) for t in set(bm25.terms(text)) & set(want)}
@@ -169,6 +170,8 @@ def test_shard_search_is_exact():
         brute = sorted(brute)[:7]
         assert np.allclose(scores, [-s for s, _ in brute], atol=2e-6)
         assert ids.tolist() == [d for _, d in brute]
+    # list and block maxima spare most documents
+    assert worked < 0.6 * 40 * 500
 
 
 def test_maxent_probabilities_add_up():
@@ -185,4 +188,17 @@ def test_maxent_probabilities_add_up():
     texts = [rng.integers(0, maxent.FREQUENT + maxent.TAIL, 50).astype(np.uint16) for _ in range(4)]
     expected = maxent.gradient(w, iter(texts))
     assert expected[:, : maxent.CLASSES].sum() == pytest.approx(3 * 200, rel=1e-3)
-    assert maxent.gradient(None, iter(texts))[:, : maxent.CLASSES].sum() == 600
+    observed = maxent.gradient(None, iter(texts))
+    assert observed[:, : maxent.CLASSES].sum() == 600
+    # observed less expected counts are the derivative of the log likelihood: single weights moved a little
+    likelihood = lambda: math.log(10) * sum(maxent.place_scores(w, np.zeros(maxent.TAIL), t, np.array([0])).sum() for t in texts)
+    g = observed.astype(float) - expected
+    for at in [*zip(*np.unravel_index(np.argsort(-np.abs(g), axis=None)[:6], g.shape)), *zip(*np.nonzero(expected[:, maxent.CLASSES :] > 0.2))][:20]:
+        row, col = int(at[0]), int(at[1])
+        table, c = (w.table1, col) if col < maxent.CLASSES else (w.table2, col - maxent.CLASSES)
+        table[row, c] += 0.05
+        up = likelihood()
+        table[row, c] -= 0.1
+        down = likelihood()
+        table[row, c] += 0.05
+        assert (up - down) / 0.1 == pytest.approx(g[row, col], abs=0.03)
