@@ -1,10 +1,13 @@
 """Exact dedup by a stateful stream.
 
-Arrivals (digest, id, locator) stream through a keyed state on disk (RocksDB, checkpointed to the shared
-folder) that never expires: for each digest the stable identifier that stays, the locator of its content, and
-how many rows have come. Rows are combined before they reach the state, so a large group of copies is no hot
-key. Where a digest has come more than once, the content at the locator is read and compared byte for byte;
-texts that only share a digest are put into groups of their own.
+Arrivals are written to a store of contents and streamed through a keyed state on disk (RocksDB, checkpointed to
+the shared folder) that never expires: for each digest the stable identifier that stays, the locator of its
+content, and how many rows have come. Rows are combined before they reach the state, so a large group of copies
+is no hot key. Where a digest has come before, the content at the state's locator is fetched and compared byte for
+byte with what came; texts that only share a digest are put into groups of their own.
+
+A locator is the number of the ingest, which names a folder of the store, and a number whose high bits name the
+file in it and whose low 33 bits the row. State and store live in one folder, which can be opened again later.
 """
 
 from __future__ import annotations
@@ -17,6 +20,14 @@ from pyspark.sql import functions as F
 from quarry.llm._common import new_path, staged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # else every partition's store takes megabytes of disk before it holds a row
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -24,80 +35,110 @@ def sha256(text: Column) -> Column:
 
 
 def fold(arrivals: DataFrame) -> DataFrame:
-    """Keyed state of arrivals(seq, id, digest, loc), streaming or not: by digest the last of (id, seq), its locator, the number of rows."""
-    last = F.struct("id", "seq", "loc")
-    return arrivals.groupBy("digest").agg(F.max(last).alias("last"), F.count("*").alias("n"))
+    """Keyed state of arrivals(digest, id, ingest, seq), streaming or not: by digest the last of (id, ingest, seq) and the number of rows."""
+    return arrivals.groupBy("digest").agg(F.max(F.struct("id", "ingest", "seq")).alias("last"), F.count("*").alias("n"))
 
 
 class DedupState:
-    """A dedup state in a folder; each call of ingest() goes on where the last one ended, also after a failure."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def ingest(self, arrivals_dir: str, schema, files_per_batch: int = 64) -> None:
-        """Streams what is new in arrivals_dir through the state and stops. Replayed batches overwrite their own output."""
-        spark = self.spark
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
-        # else every partition's store takes megabytes of disk before it holds a row
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals_dir)
-        out = f"{self.path}/updates"
-
-        def save(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-        query = fold(stream).writeStream.outputMode("update").option("checkpointLocation", f"{self.path}/checkpoint").foreachBatch(save).trigger(availableNow=True).start()
-        query.awaitTermination()
+    """A dedup state in a folder; ingest() goes on where the last one ended, also after a failure and in another session."""
+
+    def __init__(self, spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256):
+        self.spark, self.path, self.digest = spark, path, digest
+
+    def _whole(self, kind: str) -> list[str]:
+        """Folders of a kind that were written to their end, in order."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/n*/_SUCCESS")
+        found = top.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(top) or []
+        return sorted(x.getPath().getParent().toString() for x in found)
+
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 64) -> int:
+        """Takes docs in and checks every hit; returns the number of the ingest. Without a row there is nothing to take in, and -1 is returned."""
+        number = len(self._whole("arrivals"))
+        place = f"{self.path}/arrivals/n{number:06d}"
+        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+        rows = rows.select("id", self.digest(F.col("t")).alias("digest"), F.lit(number).alias("ingest"), F.monotonically_increasing_id().alias("seq"), "t")
+        rows.write.mode("overwrite").parquet(place)
+        new = self.spark.read.schema(rows.schema).parquet(place)
+        if new.isEmpty():
+            return -1
+        self._stream(rows.drop("t").schema, files_per_batch)
+        self._check(new, number)
+        return number
+
+    def _stream(self, schema, files_per_batch: int) -> None:
+        """Streams what is new in the store through the state and stops. Replayed batches overwrite their own output."""
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            conf.set(k, v)
+        try:
+            arrivals = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{self.path}/arrivals/n*")
+
+            def save(batch: DataFrame, epoch: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{self.path}/updates/epoch={epoch}")
+
+            stream = fold(arrivals).writeStream.outputMode("update").option("checkpointLocation", f"{self.path}/checkpoint")
+            stream.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def groups(self) -> DataFrame:
-        """(digest, keep_id, keep_seq, keep_loc, n): the newest update of each digest, as its count only grows."""
+        """(digest, keep_id, keep_ingest, keep_seq, n): the newest update of each digest, as its count only grows."""
         updates = self.spark.read.parquet(f"{self.path}/updates")
         newest = updates.groupBy("digest").agg(F.max(F.struct("n", "last")).alias("u"))
-        return newest.select("digest", F.col("u.last.id").alias("keep_id"), F.col("u.last.seq").alias("keep_seq"), F.col("u.last.loc").alias("keep_loc"), F.col("u.n").alias("n"))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 64) -> DataFrame:
+        return newest.select("digest", F.col("u.last.id").alias("keep_id"), F.col("u.last.ingest").alias("keep_ingest"), F.col("u.last.seq").alias("keep_seq"), F.col("u.n").alias("n"))
+
+    def _check(self, new: DataFrame, number: int) -> None:
+        """Compares the bytes of every hit among new rows with the content that the state locates; keeps the digests where they differ."""
+        self.known = staged(self.groups(), "dedup-groups")
+        many = self.known.where("n > 1").drop("n", "keep_id")
+        located = (F.col("ingest") == F.col("keep_ingest")) & (F.col("seq") == F.col("keep_seq"))
+        hits = staged(new.join(many, "digest").select("digest", "t", located.alias("located"), "keep_ingest", "keep_seq"), "dedup-hits")
+        content = hits.where("located").select("digest", F.col("t").alias("content"))
+        if number:
+            # contents of earlier ingests
+            asked = hits.where(F.col("keep_ingest") < number).select("digest", F.col("keep_ingest").alias("ingest"), F.col("keep_seq").alias("seq")).distinct()
+            old = self.arrivals().where(F.col("ingest") < number).select("ingest", "seq", F.col("t").alias("content"))
+            content = content.union(old.join(asked, ["ingest", "seq"]).select("digest", "content"))
+        content = staged(content, "dedup-content")
+        # made distinct only after the table is cut, so that the join may be split where one text has very many copies
+        false = staged(hits.join(content, "digest").where("t <> content").select("digest"), "dedup-false")
+        false.distinct().write.mode("overwrite").parquet(f"{self.path}/collisions/n{number:06d}")
+
+    def arrivals(self, number: int | None = None) -> DataFrame:
+        """The store's rows (id, digest, ingest, seq, t), of one ingest or of all."""
+        found = self._whole("arrivals")
+        return self.spark.read.parquet(*(found if number is None else [f"{self.path}/arrivals/n{number:06d}"]))
+
+    def decisions(self, number: int) -> DataFrame:
+        """(id, digest, keep_id, group_size, kept) for the rows of an ingest; groups hold the rows of all ingests so far."""
+        groups = self.known if hasattr(self, "known") else staged(self.groups(), "dedup-groups")
+        own = self.arrivals(number).select("id", "digest", "ingest", "seq")
+        kept = (F.col("ingest") == F.col("keep_ingest")) & (F.col("seq") == F.col("keep_seq"))
+        done = own.join(groups, "digest").select("id", "digest", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"))
+        false = self.spark.read.schema("digest string").parquet(*self._whole("collisions")).distinct()
+        if false.isEmpty():
+            return done
+        again = staged(self.arrivals().join(false, "digest", "left_semi"), "dedup-again")
+        regrouped = again.groupBy("digest", "t").agg(F.max(F.struct("id", "ingest", "seq")).alias("last"), F.count("*").alias("group_size"))
+        mine = again.where(F.col("ingest") == number).join(regrouped, ["digest", "t"])
+        same = (F.col("ingest") == F.col("last.ingest")) & (F.col("seq") == F.col("last.seq"))
+        return done.join(false, "digest", "left_anti").unionByName(mine.select("id", "digest", F.col("last.id").alias("keep_id"), "group_size", same.alias("kept")))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 64, state_path: str | None = None) -> DataFrame:
     """One row per input row: id_col, digest, keep_id, group_size, kept.
 
     Texts are equal when all bytes are; null counts as empty. Of equal texts the row with the largest id stays
-    (null ids are below all others); of rows that repeat that id as well, one. Other columns are not read,
+    (null ids are below all others); of rows that repeat that id as well, one. With state_path, the folder of a
+    state that may hold earlier rows, groups hold these as well, and a row that stayed before may have to go;
+    without, the state is new. Texts of any length are stored and compared whole. Other columns are not read,
     whatever their names; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.input_file_name().alias("loc"))
-    rows = rows.withColumn("digest", digest(F.col("t")))
-    path = new_path(spark, "exact-dedup")
-    picked = rows.select(F.monotonically_increasing_id().alias("seq"), "id", "digest", "loc")
-    picked.write.parquet(f"{path}/arrivals")
-    schema = picked.schema
-    arrivals = spark.read.schema(schema).parquet(f"{path}/arrivals")
-    if arrivals.isEmpty():
-        return arrivals.select(F.col("id").alias(id_col), "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    state = DedupState(spark, path)
-    state.ingest(f"{path}/arrivals", schema, files_per_batch)
-    groups = staged(state.groups(), "dedup-groups")
-
-    members = arrivals.select("seq", "id", "digest").join(groups, "digest")
-    done = members.select("digest", "id", "keep_id", F.col("n").alias("group_size"), F.col("seq").eqNullSafe(F.col("keep_seq")).alias("kept"))
-
-    # hits: every row of a digest that came more than once, with its bytes
-    many = groups.where("n > 1").select("digest", "keep_id", "keep_loc")
-    hits = rows.join(many, "digest").select("digest", "id", "t", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("loc") == F.col("keep_loc"))).alias("located"))
-    hits = staged(hits, "dedup-hits")
-    content = hits.where("located").dropDuplicates(["digest"]).select("digest", F.col("t").alias("content"))
-    content = staged(content, "dedup-content")
-    # made distinct only after the table is cut, so that the join above may be split where one text has very many copies
-    false = staged(hits.join(content, "digest").where("t <> content").select("digest"), "dedup-false").distinct()
-    if not false.isEmpty():
-        again = hits.join(false, "digest", "left_semi")
-        regrouped = again.groupBy("digest", "t").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        one = again.groupBy("digest", "t", "id").agg(F.count("*").alias("times"))
-        one = one.select("digest", F.col("t").alias("ot"), "id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k"))
-        again = one.join(regrouped.withColumnRenamed("digest", "d2"), (F.col("digest") == F.col("d2")) & (F.col("ot") == F.col("t")))
-        again = again.select("digest", "id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 1)).alias("kept"))
-        done = done.join(false, "digest", "left_anti").unionByName(again)
-    return done.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", "kept")
+    state = DedupState(docs.sparkSession, state_path or new_path(docs.sparkSession, "exact-dedup"), digest)
+    number = state.ingest(docs, id_col, text_col, files_per_batch)
+    if number < 0:
+        none = docs.select(F.col(id_col).alias("id"), F.lit("").alias("digest")).where(F.lit(False))
+        return none.select(F.col("id").alias(id_col), "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return state.decisions(number).withColumnRenamed("id", id_col)
