@@ -11,6 +11,7 @@ then do words go. Documents that equal an earlier one as a whole need no index e
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._common import arrow_batches, new_path, slices, staged
+from quarry.llm.warc import open_shared
 
 #: Odd multipliers of the rolling hashes, and those of their last step.
 ROLL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -149,11 +151,38 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, did), did a document's number, each a Parquet table in its own folder; a run is listed once it is whole."""
+    """Sorted immutable runs of (fp, did), did a document's number, each a Parquet table in its own folder.
+
+    A manifest in the index's folder lists the runs; a run is listed once it is whole, so that what a lost or
+    repeated job has left is never read. Manifests are numbered and the last one counts; an index is opened
+    again by its path, in any session.
+    """
 
     def __init__(self, spark: SparkSession, path: str, fan_in: int = 2):
         self.spark, self.path, self.fan_in = spark, path, fan_in
+        held = self._manifests()
+        self.version = int(held[-1].rsplit("-", 1)[1]) if held else 0
         self.runs: list[str] = []
+        if held:
+            with open_shared(f"{path}/{held[-1]}", "rb") as f:
+                self.runs = [f"{path}/{name}" for name in json.loads(f.read())]
+
+    def _manifests(self) -> list[str]:
+        found = self._files().globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-*")) or []
+        return sorted(x.getPath().getName() for x in found if x.getLen() > 0)
+
+    def _files(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _list(self, runs: list[str]) -> None:
+        """Makes runs the index's runs: a new manifest, written aside and renamed when it is whole."""
+        self.version += 1
+        name = f"{self.path}/manifest-{self.version:09d}"
+        with open_shared(f"{self.path}/_manifest", "wb") as f:
+            f.write(json.dumps([r.rsplit("/", 1)[1] for r in runs]).encode())
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        self._files().rename(path(f"{self.path}/_manifest"), path(name))
+        self.runs = runs
 
     def _write(self, postings: DataFrame) -> str:
         name = f"{self.path}/run-{len(self.runs)}-{new_path(self.spark, 'r').rsplit('-', 1)[1]}"
@@ -174,7 +203,7 @@ class FingerprintIndex:
             old = self.history().select("fp")
             shared = shared.union(ends.select("fp").join(old, "fp", "left_semi")).distinct()
         shared = staged(shared, "shared")
-        self.runs.append(run)
+        self._list([*self.runs, run])
         if len(self.runs) >= self.fan_in:
             self.compact()
         return shared
@@ -182,10 +211,9 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merges all runs into one and deletes them; the new run is listed once it is whole."""
         merged, old = self._write(self.history()), self.runs
-        self.runs = [merged]
+        self._list([merged])
         for name in old:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(name), True)
 
 
 def verified(texts: DataFrame, window: int, k: int) -> DataFrame:
@@ -198,7 +226,7 @@ def verified(texts: DataFrame, window: int, k: int) -> DataFrame:
     return hit.groupBy("ord", "tid").agg(F.collect_set("pos").alias("starts"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 10, batches: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 10, batches: int = 2, index_path: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """One row per input row: id_col, n_words, n_removed, kept_sha256, and kept (binary, null if it is the text's words as they are or none).
 
     Removes each word that lies in a window of so many consecutive words whose sequence also starts in a
@@ -206,20 +234,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged on the input. Null and empty texts have no words; texts of under window words lose none. Ids are
     integers; a null id is below all others; rows that repeat an id do not remove words from each other. Other
     columns are not read; an empty table gives an empty result. Documents are ingested in batches by id.
+
+    index_path is the folder of an index that goes on: only docs are judged and returned, against each other
+    and against history, the documents (with the same columns) that earlier calls have put into that index. Of
+    history, only the texts that the index names are looked into.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.xxhash64(text_col).alias("tid"), F.col(text_col).cast("binary").alias("text"))
+    picked = lambda d: d.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.xxhash64(text_col).alias("tid"), F.col(text_col).cast("binary").alias("text"))
+    rows = picked(docs)
     read = staged(_read(rows, window, k), "read")
 
     # a document whose words equal those of an earlier one loses them all, and needs no fingerprints
     long = read.where(F.col("n_words") >= window)
     first = staged(long.groupBy("s1", "s2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("s1", "s2", "first"), "first")
     copies = staged(long.select("ord", "tid", "s1", "s2").join(first, ["s1", "s2"]).where("ord > first").select("ord", "tid").distinct(), "copies")
-    own = long.join(copies, ["ord", "tid"], "left_anti")
+    # later calls may bring a smaller id, or a larger one that only a copy is below: an index that goes on names copies too
+    own = long if index_path else long.join(copies, ["ord", "tid"], "left_anti")
 
     cuts = sorted(set(own.approxQuantile("ord", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    index = FingerprintIndex(spark, new_path(spark, "fingerprints"))
+    index = FingerprintIndex(spark, index_path or new_path(spark, "fingerprints"))
     # postings name a document by one number; two that share it would only be verified together
     did = F.xxhash64("ord", "tid").alias("did")
     shared = None
@@ -234,7 +268,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = found if shared is None else shared.union(found)
     shared = shared.distinct()
     marks = index.history().join(shared, "fp").groupBy("did").agg(F.collect_set("fp").alias("marks"))
-    texts = rows.withColumn("did", did).join(marks, "did")
+    every = rows if history is None else rows.union(picked(history))
+    texts = every.withColumn("did", did).join(marks, "did")
     texts = staged(texts.select("ord", "tid", "text", "marks"), "texts")
     starts = verified(texts, window, k)
     cut = _cut(texts.select("ord", "tid", "text").join(starts, ["ord", "tid"]).select("ord", "tid", "text", "starts"), window)
