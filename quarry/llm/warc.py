@@ -194,6 +194,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 rows = []
                 with open_shared(f"{folder}/warc/{name}.warc.gz", "rb") as f:
                     for line in index:
+                        f.seek(line["offset"])
                         h, payload = read_at(f.read(line["length"]), 0, line["length"])
                         digest = h["warc-payload-digest"].removeprefix("sha1:")
                         if h["warc-type"] == "response" and payload_digest(payload) != digest:
@@ -221,10 +222,11 @@ def warc_roundtrip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "ur
     folder = folder or new_path(spark, "warc")
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("h", F.unhex(F.sha1("payload")))
-    copies = rows.groupBy("h").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("ch"), "keep")
+    # payloads are equal by SHA-256, as others with one SHA-1 are known
+    rows = rows.withColumns({"h": F.unhex(F.sha1("payload")), "same": F.unhex(F.sha2("payload", 256))})
+    copies = rows.groupBy("same").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.col("same").alias("ch"), "keep")
     copies = staged(copies, "warc-copies")  # a join of two scans lets Spark split a payload that very many pages share
-    both = rows.join(copies, F.col("h") == F.col("ch"), "left")
+    both = rows.join(copies, F.col("same") == F.col("ch"), "left")
     revisit = F.col("ch").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
     ready = both.select(
