@@ -3,9 +3,10 @@
 A token's probability is that of its class given the two tokens before it, times that of the token within its
 class. Frequent tokens have classes of equal size and a second softmax; all others fall into classes by their
 last letters and share their class by count. Features (the token before, the one before that, and both) are
-hashed to rows of weights. Training is by rounds of distributed updates over all training tokens: every task
+hashed to rows of weights. Training is gradient ascent on the log likelihood of all training tokens: every task
 sums the gradient's two halves, observed and expected counts of each weight, over its documents in sparse
-numpy batches; the sums are added up by block, and each weight moves by the log of their ratio, scaled.
+numpy batches; the sums are added up by block, and each weight moves along its gradient, observed less expected,
+over the mean of both, which is the scale of its curvature and keeps any step bounded.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ END = b""
 SMOOTH, STEP = 0.5, 0.5
 BLOCKS = 32
 BATCH = 8192
-#: Tokens that a task sums at a time.
-PIECE = 1 << 21
+#: Tokens that a task sums at a time, and in all, about.
+PIECE, TASK = 1 << 21, 1 << 25
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -279,7 +280,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(ord, tid, held, n_tokens, n_known, base, tail, ids, rare, times) of rows(ord, tid, held, text).
+    """(ord, held, n_tokens, n_known, base, tail, ids, rare, times) of rows(ord, held, text).
 
     base and tail sum log10(count + 1) of the tokens that workers hold, tail over those that are not frequent;
     rare and times are the others with how often the text has them.
@@ -291,7 +292,7 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
         logs = np.log10(v.count + 1.0)
         for batch in batches:
             n, known, base, tail, packed, rare, times = [], [], [], [], [], [], []
-            for text in batch.column(3):
+            for text in batch.column(2):
                 words = tokens(text.as_py())
                 ids, at, out = v.encode(words)
                 held = at >= 0
@@ -305,17 +306,16 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
                 rare.append(list(found.keys()))
                 times.append(list(found.values()))
             arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tail, pa.float64()), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=["ord", "tid", "held", "n_tokens", "n_known", "base", "tail", "ids", "rare", "times"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=["ord", "held", "n_tokens", "n_known", "base", "tail", "ids", "rare", "times"])
 
-    return rows.select("ord", "tid", "held", "text").mapInArrow(run, "ord long, tid long, held boolean, n_tokens long, n_known long, base double, tail double, ids binary, rare array<binary>, times array<long>")
+    return rows.select("ord", "held", "text").mapInArrow(run, "ord long, held boolean, n_tokens long, n_known long, base double, tail double, ids binary, rare array<binary>, times array<long>")
 
 
-def summed(encoded: DataFrame, weights: Weights | None) -> np.ndarray:
+def summed(encoded: DataFrame, weights: Weights | None, tokens_in_all: int) -> np.ndarray:
     """gradient() over all training texts: a sum per task, added up by block on the executors; only the total reaches the driver."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(weights)
-    tasks = 2 * spark.sparkContext.defaultParallelism
-
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-tokens_in_all // TASK))
     slots = math.isqrt(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +341,7 @@ def summed(encoded: DataFrame, weights: Weights | None) -> np.ndarray:
 
 def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = 2) -> Weights:
     """Weights after a first update, which needs observed counts only, and so many rounds over all training texts."""
-    observed = summed(encoded, None)
+    observed = summed(encoded, None, vocab.total)
     share = observed[:, :CLASSES].sum(axis=0) / 3 + 1
     share /= share.sum()
     by_id = np.ones(FREQUENT)
@@ -352,12 +352,12 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = 2) -> Weights:
     w = Weights(np.log(share).astype(np.float32), np.zeros((ROWS, CLASSES), np.float32), np.log(within).astype(np.float32), np.zeros((ROWS, WIDTH), np.float32))
     for k in range(rounds + 1):
         if k:
-            expected = summed(encoded, w)
+            expected = summed(encoded, w, vocab.total)
         else:
             # without weights, a row expects its own total by the shares of the classes, or of the tokens of its class
             first, second = observed[:, :CLASSES], observed[:, CLASSES:]
             expected = np.concatenate((first.sum(axis=1, keepdims=True) * share, second.sum(axis=1, keepdims=True) * np.repeat(within, ROWS // HEAD, axis=0)), axis=1)
-        step = STEP * np.log((observed + SMOOTH) / (expected + SMOOTH))
+        step = STEP * (observed - expected) / ((observed + expected) / 2 + SMOOTH)
         w.table1 += step[:, :CLASSES].astype(np.float32)
         w.table2 += step[:, CLASSES:].astype(np.float32)
     return w
@@ -374,21 +374,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     spark = docs.sparkSession
     arrow_batches(spark)
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == held_out
-    rows = docs.select(F.col(id_col).cast("long").alias("ord"), F.xxhash64(text_col).alias("tid"), held.alias("held"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("ord"), held.alias("held"), F.col(text_col).cast("binary").alias("text"))
     counts = staged(count_tokens(rows), "counts")
     vocab = build_vocabulary(counts)
-    encoded = staged(encode(rows, vocab), "encoded")
+    encoded = staged(encode(rows, vocab).withColumn("row", F.monotonically_increasing_id()), "encoded")
     weights = train(encoded, vocab, rounds)
 
-    # the counts of rare tokens come by a join; k rows of equal text ask k times, and share the answer
-    asked = encoded.select("tid", "rare", "times").where(F.size("rare") > 0)
-    asked = asked.select("tid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("tid", "x.rare", "x.times")
+    # the counts of rare tokens come by a join
+    asked = encoded.select("row", "rare", "times").where(F.size("rare") > 0)
+    asked = asked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", "x.rare", "x.times")
     key = lambda c: (F.xxhash64(c).alias("t1"), F.xxhash64(F.lit(1), c).alias("t2"))
     known = counts.select(*key("token"), "n")
-    asked = asked.select("tid", "times", *key("rare")).join(known, ["t1", "t2"])
-    rare = asked.groupBy("tid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"), F.sum("times").alias("times"))
-    rare = rare.join(encoded.groupBy("tid").agg(F.count("*").alias("k")), "tid")
-    rare = staged(rare.select("tid", (F.col("logs") / F.col("k")).alias("rare_log"), (F.col("times") / F.col("k")).cast("long").alias("rare_known")), "rare")
+    asked = asked.select("row", "times", *key("rare")).join(known, ["t1", "t2"])
+    rare = asked.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_log"), F.sum("times").alias("rare_known"))
+    rare = staged(rare, "rare")
 
     shared = spark.sparkContext.broadcast((weights, vocab.tail_norm))
 
@@ -399,11 +398,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             model = np.zeros(len(texts))
             for a, b in slices([len(t) for t in texts], 1 << 20):
                 model[a:b] = log_scores(w, norm, texts[a:b])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model)], names=["ord", "tid", "held", "n_tokens", "n_known", "base", "tail", "model"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model)], names=["ord", "row", "held", "n_tokens", "n_known", "base", "tail", "model"])
 
-    scored = encoded.select("ids", "ord", "tid", "held", "n_tokens", "n_known", "base", "tail")
-    scored = scored.mapInArrow(run, "ord long, tid long, held boolean, n_tokens long, n_known long, base double, tail double, model double")
-    both = scored.join(rare, "tid", "left")
+    scored = encoded.select("ids", "ord", "row", "held", "n_tokens", "n_known", "base", "tail")
+    scored = scored.mapInArrow(run, "ord long, row long, held boolean, n_tokens long, n_known long, base double, tail double, model double")
+    both = scored.join(rare, "row", "left")
     more = F.coalesce("rare_log", F.lit(0.0))
     return both.select(
         F.col("ord").cast(docs.schema[id_col].dataType).alias(id_col),

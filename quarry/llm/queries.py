@@ -28,7 +28,7 @@ def op1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH tok AS (
   SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                           '[^ 	-]+')) AS t FROM documents
+                                           '[^\x20\x09-\x0D]+')) AS t FROM documents
 ), tf AS (SELECT doc_id, t, count(*) AS n FROM tok GROUP BY ALL
 ), len AS (SELECT doc_id, sum(n) AS dl FROM tf GROUP BY doc_id
 ), stat AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(dl) FROM len)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl
@@ -100,8 +100,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH doc AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
@@ -169,8 +168,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-
-]+'), []) AS w FROM documents
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
 ), pos AS (
   SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d
 ), win AS (

@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import os
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import bm25, bpe, exact_dedup, langid, line_dedup, maxent, mixing, simhash, substring_dedup, warc
+from quarry.llm import bm25, bpe, exact_dedup, langid, line_dedup, maxent, mixing, near, simhash, substring_dedup, warc
 
 LINE = "a line that is long enough to count"
 LONG = " ".join(f"w{i}" for i in range(80))
@@ -58,6 +61,31 @@ def test_exact_dedup_checks_bytes(docs):
     assert sorted(map(tuple, weak.collect()), key=key) == sorted(map(tuple, strong.collect()), key=key)
 
 
+@pytest.mark.parametrize("digits", [64, 1])
+def test_exact_dedup_goes_on(spark, digits):
+    """Three ingests, each by a state opened anew, against plain groups of all rows so far; with one digit, most digests collide."""
+    from quarry.llm._common import new_path
+
+    path, seen = new_path(spark, "state"), []
+    rng = random.Random(digits)
+    weak = lambda t: F.substring(F.sha2(t, 256), 1, digits)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    for _ in range(3):
+        rows = [(rng.randrange(1000), rng.choice([None, "", "a", "b" * 50, f"t{rng.randrange(12)}"])) for _ in range(30)]
+        seen += rows
+        got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=weak, state_path=path).collect()
+        groups = {}
+        for i, t in seen:
+            groups.setdefault(t or "", []).append(i)
+        want = sorted((i, max(groups[t or ""]), len(groups[t or ""])) for i, t in rows)
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == want
+        assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+        assert exact_dedup.exact_dedup(spark.createDataFrame([], "doc_id long, text string"), digest=weak, state_path=path).count() == 0
+    state = exact_dedup.DedupState(spark, path, weak)
+    kept = [r for k in (0, 2, 4) for r in state.decisions(k).where("kept").collect()]
+    assert len(kept) == len(groups) and spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
@@ -103,9 +131,9 @@ def test_near_duplicates(spark):
     base = [f"w{i}" for i in range(400)]
     texts = [" ".join(base), " ".join(base[:390] + ["x"] * 10), " ".join(f"v{i}" for i in range(400)), "one two", ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
-    got = {r["__row"]: r["group"] for r in simhash.near_duplicate_groups(rows, "__row").collect()}
+    got = {r["__row"]: r["group"] for r in near.near_duplicate_groups(rows, "__row").collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
-    assert simhash.near_duplicate_groups(rows.where("false"), "__row").count() == 0
+    assert near.near_duplicate_groups(rows.where("false"), "__row").count() == 0
 
 
 def test_substring_dedup(docs, empty, spark):
@@ -125,7 +153,52 @@ def test_fingerprint_index_compacts(spark):
     assert {r[0] for r in index.ingest(batch([(1, 10), (2, 10), (2, 11)])).collect()} == {2}
     assert {r[0] for r in index.ingest(batch([(1, 12), (3, 12)])).collect()} == {1}
     assert len(index.runs) == 1 and index.history().count() == 5
-    assert {r[0] for r in index.ingest(batch([(3, 13)])).collect()} == {3}
+    again = substring_dedup.FingerprintIndex(spark, index.path, fan_in=2)
+    assert again.runs == index.runs
+    assert {r[0] for r in again.ingest(batch([(3, 13)])).collect()} == {3}
+    assert substring_dedup.FingerprintIndex(spark, index.path).history().count() == 6
+
+
+def _cut_plainly(rows, judged, window):
+    """{id: (n_words, n_removed, kept)} of the judged rows, by a dictionary of all windows of all rows."""
+    words = {i: (t or "").split(" ") if t else [] for i, t in rows}
+    first = {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][p : p + window]), i)
+    out = {}
+    for i in judged:
+        w, gone = words[i], set()
+        for p in range(len(w) - window + 1):
+            if first[tuple(w[p : p + window])] < i:
+                gone.update(range(p, p + window))
+        kept = [x for p, x in enumerate(w) if p not in gone]
+        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return out
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    from quarry.llm._common import new_path
+
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    passages = [rng.choices(vocab, k=rng.randrange(12, 40)) for _ in range(8)]
+    rows = [(0, None), (1, "")]
+    for i in range(2, 90):
+        parts = [rng.choices(vocab, k=rng.randrange(0, 60)) if rng.random() < 0.5 else rng.choice(passages) for _ in range(rng.randrange(1, 6))]
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    rng.shuffle(rows)
+    kind = "doc_id long, text string"
+    got = lambda df: {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in df.collect()}
+    want = _cut_plainly(rows, [i for i, _ in rows], 15)
+    assert got(substring_dedup.substring_dedup(spark.createDataFrame(rows, kind), window=15, k=5, batches=3)) == want
+    # the same rows by and by: each call judges its own only, against all before
+    path, before = new_path(spark, "index"), []
+    for part in (rows[:30], rows[30:60], rows[60:]):
+        history = spark.createDataFrame(before, kind)
+        now = substring_dedup.substring_dedup(spark.createDataFrame(part, kind), window=15, k=5, index_path=path, history=history)
+        before = before + part
+        assert got(now) == _cut_plainly(before, [i for i, _ in part], 15)
 
 
 def test_warc(spark):
@@ -137,6 +210,31 @@ def test_warc(spark):
     assert warc.warc_roundtrip(pages.where("false")).count() == 0
 
 
+def test_warc_reads_by_offset(spark):
+    import json
+
+    from quarry.llm._common import new_path
+
+    folder = new_path(spark, "warc")
+    rows = [(str(i), "u", f"page {i}".encode(), "response", warc.payload_digest(f"page {i}".encode()), None, len(f"page {i}")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id string, uri string, payload binary, kind string, digest string, refers_to string, size long").coalesce(1)
+    done = spark.createDataFrame(warc.write_archives(pages, folder).collect(), "archive string, records long")
+    assert sorted(r["page_id"] for r in warc.read_archives(done, folder).collect()) == list("01234")
+    name = done.first()["archive"]
+    with warc.open_shared(f"{folder}/index/{name}.jsonl", "rb") as f:
+        index = [json.loads(x) for x in f.read().splitlines()]
+    whole = index[3]["offset"]
+    for index[3]["offset"], good in ((index[2]["offset"] + 1, False), (whole, True)):
+        lines = index[::-1]
+        with warc.open_shared(f"{folder}/index/{name}.jsonl", "wb") as f:
+            f.write(b"\n".join(json.dumps(x).encode() for x in lines))
+        if good:
+            assert sorted(r["page_id"] for r in warc.read_archives(done, folder).collect()) == list("01234")
+        else:
+            with pytest.raises(Exception):
+                warc.read_archives(done, folder).collect()
+
+
 def test_bm25(docs, empty):
     asked = docs.where("doc_id IN (3, 9)").select(F.col("doc_id").alias("query_id"), "text")
     rows = bm25.bm25_topk(docs, asked, k=3, shard_bytes=200).collect()
@@ -161,3 +259,64 @@ def test_maxent(docs, empty):
         assert (r["n_tokens"], r["n_known"]) == want[r["doc_id"]][:2] and r["train_tokens"] == n
         assert r["base_score"] == pytest.approx(want[r["doc_id"]][2]) and r["score"] < 0
     assert maxent.lm_scores(empty).count() == 0
+
+
+def test_maxent_scores_equal_a_plain_version(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["red", "green", "blue"]) if k % 3 else f"n{rng.randrange(9)}" for k in range(rng.randrange(30)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    from quarry.llm._common import staged
+
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    picked = docs.select(F.col("doc_id").alias("ord"), held.alias("held"), F.col("text").cast("binary").alias("text"))
+    counts = staged(maxent.count_tokens(picked), "counts")
+    vocab = maxent.build_vocabulary(counts)
+    w = maxent.train(staged(maxent.encode(picked, vocab), "encoded"), vocab, 2)
+    known = {bytes(r["token"]): r["n"] for r in counts.collect()}
+    want = {}
+    for i, text in rows:
+        ids, total = [], 0.0
+        for token in text.encode().split() + [b""]:
+            at = vocab.index.get(token, -1)
+            ids.append(int(vocab.ident[at]) if at >= 0 else maxent.FREQUENT + maxent.tail_class(token))
+            context = np.array([(ids[-2] if len(ids) > 1 else maxent.START) << 16 | (ids[-3] if len(ids) > 2 else maxent.START)], np.uint64)
+            klass = ids[-1] // maxent.WIDTH if ids[-1] < maxent.FREQUENT else ids[-1] - maxent.FREQUENT + maxent.HEAD
+            logit = w.bias1.astype(float) + sum(w.table1[r[0]] for r in maxent.rows_of(context))
+            total += logit[klass] - math.log(sum(math.exp(x) for x in logit))
+            if ids[-1] < maxent.FREQUENT:
+                logit = w.bias2[klass].astype(float) + sum(w.table2[r[0]] for r in maxent.rows_of(context, np.array([klass])))
+                total += logit[ids[-1] % maxent.WIDTH] - math.log(sum(math.exp(x) for x in logit))
+            else:
+                total += math.log(known.get(token, 0) + 1) - math.log(10) * vocab.tail_norm[klass - maxent.HEAD]
+        want[i] = total / math.log(10)
+    got = {r["doc_id"]: r for r in maxent.lm_scores(docs).collect()}
+    assert all(got[i]["score"] == pytest.approx(want[i], rel=1e-4, abs=1e-4) for i in want)
+    # words follow a pattern that counts alone don't know
+    out = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_models_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scored = [r for r in maxent.lm_scores(docs).collect() if r["held_out"]]
+    assert sum(r["score"] for r in scored) > 0.99 * sum(r["base_score"] for r in scored) + 0.3 * sum(r["n_tokens"] for r in scored) / math.log2(10)
+    found = langid.identify(docs, langid.train(docs), keep=("lang",)).where(~langid.training_rows(docs, "doc_id") & F.col("lang").isNotNull() & (F.col("lang_pred") != "und")).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.98 * len(found) > 100
+    assert all(0 <= r["score"] <= 1 for r in found) and sum(r["rejected"] for r in found) <= 0.01 * len(found)
+
+
+def test_bpe_digests_equal_the_library(docs):
+    import hashlib
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in bpe.bpe_digests(docs, path("byte_bpe_50k.json")).collect():
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
