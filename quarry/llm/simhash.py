@@ -11,6 +11,7 @@ near.py groups near copies by the exact similarity of their shingles, where fing
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import SLICE_BYTES, arrow_batches, slices, staged
+from quarry.llm._common import SLICE_BYTES, arrow_batches, new_path, slices, staged
 from quarry.llm.components import components
+from quarry.llm.warc import open_shared
 
 ONES = np.uint64(0x0101010101010101)
 #: Fingerprints in a tile: at least, and at most (512 KB).
@@ -172,23 +174,41 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
         .groupBy("tile")
         .agg(F.collect_list("fp").alias("fps"))
     )
-    tile = staged(tile, "tiles")
+    folder = new_path(spark, "tiles")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [uuid.uuid4().hex for _ in range(batch.num_rows)]
+            for name, fps in zip(names, batch.column(1)):
+                with open_shared(f"{folder}/{name}", "wb") as out:
+                    out.write(np.asarray(fps.values).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names)], names=["tile", "name"])
+
+    # a file a tile; pairs name tiles, so that no tile is moved with its pairs. A repeated task's extra files are named by no row
+    tile = staged(tile.mapInArrow(save, "tile long, name string"), "tile-names")
     pairs = spark.createDataFrame([(base[c], tiles[c], base[d], tiles[d]) for c, d in near], "ba long, na int, bb long, nb int")
     pairs = (
         pairs.select("ba", "na", F.explode(F.sequence(F.col("bb"), F.col("bb") + F.col("nb") - 1)).alias("tb"))
         .select(F.explode(F.sequence(F.col("ba"), F.col("ba") + F.col("na") - 1)).alias("ta"), "tb")
         .where("ta <= tb")
     )
-    work = pairs.join(tile.select(F.col("tile").alias("ta"), F.col("fps").alias("fa")), "ta")
-    work = work.join(tile.select(F.col("tile").alias("tb"), F.col("fps").alias("fb")), "tb")
+    work = pairs.join(tile.select(F.col("tile").alias("ta"), F.col("name").alias("a")), "ta")
+    work = work.join(tile.select(F.col("tile").alias("tb"), F.col("name").alias("b")), "tb")
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    work = work.select("ta", "tb", "fa", F.when(F.col("ta") != F.col("tb"), F.col("fb")).alias("fb")).repartition(spread, "ta", "tb")
+    # a task's pairs lie by their first tile, which is then read once
+    work = work.select("a", "b").repartition(spread, "a", "b").sortWithinPartitions("a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(name: str) -> np.ndarray:
+            with open_shared(f"{folder}/{name}", "rb") as f:
+                return np.frombuffer(f.read(), np.uint64)
+
+        last, a = None, None
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = (np.asarray(x.values).view(np.uint64) if x.is_valid else None for x in (batch.column(2)[k], batch.column(3)[k]))
-                found = tile_links(a, b, radius)
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if one != last:
+                    last, a = one, read(one)
+                found = tile_links(a, None if one == two else read(two), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["a", "b"])
 
     return work.mapInArrow(run, "a long, b long")
