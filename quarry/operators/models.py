@@ -1,4 +1,4 @@
-"""Regression, forests, decay curves and held-out-group validation."""
+"""Regression and decay curves; forests and boosted trees are in trees.py."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.stats import t_quantile
-
+# The features of the models.
 BASE = ["freshness_score", "source_diversity_index", "domain_volatility", "fresh_x_diversity", "fresh_x_volatility", "source_x_volatility"]
 SQUARES = ["freshness_score_sq", "source_diversity_index_sq", "domain_volatility_sq"]
 
@@ -85,63 +84,6 @@ def simple_regression(rows: DataFrame, by: list[str], y: str, x: str) -> DataFra
     return s.select(*by, *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "n")
 
 
-def assemble(rows: DataFrame, names: list[str], target: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    clean = rows.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(target).cast("double").alias("label"), *[c for c in rows.columns if c not in {*names, target}])
-    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(clean.where("label IS NOT NULL"))
-
-
-def forest(rows: DataFrame, target: str, names: list[str], trees: int = 100, depth: int = 5, seed: int = 42):
-    from pyspark.ml.regression import RandomForestRegressor
-
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(assemble(rows, names, target))
-
-
-def boosted(rows: DataFrame, target: str, names: list[str], trees: int = 300, rate: float = 0.05, depth: int = 4, seed: int = 42):
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed).fit(assemble(rows, names, target))
-
-
-def importances(model, names: list[str], spark) -> DataFrame:
-    return _ranked(model.featureImportances.toArray(), names, spark)
-
-
-def _ranked(found: np.ndarray, names: list[str], spark) -> DataFrame:
-    values = [(n, round(float(v), 6)) for n, v in zip(names, found)]
-    return spark.createDataFrame(values, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def boosted_importances(rows: DataFrame, target: str, names: list[str], key: str, folds: int = 10) -> DataFrame:
-    """(feature, importance): means over folds; each fit sees four fifths of the rows outside its fold, by hash, as the rest is set aside for validation."""
-    outside = rows.where(fold(F.col(key), 5, 43) != 0).withColumn("__fold", fold(F.col(key), folds)).cache()
-    try:
-        found = [boosted(outside.where(F.col("__fold") != k), target, names).featureImportances.toArray() for k in range(folds)]
-    finally:
-        outside.unpersist()
-    return _ranked(np.mean(found, axis=0), names, rows.sparkSession)
-
-
-def held_out_groups(rows: DataFrame, target: str, names: list[str], group: str, boundary: float = 0.25, trees: int = 100, depth: int = 5) -> DataFrame:
-    """(group, n, actual_mean, predicted_mean, absolute_error, low, high, is_boundary): each group is predicted by a forest fitted on all others.
-
-    The interval stands around twice the prediction less the actual mean, as errors are taken from it.
-    """
-    spark = rows.sparkSession
-    out = []
-    for r in rows.select(group).distinct().orderBy(group).collect():
-        g = r[0]
-        model = forest(rows.where(F.col(group) != g), target, names, trees, depth)
-        done = model.transform(assemble(rows.where(F.col(group) == g), names, target)).select("label", "prediction")
-        s = done.agg(F.count("*").alias("n"), F.avg("label").alias("a"), F.avg("prediction").alias("p"), F.stddev_samp(F.col("prediction") - F.col("label")).alias("s")).first()
-        half = t_quantile(spark, 0.975, s["n"] - 1) * (s["s"] or 0.0) / s["n"] ** 0.5 if s["n"] > 1 else 0.0
-        mid = 2 * s["p"] - s["a"]
-        gap = abs(s["a"] - s["p"])
-        out.append((str(g), s["n"], round(s["a"], 4), round(s["p"], 4), round(gap, 4), round(mid - half, 4), round(mid + half, 4), gap > boundary))
-    return spark.createDataFrame(out, f"{group} string, n long, actual_mean double, predicted_mean double, absolute_error double, low double, high double, is_boundary boolean")
-
-
 def decay_fits(rows: DataFrame, by: str, x: str, y: str, least: int = 4) -> DataFrame:
     """(by, curve, params, r2): quadratic by its equations, exponential and logistic by damped Gauss-Newton on binned means.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import models, serving, stats
+from quarry.operators import models, serving, stats, trees
 from quarry.plans.registry import query
 from quarry.schema import AS_OF, CELLS_SQL, VOLATILITY_SCORE, cells, table
 
@@ -121,14 +121,28 @@ def q146(spark, d):
     return models.ols_cv(_model_rows(spark, d), "y", models.BASE, "key")
 
 
+def _importances_and_bounds(found):
+    """One table of both: a row a feature, with the errors beside it."""
+    weight, bounds = found
+    return weight.withColumns({k: F.lit(v) for k, v in bounds.first().asDict().items()})
+
+
+@query("q147_small_forest", None)
+def q147(spark, d):
+    """The condition-level forest: its grid by R2 in three folds, then ten."""
+    return _importances_and_bounds(trees.forest_search(_model_rows(spark, d), "y", models.BASE, "key", trees.SMALL_GRID, 500, 3, 10, "r2"))
+
+
 @query("q148_forest", None)
 def q148(spark, d):
-    return models.importances(models.forest(_model_rows(spark, d), "y", models.BASE, trees=500), models.BASE, spark)
+    """The query-level forest: 500 trees, its grid of twelve in five folds, then ten folds."""
+    return _importances_and_bounds(trees.forest_search(_model_rows(spark, d), "y", models.BASE, "key"))
 
 
 @query("q149_boosted", None)
 def q149(spark, d):
-    return models.boosted_importances(_model_rows(spark, d), "y", models.BASE, "key")
+    """300 rounds in each of ten folds."""
+    return _importances_and_bounds(trees.boosted_search(_model_rows(spark, d), "y", models.BASE, "key"))
 
 
 @query("q150_decay", None)
@@ -140,7 +154,7 @@ def q150(spark, d):
 
 @query("q151_held_out_groups", None)
 def q151(spark, d):
-    return models.held_out_groups(_model_rows(spark, d), "y", models.BASE, "l_returnflag")
+    return trees.held_out_groups(_model_rows(spark, d), "y", models.BASE, "l_returnflag")
 
 
 @query("q152_t_interval", "SELECT o_orderpriority, count(o_totalprice) AS n, round(avg(o_totalprice), 6) AS mean, round(avg(o_totalprice) - 1.96 * stddev_samp(o_totalprice) / sqrt(count(o_totalprice)), 6) AS low, round(avg(o_totalprice) + 1.96 * stddev_samp(o_totalprice) / sqrt(count(o_totalprice)), 6) AS high FROM orders GROUP BY 1")

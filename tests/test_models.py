@@ -1,48 +1,88 @@
-"""The registered model queries fit with the operators' own sizes."""
+"""Trees over cells against plain searches; the registered model queries fit with full sizes."""
 
 import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import plans
-from quarry.operators import models
+from quarry.operators import trees
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
-class Seen(Exception):
-    pass
-
-
-def test_boosted_importances_are_means_of_folds(spark, monkeypatch):
+def _every(count):
+    return np.ones((count, 3), bool)
+
+
+def _plain(x, g, h, depth, least_split, least_leaf):
+    """A tree by recursion over all splits of a node; returns the value by row."""
+    out = np.zeros(len(g))
+
+    def strength(m):
+        return g[m].sum() ** 2 / h[m].sum() if h[m].sum() > 0 else 0.0
+
+    def node(m, level):
+        best, found = 1e-9, None
+        if (depth is None or level < depth) and h[m].sum() >= least_split:
+            for f in range(x.shape[1]):
+                for cut in range(x[:, f].max()):
+                    a, b = m & (x[:, f] <= cut), m & (x[:, f] > cut)
+                    if min(h[a].sum(), h[b].sum()) >= least_leaf:
+                        won = strength(a) + strength(b) - strength(m)
+                        if won > best + 1e-12:
+                            best, found = won, (a, b)
+        if found:
+            node(found[0], level + 1)
+            node(found[1], level + 1)
+        elif h[m].sum() > 0:
+            out[m] = -g[m].sum() / h[m].sum()
+
+    node(np.ones(len(g), bool), 0)
+    return out
+
+
+@pytest.mark.parametrize("depth, least_split, least_leaf", [(None, 2, 1), (3, 2, 1), (2, 6, 3), (None, 2, 4)])
+def test_trees_equal_a_plain_search(depth, least_split, least_leaf):
+    rng = np.random.default_rng(depth or 9)
+    for _ in range(10):
+        x = rng.integers(0, 6, (40, 3))
+        h = rng.integers(0, 4, 40).astype(float)
+        g = rng.normal(size=40) * h
+        value, gain, splits = trees.grow(x, g, h, depth, least_split, least_leaf, 0.0, 0.0, _every)
+        assert np.allclose(value[h > 0], _plain(x, g, h, depth, least_split, least_leaf)[h > 0])
+        assert (gain >= 0).all() and splits.sum() >= 1
+
+
+def test_forest_and_boosting_find_the_feature():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 16, (400, 3))
+    n = rng.integers(1, 5, 400).astype(float)
+    s = n * (x[:, 1] / 16 + 0.01 * rng.normal(size=400))
+    for preds, weight in (trees.forest(x, n, s, 30), trees.boosted(x, n, s, 60, 0.2)):
+        assert weight.argmax() == 1 and weight.sum() == pytest.approx(1)
+        assert np.abs(preds - s / n).mean() < 0.05
+
+
+def test_search_takes_errors_over_held_out_rows(spark):
+    rows = spark.range(900).select(F.col("id").alias("key"), (F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    rows = rows.withColumn("y", F.col("a") * 2).union(spark.createDataFrame([(-1, None, 1.0, 5.0), (-2, 1.0, 1.0, None)], "key long, a double, b double, y double"))
+    weight, bounds = trees.forest_search(rows, "y", ["a", "b"], "key", {"depth": [1, 8], "least_leaf": [1]}, 20, 2, 3)
+    r = bounds.first()
+    assert r["parameters"].startswith("depth=8") and r["n"] == 900 and r["mae_mean"] < 0.2 and r["r2_mean"] > 0.95
+    assert weight.first()["feature"] == "a"
+    groups = trees.held_out_groups(rows.where("a IS NOT NULL").withColumn("g", F.when(F.col("b") < 3, "x").otherwise("y")), "y", ["a", "b"], "g", trees=20, depth=8)
+    assert [r["g"] for r in groups.collect()] == ["x", "y"] and all(r["absolute_error"] < 0.25 for r in groups.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_model_queries_fit_with_full_sizes(spark, monkeypatch):
     asked = []
-
-    class Model:
-        def __init__(self, k):
-            self.featureImportances = self
-            self.toArray = lambda: np.eye(len(models.BASE))[k % 2]
-
-    def fit(self, rows):
-        asked.append((self.getMaxIter(), self.getStepSize(), self.getMaxDepth()))
-        return Model(len(asked))
-
-    from pyspark.ml.regression import GBTRegressor
-
-    monkeypatch.setattr(GBTRegressor, "fit", fit)
-    got = {r["feature"]: r["importance"] for r in plans.QUERIES["q149_boosted"](spark, SF).collect()}
-    assert asked == [(300, 0.05, 4)] * 10
-    assert sorted(got.values()) == [0, 0, 0, 0, 0.5, 0.5]
-
-
-@pytest.mark.parametrize("name, trees", [("q148_forest", 500), ("q151_held_out_groups", 100)])
-def test_forests_have_all_trees(spark, monkeypatch, name, trees):
-    def fit(self, rows):
-        raise Seen(self.getNumTrees())
-
-    from pyspark.ml.regression import RandomForestRegressor
-
-    monkeypatch.setattr(RandomForestRegressor, "fit", fit)
-    with pytest.raises(Seen, match=f"^{trees}$"):
-        plans.QUERIES[name](spark, SF).collect()
+    monkeypatch.setattr(trees, "fits", lambda spark, table, jobs, work: asked.append((len(jobs), [c.cell_contents for c in work.__closure__ if isinstance(c.cell_contents, (int, dict)) and c.cell_contents is not True])) or 1 / 0)
+    for name, jobs, size in (("q147_small_forest", 36, 500), ("q148_forest", 60, 500), ("q149_boosted", 10, None), ("q151_held_out_groups", 3, 100)):
+        with pytest.raises(ZeroDivisionError):
+            plans.QUERIES[name](spark, SF).collect()
+        assert asked[-1][0] == jobs and (size is None or size in asked[-1][1])
+    defaults = trees.boosted.__defaults__
+    assert defaults[:3] == (300, 0.05, 4)
