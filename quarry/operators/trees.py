@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bins of a feature at most, and cells in all.
 BINS, MAX_CELLS = 64, 1 << 16
+#: Trees of a forest that are grown at a time.
+TOGETHER = 16
 
 
 def binned(rows: DataFrame, names: list[str], target: str, bins: int = BINS) -> DataFrame:
@@ -54,16 +56,18 @@ def _strength(g: np.ndarray, h: np.ndarray, lam: float, alpha: float) -> np.ndar
     return np.where(h > 0, g * g / np.maximum(h + lam, 1e-12), 0.0)
 
 
-def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int | None, least_split: float, least_leaf: float, lam: float, alpha: float, allowed: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value by row of x, gain by feature, splits by feature) of one tree, grown level by level over all nodes at once.
+def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int | None, least_split: float, least_leaf: float, lam: float, alpha: float, allowed: Callable[[int], np.ndarray], tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value by row of x, gain and splits by tree and feature) of trees, grown level by level over all nodes at once; tree says which one a row belongs to, one if not given.
 
     g and h are sums by row of x; rows with h of 0 are routed and don't count. allowed(nodes) says which features a node may split.
     """
     n, p = x.shape
     bins = int(x.max()) + 1 if n else 1
-    node = np.zeros(n, np.int64)
-    gain, splits = np.zeros(p), np.zeros(p)
-    open_, level = np.ones(1, bool), 0
+    node = np.zeros(n, np.int64) if tree is None else tree
+    count = 1 if tree is None else int(tree.max()) + 1
+    root = np.arange(count)
+    gain, splits = np.zeros((count, p)), np.zeros((count, p))
+    open_, level = np.ones(count, bool), 0
     while open_.any() and (depth is None or level < depth) and level < 64:
         count = len(open_)
         whole_g, whole_h = np.bincount(node, g, count), np.bincount(node, h, count)
@@ -95,12 +99,12 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int | None, least_s
             better = top[won[top] > best[own[top]] + 1e-12]
             best[own[better]], at[own[better]], by[own[better]] = won[better], key[ends[better]] % bins, f
         split = by >= 0
-        np.add.at(gain, by[split], best[split])
-        np.add.at(splits, by[split], 1)
+        np.add.at(gain, (root[split], by[split]), best[split])
+        np.add.at(splits, (root[split], by[split]), 1)
         # children of split nodes come in pairs after the leaves, which keep their place in order
         place = np.where(split, np.cumsum(1 + split) - 2, np.cumsum(1 + split) - 1)
         right = split[node] & (x[np.arange(n), by[node]] > at[node])
-        node, open_ = place[node] + right, np.repeat(split, 1 + split)
+        node, open_, root = place[node] + right, np.repeat(split, 1 + split), np.repeat(root, 1 + split)
         level += 1
     count = len(open_)
     total, weight = np.bincount(node, g, count), np.bincount(node, h, count)
@@ -120,12 +124,13 @@ def forest(x: np.ndarray, n: np.ndarray, s: np.ndarray, trees: int, depth: int |
     def allowed(count: int) -> np.ndarray:
         return np.ones((count, p), bool) if many == p else rng.random((count, p)).argsort(axis=1) < many
 
-    for _ in range(trees):
-        w = rng.poisson(n).astype(float)
-        value, gain, _ = grow(x, w * (centre - mean), w, depth, least_split, least_leaf, 0.0, 0.0, allowed)
-        total += value
-        if gain.sum():
-            weight += gain / gain.sum()
+    # some trees at a time, as a single small one is all overhead
+    for a in range(0, trees, TOGETHER):
+        many_trees = min(TOGETHER, trees - a)
+        w = rng.poisson(n, (many_trees, len(n))).astype(float).ravel()
+        value, gain, _ = grow(np.tile(x, (many_trees, 1)), w * np.tile(centre - mean, many_trees), w, depth, least_split, least_leaf, 0.0, 0.0, allowed, np.repeat(np.arange(many_trees), len(n)))
+        total += value.reshape(many_trees, -1).sum(axis=0)
+        weight += (gain / np.maximum(gain.sum(axis=1, keepdims=True), 1e-12)).sum(axis=0)
     return centre + total / trees, weight / max(1e-12, weight.sum())
 
 
@@ -142,23 +147,29 @@ def boosted(x: np.ndarray, n: np.ndarray, s: np.ndarray, rounds: int = 300, rate
         pick[rng.permutation(p)[: max(1, round(columns * p))]] = True
         value, one, times = grow(x, w * (guess - mean), w, depth, 2, 1, lam, alpha, lambda count, pick=pick: np.tile(pick, (count, 1)))
         guess = guess + rate * value
-        gain, splits = gain + one, splits + times
+        gain, splits = gain + one[0], splits + times[0]
     each = gain / np.maximum(splits, 1)
     return guess, each / max(1e-12, each.sum())
 
 
-def fits(spark, table: pd.DataFrame, jobs: list[tuple], work: Callable) -> pd.DataFrame:
-    """What work(x, table, job) returns for every job, (prediction by cell, importances), as rows (job, preds, importances); a task a job."""
+def fits(spark, table: pd.DataFrame, jobs: list[tuple], held: Callable, fit: Callable) -> pd.DataFrame:
+    """Rows (job, preds by cell, importances) of a fit for every job, each in a task of its own.
+
+    held(parts, job) says which parts a job leaves out; fit(x, n, s, job) gets the others, summed over the parts.
+    """
     shared = spark.sparkContext.broadcast(table)
     count = sum(c.startswith("b") for c in table.columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
-        x = t[[f"b{k}" for k in range(count)]].to_numpy(np.int64)
+        x, at = np.unique(t[[f"b{k}" for k in range(count)]].to_numpy(np.int64), axis=0, return_inverse=True)
+        at = at.ravel()
         for frame in frames:
             for j in frame["job"]:
-                preds, weight = work(x, t, jobs[j])
-                yield pd.DataFrame({"job": [j], "preds": [preds.tolist()], "importances": [weight.tolist()]})
+                stay = ~np.asarray(held(t["part"].to_numpy(), jobs[j]), bool)
+                n, s = (np.bincount(at[stay], t[c].to_numpy(float)[stay], len(x)) for c in ("n", "s"))
+                preds, weight = fit(x, n, s, jobs[j])
+                yield pd.DataFrame({"job": [j], "preds": [preds[at].tolist()], "importances": [weight.tolist()]})
 
     asked = spark.createDataFrame([(j,) for j in range(len(jobs))], "job int").repartition(max(1, len(jobs)), "job")
     return asked.mapInPandas(run, "job int, preds array<double>, importances array<double>").toPandas().sort_values("job").reset_index(drop=True)
@@ -197,16 +208,15 @@ def forest_search(rows: DataFrame, target: str, names: list[str], key: str, grid
     size = {"sqrt": np.sqrt(len(names)), "log2": np.log2(len(names))}
     choices = [{k: size.get(v, v) if k == "features" else v for k, v in c.items()} for c in choices]
 
-    def work(x, t, job):
-        number, base, out = job
-        n, s = t["n"].to_numpy(float), t["s"].to_numpy(float)
-        held = (t["part"].to_numpy() % base == out) if base else np.zeros(len(t), bool)
-        preds, weight = forest(x, np.where(held, 0, n), np.where(held, 0, s), trees, **choices[number])
-        return preds, weight
+    def held(parts, job):
+        return parts % job[1] == job[2] if job[1] else np.zeros(len(parts), bool)
+
+    def fit(x, n, s, job):
+        return forest(x, n, s, trees, **choices[job[0]])
 
     def scored(jobs: list[tuple], base: int) -> pd.DataFrame:
         """Errors of jobs (choice, base, fold) by choice and fold."""
-        found = fits(spark, table, jobs, work)
+        found = fits(spark, table, jobs, held, fit)
         preds = pd.DataFrame(dict(enumerate(found["preds"])))
         width = len(jobs) // base
         wide = errors(marked, table, preds, F.lit(True)).withColumn("f", F.pmod("part", F.lit(base)))
@@ -220,7 +230,7 @@ def forest_search(rows: DataFrame, target: str, names: list[str], key: str, grid
         first = scored([(c, search_folds, f) for f in range(search_folds) for c in range(len(choices))], search_folds).groupby("c")[by].mean()
         best = int(first.idxmin() if by == "mae" else first.idxmax()) if len(first) else 0
         last = scored([(best, folds, f) for f in range(folds)], folds)
-        weight = fits(spark, table, [(best, 0, 0)], work)["importances"][0]
+        weight = fits(spark, table, [(best, 0, 0)], held, fit)["importances"][0]
     finally:
         marked.unpersist()
     n = int(table["n"].sum())
@@ -242,12 +252,10 @@ def boosted_search(rows: DataFrame, target: str, names: list[str], key: str, fol
     marked, table = cells(rows, names, target, fold(F.col(key), folds * 5))
     marked = marked.select(*[f"b{k}" for k in range(len(names))], "part", "label")
 
-    def work(x, t, job):
-        part = t["part"].to_numpy()
-        held = (part % folds == job[0]) | (part // folds == 0)
-        return boosted(x, np.where(held, 0, t["n"].to_numpy()), np.where(held, 0, t["s"].to_numpy(float)), **settings)
+    def held(parts, job):
+        return (parts % folds == job[0]) | (parts // folds == 0)
 
-    found = fits(spark, table, [(f,) for f in range(folds)], work)
+    found = fits(spark, table, [(f,) for f in range(folds)], held, lambda x, n, s, job: boosted(x, n, s, **settings))
     wide = errors(marked, table, pd.DataFrame(dict(enumerate(found["preds"]))), F.lit(True)).withColumn("f", F.pmod("part", F.lit(folds)))
     e = F.element_at("preds", F.col("f") + 1) - F.col("label")
     per = wide.groupBy("f").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
@@ -269,11 +277,8 @@ def held_out_groups(rows: DataFrame, target: str, names: list[str], group: str,
     if not groups:
         return spark.createDataFrame([], empty)
 
-    def work(x, t, job):
-        held = (t["part"] == groups[job[0]]).to_numpy()
-        return forest(x, np.where(held, 0, t["n"].to_numpy(float)), np.where(held, 0, t["s"].to_numpy(float)), trees, depth)
-
-    found = fits(spark, table, [(g,) for g in range(len(groups))], work)
+    held = lambda parts, job: parts == groups[job[0]]
+    found = fits(spark, table, [(g,) for g in range(len(groups))], held, lambda x, n, s, job: forest(x, n, s, trees, depth))
     own = pd.DataFrame({"p": [found["preds"][groups.index(g)][i] if g in groups else 0.0 for i, g in enumerate(table["part"])]})
     wide = errors(marked, table, own, F.col("part").isNotNull())
     p = F.get("preds", F.lit(0))

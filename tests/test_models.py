@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,11 +79,19 @@ def test_search_takes_errors_over_held_out_rows(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_model_queries_fit_with_full_sizes(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(trees, "fits", lambda spark, table, jobs, work: asked.append((len(jobs), [c.cell_contents for c in work.__closure__ if isinstance(c.cell_contents, (int, dict)) and c.cell_contents is not True])) or 1 / 0)
-    for name, jobs, size in (("q147_small_forest", 36, 500), ("q148_forest", 60, 500), ("q149_boosted", 10, None), ("q151_held_out_groups", 3, 100)):
-        with pytest.raises(ZeroDivisionError):
-            plans.QUERIES[name](spark, SF).collect()
-        assert asked[-1][0] == jobs and (size is None or size in asked[-1][1])
-    defaults = trees.boosted.__defaults__
-    assert defaults[:3] == (300, 0.05, 4)
+    jobs, sizes = [], []
+    monkeypatch.setattr(trees, "forest", lambda x, n, s, count, *a, **b: sizes.append(count) or (n * 0.0, np.zeros(x.shape[1])))
+    monkeypatch.setattr(trees, "boosted", lambda x, n, s, rounds=300, **b: sizes.append(rounds) or (n * 0.0, np.zeros(x.shape[1])))
+
+    def fits(spark, table, asked, held, fit):
+        jobs.append(len(asked))
+        x = table[[c for c in table.columns if c.startswith("b")]].to_numpy()
+        done = [fit(x, table["n"].to_numpy(float), table["s"].to_numpy(float), j) for j in asked[:1]] * len(asked)
+        return pd.DataFrame({"job": range(len(asked)), "preds": [p.tolist() for p, _ in done], "importances": [w.tolist() for _, w in done]})
+
+    monkeypatch.setattr(trees, "fits", fits)
+    for name in ("q147_small_forest", "q148_forest", "q149_boosted", "q151_held_out_groups"):
+        plans.QUERIES[name](spark, SF).collect()
+    # grid times folds, the best one's folds, the last fit
+    assert jobs == [36, 10, 1, 60, 10, 1, 10, 3]
+    assert sizes == [500] * 6 + [300, 100]
