@@ -46,8 +46,9 @@ def term_pattern(term: str) -> str:
 
 
 def has_term(blob: Column, term: str) -> Column:
-    """Whether normalized text holds the term as whole words."""
-    return blob.rlike(term_pattern(term)) if term.split() else F.lit(False)
+    """Whether normalized text holds the term as whole words; the pattern is only tried where the term occurs at all."""
+    words = term.lower().split()
+    return F.contains(blob, F.lit(" ".join(words))) & blob.rlike(term_pattern(term)) if words else F.lit(False)
 
 
 def _count(tests: list[Column]) -> Column:
@@ -61,8 +62,10 @@ def word_set(blob: Column) -> Column:
     return F.array_distinct(F.split(blob, f"[^{W}]+"))
 
 
-def count_terms(blob: Column, words: Column, terms: list[str]) -> Column:
-    """How many of the terms a normalized text holds as whole words; words is its word_set(), so that single words cost one look-up."""
+def count_terms(blob: Column, words: Column | None, terms: list[str]) -> Column:
+    """How many of the terms a normalized text holds as whole words; words is its word_set(), so that single words cost one look-up, or None where there are few."""
+    if words is None:
+        return _count([has_term(blob, t) for t in terms])
     single = [t for t in terms if re.fullmatch(r"\w+", t)]
     found = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in single])))
     return found + _count([has_term(blob, t) for t in terms if t not in single])
@@ -70,7 +73,7 @@ def count_terms(blob: Column, words: Column, terms: list[str]) -> Column:
 
 def count_parts(text: Column, parts: list[str]) -> Column:
     """How many of the parts occur anywhere in the text, also inside words."""
-    return F.size(F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p)))
+    return _count([F.contains(text, F.lit(p)) for p in parts])
 
 
 def domain_terms(domain: str, keywords: list[str]) -> list[str]:
@@ -81,7 +84,12 @@ def domain_terms(domain: str, keywords: list[str]) -> list[str]:
 
 def domain_hits(text: Column, domain: Column, keywords: dict[str, list[str]] | None = None) -> Column:
     """Hits of the row's domain: its terms as parts of the normalized text."""
-    blob, out = normalize_text(text), None
+    return blob_hits(normalize_text(text), domain, keywords)
+
+
+def blob_hits(blob: Column, domain: Column, keywords: dict[str, list[str]] | None = None) -> Column:
+    """domain_hits() of text that is normalized already."""
+    out = None
     for name in DOMAIN_HINTS:
         hits = count_parts(blob, domain_terms(name, (keywords or {}).get(name, [])))
         out = F.when(domain == name, hits) if out is None else out.when(domain == name, hits)
@@ -92,8 +100,20 @@ def min_hits(domain: Column) -> Column:
     return F.when(domain == "history", 1).otherwise(2)
 
 
+def offtopic(blob: Column, words: Column) -> Column:
+    """Whether normalized text holds a pattern of sports news; words is its word_set()."""
+    single = [t for t in OFFTOPIC if re.fullmatch(r"\w+", t)]
+    found = F.arrays_overlap(words, F.array(*[F.lit(t) for t in single]))
+    for t in OFFTOPIC:
+        if t not in single:
+            # an optional character leaves what stands before it
+            found = found | (F.contains(blob, F.lit(re.split(r".\?", t)[0])) & blob.rlike(bounded(t)))
+    return found
+
+
 def is_offtopic(text: Column) -> Column:
-    return normalize_text(text).rlike(bounded("|".join(OFFTOPIC)))
+    blob = normalize_text(text)
+    return offtopic(blob, word_set(blob))
 
 
 def counted(docs: DataFrame, keywords: dict | None = None) -> DataFrame:
@@ -112,8 +132,8 @@ def counted(docs: DataFrame, keywords: dict | None = None) -> DataFrame:
     blob = lambda terms: count_terms(c("t_blob"), c("t_words"), terms)
     head = lambda terms: count_terms(c("t_head"), c("t_head_words"), terms)
     return d.withColumns({
-        "t_hits": domain_hits(c("t_blob"), c("domain"), keywords),
-        "t_offtopic": c("t_blob").rlike(bounded("|".join(OFFTOPIC))),
+        "t_hits": blob_hits(c("t_blob"), c("domain"), keywords),
+        "t_offtopic": offtopic(c("t_blob"), c("t_words")),
         "t_care": blob(HEALTHCARE_CORE),
         "t_finance": blob(FINANCE_NOISE),
         "t_past": blob(HISTORY_CORE),
@@ -127,7 +147,7 @@ def counted(docs: DataFrame, keywords: dict | None = None) -> DataFrame:
         "t_history_text": blob(HISTORY_STRUCTURE),
         "t_wall_url": count_parts(c("t_link"), WALL_URL),
         "t_wall_title": head(WALL_TITLE),
-        "t_wall_text": count_terms(c("t_body"), word_set(c("t_body")), WALL_TEXT),
+        "t_wall_text": count_terms(c("t_body"), None, WALL_TEXT),
     })
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import dates, terms, text, urls
-from quarry.storage import checkpoints
+from quarry.storage import checkpoints, spread
 
 #: Reasons in the order in which they are tested; the first that holds counts.
 REASONS = ["dropped_empty_title_or_text", "dropped_interstitial_page", "dropped_short_text", "dropped_domain_relevance", "dropped_non_documentation", "dropped_duplicate_url", "dropped_duplicate_content"]
@@ -70,7 +70,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 def clean_data(docs: DataFrame, as_of: str, keywords: dict | None = None) -> DataFrame:
     """Rows that pass every filter: no challenge page, long enough, dated, English, relevant, documentation where asked."""
-    d = terms.counted(ensure_metadata(cleaned(docs), as_of), keywords)
+    d = terms.counted(ensure_metadata(cleaned(spread(docs)), as_of), keywords)
     english = text.is_english(F.concat_ws(" ", "title", "text"), F.col("lang") if "lang" in docs.columns else None)
     kept = d.where(
         ~terms.is_interstitial()
@@ -104,6 +104,7 @@ def quality_reasons(docs: DataFrame, keywords: dict | None = None, clean: bool =
     what the two dedup passes need of them is kept as digests in the shared folder.
     """
     checkpoints(docs.sparkSession)
+    docs = spread(docs)
     d = terms.counted(cleaned(docs) if clean else docs, keywords)
     c = F.col
     test = (

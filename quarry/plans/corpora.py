@@ -10,6 +10,7 @@ from quarry.operators import dedup, keywords, quality
 from quarry.plans.registry import query
 from quarry.plans.texts import NORM
 from quarry.schema import AGED_SQL, AS_OF, CONDITIONS, CORPUS_SQL, SIGNALS_SQL, corpus, signals, table
+from quarry.storage import spread
 
 BLOB = NORM.format("title || ' ' || text")
 #: Keywords of the synthetic collections; they are a parameter of every operator.
@@ -58,7 +59,7 @@ def q037(spark, d):
 @query("q063_classifiers", f"WITH {COUNTED_SQL} SELECT seq, news_ok AS news, tech_ok AS tech, history_ok AS history, wall FROM judged")
 def q063(spark, d):
     """News relevance #63, documentation #64 and #65, challenge pages #66."""
-    rows = terms.counted(signals(spark, d), KEYWORDS)
+    rows = terms.counted(spread(signals(spark, d)), KEYWORDS)
     return rows.select("seq", terms.news_relevant().alias("news"), terms.tech_documentation().alias("tech"), terms.history_documentation().alias("history"), terms.is_interstitial().alias("wall"))
 
 

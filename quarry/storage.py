@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame, task_bytes: int = 16 << 20) -> DataFrame:
+    """df dealt over all cores if it is small, as one small file would be one task; larger inputs have tasks enough and are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * task_bytes else df
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Makes DataFrame.checkpoint() write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
