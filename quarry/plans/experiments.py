@@ -148,11 +148,6 @@ def q119(spark, d):
     return ev.cohen_kappa(both, "x", "adj", [1, 2, 3, 4, 5], ["crit"])
 
 
-@query("q120_gates", "SELECT quality, count(*) AS n, count(*) >= 480 AS enough FROM labels GROUP BY quality")
-def q120(spark, d):
-    return table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), (F.count("*") >= 480).alias("enough"))
-
-
 @query("q025_metric_write_back", "SELECT d.doc_id, coalesce(l.quality, length(d.text) % 2)::INT AS metric FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def q025(spark, d):
     """A metric is added only where none is yet."""

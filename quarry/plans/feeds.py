@@ -21,11 +21,23 @@ def q001(spark, d):
     return feeds.arxiv(_orders(spark, d).withColumn("p", entry), "o_orderkey", "p")
 
 
-@query("q002_pubmed", "SELECT o_orderkey, o_custkey::VARCHAR AS id, 'T' AS title, 'one two' AS text, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-01') END AS publication_date, 'Ann, Bob' AS author FROM orders")
+@query("q002_pubmed", """SELECT o_orderkey, o_custkey::VARCHAR AS id, 'T ' || o_orderkey AS title, CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE 'one two' END AS text,
+  CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS publication_date,
+  'https://pubmed.ncbi.nlm.nih.gov/' || o_custkey || '/' AS url, CASE WHEN o_orderkey % 5 > 0 THEN 'Ann Lee, Bob' END AS author FROM orders""")
 def q002(spark, d):
-    by_parts = F.format_string("<pubYear>%s</pubYear><pubMonth>%s</pubMonth><pubDay>%s</pubDay>", F.substring("day", 1, 4), F.date_format(F.col("day").cast("date"), "MMM"), F.substring("day", 9, 2))
-    free = F.format_string("<medlineDate>%s %s-Dec</medlineDate>", F.substring("day", 1, 4), F.date_format(F.col("day").cast("date"), "MMM"))
-    p = F.format_string("<s><PubmedArticle><pmid>%s</pmid><title>T</title><abstract>one</abstract><abstract>two</abstract>%s<lastName>Ann</lastName><lastName>Bob</lastName></PubmedArticle></s>", F.col("o_custkey"), F.when(F.col("o_orderkey") % 2 == 0, by_parts).otherwise(free))
+    """Article sets with each of the places in which a date may stand."""
+    n, y, mon, day = F.col("o_orderkey"), F.substring("day", 1, 4), F.date_format(F.col("day").cast("date"), "MMM"), F.substring("day", 9, 2)
+    number = F.substring("day", 6, 2)
+    whole = lambda tag, m: F.format_string(f"<{tag}><Year>%s</Year><Month>%s</Month><Day>%s</Day></{tag}>", y, m, day)
+    issue = F.when(n % 6 == 0, whole("PubDate", mon)).when(n % 6 == 2, F.format_string("<PubDate><MedlineDate>%s %s-Dec</MedlineDate></PubDate>", y, mon)).otherwise("<PubDate><Season>Spring</Season></PubDate>")
+    electronic = F.when(n % 6 == 1, whole("ArticleDate", number)).otherwise("")
+    outer = F.when(n % 6 == 3, whole("DateCompleted", number)).when(n % 6 == 4, whole("DateCreated", number)).otherwise("")
+    abstract = F.when(n % 4 == 3, "").otherwise("<Abstract><AbstractText Label='A'>one </AbstractText><AbstractText> </AbstractText><AbstractText>two</AbstractText></Abstract>")
+    authors = F.when(n % 5 > 0, "<AuthorList><Author><LastName>Lee</LastName><ForeName>Ann</ForeName></Author><Author><LastName>Bob</LastName></Author><Author><Initials>X</Initials></Author></AuthorList>").otherwise("")
+    p = F.concat(
+        F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version='1'>"), F.col("o_custkey").cast("string"), F.lit("</PMID>"), outer, F.lit("<Article><Journal><JournalIssue>"), issue,
+        F.lit("</JournalIssue></Journal><ArticleTitle>T "), n.cast("string"), F.lit("</ArticleTitle>"), abstract, authors, electronic, F.lit("</Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"),
+    )
     return feeds.pubmed(_orders(spark, d).withColumn("p", p), "o_orderkey", "p")
 
 
@@ -37,10 +49,13 @@ def q006(spark, d):
     return feeds.rss(_orders(spark, d).withColumn("p", p), "o_orderkey", "p", 3)
 
 
-@query("q004_wikipedia", f"SELECT o_orderkey, o_custkey::VARCHAR AS id, 'A b' AS title, 'body' AS text, CASE WHEN o_orderkey % 2 = 0 THEN {DAY} ELSE '2000-01-01' END AS publication_date, 'https://en.wikipedia.org/wiki/A_b' AS url FROM orders")
+@query("q004_wikipedia", f"SELECT o_orderkey, o_custkey::VARCHAR AS id, 'A ' || o_orderkey % 3 AS title, CASE WHEN o_orderkey % 4 < 3 THEN 'body' WHEN o_orderkey % 3 = 1 THEN 'short one' END AS text, CASE WHEN o_orderkey % 2 = 0 THEN {DAY} ELSE '2000-01-01' END AS publication_date, 'https://en.wikipedia.org/wiki/A_' || o_orderkey % 3 AS url FROM orders")
 def q004(spark, d):
-    p = F.format_string('{"query":{"pages":{"7":{"pageid":%s,"title":"A b","extract":"body"%s}}}}', F.col("o_custkey"), F.when(F.col("o_orderkey") % 2 == 0, F.format_string(',"timestamp":"%s"', "day")).otherwise(""))
-    return feeds.wikipedia(_orders(spark, d).withColumn("p", p), "o_orderkey", "p")
+    """Pages with and without extracts; one of three titles has a summary."""
+    n = F.col("o_orderkey")
+    p = F.format_string('{"query":{"pages":{"7":{"pageid":%s,"title":"A %s"%s%s}}}}', F.col("o_custkey"), n % 3, F.when(n % 4 < 3, ',"extract":"body"').otherwise(""), F.when(n % 2 == 0, F.format_string(',"timestamp":"%s"', "day")).otherwise(""))
+    summaries = spark.createDataFrame([("A 1", "short one")], "title string, summary string")
+    return feeds.wikipedia(_orders(spark, d).withColumn("p", p), "o_orderkey", "p", summaries)
 
 
 @query("q005_gdelt", f"SELECT o_orderkey, 'H' AS title, 'H' AS text, {DAY} AS publication_date, 'http://x/' || o_custkey AS url, 'x' AS source_name, 'large language models health' AS asked FROM orders")

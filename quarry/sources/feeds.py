@@ -9,7 +9,12 @@ from quarry.functions import dates, text, urls
 
 ATOM = "struct<entry:array<struct<id:string,title:string,summary:string,published:string,author:array<struct<name:string>>>>>"
 RSS = "struct<channel:struct<item:array<struct<title:string,link:string,description:string,pubDate:string,source:string>>>>"
-PUBMED = "struct<PubmedArticle:array<struct<pmid:string,title:string,abstract:array<string>,pubYear:string,pubMonth:string,pubDay:string,medlineDate:string,lastName:array<string>>>>"
+_DAY = "struct<Year:string,Month:string,Day:string>"
+PUBMED = (
+    "struct<PubmedArticle:array<struct<MedlineCitation:struct<PMID:string,DateCompleted:" + _DAY + ",DateCreated:" + _DAY + ",Article:struct<ArticleTitle:string,"
+    "Abstract:struct<AbstractText:array<string>>,AuthorList:struct<Author:array<struct<LastName:string,ForeName:string>>>,ArticleDate:array<" + _DAY + ">,"
+    "Journal:struct<JournalIssue:struct<PubDate:struct<Year:string,Month:string,Day:string,MedlineDate:string>>>>>>>>"
+)
 WIKI = "struct<query:struct<pages:map<string,struct<pageid:long,title:string,extract:string,timestamp:string>>>>"
 GDELT = "struct<articles:array<struct<url:string,title:string,seendate:string,domain:string>>>"
 CROSSREF = "struct<message:struct<items:array<struct<DOI:string,URL:string,title:array<string>,abstract:string,`published-print`:struct<`date-parts`:array<array<int>>>,`published-online`:struct<`date-parts`:array<array<int>>>,created:struct<`date-parts`:array<array<int>>>>>>>"
@@ -34,16 +39,37 @@ def rss(payloads: DataFrame, key: str, payload: str, size: int) -> DataFrame:
 
 
 def pubmed(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, id, title, text, publication_date, author): abstract parts joined; the date by parts, else from free text."""
-    rows = payloads.select(key, F.explode(_xml(F.col(payload), PUBMED)["PubmedArticle"]).alias("a"))
-    exact = F.when(text.text_or_empty(F.col("a.pubYear")) != "", F.concat_ws("-", "a.pubYear", dates.month_number(F.col("a.pubMonth")), dates.day_number(F.col("a.pubDay"))))
-    return rows.select(key, F.col("a.pmid").alias("id"), F.col("a.title").alias("title"), F.array_join("a.abstract", " ").alias("text"), F.coalesce(exact, dates.medline_date(F.col("a.medlineDate"))).alias("publication_date"), F.array_join("a.lastName", ", ").alias("author"))
-
-
-def wikipedia(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, id, title, text, publication_date, url); a missing date is 2000-01-01."""
+    """(key, id, title, text, publication_date, url, author) of fetched article sets.
+
+    Abstract parts that are not blank are joined by a space; authors are first and last names. The date is that
+    of publication, of the electronic article, or in free text, else that of completion or creation, else a year.
+    """
+    rows = payloads.select(key, F.explode(_xml(F.col(payload), PUBMED)["PubmedArticle"]["MedlineCitation"]).alias("a"))
+    day = lambda d: F.when(text.text_or_empty(d["Year"]) != "", F.concat_ws("-", F.trim(d["Year"]), dates.month_number(d["Month"]), dates.day_number(d["Day"])))
+    article, issue = F.col("a.Article"), F.col("a.Article.Journal.JournalIssue.PubDate")
+    date = F.coalesce(day(issue), day(F.get(article["ArticleDate"], F.lit(0))), F.nullif(dates.medline_date(issue["MedlineDate"]), F.lit("")), day(F.col("a.DateCompleted")), day(F.col("a.DateCreated")), F.lit(""))
+    parts = F.filter(F.transform(article["Abstract"]["AbstractText"], lambda p: F.trim(p)), lambda p: p != "")
+    names = F.filter(F.transform(article["AuthorList"]["Author"], lambda p: F.trim(F.concat_ws(" ", p["ForeName"], p["LastName"]))), lambda p: p != "")
+    number = text.text_or_empty(F.col("a.PMID"))
+    return rows.select(
+        key, number.alias("id"), text.text_or_empty(article["ArticleTitle"]).alias("title"), F.coalesce(F.array_join(parts, " "), F.lit("")).alias("text"), date.alias("publication_date"),
+        F.when(number != "", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), number, F.lit("/"))).otherwise("").alias("url"), F.nullif(F.array_join(names, ", "), F.lit("")).alias("author"),
+    )
+
+
+def wikipedia(payloads: DataFrame, key: str, payload: str, summaries: DataFrame | None = None) -> DataFrame:
+    """(key, id, title, text, publication_date, url); a missing date is 2000-01-01.
+
+    A page without an extract takes its text from summaries(title, summary), where these are given; collections of
+    history and academic sources give none.
+    """
     rows = payloads.select(key, F.explode(F.map_values(F.from_json(F.col(payload), WIKI)["query"]["pages"])).alias("p"))
-    return rows.select(key, F.col("p.pageid").cast("string").alias("id"), F.col("p.title").alias("title"), F.col("p.extract").alias("text"), text.filled(F.col("p.timestamp"), F.lit("2000-01-01")).alias("publication_date"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(F.col("p.title"), F.lit(" "), F.lit("_"))).alias("url"))
+    body = F.col("p.extract")
+    if summaries is not None:
+        known = summaries.groupBy(F.col("title").alias("__title")).agg(F.min("summary").alias("__summary"))
+        rows = rows.join(known, F.col("p.title") == F.col("__title"), "left")
+        body = text.filled(body, F.col("__summary"))
+    return rows.select(key, F.col("p.pageid").cast("string").alias("id"), F.col("p.title").alias("title"), body.alias("text"), text.filled(F.col("p.timestamp"), F.lit("2000-01-01")).alias("publication_date"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(F.col("p.title"), F.lit(" "), F.lit("_"))).alias("url"))
 
 
 def gdelt(payloads: DataFrame, key: str, payload: str) -> DataFrame:
