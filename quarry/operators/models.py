@@ -33,7 +33,7 @@ def normal_equations(rows: DataFrame, target: str, names: list[str]) -> tuple[np
 
 
 def ols(rows: DataFrame, target: str, names: list[str]) -> DataFrame:
-    """(feature, coef, std_err, t, p, r2, adj_r2, n) by the normal equations: one pass over the rows, then a small solve."""
+    """(feature, coef, std_err, t, p, r2, adj_r2, f, n) by the normal equations: one pass over the rows, then a small solve."""
     spark = rows.sparkSession
     a, b, yy, sy, n = normal_equations(rows, target, names)
     inverse = np.linalg.pinv(a)
@@ -45,12 +45,19 @@ def ols(rows: DataFrame, target: str, names: list[str]) -> DataFrame:
     se = np.sqrt(np.maximum(0, np.diag(inverse)) * sse / df)
     r2 = 1 - sse / sst if sst > 0 else 0.0
     adj = 1 - (1 - r2) * (n - 1) / df
+    f = (r2 / max(1, rank - 1)) / ((1 - r2) / df) if r2 < 1 else 0.0
     dist = spark._jvm.org.apache.commons.math3.distribution.TDistribution(None, float(df))
     out = []
     for name, c, s in zip(["intercept", *names], beta, se):
         t = float(c / s) if s > 0 else 0.0
-        out.append((name, round(float(c), 6), round(float(s), 6), round(t, 6), round(2 * (1 - dist.cumulativeProbability(abs(t))), 6), round(float(r2), 6), round(float(adj), 6), n))
-    return spark.createDataFrame(out, "feature string, coef double, std_err double, t double, p double, r2 double, adj_r2 double, n long")
+        out.append((name, round(float(c), 6), round(float(s), 6), round(t, 6), round(2 * (1 - dist.cumulativeProbability(abs(t))), 6), round(float(r2), 6), round(float(adj), 6), round(float(f), 4), n))
+    return spark.createDataFrame(out, "feature string, coef double, std_err double, t double, p double, r2 double, adj_r2 double, f double, n long")
+
+
+def moderated(rows: DataFrame, target: str, factor: str, moderator: str) -> DataFrame:
+    """ols() on a factor, a moderator and their product."""
+    product = f"{factor}_x_{moderator}"
+    return ols(rows.withColumn(product, F.col(factor) * F.col(moderator)), target, [factor, moderator, product])
 
 
 def fold(key: Column, folds: int = 10, seed: int = 42) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.dates import freshness_half_life
-from quarry.schema import UNKNOWN_VOLATILITY, VOLATILITY_SCORE, lookup
+from quarry.schema import SOURCE_LEVELS, UNKNOWN_VOLATILITY, VOLATILITY_SCORE, lookup
 
 #: Beyond this source diversity no training row lay.
 SDI_MAX = 0.45
@@ -14,6 +14,10 @@ SDI_MAX = 0.45
 READINESS = {"precision_at_5": 0.35, "bertscore_f1": 0.30, "hallucination_rate": 0.20, "ndcg_at_5": 0.15}
 SCALE = {"human_eval_score": (1.0, 5.0)}
 LOWER_IS_BETTER = ["hallucination_rate"]
+# What is said about a configuration.
+POLLUTION = "Source pollution: in this domain the most diverse source mix measured lower retrieval precision than a leaner mix. Consider dropping noisier sources."
+UNDERPERFORMS = ("The selected source mix underperforms the best measured mix (", ") for this domain.")
+NO_RISK = "No significant risks detected for this configuration."
 TIER_OF_CONFIG = {"academic": 0, "single": 0, "academic+news": 1, "mix": 1, "full": 2}
 
 
@@ -26,6 +30,11 @@ def four(value: Column) -> Column:
     return F.round(value.cast("decimal(20,9)"), 4).cast("double")
 
 
+def three(name: str) -> Column:
+    """A value as text with three places, rounded as four() does."""
+    return F.round(F.col(name).cast("decimal(20,9)"), 3).cast("string")
+
+
 def request_features(requests: DataFrame) -> DataFrame:
     """(request_id, feature, value) of requests(request_id, domain, avg_age_days, sdi); a missing age is 30 days."""
     vol = lookup(VOLATILITY_SCORE, F.lower("domain"), UNKNOWN_VOLATILITY)
@@ -67,9 +76,9 @@ def source_tiers(metrics: DataFrame, values: list[str]) -> DataFrame:
 def resolve_sdi(requests: DataFrame, tiers: DataFrame) -> DataFrame:
     """Requests with sdi: their own, else that of the tier their configuration asks for, the highest there is at most."""
     top = tiers.groupBy(F.col("domain").alias("td")).agg(F.max("tier").alias("most"))
-    asked = requests.join(F.broadcast(top), F.col("domain") == F.col("td"), "left").withColumn("want", F.least(lookup(TIER_OF_CONFIG, F.col("source_config"), 0), F.coalesce("most", F.lit(0))))
+    asked = requests.join(top, F.col("domain") == F.col("td"), "left").withColumn("want", F.least(lookup(TIER_OF_CONFIG, F.col("source_config"), 0), F.coalesce("most", F.lit(0))))
     own = tiers.select(F.col("domain").alias("d2"), F.col("tier").alias("t2"), "tier_sdi")
-    both = asked.join(F.broadcast(own), (F.col("domain") == F.col("d2")) & (F.col("want") == F.col("t2")), "left")
+    both = asked.join(own, (F.col("domain") == F.col("d2")) & (F.col("want") == F.col("t2")), "left")
     return both.select(*[c for c in requests.columns if c != "sdi"], F.col("want").alias("tier"), F.coalesce(F.col("sdi") if "sdi" in requests.columns else F.lit(None).cast("double"), "tier_sdi", F.lit(0.0)).alias("sdi"))
 
 
@@ -103,14 +112,59 @@ def readiness(predictions: DataFrame) -> DataFrame:
     return s.select("request_id", F.bround(F.round("r", 9)).cast("int").alias("readiness"))
 
 
+def level_name(tier: Column) -> Column:
+    return F.when(tier == 0, SOURCE_LEVELS[0]).when(tier == 1, SOURCE_LEVELS[1]).otherwise(SOURCE_LEVELS[2])
+
+
 def recommendations(requests: DataFrame, predictions: DataFrame, tiers: DataFrame, metric: str = "precision_at_5") -> DataFrame:
-    """(request_id, cadence, readiness, best_tier, tier, underperforms, pollution_risk, warning), a row per request."""
-    summary = F.broadcast(tier_summary(tiers, metric))
-    at = F.broadcast(tiers.select(F.col("domain").alias("d3"), F.col("tier").alias("t3"), F.col(metric).alias("own")))
+    """(request_id, cadence, readiness, best_tier, tier, underperforms, pollution_risk, warning, performance_range, risks, key_finding), a row per request."""
+    summary = tier_summary(tiers, metric)
+    at = tiers.select(F.col("domain").alias("d3"), F.col("tier").alias("t3"), F.col(metric).alias("own"))
     both = requests.join(summary, "domain", "left").join(at, (F.col("domain") == F.col("d3")) & (F.col("tier") == F.col("t3")), "left")
-    both = both.join(readiness(predictions), "request_id", "left").join(warnings(requests), "request_id", "left")
+    band = predictions.where(F.col("metric") == metric).select("request_id", F.format_string("Expected Precision@5: %s (95%% band %s-%s)", three("expected"), three("lower"), three("upper")).alias("performance_range"))
+    both = both.join(readiness(predictions), "request_id", "left").join(warnings(requests), "request_id", "left").join(band, "request_id", "left")
     vol = lookup(VOLATILITY_SCORE, F.lower("domain"), UNKNOWN_VOLATILITY)
-    return both.select("request_id", cadence(vol).alias("cadence"), F.coalesce("readiness", F.lit(0)).alias("readiness"), "best_tier", "tier", F.coalesce(F.col("own") < F.col("best"), F.lit(False)).alias("underperforms"), F.coalesce(F.col("pollution") & (F.col("source_config") == "full"), F.lit(False)).alias("pollution_risk"), "warning")
+    under = F.coalesce(F.col("own") < F.col("best"), F.lit(False))
+    polluted = F.coalesce(F.col("pollution") & (F.col("source_config") == "full"), F.lit(False))
+    best, worst = level_name(F.col("best_tier")), level_name(F.col("worst_tier"))
+    told = F.array_compact(F.array(F.when(polluted, POLLUTION), F.when(under, F.concat(F.lit(UNDERPERFORMS[0]), best, F.lit(UNDERPERFORMS[1]))), F.col("warning")))
+    finding = F.format_string("Source mix matters here: moving from %s (%s) to %s (%s) changes Precision@5 by %+.1f%%.", worst, three("worst"), best, three("best"), "delta_pct")
+    return both.select(
+        "request_id", cadence(vol).alias("cadence"), F.coalesce("readiness", F.lit(0)).alias("readiness"), "best_tier", "tier", under.alias("underperforms"), polluted.alias("pollution_risk"), "warning",
+        F.coalesce("performance_range", F.lit("")).alias("performance_range"), F.when(F.size(told) > 0, told).otherwise(F.array(F.lit(NO_RISK))).alias("risks"), F.when(F.col("delta_pct").isNotNull(), finding).otherwise("").alias("key_finding"),
+    )
+
+
+def sensitivity(domains: DataFrame, coefficients: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(domain, sensitivity) of domains(domain, sdi): how far Precision@5 moves from documents of 3 days to documents of 365."""
+    found = freshness_sweep(domains, [3, 365], coefficients, bounds).where("metric = 'precision_at_5'")
+    at = lambda a: F.coalesce(F.max(F.when(F.col("avg_age_days") == a, F.col("expected"))), F.lit(0.0))
+    return found.groupBy("domain").agg(F.round(F.abs(at(3) - at(365)), 4).alias("sensitivity"))
+
+
+def guidelines(tiers: DataFrame, coefficients: DataFrame, bounds: DataFrame, boundaries: DataFrame, metric: str = "precision_at_5") -> DataFrame:
+    """A row a domain: volatility, cadence, sensitivity, best level, pollution, what is predicted for documents of 90 days, and whether no boundary condition speaks against it.
+
+    boundaries(domain, boundary_conditions) may lack domains, whose reliability is then unknown.
+    """
+    best = tier_summary(tiers, metric).select("domain", F.col("best_tier").alias("tier"), "pollution")
+    rep = best.join(tiers.select("domain", "tier", F.col("tier_sdi").alias("sdi")), ["domain", "tier"])
+    expected = freshness_sweep(rep, [90], coefficients, bounds).groupBy("domain").agg(*[F.max(F.when(F.col("metric") == m, F.col("expected"))).alias(m) for m in ("precision_at_5", "hallucination_rate", "bertscore_f1")])
+    both = rep.join(expected, "domain", "left").join(sensitivity(rep, coefficients, bounds), "domain", "left").join(boundaries, "domain", "left")
+    vol = lookup(VOLATILITY_SCORE, F.col("domain"), UNKNOWN_VOLATILITY).cast("double")
+    return both.select("domain", vol.alias("volatility"), cadence(vol).alias("cadence"), "sensitivity", level_name(F.col("tier")).alias("best_source_level"), "pollution", "precision_at_5", "hallucination_rate", "bertscore_f1", "boundary_conditions", (F.col("boundary_conditions") == 0).alias("reliable"))
+
+
+def best_fit(fits: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """(by, curve, r2): the curve with the largest R2, the first in order where it is shared."""
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("curve"))
+    top = fits.groupBy(by).agg(F.max(F.struct("r2", -place, "curve")).alias("x"))
+    return top.select(by, F.col("x.curve").alias("curve"), F.col("x.r2").alias("r2"))
+
+
+def pivoted_sweep(sweep: DataFrame) -> DataFrame:
+    """freshness_sweep() with a row a domain and age, and a column a metric."""
+    return sweep.groupBy("domain", "avg_age_days").pivot("metric", ["precision_at_5", "ndcg_at_5", "bertscore_f1", "hallucination_rate", "human_eval_score"]).agg(F.max("expected"))
 
 
 def freshness_sweep(domains: DataFrame, ages: list[int], coefficients: DataFrame, bounds: DataFrame) -> DataFrame:

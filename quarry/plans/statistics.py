@@ -106,11 +106,31 @@ def q142(spark, d):
     return _model_rows(spark, d).agg(F.round(F.sum("fresh_x_diversity"), 3).alias("fs"), F.round(F.sum("fresh_x_volatility"), 3).alias("fv"), F.round(F.sum("source_x_volatility"), 3).alias("sv"), F.count("*").alias("n"))
 
 
-@query("q144_ols", None)
+def _ols_sql(rows: str, x: str, y: str) -> str:
+    """Simple regression in closed form, as ols() gives it for one feature."""
+    return f"""WITH r AS ({rows}), m AS (SELECT count(*) AS n, avg({x}) AS mx, avg({y}) AS my, sum({x} * {x}) AS xx, regr_slope({y}, {x}) AS b, regr_intercept({y}, {x}) AS a, regr_r2({y}, {x}) AS r2, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy FROM r),
+v AS (SELECT *, syy * (1 - r2) / (n - 2) AS s2 FROM m), c AS (SELECT 'intercept' AS feature, a AS coef, sqrt(s2 * xx / (n * sxx)) AS se, * FROM v UNION ALL SELECT '{x}', b, sqrt(s2 / sxx), * FROM v)
+SELECT feature, round(coef, 6) AS coef, round(se, 6) AS std_err, round(coef / se, 4) AS t, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2, round(r2 / ((1 - r2) / (n - 2)), 2) AS f, n FROM c"""
+
+
+@query("q144_ols", _ols_sql("SELECT l_quantity / 50 AS freshness_score, l_extendedprice / 100000 AS y FROM lineitem", "freshness_score", "y"))
 def q144(spark, d):
+    """Coefficients, errors, t, R2 and F; with one feature, as SQL has them in closed form. Tests hold p and several features against numpy."""
+    found = models.ols(_model_rows(spark, d), "y", models.BASE[:1])
+    return found.select("feature", "coef", "std_err", F.round("t", 4).alias("t"), "r2", "adj_r2", F.round("f", 2).alias("f"), "n")
+
+
+@query("q144_ols_all", None)
+def q144_all(spark, d):
     return models.ols(_model_rows(spark, d), "y", models.BASE)
 
 
+@query("q145_moderated", None)
+def q145_moderated(spark, d):
+    """Diversity moderated by volatility."""
+    return models.moderated(_model_rows(spark, d), "y", "source_diversity_index", "domain_volatility")
+
+
 @query("q145_simple_regression", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, regr_count(l_extendedprice, l_quantity)::BIGINT AS n FROM lineitem GROUP BY 1")
 def q145(spark, d):
     return models.simple_regression(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
@@ -165,13 +185,15 @@ def q152(spark, d):
 COEF = [("precision_at_5", "intercept", 0.14), ("precision_at_5", "freshness_score", 0.39), ("precision_at_5", "source_diversity_index", -0.17), ("precision_at_5", "fresh_x_volatility", -0.11), ("hallucination_rate", "intercept", 0.39), ("hallucination_rate", "source_x_volatility", 0.2), ("bertscore_f1", "intercept", 0.8), ("ndcg_at_5", "intercept", 0.5), ("ndcg_at_5", "fresh_x_diversity", 0.3), ("human_eval_score", "intercept", 3.2)]
 MAE = [("precision_at_5", 0.2224), ("hallucination_rate", 0.4837), ("bertscore_f1", 0.1186), ("ndcg_at_5", 0.31), ("human_eval_score", 0.3)]
 VOL = "CASE domain " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in VOLATILITY_SCORE.items()) + " ELSE 0.5 END::DOUBLE"
-REQUESTS_SQL = f"""req AS (SELECT o_orderkey AS request_id, ['technology', 'healthcare', 'history'][(o_orderkey % 3 + 1)::INT] AS domain, (o_custkey % 400)::DOUBLE AS age, (o_orderkey % 60) / 100.0::DOUBLE AS s FROM orders),
-ft AS (SELECT *, {VOL} AS v, exp(-ln(2) * age / 180.0) AS f FROM req),
+REQ_SQL = """req AS (SELECT o_orderkey AS request_id, ['technology', 'healthcare', 'history'][(o_orderkey % 3 + 1)::INT] AS domain, (o_custkey % 400)::DOUBLE AS age, (o_orderkey % 60) / 100.0::DOUBLE AS s FROM orders)"""
+#: Predictions for req(request_id, domain, age, s).
+PRED_SQL = f"""ft AS (SELECT *, {VOL} AS v, exp(-ln(2) * age / 180.0) AS f FROM req),
 x AS (SELECT request_id, s, v, unnest([{{'n': 'intercept', 'x': 1.0::DOUBLE}}, {{'n': 'freshness_score', 'x': f}}, {{'n': 'source_diversity_index', 'x': s}}, {{'n': 'domain_volatility', 'x': v}}, {{'n': 'fresh_x_diversity', 'x': f * s}}, {{'n': 'fresh_x_volatility', 'x': f * v}}, {{'n': 'source_x_volatility', 'x': s * v}}]) AS u FROM ft),
 coef(metric, feature, coef) AS (VALUES {', '.join(map(str, COEF))}), mae(metric, mae) AS (VALUES {', '.join(map(str, MAE))}),
 raw AS (SELECT request_id, metric, round(sum(coef::DOUBLE * u.x), 9) AS raw FROM x JOIN coef ON u.n = feature GROUP BY ALL),
 lim AS (SELECT *, CASE WHEN metric = 'human_eval_score' THEN 1.0 ELSE 0.0 END::DOUBLE AS lo, CASE WHEN metric = 'human_eval_score' THEN 5.0 ELSE 1.0 END::DOUBLE AS hi FROM raw JOIN mae USING (metric)),
 pred AS (SELECT *, greatest(lo, least(hi, raw)) AS p FROM lim)"""
+REQUESTS_SQL = REQ_SQL + ",\n" + PRED_SQL
 
 
 def _requests(spark, d):
@@ -231,18 +253,65 @@ def q159(spark, d):
     return _requests(spark, d).select(F.col("request_id").alias("o_orderkey"), serving.cadence(lookup(VOLATILITY_SCORE, F.col("domain"), 0.5)).alias("cadence"))
 
 
-@query("q161_recommendations", None)
+SUMMARY_SQL = """sm AS (SELECT domain, arg_max(tier, (precision_at_5, -tier)) AS bt, max(precision_at_5) AS b, arg_min(tier, (precision_at_5, tier)) AS wt, min(precision_at_5) AS w, arg_max(precision_at_5, tier) AS tp, max(tier) AS t FROM tiers GROUP BY domain),
+summ AS (SELECT *, CASE WHEN w > 0 THEN round(100 * (b - w) / w, 1) END AS delta, EXISTS (SELECT 1 FROM tiers x WHERE x.domain = sm.domain AND x.tier < sm.t AND x.precision_at_5 > sm.tp) AS pollution FROM sm)"""
+EXPECTED_SQL = "exp AS (SELECT request_id, metric, round(p::DECIMAL(20,9), 4)::DOUBLE AS e, round((greatest(lo, least(hi, p - mae)))::DECIMAL(20,9), 4)::DOUBLE AS l, round((greatest(lo, least(hi, p + mae)))::DECIMAL(20,9), 4)::DOUBLE AS u FROM pred)"
+READY_SQL = "wt(metric, wt) AS (VALUES ('precision_at_5', 0.35::DOUBLE), ('bertscore_f1', 0.30::DOUBLE), ('hallucination_rate', 0.20::DOUBLE), ('ndcg_at_5', 0.15::DOUBLE)), ready AS (SELECT request_id, round_even(round(100 * sum(wt * CASE WHEN metric = 'hallucination_rate' THEN 1 - e ELSE e END) / sum(wt), 9), 0)::INT AS readiness FROM exp JOIN wt USING (metric) GROUP BY request_id)"
+CADENCE_SQL = "CASE domain WHEN 'technology' THEN 'Weekly' WHEN 'healthcare' THEN 'Monthly' ELSE 'Quarterly' END"
+LEVEL_SQL = "CASE {0} WHEN 0 THEN 'Single-Source' WHEN 1 THEN 'Two-Source Mix' ELSE 'Full Diversity' END"
+
+
+@query("q161_recommendations", f"""WITH {METRICS_SQL}, {SUMMARY_SQL}, top AS (SELECT domain, max(tier) AS most FROM tiers GROUP BY domain),
+ask AS (SELECT o_orderkey AS request_id, ['technology', 'healthcare', 'history'][(o_orderkey % 3 + 1)::INT] AS domain, (o_custkey % 400)::DOUBLE AS age, o_orderkey % 4 = 0 AS whole, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS want FROM orders),
+req AS (SELECT a.request_id, a.domain, a.age, a.whole, t.tier, t.tier_sdi AS s, t.precision_at_5 AS own FROM ask a JOIN top USING (domain) JOIN tiers t ON t.domain = a.domain AND t.tier = least(want, most)),
+{PRED_SQL}, {EXPECTED_SQL}, {READY_SQL},
+told AS (SELECT req.*, bt, b, wt AS worst_tier, w, delta, coalesce(own < b, false) AS under, coalesce(pollution AND whole, false) AS polluted, CASE WHEN s > 0.45 THEN 'Source diversity index ' || printf('%.2f', s) || ' lies beyond the training range.' END AS warning FROM req JOIN summ USING (domain)),
+risky AS (SELECT *, list_filter([CASE WHEN polluted THEN '{serving.POLLUTION}' END, CASE WHEN under THEN '{serving.UNDERPERFORMS[0]}' || {LEVEL_SQL.format('bt')} || '{serving.UNDERPERFORMS[1]}' END, warning], lambda x: x IS NOT NULL) AS r FROM told)
+SELECT request_id, {CADENCE_SQL} AS cadence, readiness, bt AS best_tier, tier::INT AS tier, under AS underperforms, polluted AS pollution_risk, warning,
+  printf('Expected Precision@5: %s (95%% band %s-%s)', round(e::DECIMAL(20,9), 3)::DECIMAL(20,3)::VARCHAR, round(l::DECIMAL(20,9), 3)::DECIMAL(20,3)::VARCHAR, round(u::DECIMAL(20,9), 3)::DECIMAL(20,3)::VARCHAR) AS performance_range, CASE WHEN len(r) > 0 THEN r ELSE ['{serving.NO_RISK}'] END AS risks,
+  CASE WHEN delta IS NULL THEN '' ELSE printf('Source mix matters here: moving from %s (%s) to %s (%s) changes Precision@5 by %+.1f%%.', {LEVEL_SQL.format('worst_tier')}, round(w::DECIMAL(20,9), 3)::DECIMAL(20,3)::VARCHAR, {LEVEL_SQL.format('bt')}, round(b::DECIMAL(20,9), 3)::DECIMAL(20,3)::VARCHAR, delta) END AS key_finding
+FROM risky JOIN ready USING (request_id) JOIN exp USING (request_id) WHERE metric = 'precision_at_5'""")
 def q161(spark, d):
-    """Recommendations #161, guidelines #181, sensitivity #158."""
+    """Recommendations #161."""
     tiers = serving.source_tiers(_metrics(spark, d), ["precision_at_5"])
     asked = serving.resolve_sdi(_requests(spark, d).drop("sdi"), tiers)
     return serving.recommendations(asked, serving.predict(asked, *_tables(spark)), tiers)
 
 
-@query("q162_freshness_sweep", None)
+SWEEP_SQL = "req AS (SELECT domain || '@' || age AS request_id, domain, age::DOUBLE AS age, s FROM {0}, (SELECT unnest({1}) AS age))"
+
+
+@query("q158_sensitivity", f"WITH dom(domain, s) AS (VALUES ('technology', 0.2::DOUBLE), ('healthcare', 0.2::DOUBLE), ('history', 0.2::DOUBLE)), {SWEEP_SQL.format('dom', [3, 365])}, {PRED_SQL}, {EXPECTED_SQL} SELECT domain, round(abs(max(e) FILTER (age = 3) - max(e) FILTER (age = 365)), 4) AS sensitivity FROM exp JOIN req USING (request_id) WHERE metric = 'precision_at_5' GROUP BY domain")
+def q158(spark, d):
+    return serving.sensitivity(_domains(spark), *_tables(spark))
+
+
+def _domains(spark):
+    return spark.createDataFrame([(k, 0.2) for k in VOLATILITY_SCORE], "domain string, sdi double")
+
+
+@query("q181_guidelines", f"WITH {METRICS_SQL}, {SUMMARY_SQL}, dom AS (SELECT domain, tier_sdi AS s, bt, pollution FROM summ JOIN tiers USING (domain) WHERE tier = bt), {SWEEP_SQL.format('dom', [3, 90, 365])}, {PRED_SQL}, {EXPECTED_SQL}, g AS (SELECT domain, round(abs(max(e) FILTER (age = 3 AND metric = 'precision_at_5') - max(e) FILTER (age = 365 AND metric = 'precision_at_5')), 4) AS sensitivity, max(e) FILTER (age = 90 AND metric = 'precision_at_5') AS precision_at_5, max(e) FILTER (age = 90 AND metric = 'hallucination_rate') AS hallucination_rate, max(e) FILTER (age = 90 AND metric = 'bertscore_f1') AS bertscore_f1 FROM exp JOIN req USING (request_id) GROUP BY domain), bd(domain, n) AS (VALUES ('technology', 2), ('healthcare', 0)) SELECT domain, {VOL} AS volatility, {CADENCE_SQL} AS cadence, sensitivity, {LEVEL_SQL.format('bt')} AS best_source_level, pollution, precision_at_5, hallucination_rate, bertscore_f1, n AS boundary_conditions, n = 0 AS reliable FROM g JOIN dom USING (domain) LEFT JOIN bd USING (domain)")
+def q181(spark, d):
+    boundaries = spark.createDataFrame([("technology", 2), ("healthcare", 0)], "domain string, boundary_conditions int")
+    return serving.guidelines(serving.source_tiers(_metrics(spark, d), ["precision_at_5"]), *_tables(spark), boundaries)
+
+
+AGES = [0, 7, 14, 30, 60, 90, 180, 270, 365]
+
+
+@query("q162_freshness_sweep", f"WITH dom(domain, s) AS (VALUES ('technology', 0.2::DOUBLE), ('healthcare', 0.2::DOUBLE), ('history', 0.2::DOUBLE)), {SWEEP_SQL.format('dom', AGES)}, {PRED_SQL}, {EXPECTED_SQL} SELECT domain, age AS avg_age_days, {', '.join(f"max(e) FILTER (metric = '{m}') AS {m}" for m in ('precision_at_5', 'ndcg_at_5', 'bertscore_f1', 'hallucination_rate', 'human_eval_score'))} FROM exp JOIN req USING (request_id) GROUP BY ALL")
 def q162(spark, d):
-    domains = spark.createDataFrame([(k, 0.2) for k in VOLATILITY_SCORE], "domain string, sdi double")
-    return serving.freshness_sweep(domains, [0, 7, 14, 30, 60, 90, 180, 270, 365], *_tables(spark))
+    """Nine ages by three domains, a column a metric."""
+    return serving.pivoted_sweep(serving.freshness_sweep(_domains(spark), AGES, *_tables(spark)))
+
+
+@query("q162_best_fit", "SELECT event_type, arg_max(curve, (r2, -place)) AS curve, max(r2) AS r2 FROM (SELECT event_type, ['exponential', 'polynomial', 'logistic'][(user_id % 3 + 1)::INT] AS curve, (user_id % 3)::INT AS place, floor(avg(value) / 10) AS r2 FROM events GROUP BY ALL) GROUP BY event_type")
+def q162_fit(spark, d):
+    """The curve that fits best, of values that often tie."""
+    order = ["exponential", "polynomial", "logistic"]
+    curve = F.element_at(F.array(*[F.lit(c) for c in order]), (F.col("user_id") % 3 + 1).cast("int"))
+    fits = table(spark, d, "events").groupBy("event_type", curve.alias("curve")).agg(F.floor(F.avg("value") / 10).cast("double").alias("r2"))
+    return serving.best_fit(fits, "event_type", order)
 
 
 @query("q187_model_comparison", "SELECT event_type, least(a, b, c) AS best, a = least(a, b, c) AS first, b = least(a, b, c) AS second, c = least(a, b, c) AS third FROM (SELECT event_type, round(avg(value), 4) AS a, round(median(value), 4) AS b, round(stddev_samp(value), 4) AS c FROM events GROUP BY 1)")
