@@ -2,43 +2,86 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.storage import new_path, shared_file
+
+#: Queries in a block.
+QUERY_ROWS = 2000
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int, index_id: str, index_vec: str, query_id: str, query_vec: str, blocks: int = 8, measure: str = "cosine") -> DataFrame:
+def top_k(index: DataFrame, queries: DataFrame, k: int, index_id: str, index_vec: str, query_id: str, query_vec: str, measure: str = "cosine", shard_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, rank, index_id, similarity): for each query its k most similar rows, ties by id.
 
-    A block nested loop: the index is cut to shards and the queries to blocks; each shard meets each block once, as
-    matrix products, and only its best k leave the worker. Nothing is broadcast, so neither side has to be small.
+    A block nested loop without a shuffle of the index: queries are written to the shared folder in blocks; the
+    index is taken where it lies, in shards of so many bytes, each of which reads every block, as one matrix
+    product, and passes on its best k. Rows and queries without an id, without a vector, or with a null in it
+    are left out; all vectors have one length. An empty side gives an empty result.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = index.sparkSession
-    shards = spark.sparkContext.defaultParallelism
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = index.select(F.col(index_id).cast("long").alias("id"), F.col(index_vec).alias("v"), of(index_id, shards).alias("shard"), numbers(blocks).alias("block"))
-    right = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("q"), of(query_id, blocks).alias("block"), numbers(shards).alias("shard"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"qid": [], "id": [], "similarity": []})
-        x, y = np.array(a["v"].tolist(), np.float64), np.array(b["q"].tolist(), np.float64)
-        if measure == "cosine":
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-        ids, out = a["id"].to_numpy(), []
-        for q, row in zip(b["qid"].to_numpy(), y):
-            sims = np.round(x @ row, 6)
-            top = np.lexsort((ids, -sims))[:k]
-            out.append(pd.DataFrame({"qid": q, "id": ids[top], "similarity": sims[top]}))
-        return pd.concat(out)
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(best, "qid long, id long, similarity double")
+    folder = new_path(spark, "top-k")
+    whole = lambda i, v: F.col(i).isNotNull() & F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    picked = lambda d, i, v: d.where(whole(i, v)).select(F.col(i).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+
+    def matrix(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate([np.asarray(b.column(0)) for b in batches])
+        x = np.concatenate([np.asarray(b.column(1).flatten()) for b in batches]).reshape(len(ids), -1)
+        return ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if measure == "cosine" else x
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(a, QUERY_ROWS)
+                if not part.num_rows:
+                    continue
+                held, name = io.BytesIO(), uuid.uuid4().hex
+                ids, x = matrix([part])
+                np.savez(held, ids=ids, x=x)
+                with shared_file(f"{folder}/{name}", "wb") as out:
+                    out.write(held.getvalue())
+                yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    # a name for so many queries; a repeated task's extra files are named by no row
+    names = [r["name"] for r in picked(queries, query_id, query_vec).mapInArrow(save, "name string").collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            ids, x = matrix(held)
+            for name in names:
+                with shared_file(f"{folder}/{name}", "rb") as f:
+                    block = np.load(io.BytesIO(f.read()))
+                sims = np.round(block["x"] @ x.T, 6)
+                most = min(k, len(ids))
+                # all rows as good as the k-th best, so that ties go by id
+                least = np.partition(sims, -most, axis=1)[:, -most]
+                q, at = np.nonzero(sims >= least[:, None])
+                value = sims[q, at]
+                order = np.lexsort((ids[at], -value, q))
+                q, at, value = q[order], at[order], value[order]
+                top = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([pa.array(block["ids"][q[top]]), pa.array(ids[at[top]]), pa.array(value[top])], names=["qid", "id", "similarity"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= shard_bytes:
+                yield from answer()
+                held, size = [], 0
+        if held:
+            yield from answer()
+
+    found = picked(index, index_id, index_vec).mapInArrow(run, "qid long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias(query_id), "rank", F.col("id").alias(index_id), "similarity")
 

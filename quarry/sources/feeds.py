@@ -119,9 +119,14 @@ def reply_json(c: Column) -> Column:
     return F.regexp_extract(text.text_or_empty(c), r"(?s)(\{.*\})", 1)
 
 
-def json_rows(spark, path: str, schema) -> DataFrame:
-    """Records of JSON array files; what is no record comes out as null and is left out."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).dropna("all")
+def json_rows(spark, path: str, schema: str) -> DataFrame:
+    """Records of JSON array files: a missing path and a file that is no array have none, and entries that are no records are left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):
+        return spark.createDataFrame([], schema)
+    # entries come out as their own JSON text
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("e"))
+    return entries.where(F.startswith(F.ltrim("e"), F.lit("{"))).select(F.from_json("e", schema).alias("r")).select("r.*")
 
 
 def human_queries(rows: DataFrame, known: list[str], seq: str = "seq") -> DataFrame:

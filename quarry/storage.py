@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_file(uri: str, mode: str):
+    """A file in the shared folder, from any worker: a mounted path directly, any other store through pyarrow."""
+    place = urlparse(uri)
+    if place.scheme in ("", "file"):
+        if mode == "wb":
+            os.makedirs(os.path.dirname(unquote(place.path)), exist_ok=True)
+        return open(unquote(place.path), mode)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_output_stream(path) if mode == "wb" else store.open_input_file(path)
+
+
 def spread(df: DataFrame, task_bytes: int = 16 << 20) -> DataFrame:
     """df dealt over all cores if it is small, as one small file would be one task; larger inputs have tasks enough and are not moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
