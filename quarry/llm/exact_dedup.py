@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm._common import new_path, staged
 
+#: Bytes in a row group of the store, which a writer holds in memory.
+BLOCK_BYTES = 16 << 20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -57,7 +59,7 @@ class DedupState:
         place = f"{self.path}/arrivals/n{number:06d}"
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
         rows = rows.select("id", self.digest(F.col("t")).alias("digest"), F.lit(number).alias("ingest"), F.monotonically_increasing_id().alias("seq"), "t")
-        rows.write.mode("overwrite").parquet(place)
+        rows.write.mode("overwrite").option("parquet.block.size", BLOCK_BYTES).parquet(place)
         new = self.spark.read.schema(rows.schema).parquet(place)
         if new.isEmpty():
             return -1
@@ -92,7 +94,8 @@ class DedupState:
     def _check(self, new: DataFrame, number: int) -> None:
         """Compares the bytes of every hit among new rows with the content that the state locates; keeps the digests where they differ."""
         self.known = staged(self.groups(), "dedup-groups")
-        many = self.known.where("n > 1").drop("n", "keep_id")
+        # the rows with their texts are streamed past a hash table of a partition's hits, not sorted
+        many = self.known.where("n > 1").drop("n", "keep_id").hint("shuffle_hash")
         located = (F.col("ingest") == F.col("keep_ingest")) & (F.col("seq") == F.col("keep_seq"))
         hits = staged(new.join(many, "digest").select("digest", "t", located.alias("located"), "keep_ingest", "keep_seq"), "dedup-hits")
         content = hits.where("located").select("digest", F.col("t").alias("content"))
