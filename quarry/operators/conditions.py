@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import dates, text
-from quarry.operators.quality import first_wins
+from quarry.operators.quality import cleaned, first_wins, quality_reasons
 from quarry.schema import VOLATILITY_DAYS, conditions, lookup
 
 
@@ -54,8 +54,8 @@ def build_conditions(docs: DataFrame, as_of: str, target: int, seq: str = "seq")
     return kept.withColumn("rank", rank).where(F.col("rank") <= target)
 
 
-def combined(condition_rows: DataFrame, seq: str = "seq") -> DataFrame:
-    """All conditions in order: the first condition's copy of a shared record stays."""
-    link = F.lower(F.trim(text.text_or_empty(F.col("url"))))
-    key = F.when(link != "", link).otherwise(F.col("id"))
-    return first_wins(condition_rows, key, [F.col("position"), F.col("rank")], "__first").where("__first").drop("__first")
+def combined(condition_rows: DataFrame, keywords: dict | None = None) -> DataFrame:
+    """All conditions in order, through the quality cascade: of a record that several share, the first condition's copy stays."""
+    rows = condition_rows.withColumn("condition_place", F.struct("position", "rank"))
+    kept = quality_reasons(rows, keywords, seq="condition_place").where("reason IS NULL").select("condition_place")
+    return cleaned(rows).join(kept, "condition_place", "left_semi").drop("condition_place")

@@ -136,3 +136,14 @@ def should_enrich(docs: DataFrame, least: int = 300) -> DataFrame:
     """Short records whose page is worth fetching: with an address, not academic, no doi link."""
     link = F.lower(F.trim(text.text_or_empty(F.col("url"))))
     return docs.where((F.char_length(F.trim(text.text_or_empty(F.col("text")))) < least) & (link != "") & (F.col("source_type") != "academic") & ~link.rlike(r"^https?://doi\.org/"))
+
+
+def validation_report(docs: DataFrame, as_of: str, least: int) -> DataFrame:
+    """(domain, source_type, n, any_missing, empty_text, high, medium, low, shortfall): a record with several fields missing counts once."""
+    blank = lambda c: F.trim(text.text_or_empty(F.col(c))) == ""
+    missing = blank("id") | blank("title") | blank("text") | blank("url") | blank("domain") | blank("publication_date")
+    rows = docs.withColumn("__score", dates.freshness_linear_volatility(dates.age_days(F.col("publication_date"), as_of), F.col("domain")))
+    rows = rows.withColumn("__label", dates.freshness_label(F.col("__score")))
+    labels = [F.count_if(F.col("__label") == x).alias(x.lower()) for x in ("High", "Medium", "Low")]
+    found = rows.groupBy("domain", "source_type").agg(F.count("*").alias("n"), F.count_if(missing).alias("any_missing"), F.count_if(blank("text")).alias("empty_text"), *labels)
+    return found.withColumn("shortfall", F.greatest(F.lit(0), F.lit(least) - F.col("n")))

@@ -8,7 +8,7 @@ from quarry.functions import dates, terms, text, urls
 from quarry.operators import conditions as cond
 from quarry.operators import dedup, keywords, quality
 from quarry.plans.registry import query
-from quarry.plans.texts import NORM
+from quarry.plans.texts import CASE_DAYS, NORM
 from quarry.schema import AGED_SQL, AS_OF, CONDITIONS, CORPUS_SQL, SIGNALS_SQL, corpus, signals, table
 from quarry.storage import spread
 
@@ -129,9 +129,14 @@ def q087(spark, d):
     return cond.build_conditions(corpus(spark, d), AS_OF, 100).select("condition_id", "rank", "seq")
 
 
-@query("q089_combined", f"WITH {BUILT_SQL} SELECT seq, min(position)::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(url)) ORDER BY position, rank) AS g FROM built) WHERE g = 1 GROUP BY seq")
+#: Condition rows of records with signals, numbered in order of conditions, through the cascade.
+SIGNALLED_SQL = SIGNALS_SQL + BUILT_SQL[len(CORPUS_SQL) :].replace("FROM corpus", "FROM signals") + ", ordered AS (SELECT * REPLACE ((position * 1000 + rank)::BIGINT AS seq), seq AS doc FROM built)"
+
+
+@query("q089_combined", f"WITH {SIGNALLED_SQL}{REASONS_SQL[len(SIGNALS_SQL) :].replace('FROM signals)', 'FROM ordered)')} SELECT doc AS seq, position::INT AS position, md5(text) AS digest FROM reasons WHERE reason IS NULL")
 def q089(spark, d):
-    return cond.combined(cond.build_conditions(corpus(spark, d), AS_OF, 100)).groupBy("seq").agg(F.min("position").alias("position"))
+    rows = cond.build_conditions(signals(spark, d), AS_OF, 100)
+    return cond.combined(rows, KEYWORDS).select("seq", "position", F.md5("text").alias("digest"))
 
 
 @query("q072_age_window_count", f"WITH {AGED_SQL} SELECT domain, count(*) FILTER (age_days >= 30 AND age_days <= 180) AS n FROM aged GROUP BY domain")
@@ -229,11 +234,11 @@ def q139(spark, d):
     return corpus(spark, d).groupBy("domain", "source_type").agg(n.alias("n"), keywords.shortfall(n, F.lit(150)).alias("shortfall"), keywords.progress(n, F.lit(150)).alias("progress"), keywords.strict_floor(F.lit(150)).alias("floor"))
 
 
-@query("q138_validation_report", f"""WITH {CORPUS_SQL} SELECT domain, source_type, count(*) AS n, count(*) FILTER (publication_date = '') AS any_missing, count(*) FILTER (trim(text) = '') AS empty_text FROM corpus GROUP BY ALL""")
+@query("q138_validation_report", f"""WITH {AGED_SQL}, s AS (SELECT *, CASE WHEN age_days IS NULL THEN 0 ELSE greatest(0, least(1, 1 - age_days / {CASE_DAYS})) END AS score FROM aged)
+SELECT domain, source_type, count(*) AS n, count(*) FILTER (publication_date = '') AS any_missing, count(*) FILTER (trim(text) = '') AS empty_text, count(*) FILTER (score >= 0.66) AS high, count(*) FILTER (score >= 0.33 AND score < 0.66) AS medium, count(*) FILTER (score < 0.33) AS low, greatest(0, 120 - count(*)) AS shortfall FROM s GROUP BY ALL""")
 def q138(spark, d):
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    missing = blank("id") | blank("title") | blank("text") | blank("url") | blank("domain") | blank("publication_date")
-    return corpus(spark, d).groupBy("domain", "source_type").agg(F.count("*").alias("n"), F.count_if(missing).alias("any_missing"), F.count_if(blank("text")).alias("empty_text"))
+    """Counts by domain, type and label; one count a record with any field missing; what is short of 120."""
+    return quality.validation_report(corpus(spark, d), AS_OF, 120)
 
 
 @query("q179_existence_checks", f"WITH {BUILT_SQL}, n AS (SELECT condition_id, count(*) AS n FROM built GROUP BY ALL) SELECT c.condition_id, n.n IS NOT NULL AS found, coalesce(n.n, -1) AS rows FROM conditions c LEFT JOIN n ON c.condition_id = n.condition_id")
