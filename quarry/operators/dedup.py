@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text, urls
 from quarry.operators.quality import first_wins
-from quarry.storage import checkpoints
+from quarry.storage import new_path, shared_file
 
 
 def by_title_and_start(docs: DataFrame, seq: str = "seq") -> DataFrame:
@@ -48,42 +55,75 @@ def news_by_two_keys(docs: DataFrame, seq: str = "seq") -> DataFrame:
     return first_wins(one, text.normalize_text(F.col("title")), [F.col(seq)], "__first").where("__first").drop("__first")
 
 
-def greedy_leader(vectors: DataFrame, threshold: float, seq: str = "seq", vec: str = "vec", blocks: int = 8) -> DataFrame:
+def greedy_leader(vectors: DataFrame, threshold: float, seq: str = "seq", vec: str = "vec", block_bytes: int = 16 << 20) -> DataFrame:
     """(seq, kept): in order of seq, a kept row removes later rows at or above the cosine threshold; removed rows remove none.
 
-    Links between rows come from pairs of blocks, each compared by a matrix product; then rows are decided in
-    rounds: kept once no undecided or kept earlier neighbour is left, removed once one is kept. A round decides
-    every row at the head of its chain. Only the links are kept between rounds.
+    Rows lie in blocks of so many bytes by seq, in the shared folder, and are decided block by block: a block is
+    compared with the kept rows of all blocks before, each in a task of its own, then within itself. So only kept
+    rows are compared and no pair is ever written; the driver holds a name a block and the hits of one. Rows
+    without a vector, or with a null in it, are kept; all vectors have one length; seq is a distinct whole number.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = vectors.sparkSession
-    checkpoints(spark)
-    rows = vectors.select(F.col(seq).alias("seq"), F.transform(F.col(vec), lambda x: x.cast("double")).alias("v"))
-    # a row goes to every pair of blocks that has its own
-    own = F.pmod(F.xxhash64("seq"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("b", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumns({"bi": F.least("b", "other"), "bj": F.greatest("b", "other")})
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["v"].tolist(), np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        at, bi, bj = pdf["b"].to_numpy(), pdf["bi"].iloc[0], pdf["bj"].iloc[0]
-        left, right = np.flatnonzero(at == bi), np.flatnonzero(at == bj)
-        found = []
-        for s in range(0, len(left), 1024):
-            i, j = np.nonzero(x[left[s : s + 1024]] @ x[right].T >= threshold)
-            found.append(np.stack((pdf["seq"].to_numpy()[left[s + i]], pdf["seq"].to_numpy()[right[j]]), axis=1))
-        p = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        p = np.sort(p[p[:, 0] != p[:, 1]], axis=1)
-        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
-
-    links = dealt.groupBy("bi", "bj").applyInPandas(near, "a long, b long").distinct().checkpoint()
-    state = rows.select("seq", F.lit(None).cast("boolean").alias("kept"))
-    linked = links.select(F.col("b").alias("seq")).distinct()
-    state = state.join(linked.withColumn("has", F.lit(True)), "seq", "left").select("seq", F.when(F.col("has").isNull(), True).alias("kept")).checkpoint()
-    while not state.where("kept IS NULL").isEmpty():
-        earlier = links.join(state.withColumnRenamed("seq", "a"), "a").groupBy(F.col("b").alias("seq")).agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("open"))
-        state = state.join(earlier, "seq", "left").select("seq", F.coalesce("kept", F.when(F.col("hit"), False).when(~F.col("open"), True)).alias("kept")).checkpoint()
-    return state
+    folder = new_path(spark, "leaders")
+    whole = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())
+    rows = vectors.select(F.col(seq).cast("long").alias("seq"), F.when(whole, F.transform(vec, lambda x: x.cast("double"))).alias("v"))
+    size = rows.where("v IS NOT NULL").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    count = max(1, -(-size["n"] * 8 * (size["d"] or 1) // block_bytes))
+
+    def write(name: str, ids: np.ndarray, x: np.ndarray) -> None:
+        held = io.BytesIO()
+        np.savez(held, ids=ids, x=x)
+        with shared_file(f"{folder}/{name}", "wb") as out:
+            out.write(held.getvalue())
+
+    def read(name: str) -> tuple[np.ndarray, np.ndarray]:
+        with shared_file(f"{folder}/{name}", "rb") as f:
+            found = np.load(io.BytesIO(f.read()))
+        return found["ids"], found["x"]
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            ids = np.concatenate([np.asarray(b.column(0)) for b in held])
+            x = np.concatenate([np.asarray(b.column(1).flatten()) for b in held]).reshape(len(ids), -1)
+            order, name = np.argsort(ids), uuid.uuid4().hex
+            write(name, ids[order], (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))[order])
+            yield pa.RecordBatch.from_pydict({"first": [int(ids.min())], "name": [name]})
+
+    blocks = rows.where("v IS NOT NULL").repartitionByRange(count, "seq").mapInArrow(save, "first long, name string").collect()
+    kept: list[str] = []
+    spread = spark.sparkContext.defaultParallelism
+    for _, block in sorted(map(tuple, blocks)):
+
+        def hits(frames: Iterator[pd.DataFrame], block: str = block) -> Iterator[pd.DataFrame]:
+            x = read(block)[1]
+            for frame in frames:
+                for name in frame["name"]:
+                    y = read(name)[1]
+                    hit = np.zeros(len(x), bool)
+                    for s in range(0, len(x), 1024):
+                        hit[s : s + 1024] = (x[s : s + 1024] @ y.T >= threshold).any(axis=1)
+                    yield pd.DataFrame({"at": np.flatnonzero(hit)})
+
+        gone = []
+        if kept:
+            before = spark.createDataFrame([(k,) for k in kept], "name string").repartition(min(len(kept), spread))
+            gone = [r["at"] for r in before.mapInPandas(hits, "at long").distinct().collect()]
+
+        def decide(frames: Iterator[pd.DataFrame], block: str = block, gone: list = gone) -> Iterator[pd.DataFrame]:
+            ids, x = read(block)
+            for frame in frames:
+                alive = np.ones(len(ids), bool)
+                alive[gone] = False
+                for i in range(len(ids)):
+                    if alive[i]:
+                        alive[i + 1 :] &= x[i + 1 :] @ x[i] < threshold
+                for name in frame["name"]:
+                    write(name, ids[alive], x[alive])
+                    yield pd.DataFrame({"seq": ids, "kept": alive})
+
+        name = uuid.uuid4().hex
+        spark.createDataFrame([(name,)], "name string").coalesce(1).mapInPandas(decide, "seq long, kept boolean").write.mode("append").parquet(f"{folder}/decided")
+        kept.append(name)
+    none = rows.where("v IS NULL").select("seq", F.lit(True).alias("kept"))
+    return spark.read.schema("seq long, kept boolean").parquet(f"{folder}/decided").union(none) if blocks else none

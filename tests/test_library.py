@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import collection, models, retrieval, stats
+from quarry.operators import collection, dedup, models, retrieval, stats
 from quarry.sources import feeds
 from quarry.storage import new_path
 from quarry.streaming import increment
@@ -119,3 +119,18 @@ def test_collection_ends_at_a_plateau(spark):
     got = [r["key"] for r in collection.collect_rounds(arrivals, 100, 2).orderBy("place").collect()]
     assert got == ["a", "b", "c"]
     assert [r["key"] for r in collection.collect_rounds(arrivals, 1, 9).orderBy("place").collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 800])
+def test_greedy_leader_equals_a_loop(spark, block):
+    rng = np.random.default_rng(6)
+    v = rng.integers(-2, 3, (150, 4)).astype(float)
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    kept = []
+    for i in range(150):
+        if all(unit[k] @ unit[i] < 0.9 for k in kept):
+            kept.append(i)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [None, 1.0, 1.0, 1.0])], "seq long, vec array<double>")
+    got = {r["seq"]: r["kept"] for r in dedup.greedy_leader(df.repartition(3), 0.9, block_bytes=block).collect()}
+    assert sorted(k for k, x in got.items() if x) == kept + [900, 901] and len(got) == 152
+    assert dedup.greedy_leader(df.where("false"), 0.9).count() == 0
