@@ -126,3 +126,16 @@ def profile_ranks(profiles: DataFrame, by: list[str], level: str, value: str, lo
 
     v = F.when(lower, F.col(value)).otherwise(-F.col(value))
     return profiles.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(v, level)))
+
+
+def domain_means(frame: DataFrame, names: list[str]) -> DataFrame:
+    """(domain, n_conditions, n_records, names...): means over a domain's conditions, each counting once; unknown domains are left out."""
+    known = frame.where(F.col("domain") != "")
+    return known.groupBy("domain").agg(F.count("*").alias("n_conditions"), F.sum("n_records").alias("n_records"), *[F.round(F.avg(n), 6).alias(n) for n in names])
+
+
+def overview(frame: DataFrame, metric: str) -> DataFrame:
+    """One row of all conditions: n_conditions, n_records, and the condition with the best mean of a metric, the first by id where it is shared."""
+    best = F.min(F.struct((-F.col(metric)).alias("m"), F.col("condition_id").alias("id")))
+    one = frame.agg(F.count("*").alias("n_conditions"), F.sum("n_records").alias("n_records"), F.countDistinct("domain").alias("n_domains"), best.alias("b"))
+    return one.select("n_conditions", "n_records", "n_domains", F.col("b.id").alias("best_condition"), (-F.col("b.m")).alias(metric))

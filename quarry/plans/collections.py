@@ -69,6 +69,20 @@ def q123(spark, d):
     return ex.condition_frame(_tree(spark, d), [*NAMES, "human_eval_score"])
 
 
+FLAT_SQL = f"{TREE_SQL}, {META_SQL}, flat AS (SELECT condition_id, coalesce(any_value(domain), '') AS domain, any_value(n_records) AS n_records, {WIDE_SQL} FROM tree LEFT JOIN meta USING (condition_id) GROUP BY condition_id)"
+
+
+@query("q165_domain_means", f"WITH {FLAT_SQL} SELECT domain, count(*) AS n_conditions, sum(n_records)::BIGINT AS n_records, {', '.join(f'round(avg({n}), 6) AS {n}' for n in NAMES)} FROM flat WHERE domain <> '' GROUP BY domain")
+def q165(spark, d):
+    """A dashboard's means over conditions."""
+    return ex.domain_means(ex.condition_frame(_tree(spark, d), NAMES), NAMES)
+
+
+@query("q163_overview", f"WITH {FLAT_SQL} SELECT count(*) AS n_conditions, sum(n_records)::BIGINT AS n_records, count(DISTINCT domain) AS n_domains, arg_min(condition_id, (-precision_at_5, condition_id)) AS best_condition, max(precision_at_5) AS precision_at_5 FROM flat")
+def q163(spark, d):
+    return ex.overview(ex.condition_frame(_tree(spark, d), NAMES), "precision_at_5")
+
+
 FACTORS = {"fresh_x_diversity": "f * s", "fresh_x_volatility": "f * v", "source_x_volatility": "s * v", "freshness_score_sq": "f * f", "source_diversity_index_sq": "s * s", "domain_volatility_sq": "v * v"}
 
 
