@@ -98,6 +98,27 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_reshares_what_caps_leave(spark):
+    """Targets of several capped sources against a plain water-filling loop."""
+    for sizes in ([1, 1, 1000], [5, 3, 2, 400, 1], [10, 10, 10], [0, 7, 0, 90]):
+        rows = [(100 * k + i, "w", f"s{k}") for k, n in enumerate(sizes) for i in range(n)] + [(100000 + k, None, f"s{k}") for k in range(len(sizes))]
+        weights, total = [(5, 2, 1)[k % 3] for k in range(len(sizes))], sum(sizes)
+        want, free = [0.0] * len(sizes), set(range(len(sizes)))
+        while free:
+            share = (total - sum(want[k] for k in range(len(sizes)) if k not in free)) / sum(weights[k] for k in free)
+            full = {k for k in free if share * weights[k] > 3 * sizes[k]}
+            if not full:
+                for k in free:
+                    want[k] = share * weights[k]
+                break
+            for k in full:
+                want[k] = 3.0 * sizes[k]
+            free -= full
+        got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert [got[f"s{k}"][0] for k in range(len(sizes))] == sizes
+        assert [got[f"s{k}"][1] for k in range(len(sizes))] == pytest.approx(want)
+
+
 def test_langid(docs, empty):
     model = langid.fit({"en": ["the cat and the dog"], "de": ["der hund und die katze"]})
     rows = {r["doc_id"]: r for r in langid.identify(docs, model, keep=("lang", "id"), prefix="__").collect()}
