@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from quarry.llm._common import arrow_batches, slices
 
 ORDER = 4
+#: Bytes of text that are scored at a time; a byte takes about a hundred while it is.
+SCORE_BYTES = 1 << 18
 #: The fitting sample: documents of a language (about), and code points of a language.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1_500_000
 #: Every tenth document of the sample calibrates rejection and is not fitted.
@@ -265,7 +267,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         known = shared.value
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
-            for a, b in slices(sizes, 1 << 21):
+            for a, b in slices(sizes, SCORE_BYTES):
                 part = batch.slice(a, b - a)
                 lang, score, cross, rejected = known.predict(part.column(0).to_pylist())
                 found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cross, pa.float64()), pa.array(rejected, pa.bool_())]
