@@ -29,6 +29,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     # else every partition's store takes megabytes of disk before it holds a row
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # a partition's store is closed when its task ends, so that an executor holds as many as it has tasks
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
