@@ -13,8 +13,11 @@ from quarry.llm.langid import identify, train, training_rows
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.maxent import lm_scores
 from quarry.llm.mixing import mix
+from quarry.llm.negatives import hard_negatives
 from quarry.llm.simhash import simhash_groups
 from quarry.llm.substring_dedup import substring_dedup
+from quarry.llm.threshold import threshold_topk
+from quarry.llm.token_files import token_files_roundtrip
 from quarry.llm.warc import warc_roundtrip
 
 
@@ -190,6 +193,66 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def op11_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP11_SQL = r"""
+WITH tok AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), tf AS MATERIALIZED (SELECT doc_id, t, count(*)::BIGINT AS tf FROM tok GROUP BY ALL
+), len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), stat AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM len
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t
+), weight AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, stat
+), m AS (SELECT doc_id, 50 + (50 * n * n_docs) // n_terms AS m FROM len, stat
+), score AS (
+  SELECT item_id, tf.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN weight USING (t) JOIN tf USING (t) JOIN m ON m.doc_id = tf.doc_id GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM score WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pair AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id))::INT AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM pos p JOIN pair n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return token_files_roundtrip(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_bm25": op1_bm25,
     "op2_line_dedup": op2_line_dedup,
@@ -201,6 +264,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_threshold": op11_threshold,
+    "op12_negatives": op12_negatives,
+    "op13_token_files": op13_token_files,
 }
 #: The others need XXH64, tokenizers or models, which SQL doesn't have; tests hold them against brute force.
-ORACLE_SQL = {"op1_bm25": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL = {"op1_bm25": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_threshold": OP11_SQL, "op12_negatives": OP12_SQL}
