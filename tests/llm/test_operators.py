@@ -341,3 +341,49 @@ def test_bpe_digests_equal_the_library(docs):
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("step,name", [("_stream", None), ("_check", "monday"), ("done", None)])
+def test_exact_dedup_counts_once_after_a_failure(spark, monkeypatch, step, name):
+    """An ingest that fails after its arrivals, after the stream or before it is marked done, made again: nothing is counted twice and its hits are checked."""
+    from quarry.llm._common import new_path
+
+    weak = lambda t: F.substring(F.sha2(t, 256), 1, 1)
+    path = new_path(spark, "state")
+    rows = [(i, f"t{i % 3}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    earlier = spark.createDataFrame([(100, "t0"), (101, "other")], "doc_id long, text string")
+    exact_dedup.exact_dedup(earlier, digest=weak, state_path=path)
+    target = "_finish" if step == "done" else step
+    real = getattr(exact_dedup.DedupState, target)
+
+    def failing(self, *a):
+        if step == "done":
+            with monkeypatch.context() as inner:
+                inner.setattr(type(spark), "createDataFrame", lambda *b, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+                real(self, *a)
+        elif step == "_stream":
+            raise RuntimeError("killed")
+        else:
+            real(self, *a)
+            raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup.DedupState, target, failing)
+        with pytest.raises(RuntimeError):
+            exact_dedup.exact_dedup(docs, digest=weak, state_path=path, name=name)
+    key = lambda df: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+    want = [(0, 100, 3, False), (1, 4, 2, False), (2, 5, 2, False), (3, 100, 3, False), (4, 4, 2, True), (5, 5, 2, True)]
+    assert key(exact_dedup.exact_dedup(docs.repartition(2), digest=weak, state_path=path, name=name)) == want
+    # a named ingest that is done is not taken in again; without a name the same rows are new arrivals
+    again = key(exact_dedup.exact_dedup(docs, digest=weak, state_path=path, name=name))
+    assert again == want if name else [r[2] for r in again] == [5, 4, 4, 5, 4, 4]
+    # other rows after a failure: the open ingest is finished first
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup.DedupState, "_stream", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            exact_dedup.exact_dedup(spark.createDataFrame([(200, "new"), (201, "t1")], "doc_id long, text string"), digest=weak, state_path=path)
+    last = key(exact_dedup.exact_dedup(spark.createDataFrame([(300, "new")], "doc_id long, text string"), digest=weak, state_path=path))
+    assert last == [(300, 300, 2, True)]
+    state = exact_dedup.DedupState(spark, path, weak)
+    assert not state._epochs() and len(os.listdir(f"{path.removeprefix('file://')}/groups")) == 2
