@@ -102,8 +102,9 @@ def claims(c: Column, most: int = 10) -> Column:
     return F.slice(kept, 1, most)
 
 
-def excerpt(c: Column, n: int) -> Column:
-    return F.substring(text_or_empty(c), 1, n)
+def excerpt(c: Column, n: int | Column) -> Column:
+    """The first n characters; '' for null."""
+    return F.substring(text_or_empty(c), F.lit(1), n if isinstance(n, Column) else F.lit(n))
 
 
 def embed_input(title: Column, body: Column, most: int = 512) -> Column:

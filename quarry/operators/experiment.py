@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors
-from quarry.operators.retrieval import stats
+from quarry.operators.retrieval import six, stats
 from quarry.schema import UNKNOWN_VOLATILITY, VOLATILITY_NAME, VOLATILITY_SCORE, conditions, lookup
 
 #: What stands for similarities that are missing, their mean and their least.
@@ -27,8 +27,8 @@ def query_metrics(runs: DataFrame, k: int = 5) -> DataFrame:
     seen = F.sort_array(F.collect_list(F.struct("rank", F.coalesce("relevant", F.lit(0)).alias("relevant"), F.coalesce("source_name", F.lit("")).alias("source_name"))))
     g = runs.groupBy("condition_id", "query_id").agg(
         seen.alias("x"),
-        F.round(mean_freshness(F.col("freshness")), 6).alias("avg_freshness"),
-        F.round(F.coalesce(F.avg("similarity"), F.lit(NO_SIMILARITY)), 6).alias("avg_similarity"),
+        six(mean_freshness(F.col("freshness"))).alias("avg_freshness"),
+        six(F.coalesce(F.avg("similarity"), F.lit(NO_SIMILARITY))).alias("avg_similarity"),
         F.round(F.coalesce(F.min("similarity"), F.lit(NO_LEAST)), 6).alias("min_similarity"),
         F.count_if(F.col("relevant") >= 0.5).alias("relevant_doc_count"),
         F.count("*").alias("n_docs"),
@@ -131,7 +131,7 @@ def profile_ranks(profiles: DataFrame, by: list[str], level: str, value: str, lo
 def domain_means(frame: DataFrame, names: list[str]) -> DataFrame:
     """(domain, n_conditions, n_records, names...): means over a domain's conditions, each counting once; unknown domains are left out."""
     known = frame.where(F.col("domain") != "")
-    return known.groupBy("domain").agg(F.count("*").alias("n_conditions"), F.sum("n_records").alias("n_records"), *[F.round(F.avg(n), 6).alias(n) for n in names])
+    return known.groupBy("domain").agg(F.count("*").alias("n_conditions"), F.sum("n_records").alias("n_records"), *[six(F.avg(n)).alias(n) for n in names])
 
 
 def overview(frame: DataFrame, metric: str) -> DataFrame:

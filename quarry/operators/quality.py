@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,16 @@ def build_docs(rows: DataFrame, as_of: str) -> DataFrame:
     return ensure_metadata(built.drop("__score"), as_of)
 
 
+def with_freshness(docs: DataFrame, as_of: str) -> DataFrame:
+    """freshness_score and freshness_label by the collection's domain."""
+    score = dates.freshness_linear_volatility(F.col("__age"), F.col("domain"))
+    rows = docs.withColumn("__age", dates.age_days(F.col("publication_date"), as_of)).withColumn("__score", score)
+    return rows.withColumns({"freshness_score": F.round("__score", 4), "freshness_label": dates.freshness_label(F.col("__score"))}).drop("__score", "__age")
+
+
 def add_final_fields(docs: DataFrame, as_of: str) -> DataFrame:
     """Metadata again, and freshness by the collection's domain."""
-    score = dates.freshness_linear_volatility(dates.age_days(F.col("publication_date"), as_of), F.col("domain"))
-    rows = ensure_metadata(docs, as_of).withColumn("__score", score)
-    return rows.withColumns({"freshness_score": F.round("__score", 4), "freshness_label": dates.freshness_label(F.col("__score"))}).drop("__score")
+    return with_freshness(ensure_metadata(docs, as_of), as_of)
 
 
 def relevant() -> Column:
@@ -72,7 +79,7 @@ def clean_data(docs: DataFrame, as_of: str, keywords: dict | None = None) -> Dat
     """Rows that pass every filter: no challenge page, long enough, dated, English, relevant, documentation where asked."""
     d = terms.counted(ensure_metadata(cleaned(spread(docs)), as_of), keywords)
     english = text.is_english(F.concat_ws(" ", "title", "text"), F.col("lang") if "lang" in docs.columns else None)
-    kept = d.where(
+    kept = (
         ~terms.is_interstitial()
         & (F.char_length("text") >= least_length(F.col("source_type")))
         & dates.parse_date(F.col("publication_date")).isNotNull()
@@ -80,7 +87,16 @@ def clean_data(docs: DataFrame, as_of: str, keywords: dict | None = None) -> Dat
         & relevant()
         & documents_only()
     )
-    return terms.without_counts(kept)
+    return terms.without_counts(passing(d, kept))
+
+
+def passing(rows: DataFrame, rule: Column) -> DataFrame:
+    """Rows for which the rule holds, as where() has them, but tested after the rule's columns are made.
+
+    A filter would be pushed below the counts that it asks for, each test would then have its counts worked out
+    again, and the code would be too long to compile. Nothing is pushed below a count that is observed.
+    """
+    return rows.withColumn("__rule", rule).observe(f"tested-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n")).where("__rule").drop("__rule")
 
 
 def first_wins(docs: DataFrame, key: Column, order: list[Column], flag: str) -> DataFrame:

@@ -60,9 +60,9 @@ def predict(requests: DataFrame, coefficients: DataFrame, bounds: DataFrame) ->
     return both.select("request_id", "metric", four(v).alias("expected"), four(clamp_metric(m, v - F.col("mae"))).alias("lower"), four(clamp_metric(m, v + F.col("mae"))).alias("upper"), F.round("mae", 4).alias("mae"))
 
 
-def warnings(requests: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("Source diversity index "), F.format_number("sdi", 2), F.lit(" lies beyond the training range."))
-    return requests.select("request_id", F.when(F.col("sdi") > SDI_MAX, text).alias("warning"))
+def warning(sdi: Column) -> Column:
+    """What is said of a diversity beyond the training range; null within it."""
+    return F.when(sdi > SDI_MAX, F.concat(F.lit("Source diversity index "), F.format_number(sdi, 2), F.lit(" lies beyond the training range.")))
 
 
 def source_tiers(metrics: DataFrame, values: list[str]) -> DataFrame:
@@ -104,12 +104,16 @@ def normalized(metric: Column, value: Column) -> Column:
     return F.when(metric.isin(LOWER_IS_BETTER), 1 - n).otherwise(n)
 
 
+def readiness_score() -> Column:
+    """Of a request's predictions, as an aggregate: the weighted mean of normalized metrics as an integer percentage, halves to even; null without a metric that weighs."""
+    w = F.when(F.col("expected").isNotNull(), lookup(READINESS, F.col("metric")).cast("double"))
+    # rounded once finely, so that the order of summing does not decide a half
+    return F.bround(F.round(100 * F.sum(w * normalized(F.col("metric"), F.col("expected"))) / F.sum(w), 9)).cast("int")
+
+
 def readiness(predictions: DataFrame) -> DataFrame:
-    """(request_id, readiness): the weighted mean of normalized metrics as an integer percentage, halves to even."""
-    w = lookup(READINESS, F.col("metric")).cast("double")
-    rated = predictions.withColumn("w", w).where("w IS NOT NULL AND expected IS NOT NULL")
-    s = rated.groupBy("request_id").agg((100 * F.sum(F.col("w") * normalized(F.col("metric"), F.col("expected"))) / F.sum("w")).alias("r"))
-    return s.select("request_id", F.bround(F.round("r", 9)).cast("int").alias("readiness"))
+    """(request_id, readiness) of requests with a metric that weighs."""
+    return predictions.groupBy("request_id").agg(readiness_score().alias("readiness")).where("readiness IS NOT NULL")
 
 
 def level_name(tier: Column) -> Column:
@@ -117,12 +121,18 @@ def level_name(tier: Column) -> Column:
 
 
 def recommendations(requests: DataFrame, predictions: DataFrame, tiers: DataFrame, metric: str = "precision_at_5") -> DataFrame:
-    """(request_id, cadence, readiness, best_tier, tier, underperforms, pollution_risk, warning, performance_range, risks, key_finding), a row per request."""
+    """(request_id, cadence, readiness, best_tier, tier, underperforms, pollution_risk, warning, performance_range, risks, key_finding), a row per request.
+
+    What predictions say of a request is one aggregate, so they are worked out once.
+    """
     summary = tier_summary(tiers, metric)
     at = tiers.select(F.col("domain").alias("d3"), F.col("tier").alias("t3"), F.col(metric).alias("own"))
     both = requests.join(summary, "domain", "left").join(at, (F.col("domain") == F.col("d3")) & (F.col("tier") == F.col("t3")), "left")
-    band = predictions.where(F.col("metric") == metric).select("request_id", F.format_string("Expected Precision@5: %s (95%% band %s-%s)", three("expected"), three("lower"), three("upper")).alias("performance_range"))
-    both = both.join(readiness(predictions), "request_id", "left").join(warnings(requests), "request_id", "left").join(band, "request_id", "left")
+    own = F.max(F.when(F.col("metric") == metric, F.struct("expected", "lower", "upper"))).alias("own_band")
+    told = predictions.groupBy("request_id").agg(readiness_score().alias("readiness"), own)
+    told = told.select("request_id", "readiness", *[F.col(f"own_band.{c}").alias(c) for c in ("expected", "lower", "upper")])
+    band = F.format_string("Expected Precision@5: %s (95%% band %s-%s)", three("expected"), three("lower"), three("upper"))
+    both = both.join(told, "request_id", "left").withColumns({"warning": warning(F.col("sdi")), "performance_range": F.when(F.col("expected").isNotNull(), band)})
     vol = lookup(VOLATILITY_SCORE, F.lower("domain"), UNKNOWN_VOLATILITY)
     under = F.coalesce(F.col("own") < F.col("best"), F.lit(False))
     polluted = F.coalesce(F.col("pollution") & (F.col("source_config") == "full"), F.lit(False))
@@ -172,3 +182,53 @@ def freshness_sweep(domains: DataFrame, ages: list[int], coefficients: DataFrame
     grid = domains.select("domain", "sdi", F.explode(F.array(*[F.lit(float(a)) for a in ages])).alias("avg_age_days"))
     grid = grid.withColumn("request_id", F.concat_ws("@", "domain", F.col("avg_age_days").cast("int").cast("string")))
     return predict(grid, coefficients, bounds).join(grid.select("request_id", "domain", "avg_age_days"), "request_id")
+
+
+#: What a request may ask for.
+DOMAINS = sorted(VOLATILITY_SCORE)
+
+
+def validated(requests: DataFrame) -> DataFrame:
+    """requests(request_id, domain, avg_age_days, source_config, sdi), all but the id as text, with typed columns and errors, an array of (field, type, message).
+
+    A missing age is 30 days, a missing configuration 'academic'; a missing diversity is left to its tier. A
+    field that does not read as a number, or reads as one that is not finite or below 0, is an error, and so is
+    an unknown domain; nothing is raised, so that one bad request is a row. Ages and diversities of bad requests are null.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    number = lambda c: F.expr(f"try_cast(trim(cast({c} AS string)) AS double)")
+    error = lambda field, kind, message: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("type"), message.alias("message"))
+    domain = F.lower(text("domain"))
+    found = [F.when(~domain.isin(DOMAINS), error("domain", "unknown", F.concat(F.lit("Invalid domain '"), text("domain"), F.lit("'. Use technology, healthcare, or history."))))]
+    for c in ("avg_age_days", "sdi"):
+        v = number(c)
+        finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+        told = F.concat(F.lit(f"{c} '"), text(c), F.lit("' "))
+        found.append(F.when((text(c) != "") & ~finite, error(c, "not a number", F.concat(told, F.lit("is not a number.")))).when((text(c) != "") & (v < 0), error(c, "negative", F.concat(told, F.lit("is negative.")))))
+    config = F.coalesce(F.nullif(text("source_config"), F.lit("")), F.lit("academic"))
+    rows = requests.withColumn("errors", F.array_compact(F.array(*found)))
+    good = F.size("errors") == 0
+    return rows.select(
+        *[c for c in requests.columns if c not in ("domain", "avg_age_days", "source_config", "sdi")], F.col("domain").alias("asked_domain"), domain.alias("domain"), config.alias("source_config"),
+        F.when(good, F.coalesce(number("avg_age_days"), F.lit(30.0))).alias("avg_age_days"), F.when(good, number("sdi")).alias("sdi"), "errors",
+    )
+
+
+def batch_predict(requests: DataFrame, coefficients: DataFrame, bounds: DataFrame, tiers: DataFrame) -> DataFrame:
+    """(request_id, domain, avg_age_days, freshness_score, source_config, sdi, source_level, predictions, warnings, errors), a row a request.
+
+    predictions maps a metric to (expected, lower, upper, mae). A request that does not hold has its errors and
+    no predictions, and the others of its batch have theirs. A diversity that is not given is that of the
+    domain's tier for the configuration. The request's id must name it.
+    """
+    rows = validated(requests)
+    good = resolve_sdi(rows.where(F.size("errors") == 0), tiers)
+    done = predict(good, coefficients, bounds).groupBy("request_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.struct("expected", "lower", "upper", "mae"))))).alias("predictions"))
+    both = good.join(done, "request_id", "left").withColumn("warning", warning(F.col("sdi")))
+    age = F.col("avg_age_days")
+    answered = both.select(
+        "request_id", F.col("asked_domain").alias("domain"), F.round(age, 1).alias("avg_age_days"), four(freshness_half_life(age)).alias("freshness_score"), "source_config", F.round("sdi", 3).alias("sdi"), level_name(F.col("tier")).alias("source_level"),
+        "predictions", F.array_compact(F.array("warning")).alias("warnings"), "errors",
+    )
+    refused = rows.where(F.size("errors") > 0).select("request_id", F.col("asked_domain").alias("domain"), *[F.lit(None).cast(answered.schema[c].dataType).alias(c) for c in ("avg_age_days", "freshness_score")], "source_config", *[F.lit(None).cast(answered.schema[c].dataType).alias(c) for c in ("sdi", "source_level", "predictions", "warnings")], "errors")
+    return answered.unionByName(refused)

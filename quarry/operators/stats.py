@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def f_tail(spark: SparkSession, f: float, d1: float, d2: float) -> float:
@@ -56,9 +57,8 @@ def one_way(cells: DataFrame, by: list[str], group: str) -> DataFrame:
 def with_p(tests: DataFrame, by: list[str]) -> DataFrame:
     """Adds p to one_way() results, a row per test; the few rows go through the driver."""
     spark = tests.sparkSession
-    rows = [(*[r[b] for b in by], round(f_tail(spark, r["f"], r["k"] - 1, r["n"] - r["k"]), 6)) for r in tests.collect()]
-    kinds = ", ".join(f"{b} {tests.schema[b].dataType.simpleString()}" for b in by)
-    return tests.join(F.broadcast(spark.createDataFrame(rows, f"{kinds}, p double")), by)
+    rows = [(*r, round(f_tail(spark, r["f"], r["k"] - 1, r["n"] - r["k"]), 6)) for r in tests.collect()]
+    return spark.createDataFrame(rows, T.StructType([*tests.schema.fields, T.StructField("p", T.DoubleType())]))
 
 
 def group_stats(cells: DataFrame, by: list[str], group: str) -> DataFrame:
@@ -136,52 +136,177 @@ def studentized_range_tail(q: float, k: int, df: float) -> float:
     return float(min(1.0, max(0.0, 1 - np.trapezoid(inner * density, s) / np.trapezoid(density, s))))
 
 
-def tukey(cells: DataFrame, by: str, group: str) -> DataFrame:
-    """(by, group1, group2, mean_diff, q, p, reject): honest significant differences with unequal counts; a few rows per test."""
-    spark = cells.sparkSession
-    out = []
-    for key, part in group_stats(cells, [by], group).toPandas().sort_values([by, group]).groupby(by):
-        n, k = part["n"].to_numpy(float), len(part)
-        df = n.sum() - k
-        mse = ((n - 1) * part["std"].to_numpy(float) ** 2).sum() / df
-        rows = list(part.itertuples(index=False))
-        for i in range(k):
-            for j in range(i + 1, k):
-                x, y = rows[i], rows[j]
-                q = abs(y.mean - x.mean) / math.sqrt(mse / 2 * (1 / x.n + 1 / y.n))
-                p = studentized_range_tail(q, k, df)
-                out.append((key, str(getattr(x, group)), str(getattr(y, group)), round(y.mean - x.mean, 4), round(q, 4), round(p, 4), p < 0.05))
-    return spark.createDataFrame(out, f"{by} {cells.schema[by].dataType.simpleString()}, group1 string, group2 string, mean_diff double, q double, p double, reject boolean")
+def studentized_range_quantile(p: float, k: int, df: float) -> float:
+    """The q that the studentized range of k means exceeds with probability p, by bracketing and halving; 0 < p < 1."""
+    low, high = 0.0, 4.0
+    while studentized_range_tail(high, k, df) > p:
+        low, high = high, 2 * high
+        if high > 1e6:
+            return float("inf")
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if studentized_range_tail(mid, k, df) > p else (low, mid)
+        if high - low < 1e-9 * high:
+            break
+    return (low + high) / 2
+
+
+def tukey(cells: DataFrame, by: str, group: str, alpha: float = 0.05) -> DataFrame:
+    """(by, group1, group2, mean_diff, q, p, low, high, cohens_d, bonferroni_alpha, reject): honest significant differences with unequal counts.
+
+    low and high are the simultaneous interval of group2 less group1 at 1 - alpha; cohens_d is of group1 less
+    group2, so it has the other sign. bonferroni_alpha is alpha over the number of pairs and told only: reject
+    goes by p. Each test is worked in a task of its own from its groups' counts, means and deviations; a test of
+    one group, or without a degree of freedom or a deviation, has no row.
+    """
+    import pandas as pd
+
+    kind = cells.schema[by].dataType.simpleString()
+    names = ["group1", "group2", "mean_diff", "q", "p", "low", "high", "cohens_d", "bonferroni_alpha", "reject"]
+    groups = group_stats(cells, [by], group).select(by, F.col(group).cast("string").alias("g"), F.col(group).alias("__o"), "n", "mean", "std").where("n > 0")
+
+    def test(part: pd.DataFrame) -> pd.DataFrame:
+        rows = list(part.sort_values("__o")[["g", "n", "mean", "std"]].itertuples(index=False))
+        k, df = len(rows), sum(r.n for r in rows) - len(rows)
+        mse = sum((r.n - 1) * r.std**2 for r in rows) / df if df > 0 else 0.0
+        out = []
+        if k > 1 and mse > 0:
+            least = studentized_range_quantile(alpha, k, df)
+            for i in range(k):
+                for j in range(i + 1, k):
+                    x, y = rows[i], rows[j]
+                    diff, se = y.mean - x.mean, math.sqrt(mse / 2 * (1 / x.n + 1 / y.n))
+                    p = studentized_range_tail(abs(diff) / se, k, df)
+                    pooled = math.sqrt(((x.n - 1) * x.std**2 + (y.n - 1) * y.std**2) / (x.n + y.n - 2)) if min(x.n, y.n) > 1 else 0.0
+                    d = -diff / pooled if pooled else 0.0
+                    out.append((x.g, y.g, *[round(v, 4) for v in (diff, abs(diff) / se, p, diff - least * se, diff + least * se, d)], round(alpha / (k * (k - 1) / 2), 6), p < alpha))
+        return pd.DataFrame(out, columns=names).assign(**{by: part[by].iloc[0]})[[by, *names]]
+
+    return groups.groupBy(by).applyInPandas(test, f"{by} {kind}, group1 string, group2 string, mean_diff double, q double, p double, low double, high double, cohens_d double, bonferroni_alpha double, reject boolean")
 
 
 def levene(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
-    """(by..., k, n, f): one-way F of distances from the group's median. Medians and distances are aggregates and a join."""
-    med = rows.groupBy(*by, group).agg(F.median(value).alias("__m"))
-    far = rows.join(F.broadcast(med), [*by, group]).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
-    cells = far.groupBy(*by, group).agg(F.count("__d").alias("n"), F.avg("__d").alias("mean"), F.coalesce(F.stddev_samp("__d"), F.lit(0.0)).alias("std"))
+    """(by..., k, n, f): one-way F of distances from the group's median, over groups of two values or more. Medians are order statistics by rank, so that no group meets in one task."""
+    from quarry.operators.order import medians
+
+    keys = [*by, group]
+    med = medians(rows, keys, value).where("n > 1").select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("median").alias("__m"))
+    rule = F.lit(True)
+    for c in keys:
+        rule = rule & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    far = rows.join(med, rule).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
+    cells = far.groupBy(*keys).agg(F.count("__d").alias("n"), F.avg("__d").alias("mean"), F.coalesce(F.stddev_samp("__d"), F.lit(0.0)).alias("std"))
     return one_way(cells, by, group).select(*by, "k", "n", "f")
 
 
-def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
-    """(W, p) for 12 to 5,000 values, by Royston's approximation (1995)."""
-    x = np.sort(np.asarray(x, float))
-    n = len(x)
+def homogeneity(rows: DataFrame, by: list[str], group: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """levene() with p and homogeneous; all three are null for a single group."""
+    found = with_p(levene(rows, by, group, value), by)
+    return found.withColumn("p", F.when(~F.isnan("p"), F.col("p"))).withColumn("homogeneous", F.col("p") >= alpha)
+
+
+#: Ranks whose expected normal values are summed in one row.
+RANKS = 1 << 16
+
+
+def shapiro_coefficients(n: int, norm: float, last: float, second: float) -> tuple[float, float | None, float]:
+    """(a_n, a_n-1, root of phi) by Royston's approximation (1995), of the sum of squares of expected normal values and their two largest; a_n-1 is None for up to 5 values."""
+    if n == 3:
+        return math.sqrt(0.5), None, 1.0
+    u, c = 1 / math.sqrt(n), math.sqrt(norm)
+    an = last / c + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
+    if n <= 5:
+        return an, None, math.sqrt((norm - 2 * last**2) / (1 - 2 * an**2))
+    an1 = second / c + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
+    return an, an1, math.sqrt((norm - 2 * last**2 - 2 * second**2) / (1 - 2 * an**2 - 2 * an1**2))
+
+
+def shapiro_p(w: float, n: int) -> float:
+    """Probability of a lower W under normality, by the same paper's transformations; exact for three values."""
     from statistics import NormalDist
 
-    inv, cdf = NormalDist().inv_cdf, NormalDist().cdf
-    m = np.array([inv((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    c, u = m / math.sqrt(m @ m), 1 / math.sqrt(n)
-    an = c[-1] + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
-    an1 = c[-2] + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
-    phi = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * an**2 - 2 * an1**2)
-    a = m / math.sqrt(phi)
-    a[-1], a[-2], a[0], a[1] = an, an1, -an, -an1
-    total = ((x - x.mean()) ** 2).sum()
-    w = min(1.0, float((a @ x) ** 2 / total)) if total else 1.0
-    log_n = math.log(n)
-    mu = 0.0038915 * log_n**3 - 0.083751 * log_n**2 - 0.31082 * log_n - 1.5861
-    sigma = math.exp(0.0030302 * log_n**2 - 0.082676 * log_n - 0.4803)
-    return w, (1 - cdf((math.log(max(1 - w, 1e-19)) - mu) / sigma))
+    if n == 3:
+        return min(1.0, max(0.0, 6 / math.pi * (math.asin(math.sqrt(min(1.0, w))) - math.asin(math.sqrt(0.75)))))
+    y, log_n = math.log(max(1 - w, 1e-19)), math.log(n)
+    if n <= 11:
+        gamma = 0.459 * n - 2.273
+        if y >= gamma:
+            return 1e-19
+        y = -math.log(gamma - y)
+        mu = 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3
+        sigma = math.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)
+    else:
+        mu = 0.0038915 * log_n**3 - 0.083751 * log_n**2 - 0.31082 * log_n - 1.5861
+        sigma = math.exp(0.0030302 * log_n**2 - 0.082676 * log_n - 0.4803)
+    return 1 - NormalDist().cdf((y - mu) / sigma)
+
+
+def shapiro_wilk(rows: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:
+    """(by..., n, w, p, normal) of each group: the Shapiro-Wilk test, null for fewer than three values and for values that are all equal.
+
+    The expected normal value of a rank hangs on the rank and the count alone, so W is a ratio of sums over
+    ranks: groups of any size are ranked by distinct values and summed by aggregates, and a long run of equal
+    values is dealt out by RANKS ranks. p is meant for up to 5,000 values; beyond, it is an extrapolation.
+    """
+    from quarry.operators.order import at_rank, cumulative
+
+    spark = rows.sparkSession
+    ranked = cumulative(rows, by, value)
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANKS).cast("long"))
+    spans = ranked.withColumn("__from", F.explode(starts)).select(*by, "value", "total", (F.col("before") + F.col("__from")).alias("__first"), F.least(F.lit(RANKS).cast("long"), F.col("n") - F.col("__from")).alias("__many"))
+
+    @F.pandas_udf("struct<s: double, q: double>")
+    def normal_sums(first, many, total):
+        """Sum and sum of squares of the expected normal values of a span of ranks."""
+        from statistics import NormalDist
+
+        import pandas as pd
+
+        inverse, out = NormalDist().inv_cdf, []
+        for a, m, n in zip(first.tolist(), many.tolist(), total.tolist()):
+            x = np.fromiter((inverse((i + 1 - 0.375) / (n + 0.25)) for i in range(a, a + m)), float, m)
+            out.append((float(x.sum()), float(x @ x)))
+        return pd.DataFrame(out, columns=["s", "q"])
+
+    m = spans.withColumn("__m", normal_sums("__first", "__many", "total"))
+    sums = m.groupBy(*by).agg(F.sum(F.col("value") * F.col("__m.s")).alias("mx"), F.sum("__m.q").alias("mm"))
+    t = F.col("total")
+    x, k = F.col("value"), F.col("n")
+    ends = ranked.groupBy(*by).agg(F.max("total").alias("n"), (F.sum(x * k) / F.sum(k)).alias("mean"), F.min("value").alias("x1"), at_rank(F.lit(2)).alias("x2"), at_rank(t - 1).alias("y2"), F.max("value").alias("y1"))
+    # the sum of squares around the mean in a second pass, as large values would cancel out
+    mean = ends.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("mean").alias("__mean"))
+    rule = F.lit(True)
+    for b in by:
+        rule = rule & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    ss = ranked.join(mean, rule).groupBy(*by).agg(F.sum(k * (x - F.col("__mean")) * (x - F.col("__mean"))).alias("ss"))
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        other = b.withColumnsRenamed({c: f"__{c}" for c in by})
+        return a.join(other, rule).drop(*[f"__{c}" for c in by])
+
+    both = joined(joined(ends, sums), ss) if by else ends.crossJoin(sums).crossJoin(ss)  # one row each
+
+    @F.pandas_udf("struct<w: double, p: double>")
+    def decide(n, mx, mm, x1, x2, y2, y1, ss):
+        from statistics import NormalDist
+
+        import pandas as pd
+
+        inverse, out = NormalDist().inv_cdf, []
+        for count, mx_, mm_, a, b, c, d, total in zip(*(v.tolist() for v in (n, mx, mm, x1, x2, y2, y1, ss))):
+            if count < 3 or not total or total <= 0:
+                out.append((None, None))
+                continue
+            last, second = inverse((count - 0.375) / (count + 0.25)), inverse((count - 1.375) / (count + 0.25))
+            an, an1, root = shapiro_coefficients(count, mm_, last, second)
+            rest = mx_ - last * (d - a) - (second * (c - b) if an1 is not None else 0.0)
+            up = an * (d - a) + (an1 * (c - b) if an1 is not None else 0.0) + (rest / root if count > 3 else 0.0)
+            w = min(1.0, up * up / total)
+            out.append((round(w, 6), round(shapiro_p(w, count), 6)))
+        return pd.DataFrame(out, columns=["w", "p"], dtype="object" if any(x[0] is None for x in out) else float)
+
+    done = both.withColumn("__t", decide("n", "mx", "mm", "x1", "x2", "y2", "y1", "ss"))
+    return done.select(*by, "n", F.col("__t.w").alias("w"), F.col("__t.p").alias("p"), (F.col("__t.p") >= alpha).alias("normal"))
 
 
 def t_interval(values: DataFrame, by: list[str], value: str, quantile: float) -> DataFrame:

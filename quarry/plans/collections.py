@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import collection as co
 from quarry.operators import experiment as ex
+from quarry.operators.retrieval import six_sql
 from quarry.plans.registry import query
 from quarry.schema import CONDITIONS, VOLATILITY_NAME, table
 
@@ -28,13 +29,13 @@ def runs(spark, d):
 
 RUNS_SQL = """runs AS (SELECT 'C' || (l_orderkey % 14 + 1) AS condition_id, l_orderkey AS query_id, l_linenumber AS rank, CASE WHEN l_orderkey % 11 <> 3 THEN l_discount * 10 END AS similarity,
   (l_returnflag = 'A')::INT AS relevant, CASE WHEN l_tax > 0.02 THEN l_tax * 10 END AS freshness, 's' || (l_suppkey % 4) AS source_name FROM lineitem),
-lists AS (SELECT condition_id, query_id, list(relevant ORDER BY rank, relevant, source_name) AS ls, round(avg(coalesce(freshness, 0)), 6) AS avg_freshness, round(coalesce(avg(similarity), 0.1), 6) AS avg_similarity,
+lists AS (SELECT condition_id, query_id, list(relevant ORDER BY rank, relevant, source_name) AS ls, round((avg(coalesce(freshness, 0)))::DECIMAL(38,12), 6)::DOUBLE AS avg_freshness, round((coalesce(avg(similarity), 0.1))::DECIMAL(38,12), 6)::DOUBLE AS avg_similarity,
   round(coalesce(min(similarity), 0.05), 6) AS min_similarity, count(*) FILTER (relevant >= 0.5) AS relevant_doc_count, count(*) AS n_docs FROM runs GROUP BY ALL),
 ent AS (SELECT condition_id, query_id, round(-sum(p * log2(p)) + 0.0, 6) AS source_diversity FROM (SELECT condition_id, query_id, count(*) / sum(count(*)) OVER (PARTITION BY condition_id, query_id) AS p FROM runs GROUP BY condition_id, query_id, source_name) GROUP BY ALL),
 per AS (SELECT condition_id, query_id, round(list_sum(ls[1:5]) / len(ls[1:5]), 6) AS precision_at_5,
   round(coalesce(list_sum(list_transform(ls[1:5], lambda x, i: x / log2(i + 1))) / nullif(list_sum(list_transform(list_reverse_sort(ls)[1:5], lambda x, i: x / log2(i + 1))), 0), 0), 6) AS ndcg_at_5,
   avg_freshness, source_diversity, avg_similarity, min_similarity, relevant_doc_count, n_docs FROM lists JOIN ent USING (condition_id, query_id))"""
-TREE_SQL = RUNS_SQL + ", tree AS (" + " UNION ALL ".join(f"SELECT condition_id, count(*) AS n_records, '{n}' AS metric, round(avg({n}), 6) AS mean, round(coalesce(stddev_samp({n}), 0), 6) AS std, count({n}) AS n FROM per GROUP BY condition_id" for n in NAMES) + ")"
+TREE_SQL = RUNS_SQL + ", tree AS (" + " UNION ALL ".join(f"SELECT condition_id, count(*) AS n_records, '{n}' AS metric, {six_sql(f'avg({n})')} AS mean, {six_sql(f'coalesce(stddev_samp({n}), 0)')} AS std, count({n}) AS n FROM per GROUP BY condition_id" for n in NAMES) + ")"
 META_SQL = "meta(condition_id, domain, volatility, freshness_window, source_config) AS (VALUES " + ", ".join(f"('{c[0]}', '{c[1]}', '{VOLATILITY_NAME[c[1]]}', '{c[2]}', '{c[6]}')" for c in CONDITIONS) + ")"
 
 
@@ -72,7 +73,7 @@ def q123(spark, d):
 FLAT_SQL = f"{TREE_SQL}, {META_SQL}, flat AS (SELECT condition_id, coalesce(any_value(domain), '') AS domain, any_value(n_records) AS n_records, {WIDE_SQL} FROM tree LEFT JOIN meta USING (condition_id) GROUP BY condition_id)"
 
 
-@query("q165_domain_means", f"WITH {FLAT_SQL} SELECT domain, count(*) AS n_conditions, sum(n_records)::BIGINT AS n_records, {', '.join(f'round(avg({n}), 6) AS {n}' for n in NAMES)} FROM flat WHERE domain <> '' GROUP BY domain")
+@query("q165_domain_means", f"WITH {FLAT_SQL} SELECT domain, count(*) AS n_conditions, sum(n_records)::BIGINT AS n_records, {", ".join(f"{six_sql(f'avg({n})')} AS {n}" for n in NAMES)} FROM flat WHERE domain <> '' GROUP BY domain")
 def q165(spark, d):
     """A dashboard's means over conditions."""
     return ex.domain_means(ex.condition_frame(_tree(spark, d), NAMES), NAMES)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dates, terms, text, urls
 from quarry.operators import conditions as cond
-from quarry.operators import dedup, keywords, quality
+from quarry.operators import crawl, dedup, keywords, quality
 from quarry.plans.registry import query
 from quarry.plans.texts import CASE_DAYS, NORM
 from quarry.schema import AGED_SQL, AS_OF, CONDITIONS, CORPUS_SQL, SIGNALS_SQL, corpus, signals, table
@@ -189,20 +189,14 @@ def q018(spark, d):
 @query("q010_ordered_union", f"WITH {CORPUS_SQL} SELECT seq FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(url)) ORDER BY CASE WHEN source_type = 'technical' THEN 0 ELSE 1 END, seq) AS r FROM corpus WHERE source_type <> 'academic') WHERE r = 1")
 def q010(spark, d):
     c = corpus(spark, d)
-    both = c.where("source_type = 'technical'").withColumn("scan", F.lit(0)).unionByName(c.where("source_type = 'news'").withColumn("scan", F.lit(1)))
-    return quality.first_wins(both, F.lower(F.trim("url")), [F.col("scan"), F.col("seq")], "f").where("f").select("seq")
+    return crawl.ordered_union([c.where("source_type = 'technical'"), c.where("source_type = 'news'")], F.lower(F.trim("url")), "seq").select("seq")
 
 
 @query("q012_seed_rotation", "WITH u AS (SELECT *, row_number() OVER (PARTITION BY lower(s) ORDER BY p) AS r FROM (SELECT source, 'https://x.org/' || (doc_id % 7) AS s, doc_id AS p FROM documents)), k AS (SELECT source, s, row_number() OVER (PARTITION BY source ORDER BY p) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source, lower(s) ORDER BY p) AS f FROM u) WHERE f = 1) SELECT source, s AS seed, ((i - 3) % n + n) % n AS place FROM k")
 def q012(spark, d):
     """Ordered distinct seeds, rotated by an offset of 3."""
-    from pyspark.sql import Window
-
     u = table(spark, d, "documents").select("source", F.concat(F.lit("https://x.org/"), (F.col("doc_id") % 7).cast("string")).alias("seed"), F.col("doc_id").alias("p"))
-    k = u.groupBy("source", "seed").agg(F.min("p").alias("p"))
-    i = F.row_number().over(Window.partitionBy("source").orderBy("p")) - 1
-    n = F.count("*").over(Window.partitionBy("source"))
-    return k.select("source", "seed", F.pmod(i - 3, n).cast("long").alias("place"))
+    return crawl.rotated_seeds(u, "source", "seed", "p", 3)
 
 
 SHORT, LONG, ASKED = ["study", "review", "method", "dataset", "evidence"], ["cohort study", "benchmark dataset evaluation"], ["digital health"]

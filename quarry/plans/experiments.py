@@ -55,7 +55,7 @@ def q108(spark, d):
     return _per_query(spark, d).select("query_id", vectors.precision(c("ls"), 5).alias("p5"), vectors.ndcg(c("ls"), 5).alias("ndcg"), F.round("sim", 6).alias("sim"), rt.alignment(c("sim")).alias("band"))
 
 
-@query("q110_retrieval_quality", f"WITH {PER_QUERY_SQL} SELECT ql AS label, round(avg(p5), 6) AS p5_mean, round(coalesce(stddev_samp(p5), 0), 6) AS p5_std, count(p5) AS p5_n, round(avg(ndcg), 6) AS ndcg_mean, round(coalesce(stddev_samp(ndcg), 0), 6) AS ndcg_std, count(ndcg) AS ndcg_n FROM per GROUP BY ql")
+@query("q110_retrieval_quality", f"WITH {PER_QUERY_SQL} SELECT ql AS label, {rt.six_sql('avg(p5)')} AS p5_mean, {rt.six_sql('coalesce(stddev_samp(p5), 0)')} AS p5_std, count(p5) AS p5_n, {rt.six_sql('avg(ndcg)')} AS ndcg_mean, {rt.six_sql('coalesce(stddev_samp(ndcg), 0)')} AS ndcg_std, count(ndcg) AS ndcg_n FROM per GROUP BY ql")
 def q110(spark, d):
     """Retrieval quality by class: #110 and the condition tree #121 over one groupBy."""
     c = F.col

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import models, serving, stats, trees
+from quarry.operators.order import medians
 from quarry.plans.registry import query
 from quarry.schema import AS_OF, CELLS_SQL, VOLATILITY_SCORE, cells, table
 
@@ -47,6 +48,16 @@ def q127(spark, d):
     return stats.two_way(cells(spark, d), "metric", "level", "volatility")
 
 
+@query("q130_tukey_distances", f"""WITH {CELLS_SQL}, g AS (SELECT metric, level, sum(n)::DOUBLE AS n, sum(n * mean) / sum(n) AS m, sum((n - 1) * std * std + n * mean * mean) AS q FROM cells GROUP BY ALL),
+v AS (SELECT *, greatest(0, (q - n * m * m) / (n - 1)) AS var, sum(n) OVER w - count(*) OVER w AS df, count(*) OVER w AS k FROM g WINDOW w AS (PARTITION BY metric)),
+e AS (SELECT *, sum((n - 1) * var) OVER (PARTITION BY metric) / df AS mse FROM v)
+SELECT a.metric, a.level::VARCHAR AS group1, b.level::VARCHAR AS group2, round(b.m - a.m, 4) AS mean_diff, round(abs(b.m - a.m) / sqrt(a.mse / 2 * (1 / a.n + 1 / b.n)), 4) AS q,
+  round((a.m - b.m) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)), 4) AS cohens_d, round(0.05 / (a.k * (a.k - 1) / 2), 6) AS bonferroni_alpha FROM e a JOIN e b ON a.metric = b.metric AND a.level < b.level""")
+def q130_distances(spark, d):
+    """What SQL can say of the comparisons; p and the interval are held against published tables in tests."""
+    return stats.tukey(cells(spark, d), "metric", "level").select("metric", "group1", "group2", "mean_diff", "q", "cohens_d", "bonferroni_alpha")
+
+
 @query("q130_tukey", None)
 def q130(spark, d):
     return stats.tukey(cells(spark, d), "metric", "level")
@@ -58,6 +69,18 @@ def q132(spark, d):
     return stats.levene(e, ["event_type"], "g", "value")
 
 
+@query("q132_shapiro_wilk", None)
+def q132_shapiro(spark, d):
+    """Normality of all values of each type; tests hold W and p against published examples."""
+    return stats.shapiro_wilk(table(spark, d, "events"), ["event_type"], "value")
+
+
+@query("q132_medians", "SELECT event_type, user_id % 3 AS g, count(value) AS n, median(value) AS median FROM events GROUP BY ALL")
+def q132_medians(spark, d):
+    """Medians as order statistics by rank, without a group in one task."""
+    return medians(table(spark, d, "events").withColumn("g", F.col("user_id") % 3), ["event_type", "g"], "value")
+
+
 @query("q133_descriptive", f"WITH {SS_SQL} SELECT metric, level, n::BIGINT AS n, round(m, 6) AS mean, round(sqrt(greatest(0, (q - n * m * m) / (n - 1))), 6) AS std FROM grp")
 def q133(spark, d):
     return stats.group_stats(cells(spark, d), ["metric"], "level").select("metric", "level", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
@@ -261,10 +284,17 @@ CADENCE_SQL = "CASE domain WHEN 'technology' THEN 'Weekly' WHEN 'healthcare' THE
 LEVEL_SQL = "CASE {0} WHEN 0 THEN 'Single-Source' WHEN 1 THEN 'Two-Source Mix' ELSE 'Full Diversity' END"
 
 
-@query("q161_recommendations", f"""WITH {METRICS_SQL}, {SUMMARY_SQL}, top AS (SELECT domain, max(tier) AS most FROM tiers GROUP BY domain),
+TIERS_SQL = METRICS_SQL.replace("tiers AS (", "tiers AS MATERIALIZED (")
+#: SUMMARY_SQL with an aggregate instead of a query for each row.
+SUMMARY_ONCE_SQL = """sm AS MATERIALIZED (SELECT domain, arg_max(tier, (precision_at_5, -tier)) AS bt, max(precision_at_5) AS b, arg_min(tier, (precision_at_5, tier)) AS wt, min(precision_at_5) AS w, arg_max(precision_at_5, tier) AS tp, max(tier) AS t FROM tiers GROUP BY domain),
+lean AS MATERIALIZED (SELECT tiers.domain, bool_or(tier < t AND precision_at_5 > tp) AS pollution FROM tiers JOIN sm ON tiers.domain = sm.domain GROUP BY tiers.domain),
+summ AS MATERIALIZED (SELECT sm.*, CASE WHEN w > 0 THEN round(100 * (b - w) / w, 1) END AS delta, pollution FROM sm JOIN lean USING (domain))"""
+
+
+@query("q161_recommendations", f"""WITH {TIERS_SQL}, {SUMMARY_ONCE_SQL}, top AS (SELECT domain, max(tier) AS most FROM tiers GROUP BY domain),
 ask AS (SELECT o_orderkey AS request_id, ['technology', 'healthcare', 'history'][(o_orderkey % 3 + 1)::INT] AS domain, (o_custkey % 400)::DOUBLE AS age, o_orderkey % 4 = 0 AS whole, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS want FROM orders),
-req AS (SELECT a.request_id, a.domain, a.age, a.whole, t.tier, t.tier_sdi AS s, t.precision_at_5 AS own FROM ask a JOIN top USING (domain) JOIN tiers t ON t.domain = a.domain AND t.tier = least(want, most)),
-{PRED_SQL}, {EXPECTED_SQL}, {READY_SQL},
+req AS MATERIALIZED (SELECT a.request_id, a.domain, a.age, a.whole, t.tier, t.tier_sdi AS s, t.precision_at_5 AS own FROM ask a JOIN top USING (domain) JOIN tiers t ON t.domain = a.domain AND t.tier = least(want, most)),
+{PRED_SQL.replace('raw AS (', 'raw AS MATERIALIZED (')}, {EXPECTED_SQL.replace('exp AS (', 'exp AS MATERIALIZED (')}, {READY_SQL.replace('ready AS (', 'ready AS MATERIALIZED (')},
 told AS (SELECT req.*, bt, b, wt AS worst_tier, w, delta, coalesce(own < b, false) AS under, coalesce(pollution AND whole, false) AS polluted, CASE WHEN s > 0.45 THEN 'Source diversity index ' || printf('%.2f', s) || ' lies beyond the training range.' END AS warning FROM req JOIN summ USING (domain)),
 risky AS (SELECT *, list_filter([CASE WHEN polluted THEN '{serving.POLLUTION}' END, CASE WHEN under THEN '{serving.UNDERPERFORMS[0]}' || {LEVEL_SQL.format('bt')} || '{serving.UNDERPERFORMS[1]}' END, warning], lambda x: x IS NOT NULL) AS r FROM told)
 SELECT request_id, {CADENCE_SQL} AS cadence, readiness, bt AS best_tier, tier::INT AS tier, under AS underperforms, polluted AS pollution_risk, warning,
@@ -278,16 +308,42 @@ def q161(spark, d):
     return serving.recommendations(asked, serving.predict(asked, *_tables(spark)), tiers)
 
 
+ASKED_SQL = """asked AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 11 = 0 THEN 'sports' ELSE [' Technology', 'healthcare', 'history'][(o_orderkey % 3 + 1)::INT] END AS d,
+  CASE WHEN o_custkey % 13 = 1 THEN '-3' WHEN o_custkey % 13 = 2 THEN 'old' WHEN o_custkey % 13 = 3 THEN NULL ELSE (o_custkey % 400)::VARCHAR END AS a, CASE WHEN o_orderkey % 17 = 4 THEN 'x' WHEN o_orderkey % 5 = 0 THEN '' ELSE ((o_orderkey % 60) / 100.0::DOUBLE)::VARCHAR END AS sd FROM orders),
+told AS (SELECT *, lower(trim(d)) AS domain, concat_ws(',', CASE WHEN lower(trim(d)) NOT IN ('technology', 'healthcare', 'history') THEN 'domain:unknown' END, CASE a WHEN '-3' THEN 'avg_age_days:negative' WHEN 'old' THEN 'avg_age_days:not a number' END, CASE sd WHEN 'x' THEN 'sdi:not a number' END) AS errors FROM asked)"""
+
+
+@query("q154_batch_predict", f"""WITH {TIERS_SQL}, {ASKED_SQL}, req AS MATERIALIZED (SELECT request_id, told.domain, coalesce(try_cast(a AS DOUBLE), 30.0) AS age, coalesce(try_cast(nullif(sd, '') AS DOUBLE), tier_sdi, 0.0) AS s FROM told LEFT JOIN tiers ON tiers.domain = told.domain AND tier = 0 WHERE errors = ''),
+{PRED_SQL.replace('raw AS (', 'raw AS MATERIALIZED (')}, {EXPECTED_SQL}, one AS (SELECT request_id, max(e) FILTER (metric = 'precision_at_5') AS p, max(l) FILTER (metric = 'hallucination_rate') AS h, count(*) AS n FROM exp GROUP BY request_id)
+SELECT t.request_id, t.d AS domain, t.errors, p AS precision_at_5, h AS hallucination_low, n AS n_metrics, CASE WHEN req.request_id IS NOT NULL THEN CASE WHEN req.s > 0.45 THEN 1 ELSE 0 END END::INT AS n_warnings FROM told t LEFT JOIN one USING (request_id) LEFT JOIN req USING (request_id)""")
+def q154(spark, d):
+    """Requests as text, some of them bad: each has its predictions or its errors."""
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
+    asked = table(spark, d, "orders").select(
+        n.alias("request_id"), F.when(n % 11 == 0, "sports").when(n % 3 == 0, " Technology").when(n % 3 == 1, "healthcare").otherwise("history").alias("domain"),
+        F.when(c % 13 == 1, "-3").when(c % 13 == 2, "old").when(c % 13 != 3, (c % 400).cast("string")).alias("avg_age_days"), F.lit("academic").alias("source_config"),
+        F.when(n % 17 == 4, "x").when(n % 5 == 0, "").otherwise(((n % 60) / 100).cast("string")).alias("sdi"),
+    )
+    done = serving.batch_predict(asked, *_tables(spark), serving.source_tiers(_metrics(spark, d), ["precision_at_5"]))
+    errors = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["type"])), ",")
+    p = lambda m, x: F.try_element_at("predictions", F.lit(m))[x]
+    return done.select("request_id", "domain", errors.alias("errors"), p("precision_at_5", "expected").alias("precision_at_5"), p("hallucination_rate", "lower").alias("hallucination_low"), F.map_keys("predictions").alias("k"), F.size("warnings").alias("w")).select(
+        "request_id", "domain", "errors", "precision_at_5", "hallucination_low", F.when(F.col("k").isNotNull(), F.size("k").cast("long")).alias("n_metrics"), F.when(F.col("k").isNotNull(), F.col("w")).alias("n_warnings")
+    )
+
+
+DOMAINS_SQL = "dom AS (SELECT domain, round(avg(sdi)::DECIMAL(38,12), 4)::DOUBLE AS s FROM met GROUP BY domain)"
 SWEEP_SQL = "req AS (SELECT domain || '@' || age AS request_id, domain, age::DOUBLE AS age, s FROM {0}, (SELECT unnest({1}) AS age))"
 
 
-@query("q158_sensitivity", f"WITH dom(domain, s) AS (VALUES ('technology', 0.2::DOUBLE), ('healthcare', 0.2::DOUBLE), ('history', 0.2::DOUBLE)), {SWEEP_SQL.format('dom', [3, 365])}, {PRED_SQL}, {EXPECTED_SQL} SELECT domain, round(abs(max(e) FILTER (age = 3) - max(e) FILTER (age = 365)), 4) AS sensitivity FROM exp JOIN req USING (request_id) WHERE metric = 'precision_at_5' GROUP BY domain")
+@query("q158_sensitivity", f"WITH {METRICS_SQL}, {DOMAINS_SQL}, {SWEEP_SQL.format('dom', [3, 365])}, {PRED_SQL}, {EXPECTED_SQL} SELECT domain, round(abs(max(e) FILTER (age = 3) - max(e) FILTER (age = 365)), 4) AS sensitivity FROM exp JOIN req USING (request_id) WHERE metric = 'precision_at_5' GROUP BY domain")
 def q158(spark, d):
-    return serving.sensitivity(_domains(spark), *_tables(spark))
+    return serving.sensitivity(_domains(spark, d), *_tables(spark))
 
 
-def _domains(spark):
-    return spark.createDataFrame([(k, 0.2) for k in VOLATILITY_SCORE], "domain string, sdi double")
+def _domains(spark, d):
+    """The domains that suppliers have, with their mean diversity."""
+    return _metrics(spark, d).groupBy("domain").agg(F.round(F.avg("sdi").cast("decimal(38,12)"), 4).cast("double").alias("sdi"))
 
 
 @query("q181_guidelines", f"WITH {METRICS_SQL}, {SUMMARY_SQL}, dom AS (SELECT domain, tier_sdi AS s, bt, pollution FROM summ JOIN tiers USING (domain) WHERE tier = bt), {SWEEP_SQL.format('dom', [3, 90, 365])}, {PRED_SQL}, {EXPECTED_SQL}, g AS (SELECT domain, round(abs(max(e) FILTER (age = 3 AND metric = 'precision_at_5') - max(e) FILTER (age = 365 AND metric = 'precision_at_5')), 4) AS sensitivity, max(e) FILTER (age = 90 AND metric = 'precision_at_5') AS precision_at_5, max(e) FILTER (age = 90 AND metric = 'hallucination_rate') AS hallucination_rate, max(e) FILTER (age = 90 AND metric = 'bertscore_f1') AS bertscore_f1 FROM exp JOIN req USING (request_id) GROUP BY domain), bd(domain, n) AS (VALUES ('technology', 2), ('healthcare', 0)) SELECT domain, {VOL} AS volatility, {CADENCE_SQL} AS cadence, sensitivity, {LEVEL_SQL.format('bt')} AS best_source_level, pollution, precision_at_5, hallucination_rate, bertscore_f1, n AS boundary_conditions, n = 0 AS reliable FROM g JOIN dom USING (domain) LEFT JOIN bd USING (domain)")
@@ -299,10 +355,10 @@ def q181(spark, d):
 AGES = [0, 7, 14, 30, 60, 90, 180, 270, 365]
 
 
-@query("q162_freshness_sweep", f"WITH dom(domain, s) AS (VALUES ('technology', 0.2::DOUBLE), ('healthcare', 0.2::DOUBLE), ('history', 0.2::DOUBLE)), {SWEEP_SQL.format('dom', AGES)}, {PRED_SQL}, {EXPECTED_SQL} SELECT domain, age AS avg_age_days, {', '.join(f"max(e) FILTER (metric = '{m}') AS {m}" for m in ('precision_at_5', 'ndcg_at_5', 'bertscore_f1', 'hallucination_rate', 'human_eval_score'))} FROM exp JOIN req USING (request_id) GROUP BY ALL")
+@query("q162_freshness_sweep", f"WITH {METRICS_SQL}, {DOMAINS_SQL}, {SWEEP_SQL.format('dom', AGES)}, {PRED_SQL}, {EXPECTED_SQL} SELECT domain, age AS avg_age_days, {', '.join(f"max(e) FILTER (metric = '{m}') AS {m}" for m in ('precision_at_5', 'ndcg_at_5', 'bertscore_f1', 'hallucination_rate', 'human_eval_score'))} FROM exp JOIN req USING (request_id) GROUP BY ALL")
 def q162(spark, d):
     """Nine ages by three domains, a column a metric."""
-    return serving.pivoted_sweep(serving.freshness_sweep(_domains(spark), AGES, *_tables(spark)))
+    return serving.pivoted_sweep(serving.freshness_sweep(_domains(spark, d), AGES, *_tables(spark)))
 
 
 @query("q162_best_fit", "SELECT event_type, arg_max(curve, (r2, -place)) AS curve, max(r2) AS r2 FROM (SELECT event_type, ['exponential', 'polynomial', 'logistic'][(user_id % 3 + 1)::INT] AS curve, (user_id % 3)::INT AS place, floor(avg(value) / 10) AS r2 FROM events GROUP BY ALL) GROUP BY event_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -50,3 +51,57 @@ def checkpoints(spark: SparkSession) -> None:
     """Makes DataFrame.checkpoint() write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, without temporary ones; none if it is not there."""
+    place, store = _hadoop(spark, path)
+    if not store.exists(place):
+        return []
+    return sorted(name for s in store.listStatus(place) if not (name := s.getPath().getName()).startswith((".", "_")))
+
+
+def commit_file(spark: SparkSession, path: str, rows: list) -> None:
+    """Writes a small list as JSON in one step: a file under another name that is then renamed, which fails where path exists already."""
+    jvm = spark._jvm
+    place, store = _hadoop(spark, path)
+    store.mkdirs(place.getParent())
+    held = jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_{uuid.uuid4().hex}")
+    out = store.create(held, False)
+    out.write(bytearray(json.dumps([list(r) if isinstance(r, tuple) else r for r in rows]).encode()))
+    out.close()
+    held, place = store.makeQualified(held), store.makeQualified(place)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(held, place, spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs.Options, "Rename"), 0))
+
+
+def read_small(spark: SparkSession, path: str) -> list:
+    """What commit_file() has written."""
+    place, store = _hadoop(spark, path)
+    stream = store.open(place)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, store = _hadoop(spark, path)
+    store.delete(place, True)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int] | None:
+    """(files, bytes, newest change) of a file or of all files under a folder; None if there is none."""
+    place, store = _hadoop(spark, path)
+    if not store.exists(place):
+        return None
+    files, size, newest, walk = 0, 0, 0, store.listFiles(place, True)
+    while walk.hasNext():
+        f = walk.next()
+        files, size, newest = files + 1, size + f.getLen(), max(newest, f.getModificationTime())
+    return (files, size, newest) if files else None
