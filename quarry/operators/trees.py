@@ -1,9 +1,10 @@
-"""Forests and boosted trees over cells: rows are binned and counted once, and every fit runs in a task of its own.
+"""Forests and boosted trees over binned features, with 64 bins at every size of input and all rows in every fit.
 
-A cell is a combination of feature bins with its number of rows and the sum of their targets; there are at most
-MAX_CELLS of them at any input, as features get coarser bins until they fit. Grids, folds, held-out groups and
-forests are then many small fits over one broadcast table, dealt to the executors; errors are taken over all rows
-again, not over cells.
+Rows are binned and counted into cells first: a cell is a combination of feature bins, and of the part (fold or
+group) that a fit may leave out, with its number of rows and the sum of their targets. Grids, folds, held-out
+groups and forests are many fits over the same cells, so while there are at most MAX_CELLS of them, which is
+checked, each fit takes them as one table in a task of its own. Beyond that the fits are those of pyspark.ml over
+the binned rows where they lie, one after another. Errors are taken over all rows again, not over cells.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bins of a feature at most, and cells in all.
-BINS, MAX_CELLS = 64, 1 << 16
+#: Bins of a feature at most; cells up to which a fit takes them as one table.
+BINS, MAX_CELLS = 64, 1 << 17
 #: Trees of a forest that are grown at a time.
 TOGETHER = 16
 
@@ -37,17 +38,47 @@ def binned(rows: DataFrame, names: list[str], target: str, bins: int = BINS) ->
     return picked.withColumns({f"b{k}": place(c) for k, c in enumerate(names)}).drop(*[f"__{c}" for c in names])
 
 
-def cells(rows: DataFrame, names: list[str], target: str, part: Column) -> tuple[DataFrame, pd.DataFrame]:
-    """(binned rows with part, the table of cells): b0, b1, ..., part, n and sum of label; coarser bins until there are at most MAX_CELLS."""
-    bins = BINS
+def cells(rows: DataFrame, names: list[str], target: str, part: Column) -> tuple[DataFrame, pd.DataFrame | None]:
+    """(binned rows with part, the table of cells): b0, b1, ..., part, n and sum of label. The table is None if there are more than MAX_CELLS of them; no row is left out in either case."""
     keys = [f"b{k}" for k in range(len(names))]
-    while True:
-        marked = binned(rows, names, target, bins).withColumn("part", part)
-        table = marked.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.sum("label").alias("s"))
-        found = table.limit(MAX_CELLS + 1).toPandas()
-        if len(found) <= MAX_CELLS or bins <= 2:
-            return marked, found.sort_values([*keys, "part"], kind="stable").reset_index(drop=True)
-        bins //= 2
+    marked = binned(rows, names, target).withColumn("part", part)
+    table = marked.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.sum("label").alias("s"))
+    found = table.limit(MAX_CELLS + 1).toPandas()
+    return marked, None if len(found) > MAX_CELLS else found.sort_values([*keys, "part"], kind="stable").reset_index(drop=True)
+
+
+def assembled(marked: DataFrame, count: int) -> DataFrame:
+    """Binned rows as pyspark.ml takes them: features, label, part."""
+    from pyspark.ml.feature import VectorAssembler
+
+    put = VectorAssembler(inputCols=[f"b{k}" for k in range(count)], outputCol="features")
+    return put.transform(marked).select("features", "label", "part")
+
+
+def ml_forest(trees: int, depth: int | None = None, least_split: int = 2, least_leaf: int = 1, features: float | None = None, seed: int = 42):
+    """The forest of pyspark.ml with these settings. It knows no least size of a node to split, so that leaves of half that size stand for it, and no depth beyond 30."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    least, subset = max(least_leaf, -(-least_split // 2)), "all" if features is None else str(max(1, int(features)))
+    return RandomForestRegressor(numTrees=trees, maxDepth=30 if depth is None else depth, minInstancesPerNode=least, featureSubsetStrategy=subset, maxBins=BINS, seed=seed)
+
+
+def ml_boosted(rounds: int = 300, rate: float = 0.05, depth: int = 4, rows: float = 0.8, columns: float = 0.8, seed: int = 42, **_):
+    """The boosted trees of pyspark.ml with these settings; it has no penalty on leaves."""
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=rows, featureSubsetStrategy=str(columns), maxBins=BINS, seed=seed)
+
+
+def ml_errors(data: DataFrame, estimator, stay: Column, own: Column) -> tuple[dict[str, float], list[float]]:
+    """(mae, rmse, r2, n, and means and deviation of the errors over rows of own, importances) of a fit over rows of stay."""
+    model = estimator.fit(data.where(stay))
+    e = F.col("prediction") - F.col("label")
+    found = model.transform(data.where(own)).agg(
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop("label") * F.count("*"))).alias("r2"),
+        F.count("*").alias("n"), F.avg("label").alias("a"), F.avg("prediction").alias("p"), F.stddev_samp(e).alias("s"),
+    )
+    return found.first().asDict(), model.featureImportances.toArray().tolist()
 
 
 def _strength(g: np.ndarray, h: np.ndarray, lam: float, alpha: float) -> np.ndarray:
@@ -180,7 +211,7 @@ def errors(marked: DataFrame, table: pd.DataFrame, preds: pd.DataFrame, of: Colu
     keys = [c for c in table.columns if c not in ("n", "s")]
     kinds = ", ".join(f"{k} {marked.schema[k].dataType.simpleString()}" for k in keys)
     side = list(zip(*[table[k].tolist() for k in keys], preds.to_numpy(float).tolist()))
-    return marked.where(of).join(F.broadcast(marked.sparkSession.createDataFrame(side, f"{kinds}, preds array<double>")), keys)
+    return marked.where(of).join(marked.sparkSession.createDataFrame(side, f"{kinds}, preds array<double>"), keys)
 
 
 def fold(key: Column, folds: int, seed: int = 42) -> Column:
@@ -204,6 +235,7 @@ def forest_search(rows: DataFrame, target: str, names: list[str], key: str, grid
     both = search_folds * folds
     marked, table = cells(rows, names, target, fold(F.col(key), both))
     marked = marked.select(*[f"b{k}" for k in range(len(names))], "part", "label").cache()
+    n = int(table["n"].sum()) if table is not None else marked.count()
     choices = [dict(zip(grid, c)) for c in product(*grid.values())]
     size = {"sqrt": np.sqrt(len(names)), "log2": np.log2(len(names))}
     choices = [{k: size.get(v, v) if k == "features" else v for k, v in c.items()} for c in choices]
@@ -226,14 +258,21 @@ def forest_search(rows: DataFrame, target: str, names: list[str], key: str, grid
         done = own.groupBy("c", "f").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop("label") * F.count("*"))).alias("r2"))
         return done.toPandas()
 
+    def scored_by_ml(jobs: list[tuple], base: int) -> pd.DataFrame:
+        data, at = assembled(marked, len(names)).cache(), F.pmod("part", F.lit(base))
+        out = [{"c": c, "f": f} | ml_errors(data, ml_forest(trees, **choices[c]), at != f, at == f)[0] for c, _, f in jobs]
+        data.unpersist()
+        return pd.DataFrame(out)
+
+    if table is None:
+        scored = scored_by_ml  # noqa: F811
     try:
         first = scored([(c, search_folds, f) for f in range(search_folds) for c in range(len(choices))], search_folds).groupby("c")[by].mean()
         best = int(first.idxmin() if by == "mae" else first.idxmax()) if len(first) else 0
         last = scored([(best, folds, f) for f in range(folds)], folds)
-        weight = fits(spark, table, [(best, 0, 0)], held, fit)["importances"][0]
+        weight = fits(spark, table, [(best, 0, 0)], held, fit)["importances"][0] if table is not None else ml_forest(trees, **choices[best]).fit(assembled(marked, len(names))).featureImportances.toArray().tolist()
     finally:
         marked.unpersist()
-    n = int(table["n"].sum())
     told = ", ".join(f"{k}={v}" for k, v in choices[best].items())
     mean = lambda c: round(float(last[c].mean()), 6) if len(last) else 0.0
     dev = lambda c: round(float(last[c].std(ddof=0)), 6) if len(last) else 0.0
@@ -255,11 +294,18 @@ def boosted_search(rows: DataFrame, target: str, names: list[str], key: str, fol
     def held(parts, job):
         return (parts % folds == job[0]) | (parts // folds == 0)
 
+    stat = lambda per: per.agg(*[F.round(a(c), 6).alias(f"{c}_{n}") for c in ("mae", "rmse") for a, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    if table is None:
+        data, at = assembled(marked, len(names)).cache(), F.pmod("part", F.lit(folds))
+        done = [ml_errors(data, ml_boosted(**settings), (at != f) & (F.floor(F.col("part") / folds) != 0), at == f) for f in range(folds)]
+        data.unpersist()
+        per = spark.createDataFrame([(e["mae"], e["rmse"]) for e, _ in done], "mae double, rmse double")
+        return ranked(np.mean([w for _, w in done], axis=0).tolist(), names, spark), stat(per)
     found = fits(spark, table, [(f,) for f in range(folds)], held, lambda x, n, s, job: boosted(x, n, s, **settings))
     wide = errors(marked, table, pd.DataFrame(dict(enumerate(found["preds"]))), F.lit(True)).withColumn("f", F.pmod("part", F.lit(folds)))
     e = F.element_at("preds", F.col("f") + 1) - F.col("label")
     per = wide.groupBy("f").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    bounds = per.agg(*[F.round(a(c), 6).alias(f"{c}_{n}") for c in ("mae", "rmse") for a, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    bounds = stat(per)
     return ranked(np.mean(found["importances"].tolist(), axis=0).tolist(), names, spark), bounds
 
 
@@ -272,17 +318,23 @@ def held_out_groups(rows: DataFrame, target: str, names: list[str], group: str,
 
     spark = rows.sparkSession
     marked, table = cells(rows, names, target, F.col(group))
-    groups = sorted(table["part"].dropna().unique().tolist())
+    groups = sorted(table["part"].dropna().unique().tolist()) if table is not None else sorted(r[0] for r in marked.where("part IS NOT NULL").select("part").distinct().collect())
     empty = f"{group} string, n long, actual_mean double, predicted_mean double, absolute_error double, low double, high double, is_boundary boolean"
     if not groups:
         return spark.createDataFrame([], empty)
 
-    held = lambda parts, job: parts == groups[job[0]]
-    found = fits(spark, table, [(g,) for g in range(len(groups))], held, lambda x, n, s, job: forest(x, n, s, trees, depth))
-    own = pd.DataFrame({"p": [found["preds"][groups.index(g)][i] if g in groups else 0.0 for i, g in enumerate(table["part"])]})
-    wide = errors(marked, table, own, F.col("part").isNotNull())
-    p = F.get("preds", F.lit(0))
-    stats = wide.groupBy("part").agg(F.count("*").alias("n"), F.avg("label").alias("a"), F.avg(p).alias("p"), F.stddev_samp(p - F.col("label")).alias("s")).toPandas()
+    if table is None:
+        data = assembled(marked, len(names)).cache()
+        own = F.col("part")
+        stats = pd.DataFrame([{"part": g} | ml_errors(data, ml_forest(trees, depth), ~own.eqNullSafe(F.lit(g)), own == F.lit(g))[0] for g in groups])
+        data.unpersist()
+    else:
+        held = lambda parts, job: parts == groups[job[0]]
+        found = fits(spark, table, [(g,) for g in range(len(groups))], held, lambda x, n, s, job: forest(x, n, s, trees, depth))
+        own = pd.DataFrame({"p": [found["preds"][groups.index(g)][i] if g in groups else 0.0 for i, g in enumerate(table["part"])]})
+        wide = errors(marked, table, own, F.col("part").isNotNull())
+        p = F.get("preds", F.lit(0))
+        stats = wide.groupBy("part").agg(F.count("*").alias("n"), F.avg("label").alias("a"), F.avg(p).alias("p"), F.stddev_samp(p - F.col("label")).alias("s")).toPandas()
     out = []
     for r in stats.sort_values("part").itertuples():
         half = t_quantile(spark, 0.975, r.n - 1) * (r.s if r.s == r.s else 0.0) / r.n**0.5 if r.n > 1 else 0.0

@@ -95,3 +95,39 @@ def test_model_queries_fit_with_full_sizes(spark, monkeypatch):
     # grid times folds, the best one's folds, the last fit
     assert jobs == [36, 10, 1, 60, 10, 1, 10, 3]
     assert sizes == [500] * 6 + [300, 100]
+
+
+def test_many_cells_keep_every_row(spark, monkeypatch):
+    """More cells than a table may have: the fits are those of pyspark.ml over all rows, at the same bins."""
+    n = F.col("id")
+    names = [f"x{k}" for k in range(14)]
+    wide = spark.range(120_000, numPartitions=4).select(n.alias("key"), *[(F.pmod(F.xxhash64(F.lit(k), n), F.lit(40)) / 40).alias(f"x{k}") for k in range(14)])
+    wide = wide.withColumn("y", F.col("x3") * 2).withColumn("g", F.when(F.col("key") % 3 == 0, "p").otherwise("q"))
+    marked, table = trees.cells(wide, names, "y", F.col("g"))
+    assert table["n"].sum() == 120_000 and marked.agg(F.countDistinct("b3")).first()[0] == 40
+    monkeypatch.setattr(trees, "MAX_CELLS", 1 << 16)
+    marked, table = trees.cells(wide, names, "y", F.col("g"))
+    assert table is None and marked.count() == 120_000 and marked.agg(F.countDistinct("b3")).first()[0] == 40
+    groups = {r["g"]: r for r in trees.held_out_groups(wide, "y", names, "g", trees=2, depth=6).collect()}
+    assert (groups["p"]["n"], groups["q"]["n"]) == (40_000, 80_000) and all(r["absolute_error"] < 0.1 for r in groups.values())
+    # the searches give the same answers either way
+    rows = spark.range(900).select(n.alias("key"), (n % 10).cast("double").alias("a"), (n % 7).cast("double").alias("b")).withColumn("y", F.col("a") * 2)
+    search = lambda: trees.forest_search(rows, "y", ["a", "b"], "key", {"depth": [1, 8], "least_leaf": [1], "features": [None]}, 20, 2, 3)
+    boost = lambda: trees.boosted_search(rows, "y", ["a", "b"], "key", 2, rounds=20, rate=0.3)
+    for found in (search, boost):
+        one = found()
+        with monkeypatch.context() as m:
+            m.setattr(trees, "MAX_CELLS", 5)
+            other = found()
+        for weight, bounds in (one, other):
+            assert weight.first()["feature"] == "a" and bounds.first()["mae_mean"] < 0.5
+    assert other[0].count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_registered_model_queries_fit(spark):
+    """The boosted query and the held-out groups as they are registered, fitted for real."""
+    rows = plans.QUERIES["q149_boosted"](spark, SF).collect()
+    assert len(rows) == 6 and sum(r["importance"] for r in rows) == pytest.approx(1, abs=1e-4) and 0 < rows[0]["mae_mean"] < 0.3
+    groups = plans.QUERIES["q151_held_out_groups"](spark, SF).collect()
+    assert len(groups) == 3 and sum(r["n"] for r in groups) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
