@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,21 +229,26 @@ def training_rows(docs: DataFrame, id_col: str, modulus: int = 3, held_out: int
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Fits on about sample_docs whole labelled documents of each language, chosen by a hash of the id, sample_chars code points at most.
+    """Fits on about sample_docs labelled documents of each language, chosen by a hash of id and text, sample_chars code points at most.
 
-    The sample is all that reaches the driver. Documents held out by training_rows() never do.
+    Both bounds hold on the executors, before anything is collected: documents are taken in order of their hash
+    until a language has its code points, and the last one is cut there. Rows that repeat id and text count
+    once; rows without an id are drawn by their texts. The sample is all that reaches the driver. Documents held
+    out by training_rows() never do.
     """
     rows = docs.where(training_rows(docs, id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    key = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    rows = rows.select(key.alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return fit({})
     rate = F.element_at(F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / v)))]), F.col("lang"))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.lit(1 << 30)) < rate * (1 << 30)
+    drawn = rows.where(F.pmod("key", F.lit(1 << 30)) < rate * (1 << 30)).groupBy("lang", "key").agg(F.min(F.substring("text", 1, sample_chars)).alias("text"))
+    before = F.coalesce(F.sum(F.char_length("text")).over(Window.partitionBy("lang").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounded = drawn.withColumn("before", before).where(F.col("before") < sample_chars)
     samples: dict[str, list[str]] = {k: [] for k in n}
-    for r in sorted(rows.where(drawn).select("lang", "id", "text").collect(), key=lambda r: (str(r["id"]), r["text"])):
-        if sum(map(len, samples[r["lang"]])) < sample_chars:
-            samples[r["lang"]].append(r["text"])
+    for r in bounded.select("lang", "key", F.substring("text", F.lit(1), (F.lit(sample_chars) - F.col("before")).cast("int")).alias("text")).orderBy("lang", "key").collect():
+        samples[r["lang"]].append(r["text"])
     return fit(samples)
 
 

@@ -387,3 +387,13 @@ def test_exact_dedup_counts_once_after_a_failure(spark, monkeypatch, step, name)
     assert last == [(300, 300, 2, True)]
     state = exact_dedup.DedupState(spark, path, weak)
     assert not state._epochs() and len(os.listdir(f"{path.removeprefix('file://')}/groups")) == 2
+
+
+def test_langid_sample_is_bounded_before_it_is_collected(spark, monkeypatch):
+    """Very long documents, rows without ids and many copies of one row: the sample has its code points and no more, and every language has one."""
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda samples: seen.update(samples))
+    rows = [(i, f"long{i} " * 5000, "en") for i in range(60)] + [(None, f"kein name {i}", "de") for i in range(500)] + [(7, "copie", "fr")] * 300 + [(1, None, "es"), (2, "sin", None)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), sample_docs=30, sample_chars=100_000)
+    assert sum(map(len, seen["en"])) == 100_000 and 5 < len(seen["de"]) < 100 and len(set(seen["de"])) == len(seen["de"]) and set(seen) <= {"en", "de", "fr"}
+    assert len(seen.get("fr", [])) <= 1
