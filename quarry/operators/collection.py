@@ -53,6 +53,26 @@ def refill_target(docs: Column) -> Column:
     return clamp(docs + 8, 14, 48).cast("int")
 
 
+# By source type, domain and primary source ('' is any), after how many keywords without growth a
+# collection has reached its plateau: (at most, at least, keywords for one more).
+PLATEAUS = [
+    ("technical", "technology", "", 12, 6, 80), ("technical", "history", "", 24, 14, 20), ("technical", "", "", 12, 8, 25), ("news", "history", "", 20, 14, 20),
+    ("news", "", "", 10, 8, 14), ("academic", "", "wikipedia", 20, 8, 25), ("academic", "", "", 20, 10, 12), ("", "", "", 40, 12, 6),
+]
+
+
+def plateau_limit(source_type: Column, domain: Column, primary: Column, keywords: Column) -> Column:
+    """How many keywords in a row may bring nothing new before a collection stops, by the number of its keywords; the first line of PLATEAUS that fits."""
+    out = None
+    for kind, dom, prime, most, least, per in PLATEAUS:
+        fits = F.lit(True)
+        for c, v in ((source_type, kind), (domain, dom), (primary, prime)):
+            fits = fits if v == "" else fits & F.coalesce(F.lower(F.trim(c)) == v, F.lit(False))
+        limit = F.least(F.lit(most), F.greatest(F.lit(least), F.floor(keywords / per))).cast("int")
+        out = F.when(fits, limit) if out is None else out.when(fits, limit)
+    return out
+
+
 def news_query(keyword: Column, domain: Column, negatives: bool = True) -> Column:
     """Keyword, the domain's anchors and, where asked, what it excludes."""
     key = F.lower(F.trim(text_or_empty(domain)))

@@ -48,6 +48,12 @@ def condition_tree(per_query: DataFrame, names: list[str]) -> DataFrame:
     return flat.select("condition_id", "n_records", tree.alias("metrics"))
 
 
+def condition_queries(bank: DataFrame) -> DataFrame:
+    """(condition_id, query_id, domain): every query of bank(query_id, domain) for every condition of its domain; the twelve conditions are the side that is small."""
+    dim = conditions(bank.sparkSession).select("condition_id", F.col("domain").alias("__domain"))
+    return bank.join(F.broadcast(dim), F.lower(F.trim("domain")) == F.col("__domain")).select("condition_id", "query_id", "domain")  # twelve rows
+
+
 def metric_mean(metric: str, tree: str = "metrics") -> Column:
     """A metric's mean out of the tree; null where the tree does not have it."""
     return F.try_element_at(F.col(tree), F.lit(metric))["mean"]

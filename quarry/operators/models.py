@@ -91,35 +91,66 @@ def simple_regression(rows: DataFrame, by: list[str], y: str, x: str) -> DataFra
     return s.select(*by, *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "n")
 
 
+#: Bins that a group's range of x is cut into for the curves that need more than sums.
+CURVE_BINS = 4096
+
+
 def decay_fits(rows: DataFrame, by: str, x: str, y: str, least: int = 4) -> DataFrame:
-    """(by, curve, params, r2): quadratic by its equations, exponential and logistic by damped Gauss-Newton on binned means.
+    """(by, curve, params, r2): polynomial (quadratic) by its exact equations, exponential and logistic by damped Gauss-Newton.
 
-    Rows are first combined to (x to three decimals, n, sum), so that a group of any size fits in one task.
+    The quadratic needs sums of powers only, which are taken over all rows. The other two are fitted to the means
+    of CURVE_BINS bins of the group's own range of x, each at the mean of its x, so that the unit of x does not
+    matter and a group of any size is a table of bounded size in one task. R2 is over all rows. Null and NaN
+    values are left out; groups with fewer than least rows or three different x have no fit.
     """
     import pandas as pd
 
-    bins = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, F.round(x, 3).alias("x")).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
+    t, v = F.col(x).cast("double"), F.col(y).cast("double")
+    picked = rows.where(t.isNotNull() & v.isNotNull() & ~F.isnan(t) & ~F.isnan(v)).select(F.col(by).alias("__by"), t.alias("__x"), v.alias("__y"))
+    ends = picked.groupBy(F.col("__by").alias("__key")).agg(F.min("__x").alias("__low"), F.max("__x").alias("__high"))
+    # x from 0 to 1 within its group, so that powers are of one size
+    unit = F.when(F.col("__high") > F.col("__low"), (F.col("__x") - F.col("__low")) / (F.col("__high") - F.col("__low"))).otherwise(0.0)
+    both = picked.join(ends, F.col("__by").eqNullSafe(F.col("__key"))).withColumn("__u", unit)
+    u, w = F.col("__u"), F.col("__y")
+    powers = [F.sum(F.pow(u, F.lit(float(k)))).alias(f"p{k}") for k in range(1, 5)] + [F.sum(F.pow(u, F.lit(float(k))) * w).alias(f"q{k}") for k in range(1, 3)]
+    bins = both.groupBy("__by", F.least(F.floor(u * CURVE_BINS), F.lit(CURVE_BINS - 1)).alias("__bin")).agg(
+        F.first("__low").alias("low"), F.first("__high").alias("high"), F.count("*").alias("n"), F.sum(w).alias("sy"), F.sum(w * w).alias("syy"), *powers, F.min(u).alias("least"), F.max(u).alias("most")
+    )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, t = pdf["n"].to_numpy(float), pdf["x"].to_numpy(float)
-        m = pdf["sy"].to_numpy(float) / n
-        total = pdf["syy"].sum() - pdf["sy"].sum() ** 2 / n.sum()
-        within = pdf["syy"].sum() - (pdf["sy"] ** 2 / n).sum()
-        if n.sum() < least or len(t) < 3:
-            return pd.DataFrame({by: [], "curve": [], "params": [], "r2": []})
-        w = np.sqrt(n)
+        key = pdf["__by"].iloc[0]
+        n = pdf["n"].to_numpy(float)
+        whole = {c: float(pdf[c].sum()) for c in ("sy", "syy", *(f"p{k}" for k in range(1, 5)), "q1", "q2")}
+        count, low, span = float(n.sum()), float(pdf["low"].iloc[0]), float(pdf["high"].iloc[0] - pdf["low"].iloc[0])
+        different = len(set(pdf["least"]) | set(pdf["most"]))
+        if count < least or different < 3:
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({by: none, "curve": none, "params": none, "r2": pd.Series([], dtype=float)})
+        total = whole["syy"] - whole["sy"] ** 2 / count
+        t, m = pdf["p1"].to_numpy() / n, pdf["sy"].to_numpy(float) / n
+        within = whole["syy"] - float((m * m * n).sum())
+        a = np.array([[whole["p4"], whole["p3"], whole["p2"]], [whole["p3"], whole["p2"], whole["p1"]], [whole["p2"], whole["p1"], count]])
+        c = np.linalg.lstsq(a, np.array([whole["q2"], whole["q1"], whole["sy"]]), rcond=None)[0]
+        left = whole["syy"] - 2 * c @ [whole["q2"], whole["q1"], whole["sy"]] + c @ a @ c
+        # from the unit interval back to x
+        quad = [c[0] / span**2, c[1] / span - 2 * c[0] * low / span**2, c[2] - c[1] * low / span + c[0] * low**2 / span**2]
+        out = [("polynomial", quad, left)]
+        root = np.sqrt(n)
         exp_ = lambda p: p[0] * np.exp(np.clip(-p[1] * t, -50, 50)) + p[2]
         log_ = lambda p: p[0] / (1 + np.exp(np.clip(-p[1] * (t - p[2]), -50, 50)))
-        quad = np.linalg.lstsq(np.stack([t * t, t, np.ones_like(t)], 1) * w[:, None], m * w, rcond=None)[0]
-        out = [("polynomial", quad, np.polyval(quad, t))]
-        for name, f, start in (("exponential", exp_, [m.max() - m.min() + 1e-3, 1.0, m.min()]), ("logistic", log_, [max(m.max(), 1e-3), 1.0, float(np.average(t, weights=n))])):
+        # fitted over the unit interval, so that the unit of x does not matter, and told in x
+        curves = (
+            ("exponential", exp_, [m.max() - m.min() + 1e-3, 1.0, m.min()], lambda p: [p[0] * np.exp(np.clip(p[1] * low / span, -50, 50)), p[1] / span, p[2]]),
+            ("logistic", log_, [max(m.max(), 1e-3), 1.0, float(np.average(t, weights=n))], lambda p: [p[0], p[1] / span, low + span * p[2]]),
+        )
+        for name, f, start, told in curves:
             p, damp = np.array(start, float), 1e-2
             best = ((m - f(p)) ** 2 * n).sum()
             for _ in range(200):
                 base = f(p)
-                jac = np.stack([(f(p + h) - base) / 1e-6 for h in np.eye(3) * 1e-6], 1) * w[:, None]
-                a = jac.T @ jac
-                step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-9), jac.T @ ((m - base) * w), rcond=None)[0]
+                jac = np.stack([(f(p + h) - base) / 1e-6 for h in np.eye(3) * 1e-6], 1) * root[:, None]
+                h = jac.T @ jac
+                step = np.linalg.lstsq(h + damp * np.diag(np.diag(h) + 1e-9), jac.T @ ((m - base) * root), rcond=None)[0]
                 now = ((m - f(p + step)) ** 2 * n).sum()
                 if now < best:
                     done = best - now < 1e-12 * (1 + best)
@@ -130,8 +161,32 @@ def decay_fits(rows: DataFrame, by: str, x: str, y: str, least: int = 4) -> Data
                     damp *= 4
                     if damp > 1e12:
                         break
-            out.append((name, p, f(p)))
-        r2 = [1 - (within + ((m - g) ** 2 * n).sum()) / total if total > 0 else 0.0 for _, _, g in out]
-        return pd.DataFrame({by: pdf[by].iloc[0], "curve": [c for c, _, _ in out], "params": [[round(float(v), 6) for v in p] for _, p, _ in out], "r2": [round(float(v), 6) for v in r2]})
+            out.append((name, told(p), within + best))
+        r2 = [1 - rest / total if total > 0 else 0.0 for _, _, rest in out]
+        return pd.DataFrame({by: [key] * len(out), "curve": [c for c, _, _ in out], "params": [[round(float(v), 6) for v in p] for _, p, _ in out], "r2": [round(float(v), 6) for v in r2]})
+
+    return bins.groupBy("__by").applyInPandas(fit, f"{by} {rows.schema[by].dataType.simpleString()}, curve string, params array<double>, r2 double")
+
+
+#: The targets that have the long list of features, with squares and what retrieval told; others have the short one.
+LONG_TARGETS = ["human_eval_score"]
+RETRIEVAL = ["avg_similarity", "min_similarity", "relevant_doc_count", "n_docs"]
+
+
+def feature_set(target: str, available: list[str]) -> list[str]:
+    """The features of a target's models, of those that the frame has."""
+    wanted = [*BASE, *RETRIEVAL, *(SQUARES if target in LONG_TARGETS else [])]
+    return [c for c in wanted if c in available]
+
 
-    return bins.groupBy(by).applyInPandas(fit, f"{by} {rows.schema[by].dataType.simpleString()}, curve string, params array<double>, r2 double")
+def fan_out(rows: DataFrame, targets: list[str], fit) -> DataFrame:
+    """fit(rows, target, names) for each target that the frame has and that some row has a value of, with its name before the result's columns; the targets are few."""
+    there = rows.agg(F.lit(0), *[F.count(t).alias(t) for t in targets if t in rows.columns]).first()
+    out = None
+    for t in [t for t in targets if t in rows.columns and there[t]]:
+        one = fit(rows, t, feature_set(t, rows.columns))
+        one = one.select(F.lit(t).alias("target"), *one.columns)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError(f"no row has a value of any of {targets}")
+    return out

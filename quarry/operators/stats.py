@@ -54,6 +54,15 @@ def one_way(cells: DataFrame, by: list[str], group: str) -> DataFrame:
     return s.select(*by, "k", "n", F.round(f, 6).alias("f"), F.round(eta, 6).alias("eta_squared"), interpret_eta(eta).alias("effect"))
 
 
+def one_way_fallback(cells: DataFrame, by: list[str], factors: list[str]) -> DataFrame:
+    """(by..., factor, k, n, f, eta_squared, effect): a one-way test of each factor by itself, for tables that a two-way test can't be made of; factors with one level have no row."""
+    out = None
+    for x in factors:
+        one = one_way(cells, by, x).where("k > 1").withColumn("factor", F.lit(x))
+        out = one if out is None else out.unionByName(one)
+    return out.select(*by, "factor", "k", "n", "f", "eta_squared", "effect")
+
+
 def with_p(tests: DataFrame, by: list[str]) -> DataFrame:
     """Adds p to one_way() results, a row per test; the few rows go through the driver."""
     spark = tests.sparkSession

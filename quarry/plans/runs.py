@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import dates, urls
-from quarry.functions.text import clean_text_sql
+from quarry.functions.text import clean_text_sql, excerpt
 from quarry.functions.urls import SKIPPED
-from quarry.operators import charts, crawl, indexes, pipeline, questions
+from quarry.operators import charts, collection, crawl, dashboard, indexes, pipeline, questions
+from quarry.operators.experiment import condition_queries
 from quarry.operators.quality import REASONS
 from quarry.operators.retrieval import relevance_label, top_k
 from quarry.plans.corpora import CLEANED_SQL, DOCS_SQL, KEYWORDS, RELEVANT_SQL
@@ -217,3 +218,111 @@ def q026_means(spark, d):
     )
     wanted = {"conditions": ["condition"], "domains": ["domain"], "sources": ["domain", "source"], "decay": ["domain", "age_bin"], "heat": ["age_bin", "sdi_bin"]}
     return charts.chart_frames(r, wanted, ["precision_at_5", "latency"])
+
+
+@query("q021_saved_tables", "SELECT fmt, n_regionkey AS region, count(*) AS n, sum(n_nationkey)::BIGINT AS keys, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation, (SELECT unnest(['csv', 'json', 'parquet']) AS fmt) GROUP BY ALL")
+def q021(spark, d):
+    """A table saved as JSON, CSV and Parquet, each replaced as a whole, and read back."""
+    base, out = new_path(spark, "saved"), None
+    for kind, end in (("json", ".json"), ("csv", ".csv"), ("parquet", "")):
+        artifacts.write_table(table(spark, d, "region"), f"{base}/nation{end}")
+        artifacts.write_table(table(spark, d, "nation"), f"{base}/nation{end}")
+        n = artifacts.read_table(spark, f"{base}/nation{end}").groupBy(F.col("n_regionkey").cast("int").alias("region"))
+        one = n.agg(F.count("*").alias("n"), F.sum(F.col("n_nationkey").cast("long")).alias("keys"), F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names")).withColumn("fmt", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("q049_excerpts", "SELECT doc_id, md5(substr(coalesce(text, ''), 1, 1000)) AS whole, md5(substr(coalesce(text, ''), 1, CASE WHEN doc_id % 2 = 0 THEN 700 ELSE 1000 END)) AS cut FROM documents")
+def q049(spark, d):
+    n = F.when(F.col("doc_id") % 2 == 0, 700).otherwise(1000)
+    return table(spark, d, "documents").select("doc_id", F.md5(excerpt(F.col("text"), 1000)).alias("whole"), F.md5(excerpt(F.col("text"), n)).alias("cut"))
+
+
+PAPER_SQL = "CASE WHEN doc_id % 3 = 0 THEN 'https://arxiv.org/abs/' || source || '/' || doc_id WHEN doc_id % 3 = 1 THEN 'http://arxiv.org/abs/24' || doc_id || 'v1?x=1' ELSE 'https://example.org/' || doc_id END"
+
+
+@query("q015_pdf_columns", f"""WITH d AS (SELECT doc_id, {PAPER_SQL} AS url, CASE WHEN doc_id % 5 = 0 THEN 'https://arxiv.org/pdf/p-' || doc_id || '+.pdf' END AS given FROM documents),
+p AS (SELECT *, coalesce(given, 'https://arxiv.org/pdf/' || nullif(regexp_extract(url, 'arxiv\\.org/abs/([^/?#]+)', 1), '') || '.pdf') AS pdf_url FROM d),
+n AS (SELECT *, CASE WHEN pdf_url IS NOT NULL THEN regexp_replace(coalesce(nullif(replace(regexp_extract(pdf_url, 'arxiv\\.org/(?:pdf|abs)/([^/?#]+)', 1), '.pdf', ''), ''), doc_id::VARCHAR), '[^A-Za-z0-9._-]', '_', 'g') || '.pdf' END AS pdf_file_name FROM p)
+SELECT doc_id, pdf_url, pdf_file_name, 'raw/pdfs/tech/' || pdf_file_name AS pdf_file_path, CASE WHEN pdf_url IS NOT NULL THEN pdf_file_name IN (SELECT '24' || doc_id || 'v1.pdf' FROM documents WHERE doc_id % 2 = 1) END AS pdf_available FROM n""")
+def q015(spark, d):
+    """Addresses, names and presence of papers' files (#15)."""
+    n = F.col("doc_id")
+    s = n.cast("string")
+    url = F.when(n % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/"), "source", F.lit("/"), s)).when(n % 3 == 1, F.concat(F.lit("http://arxiv.org/abs/24"), s, F.lit("v1?x=1"))).otherwise(F.concat(F.lit("https://example.org/"), s))
+    docs = table(spark, d, "documents").select("doc_id", s.alias("id"), url.alias("url"), F.when(n % 5 == 0, F.concat(F.lit("https://arxiv.org/pdf/p-"), s, F.lit("+.pdf"))).alias("pdf_url"))
+    present = table(spark, d, "documents").where("doc_id % 2 = 1").select(F.concat(F.lit("24"), s, F.lit("v1.pdf")).alias("name"))
+    return feeds.pdf_columns(docs, "tech", present).select("doc_id", "pdf_url", "pdf_file_name", "pdf_file_path", "pdf_available")
+
+
+@query("q081_condition_queries", f"WITH b AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'technology' WHEN 1 THEN 'healthcare' ELSE 'history' END AS domain FROM benchmark), c(condition_id, domain) AS (VALUES {', '.join(f"('{c[0]}', '{c[1]}')" for c in CONDITIONS)}) SELECT condition_id, item_id AS query_id, domain FROM c JOIN b USING (domain)")
+def q081_rows(spark, d):
+    """The queries that each condition is asked: its domain's bank."""
+    n = F.col("item_id")
+    bank = table(spark, d, "benchmark").select(n.alias("query_id"), F.when(n % 3 == 0, "technology").when(n % 3 == 1, "healthcare").otherwise("history").alias("domain"))
+    return condition_queries(bank)
+
+
+HELD_SQL = """held AS (SELECT o_orderpriority AS metric, 'C' || (o_custkey % 12 + 1) AS condition_id, ['technology', 'healthcare', 'history'][(o_custkey % 12 // 4 + 1)::INT] AS domain, round(avg(o_totalprice)::DECIMAL(38,12), 4)::DOUBLE AS actual, round(avg(o_orderkey % 2000 + 190000)::DECIMAL(38,12), 4)::DOUBLE AS predicted FROM orders GROUP BY ALL),
+marked AS (SELECT *, abs(actual - predicted) > 4000 AS is_boundary FROM held)"""
+
+
+def _held_out(spark, d):
+    n = F.col("o_custkey") % 12
+    mean = lambda c: F.round(F.avg(c).cast("decimal(38,12)"), 4).cast("double")
+    o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("metric"), F.concat(F.lit("C"), (n + 1).cast("string")).alias("condition_id"), F.when(n < 4, "technology").when(n < 8, "healthcare").otherwise("history").alias("domain"))
+    held = o.agg(mean(F.col("o_totalprice")).alias("actual"), mean(F.col("o_orderkey") % 2000 + 190000).alias("predicted"))
+    return held.withColumn("is_boundary", F.abs(F.col("actual") - F.col("predicted")) > 4000)
+
+
+@query("q163_validation", f"WITH {HELD_SQL} SELECT domain, count(*) FILTER (is_boundary) AS boundary_conditions, count(*) AS n, count(*) FILTER (is_boundary) = 0 AS reliable FROM marked GROUP BY domain")
+def q163_validation(spark, d):
+    return dashboard.validation_counts(_held_out(spark, d))
+
+
+@query("q163_boundaries", f"WITH {HELD_SQL} SELECT metric, condition_id, domain, actual, predicted FROM marked WHERE is_boundary")
+def q163_boundaries(spark, d):
+    return dashboard.boundaries(_held_out(spark, d))
+
+
+ERRORS_SQL = "err AS (SELECT ['ols', 'rf', 'xgb'][(user_id % 3 + 1)::INT] AS model, event_type AS metric, round(avg(value)::DECIMAL(38,12), 1)::DOUBLE AS mae, round(stddev_samp(value)::DECIMAL(38,12), 1)::DOUBLE AS r2 FROM events WHERE NOT (event_type = 'click' AND user_id % 3 = 1) GROUP BY ALL)"
+
+
+def _errors(spark, d):
+    m = F.col("user_id") % 3
+    one = lambda c: F.round(c.cast("decimal(38,12)"), 1).cast("double")
+    rows = table(spark, d, "events").where(~((F.col("event_type") == "click") & (m == 1)))
+    return rows.groupBy(F.when(m == 0, "ols").when(m == 1, "rf").otherwise("xgb").alias("model"), F.col("event_type").alias("metric")).agg(one(F.avg("value")).alias("mae"), one(F.stddev_samp("value")).alias("r2"))
+
+
+@query("q163_model_comparison", f"WITH {ERRORS_SQL}, w AS (SELECT metric, {', '.join(f"coalesce(max(mae) FILTER (model = '{m}'), 0) AS {m}_mae" for m in dashboard.MODELS)}, coalesce(max(r2) FILTER (model = 'ols'), 0) AS ols_r2 FROM err GROUP BY metric), b AS (SELECT *, least(nullif(ols_mae, 0), nullif(rf_mae, 0), nullif(xgb_mae, 0)) AS best_mae FROM w) SELECT *, CASE best_mae WHEN ols_mae THEN 'ols' WHEN rf_mae THEN 'rf' ELSE 'xgb' END AS best_model FROM b")
+def q163_models(spark, d):
+    """Errors of the three kinds of models beside each other, with the best (#163, #165)."""
+    return dashboard.model_comparison(_errors(spark, d))
+
+
+@query("q163_summary", f"WITH {HELD_SQL}, {ERRORS_SQL} SELECT (SELECT count(DISTINCT condition_id) FROM marked) AS conditions, (SELECT count(DISTINCT domain) FROM marked) AS domains, (SELECT count(*) FROM err WHERE model = 'ols') AS n_metrics, (SELECT max(mae) FROM err WHERE model = 'ols') AS most_mae, (SELECT string_agg(domain || '=' || n, ',' ORDER BY domain) FROM (SELECT domain, count(*) AS n FROM marked WHERE is_boundary GROUP BY domain)) AS boundaries, (SELECT round(avg(k), 4) FROM (SELECT event_type, round(avg(value) / 100, 6) AS k FROM events GROUP BY 1)) AS kappa")
+def q163_summary(spark, d):
+    pairs = table(spark, d, "events").groupBy(F.col("event_type").alias("pair")).agg(F.round(F.avg("value") / 100, 6).alias("kappa"))
+    one = dashboard.summary(_errors(spark, d), _held_out(spark, d), pairs)
+    text_of = F.array_join(F.transform(F.map_entries("boundary_conditions"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return one.select("conditions", "domains", F.size("metrics").cast("long").alias("n_metrics"), F.array_max(F.transform(F.map_values("metrics"), lambda v: v["mae"])).alias("most_mae"), text_of.alias("boundaries"), "kappa")
+
+
+@query("q165_importances", "SELECT metric, model, (row_number() OVER (PARTITION BY metric, model ORDER BY importance DESC, feature))::INT AS place, feature, importance FROM (SELECT o_orderpriority AS metric, o_orderstatus AS model, 'f' || (o_custkey % 9) AS feature, count(*)::DOUBLE AS importance FROM orders GROUP BY ALL)")
+def q165_importances(spark, d):
+    w = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("metric"), F.col("o_orderstatus").alias("model"), F.concat(F.lit("f"), (F.col("o_custkey") % 9).cast("string")).alias("feature")).agg(F.count("*").cast("double").alias("importance"))
+    return dashboard.importances(w)
+
+
+@query("q098_plateaus", """SELECT o_orderkey, CASE WHEN k = 'technical' AND dom = 'technology' THEN least(12, greatest(6, n // 80)) WHEN k = 'technical' AND dom = 'history' THEN least(24, greatest(14, n // 20)) WHEN k = 'technical' THEN least(12, greatest(8, n // 25))
+  WHEN k = 'news' AND dom = 'history' THEN least(20, greatest(14, n // 20)) WHEN k = 'news' THEN least(10, greatest(8, n // 14)) WHEN k = 'academic' AND p = 'wikipedia' THEN least(20, greatest(8, n // 25)) WHEN k = 'academic' THEN least(20, greatest(10, n // 12)) ELSE least(40, greatest(12, n // 6)) END::INT AS most
+FROM (SELECT o_orderkey, ['technical', 'news', 'academic', 'other'][(o_orderkey % 4 + 1)::INT] AS k, ['technology', 'healthcare', 'history'][(o_orderkey % 3 + 1)::INT] AS dom, CASE WHEN o_custkey % 2 = 0 THEN 'wikipedia' ELSE 'arxiv' END AS p, o_custkey AS n FROM orders)""")
+def q098_plateaus(spark, d):
+    """After how many keywords without growth each collection stops."""
+    n = F.col("o_orderkey")
+    kind = F.when(n % 4 == 0, "technical").when(n % 4 == 1, "news").when(n % 4 == 2, "academic").otherwise("other")
+    dom = F.when(n % 3 == 0, "technology").when(n % 3 == 1, "healthcare").otherwise("history")
+    primary = F.when(F.col("o_custkey") % 2 == 0, "wikipedia").otherwise("arxiv")
+    return table(spark, d, "orders").select("o_orderkey", collection.plateau_limit(kind, dom, primary, F.col("o_custkey")).alias("most"))

@@ -48,6 +48,12 @@ def q127(spark, d):
     return stats.two_way(cells(spark, d), "metric", "level", "volatility")
 
 
+@query("q129_fallback", f"WITH a AS (WITH {SS_SQL.replace('FROM events', "FROM events WHERE event_id % 3 = 0")} SELECT metric, k, n, f FROM ow) SELECT metric, 'level' AS factor, k, n, f FROM a")
+def q129(spark, d):
+    """Two one-way tests where a two-way one can't be made, as a factor has one level; that factor has no row."""
+    return stats.one_way_fallback(cells(spark, d).where("volatility = 'low'"), ["metric"], ["level", "volatility"]).select("metric", "factor", "k", "n", "f")
+
+
 @query("q130_tukey_distances", f"""WITH {CELLS_SQL}, g AS (SELECT metric, level, sum(n)::DOUBLE AS n, sum(n * mean) / sum(n) AS m, sum((n - 1) * std * std + n * mean * mean) AS q FROM cells GROUP BY ALL),
 v AS (SELECT *, greatest(0, (q - n * m * m) / (n - 1)) AS var, sum(n) OVER w - count(*) OVER w AS df, count(*) OVER w AS k FROM g WINDOW w AS (PARTITION BY metric)),
 e AS (SELECT *, sum((n - 1) * var) OVER (PARTITION BY metric) / df AS mse FROM v)

@@ -6,6 +6,8 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.storage import child_names, commit_file, read_small, stamp
 
@@ -25,10 +27,24 @@ def _a_record_a_line(spark: SparkSession, path: str) -> bool:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """An artifact by its name: JSON of either layout, CSV with a header, else Parquet."""
     kind = next((f for end, f in FORMATS.items() if path.endswith(end)), "parquet")
-    options = {"header": "true"} if kind == "csv" else {"multiLine": str(not _a_record_a_line(spark, path)).lower()} if kind == "json" else {}
+    options = {"header": "true", "multiLine": "true", "escape": '"'} if kind == "csv" else {"multiLine": str(not _a_record_a_line(spark, path)).lower()} if kind == "json" else {}
     return spark.read.format(kind).options(**options).load(path)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Replaces an artifact by its name, as read_table() reads it: JSON (a record a line), CSV with a header, else Parquet.
+
+    CSV has no nested values, so arrays, maps and structs become JSON text in it. The files are written by the
+    tasks that hold the rows.
+    """
+    kind = next((f for end, f in FORMATS.items() if path.endswith(end)), "parquet")
+    if kind == "csv":
+        nested = {f.name: F.to_json(F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+        df.withColumns(nested).write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    else:
+        df.write.mode("overwrite").format(kind).save(path)
+
+
 class Artifacts:
     """Artifacts that are read once while they stay as they are: an entry is known by path, length and time of change.
 

@@ -138,3 +138,30 @@ def human_queries(rows: DataFrame, known: list[str], seq: str = "seq") -> DataFr
     ok = rows.where(F.lower(F.trim("domain")).isin(known) & (F.trim(text.text_or_empty(F.col("question"))) != "") & (F.trim(text.text_or_empty(F.col("reference_answer"))) != ""))
     n = F.row_number().over(Window.partitionBy(F.lower(F.trim("domain"))).orderBy(seq))
     return ok.select(F.concat(F.lower(F.trim("domain")), F.lit("_h"), F.lpad(n.cast("string"), 6, "0")).alias("query_id"), F.lower(F.trim("domain")).alias("domain"), F.when(kind.isin("factual", "analytical", "comparative"), kind).otherwise("factual").alias("query_type"), F.trim("question").alias("question"), flag.alias("time_sensitive"), seq)
+
+
+def pdf_columns(docs: DataFrame, collection: str, present: DataFrame | None = None) -> DataFrame:
+    """docs(id, url, pdf_url) with pdf_url filled from an abstract's address, pdf_file_name, pdf_file_path and pdf_available.
+
+    A file is named by the paper's id, else by the record's, with other signs as underscores. present(name) are
+    the files that there are, such as the listing of a folder by the binaryFile source, and is joined by name; without it none
+    is available. Records without a paper have nulls.
+    """
+    paper = lambda c, pattern: F.nullif(F.regexp_extract(text.text_or_empty(c), pattern, 1), F.lit(""))
+    of_page = paper(F.col("url"), r"arxiv\.org/abs/([^/?#]+)")
+    link = F.coalesce(F.nullif(F.trim(text.text_or_empty(F.col("pdf_url"))), F.lit("")), F.concat(F.lit("https://arxiv.org/pdf/"), of_page, F.lit(".pdf")))
+    of_file = F.nullif(F.replace(paper(link, r"arxiv\.org/(?:pdf|abs)/([^/?#]+)"), F.lit(".pdf"), F.lit("")), F.lit(""))
+    stem = F.regexp_replace(F.coalesce(of_file, of_page, F.col("id"), F.lit("arxiv_doc")), r"[^A-Za-z0-9._-]", "_")
+    named = docs.withColumn("pdf_url", link).withColumn("pdf_file_name", F.when(F.col("pdf_url").isNotNull(), F.concat(stem, F.lit(".pdf"))))
+    named = named.withColumn("pdf_file_path", F.concat(F.lit(f"raw/pdfs/{collection}/"), "pdf_file_name"))
+    if present is None:
+        return named.withColumn("pdf_available", F.when(F.col("pdf_url").isNotNull(), False))
+    there = present.select(F.col("name").alias("__file")).distinct()
+    both = named.join(there, F.col("pdf_file_name") == F.col("__file"), "left")
+    return both.withColumn("pdf_available", F.when(F.col("pdf_url").isNotNull(), F.col("__file").isNotNull())).drop("__file")
+
+
+def folder_files(spark, path: str) -> DataFrame:
+    """(name, length) of the files of a folder, without reading what they hold."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
