@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import text_or_empty
 from quarry.functions.urls import search_query
+from quarry.operators.order import positions
 from quarry.operators.quality import first_wins
 from quarry.schema import lookup
 
@@ -178,13 +179,14 @@ def existing_policy(existing: DataFrame, fresh: DataFrame, key: str, policy: str
 def query_bank(candidates: DataFrame, total: int) -> DataFrame:
     """Of candidates(domain, query_id, query_type, time_sensitive, risk), each domain's quota by type, in order of a hash, with enough of them time-sensitive.
 
-    Where fewer than a fifth are, queries of low or medium risk are promoted, in order of the hash as well.
+    A query's id names it within its domain and type. Where fewer than a fifth are, queries of low or medium risk are promoted, in order of the hash as well.
     """
     c = F.col
     drawn = F.md5(F.concat_ws(":", "domain", "query_id"))
     quota = lookup({k: round(v * total) for k, v in QUOTAS.items()}, c("query_type"), 0)
-    nth = F.row_number().over(Window.partitionBy("domain", "query_type").orderBy(drawn, "query_id"))
-    bank = candidates.withColumn("nth", nth).where(c("nth") <= quota).drop("nth")
+    # candidates of a domain may be many; the bank, of total queries a domain at most, is not
+    light = positions(candidates.select("domain", "query_type", "query_id", drawn.alias("drawn")), ["domain", "query_type"], ["drawn", "query_id"], "nth")
+    bank = candidates.join(light.where(c("nth") < quota).select("domain", "query_type", "query_id"), ["domain", "query_type", "query_id"], "left_semi")
     have = bank.groupBy(c("domain").alias("d")).agg((F.floor(F.count("*") * TIME_SENSITIVE) - F.count_if("time_sensitive")).alias("need"))
     able = ~c("time_sensitive") & c("risk").isin("low", "medium")
     place = F.sum(able.cast("int")).over(Window.partitionBy("domain").orderBy(drawn, "query_id").rowsBetween(Window.unboundedPreceding, 0))

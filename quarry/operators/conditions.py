@@ -35,6 +35,16 @@ def prioritize(docs: DataFrame, least: int, most: int | None, as_of: str, strict
     return marked.orderBy(F.col("in_window").desc(), seq)
 
 
+def prioritized_places(docs: DataFrame, least: int, most: int | None, as_of: str, by: list[str], seq: str = "seq") -> DataFrame:
+    """(seq, by..., in_window, place): prioritize() as places from 1 within by, without bringing a group into one task."""
+    from quarry.operators.order import positions
+
+    age = dates.age_days(F.col("publication_date"), as_of)
+    light = docs.select(seq, *by, F.coalesce(in_window(age, F.lit(least), F.lit(most).cast("int")), F.lit(False)).alias("in_window"))
+    placed = positions(light.withColumn("__late", ~F.col("in_window")), by, ["__late", seq], "__place")
+    return placed.select(seq, *by, "in_window", (F.col("__place") + 1).cast("int").alias("place"))
+
+
 def candidates(docs: DataFrame, as_of: str) -> DataFrame:
     """Rows by condition: the condition's source types, in its order, and its age window. The dimension has twelve rows and is broadcast."""
     dim = conditions(docs.sparkSession).select("position", "condition_id", F.col("domain").alias("condition_domain"), F.col("freshness_label").alias("condition_label"), "min_age_days", "max_age_days", "source_configuration", F.posexplode("source_mix").alias("source_pos", "mix"))

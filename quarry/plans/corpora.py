@@ -147,10 +147,7 @@ def q072(spark, d):
 
 @query("q073_prioritize", f"WITH {AGED_SQL} SELECT seq, coalesce(age_days <= 365, false) AS in_window, (row_number() OVER (PARTITION BY domain ORDER BY coalesce(age_days <= 365, false) DESC, seq))::INT AS place FROM aged")
 def q073(spark, d):
-    from pyspark.sql import Window
-
-    m = cond.prioritize(corpus(spark, d), 0, 365, AS_OF)
-    return m.select("seq", "in_window", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("in_window"), "seq")).alias("place"))
+    return cond.prioritized_places(corpus(spark, d), 0, 365, AS_OF, ["domain"]).select("seq", "in_window", "place")
 
 
 @query("q083_dedup_title_start", f"WITH {CORPUS_SQL} SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY {NORM.format('title || chr(32) || substr(text, 1, 500)')} ORDER BY seq) AS r FROM corpus) WHERE r = 1")

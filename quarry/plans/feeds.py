@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.text import clean_text_sql
+from quarry.functions.urls import SKIPPED
 from quarry.plans.registry import query
 from quarry.sources import feeds
 from quarry.schema import table
@@ -73,13 +75,20 @@ def q008(spark, d):
     return feeds.crossref(_orders(spark, d).withColumn("p", p), "o_orderkey", "p")
 
 
-@query("q013_child_links", None)
+@query("q013_child_links", f"""WITH h AS (SELECT page_id, unnest(hs) AS h, unnest(range(len(hs))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS hs FROM pages)),
+l AS (SELECT page_id, regexp_replace(CASE WHEN starts_with(h, '/') THEN 'https://base.org' || h ELSE h END, '#.*$', '') AS link, i FROM h),
+o AS (SELECT page_id, link, min(i) AS i FROM l WHERE regexp_matches(link, '^https?://') AND link <> 'https://base.org/the' AND NOT ({' OR '.join(f"contains(lower(link), '{x}')" for x in SKIPPED)}) GROUP BY page_id, link),
+k AS (SELECT page_id, list(link ORDER BY i)[:16] AS links FROM o GROUP BY page_id) SELECT p.page_id, coalesce(links, []) AS links FROM pages p LEFT JOIN k USING (page_id)""")
 def q013(spark, d):
     """Links of pages (#9, #13), absolute, in order, the first sixteen."""
     return table(spark, d, "pages").select("page_id", feeds.child_links(F.col("html"), F.lit("https://base.org/x"), F.array(F.lit("https://base.org/the")), 16).alias("links"))
 
 
-@query("q014_article", None)
+META_SQL = lambda n: f"""nullif(regexp_extract(html, '(?i)<meta[^>]*(?:name|property)="{n}"[^>]*content="([^"]*)"', 1), '')"""
+
+
+@query("q014_article", f"""WITH a AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, coalesce({', '.join(META_SQL(n) for n in ('article:published_time', 'pubdate', 'date'))}, nullif(regexp_extract(html, '(?i)<time[^>]*datetime="([^"]*)"', 1), ''), '') AS publication_date, {clean_text_sql('html')} AS t FROM pages)
+SELECT page_id, title, publication_date, md5(CASE WHEN length(t) >= 120 THEN t ELSE '' END) AS digest FROM a""")
 def q014(spark, d):
     return feeds.article(table(spark, d, "pages"), "url", "html").select("page_id", "title", "publication_date", F.md5("text").alias("digest"))
 

@@ -130,14 +130,18 @@ def json_rows(spark, path: str, schema: str) -> DataFrame:
 
 
 def human_queries(rows: DataFrame, known: list[str], seq: str = "seq") -> DataFrame:
-    """Query records of a table read from CSV: unknown domains and empty texts are left out, ids count by domain."""
-    from pyspark.sql import Window
+    """Query records of a table read from CSV: unknown domains and empty texts are left out, ids count by domain in order of seq, which names a row. Domains are numbered over many tasks."""
+    from quarry.operators.order import positions
 
     kind = F.lower(F.trim("query_type"))
     flag = F.lower(F.trim(text.text_or_empty(F.col("time_sensitive")))).isin("true", "1", "yes")
-    ok = rows.where(F.lower(F.trim("domain")).isin(known) & (F.trim(text.text_or_empty(F.col("question"))) != "") & (F.trim(text.text_or_empty(F.col("reference_answer"))) != ""))
-    n = F.row_number().over(Window.partitionBy(F.lower(F.trim("domain"))).orderBy(seq))
-    return ok.select(F.concat(F.lower(F.trim("domain")), F.lit("_h"), F.lpad(n.cast("string"), 6, "0")).alias("query_id"), F.lower(F.trim("domain")).alias("domain"), F.when(kind.isin("factual", "analytical", "comparative"), kind).otherwise("factual").alias("query_type"), F.trim("question").alias("question"), flag.alias("time_sensitive"), seq)
+    filled = (F.trim(text.text_or_empty(F.col("question"))) != "") & (F.trim(text.text_or_empty(F.col("reference_answer"))) != "")
+    picked = rows.where(F.lower(F.trim("domain")).isin(known) & filled).select(
+        F.lower(F.trim("domain")).alias("domain"), F.when(kind.isin("factual", "analytical", "comparative"), kind).otherwise("factual").alias("query_type"), F.trim("question").alias("question"), flag.alias("time_sensitive"), F.col(seq).alias("seq")
+    )
+    placed = positions(picked, ["domain"], ["seq"], "place")
+    number = F.lpad((F.col("place") + 1).cast("string"), 6, "0")
+    return placed.select(F.concat(F.col("domain"), F.lit("_h"), number).alias("query_id"), "domain", "query_type", "question", "time_sensitive", F.col("seq").alias(seq))
 
 
 def pdf_columns(docs: DataFrame, collection: str, present: DataFrame | None = None) -> DataFrame:
