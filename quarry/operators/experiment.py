@@ -40,6 +40,25 @@ def query_metrics(runs: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+#: What is measured of a response.
+RESPONSE = ["meteor", "hallucination_rate", "source_attribution"]
+
+
+def response_metrics(pairs: DataFrame, by: list[str], response: str = "response", reference: str = "reference", passages: Column | None = None, sources: Column | None = None) -> DataFrame:
+    """(by..., meteor, hallucination_rate, source_attribution) of pairs, a row a response, in one pass.
+
+    passages is the array that claims are held against, the reference alone if not given; sources are the names
+    that a response may tell, none if not given. A response that is null counts as empty.
+    """
+    from quarry.operators import evaluation
+
+    rows = evaluation.meteor_batches(pairs, response, reference, "meteor")
+    text = F.coalesce(F.col(response), F.lit(""))
+    rate = evaluation.hallucination_rate(text, F.array(reference) if passages is None else passages)
+    told = evaluation.source_attribution(text, F.array().cast("array<string>") if sources is None else sources)
+    return rows.select(*by, "meteor", rate.alias("hallucination_rate"), told.alias("source_attribution"))
+
+
 def condition_tree(per_query: DataFrame, names: list[str]) -> DataFrame:
     """(condition_id, n_records, metrics): metrics maps a metric's name to (mean, std, n), from one aggregate by condition."""
     parts = [c for n in names for c in stats(F.col(n), n)]

@@ -193,6 +193,18 @@ def q174_hybrid(spark, d):
     return co.news_union(_news(spark, d), 80, "hybrid", queries=3)
 
 
+@query("q174_news_rss", f"WITH {FOUND_SQL}, taken AS (SELECT *, 0 AS a, variant AS v FROM nth WHERE provider <> 'gdelt' AND variant < 2 AND nth <= 12), " + FIRST_SQL.format(24))
+def q174_rss(spark, d):
+    """Both RSS feeds, two query variants."""
+    return co.news_union(_news(spark, d), 24, "rss", queries=2)
+
+
+@query("q174_news_history", f"WITH {FOUND_SQL}, t AS (SELECT *, 0 AS a, variant AS v FROM nth WHERE provider <> 'gdelt' AND variant < 1 AND nth <= 6), one AS (SELECT keyword, key FROM t WHERE coalesce(key, '') <> '' GROUP BY ALL), few AS (SELECT keyword FROM (SELECT DISTINCT keyword FROM nth) LEFT JOIN (SELECT keyword, least(count(*), 8) AS n FROM one GROUP BY keyword) USING (keyword) WHERE coalesce(n, 0) < 8), taken AS (SELECT * FROM t UNION ALL SELECT nth.*, 1, variant FROM nth JOIN few USING (keyword) WHERE provider = 'gdelt' AND nth <= 8), lim AS (SELECT keyword, CASE WHEN keyword IN (SELECT keyword FROM few) THEN 16 ELSE 8 END AS most FROM (SELECT DISTINCT keyword FROM nth)), " + FIRST_SQL.replace("SELECT * FROM done WHERE rank <= {0}", "SELECT keyword, provider, variant, seq, key, rank FROM done JOIN lim USING (keyword) WHERE rank <= most"))
+def q174_history(spark, d):
+    """Both RSS feeds, and the other feed for keywords that have fewer than eight rows then."""
+    return co.news_union(_news(spark, d), 8, "rss", history=True, least=8)
+
+
 @query("q166_rounds", "WITH a AS (SELECT (o_orderkey % 12)::INT AS round, o_orderkey AS seq, (o_custkey % 900)::VARCHAR AS key FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY seq) AS nth FROM a), c AS (SELECT * FROM n WHERE nth <= 600), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round, seq) AS g FROM c), r AS (SELECT round, count(*) FILTER (g = 1) AS new FROM f GROUP BY 1), s AS (SELECT *, sum(new) OVER (ORDER BY round) AS total, sum((new = 0)::INT) OVER (ORDER BY round ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS dry, row_number() OVER (ORDER BY round) AS no FROM r), stop AS (SELECT min(round) AS stop FROM s WHERE total >= 400 OR (dry = 2 AND no >= 2)), p AS (SELECT round, seq, key, (row_number() OVER (ORDER BY round, seq))::BIGINT AS place FROM f, stop WHERE g = 1 AND (stop IS NULL OR round <= stop)) SELECT * FROM p WHERE place <= 400")
 def q166(spark, d):
     """Rounds until twice the target or a plateau of two."""

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from quarry.functions import dates, urls
 from quarry.functions.text import clean_text_sql, excerpt
 from quarry.functions.urls import SKIPPED
-from quarry.operators import charts, collection, crawl, dashboard, indexes, pipeline, questions
-from quarry.operators.experiment import condition_queries
+from quarry.operators import charts, collection, crawl, dashboard, experiment, indexes, pipeline, questions
 from quarry.operators.quality import REASONS
-from quarry.operators.retrieval import relevance_label, top_k
+from quarry.operators.retrieval import relevance_label, six_sql, top_k
 from quarry.plans.corpora import CLEANED_SQL, DOCS_SQL, KEYWORDS, RELEVANT_SQL
 from quarry.plans.experiments import TOP_SQL
-from quarry.plans.registry import query
+from quarry.plans.registry import SQL, query
 from quarry.plans.texts import NORM
-from quarry.schema import AGED_SQL, AS_OF, CONDITIONS, CORPUS_SQL, VOLATILITY_DAYS, VOLATILITY_NAME, cells, corpus, lookup, signals, table
+from quarry.schema import AGED_SQL, AS_OF, CONDITIONS, CORPUS_SQL, VOLATILITY_DAYS, VOLATILITY_NAME, cells, corpus, lookup, qa, signals, table
 from quarry.sources import artifacts, feeds
 from quarry.storage import new_path
 from quarry.streaming.increment import read_stage
@@ -261,7 +260,7 @@ def q081_rows(spark, d):
     """The queries that each condition is asked: its domain's bank."""
     n = F.col("item_id")
     bank = table(spark, d, "benchmark").select(n.alias("query_id"), F.when(n % 3 == 0, "technology").when(n % 3 == 1, "healthcare").otherwise("history").alias("domain"))
-    return condition_queries(bank)
+    return experiment.condition_queries(bank)
 
 
 HELD_SQL = """held AS (SELECT o_orderpriority AS metric, 'C' || (o_custkey % 12 + 1) AS condition_id, ['technology', 'healthcare', 'history'][(o_custkey % 12 // 4 + 1)::INT] AS domain, round(avg(o_totalprice)::DECIMAL(38,12), 4)::DOUBLE AS actual, round(avg(o_orderkey % 2000 + 190000)::DECIMAL(38,12), 4)::DOUBLE AS predicted FROM orders GROUP BY ALL),
@@ -326,3 +325,17 @@ def q098_plateaus(spark, d):
     dom = F.when(n % 3 == 0, "technology").when(n % 3 == 1, "healthcare").otherwise("history")
     primary = F.when(F.col("o_custkey") % 2 == 0, "wikipedia").otherwise("arxiv")
     return table(spark, d, "orders").select("o_orderkey", collection.plateau_limit(kind, dom, primary, F.col("o_custkey")).alias("most"))
+
+
+def _tree_sql(name: str) -> str:
+    return f"SELECT condition_id, n_records, '{name}' AS metric, mean, std, n FROM (SELECT condition_id, count(*) AS n_records, {six_sql(f'avg({name})')} AS mean, {six_sql(f'coalesce(stddev_samp({name}), 0)')} AS std, count({name}) AS n FROM per GROUP BY condition_id)"
+
+
+@query("q121_response_tree", f"WITH per AS (SELECT 'C' || (m.conv_id % 12 + 1) AS condition_id, m.meteor, h.rate AS hallucination_rate, a.share AS source_attribution FROM ({SQL['q112_meteor']}) m JOIN ({SQL['q114_hallucination']}) h USING (conv_id, turn) JOIN ({SQL['q117_attribution']}) a USING (conv_id, turn)) " + " UNION ALL ".join(map(_tree_sql, experiment.RESPONSE)))
+def q121_response(spark, d):
+    """The conditions' tree of what is measured of responses."""
+    pairs = qa(spark, d).withColumn("condition_id", F.concat(F.lit("C"), (F.col("conv_id") % 12 + 1).cast("string")))
+    sources = F.array(F.lit("THE"), F.substring("question", 1, 3), F.substring("reference", 1, 2), F.lit(""))
+    found = experiment.response_metrics(pairs, ["condition_id", "conv_id", "turn"], passages=F.array("reference", "question"), sources=sources)
+    tree = experiment.condition_tree(found, experiment.RESPONSE)
+    return tree.select("condition_id", "n_records", F.explode("metrics").alias("metric", "s")).select("condition_id", "n_records", "metric", "s.mean", "s.std", "s.n")

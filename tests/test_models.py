@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import plans
-from quarry.operators import trees
+from quarry.operators import models, stats, trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -131,3 +131,30 @@ def test_registered_model_queries_fit(spark):
     assert len(rows) == 6 and sum(r["importance"] for r in rows) == pytest.approx(1, abs=1e-4) and 0 < rows[0]["mae_mean"] < 0.3
     groups = plans.QUERIES["q151_held_out_groups"](spark, SF).collect()
     assert len(groups) == 3 and sum(r["n"] for r in groups) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_moderated_regression_and_two_way_tests_equal_numpy(spark):
+    """The moderated form against least squares over rows; type III tests of an unbalanced table with a missing cell against residual sums of rows."""
+    rng = np.random.default_rng(9)
+    x, m = rng.normal(size=300), rng.integers(0, 3, 300) / 2
+    y = 1 + 2 * x - 0.5 * m + 0.7 * x * m + 0.1 * rng.normal(size=300)
+    frame = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, m, y)], "x double, m double, y double")
+    got = {r["feature"]: r for r in models.moderated(frame, "y", "x", "m").collect()}
+    full = np.stack([np.ones(300), x, m, x * m], 1)
+    beta, rss, _, _ = np.linalg.lstsq(full, y, rcond=None)
+    assert [got[k]["coef"] for k in ("intercept", "x", "m", "x_x_m")] == pytest.approx(beta.tolist(), abs=1e-5)
+    assert got["x"]["r2"] == pytest.approx(1 - float(rss[0]) / ((y - y.mean()) ** 2).sum(), abs=1e-5)
+    # rows of five of six cells
+    rows = [(a, b, float(rng.normal() + a * 2 + b)) for a in range(2) for b in range(3) if (a, b) != (1, 2) for _ in range(5 + 3 * a + b)]
+    cells = spark.createDataFrame([(*r, "t") for r in rows], "a int, b int, y double, test string").groupBy("test", "a", "b").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"))
+    found = {r["term"]: r for r in stats.two_way(cells, "test", "a", "b").collect()}
+    a, b, v = (np.array(c, float) for c in zip(*rows))
+    da, db = a == 1, [b == k for k in (1, 2)]
+    whole = np.stack([np.ones(len(v)), da, *db, *[da & d for d in db]], 1).astype(float)
+    rank = np.linalg.matrix_rank
+    res = lambda z: float(((v - z @ np.linalg.lstsq(z, v, rcond=None)[0]) ** 2).sum())
+    for term, drop in (("a", [1]), ("b", [2, 3]), ("a:b", [4, 5])):
+        less = np.delete(whole, drop, axis=1)
+        df = rank(whole) - rank(less)
+        f = (res(less) - res(whole)) / df / (res(whole) / (len(v) - rank(whole)))
+        assert found[term]["df"] == df and found[term]["f"] == pytest.approx(f, abs=2e-3)
