@@ -114,7 +114,7 @@ class PieceEncoder:
     def __init__(self, path: str):
         # one thread a task: Spark has all cores at work
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -122,9 +122,15 @@ class PieceEncoder:
             raise ValueError(f"not a plain byte-level BPE: {path}")
         if any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]):
             raise ValueError(f"special tokens must not reach over spaces: {path}")
+        if any(t["content"].isalpha() for t in spec["added_tokens"]):
+            raise ValueError(f"a special token of letters could stand in a word: {path}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the same model behind a split at spaces alone; space is the symbol that vocabulary files write for one
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.space = "\u0120"
         vocab = self.tokenizer.get_vocab(True)
         #: vocabulary files write a symbol a byte, but special tokens as they are
         special = {t["id"]: t["content"] for t in spec["added_tokens"]}
@@ -134,32 +140,31 @@ class PieceEncoder:
         self.known: dict[bytes, int] = {}
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, number of ids of each)."""
-        alone = [p for p in pieces if not (len(p) > 1 and p[0] == 32 and AFTER[p[1]] and BEFORE[p[-1]])]
-        if alone:
-            single = set(alone)
-            joined = [p for p in pieces if p not in single]
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
-        else:
-            joined, found = pieces, []
-        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(joined).decode()], add_special_tokens=False)[0].ids, np.uint32)
-        ends, cuts = np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+    def _ids(self, pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(the pieces in another order, ids of all of them, number of ids of each).
+
+        Pieces of a space and ASCII letters are one word each, so they go to the library's model without its
+        pre-tokenizer; other pieces that may be joined go through all of it, and the rest one by one.
+        """
+        words, joined, alone = [], [], []
+        for p in pieces:
+            (words if p[0] == 32 and p[1:].isalpha() else joined if len(p) > 1 and p[0] == 32 and AFTER[p[1]] and BEFORE[p[-1]] else alone).append(p)
+        found = []
+        if words:
+            found.append(self.bare.encode_batch_fast([b"".join(words).decode().replace(" ", " " + self.space)[1:]], add_special_tokens=False)[0].ids)
+        if joined:
+            found.append(self.tokenizer.encode_batch_fast([b"".join(joined).decode()], add_special_tokens=False)[0].ids)
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(x, np.uint32) for x in found]])
+        whole = words + joined
+        ends, cuts = np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
         upto = np.searchsorted(ends, cuts)
         if len(cuts) and (upto[-1] >= len(ends) or (ends[upto] != cuts).any()):
             raise ValueError("the ids of joined pieces do not fall apart at the pieces")
         counts = np.diff(upto + 1, prepend=0)
-        if not alone:
-            return ids, counts
-        # back in the order of pieces
-        many, whole, at, lone = np.split(ids, upto[:-1] + 1) if len(joined) else [], [], 0, iter(found)
-        for p in pieces:
-            if p in single:
-                whole.append(next(lone))
-            else:
-                whole.append(many[at])
-                at += 1
-        return np.concatenate(whole), np.fromiter(map(len, whole), np.int64, len(whole))
+        if alone:
+            one = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)]
+            ids, counts = np.concatenate((ids, *one)), np.concatenate((counts, [len(x) for x in one]))
+        return whole + alone, ids, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another, number of ids of each); null is empty."""
@@ -178,7 +183,7 @@ class PieceEncoder:
         new = [p for p in distinct if p not in self.known]
         begin, flat, slot = self.begin, self.flat, self.known
         if new:
-            ids, counts = self._ids(new)
+            new, ids, counts = self._ids(new)
             begin, flat = np.concatenate((begin, begin[-1] + np.cumsum(counts))), np.concatenate((flat, ids))
             local = dict(zip(new, range(len(self.begin) - 1, len(begin) - 1)))
             if len(slot) + len(new) <= PIECES and max(map(len, new)) <= PIECE_BYTES:

@@ -201,6 +201,19 @@ def q150(spark, d):
     return models.decay_fits(o.select("o_orderpriority", (F.exp(-age / 2000.0)).alias("x"), (F.col("o_totalprice") / 1e5).alias("y")), "o_orderpriority", "x", "y")
 
 
+@query("q150_quadratic", """WITH r AS (SELECT o_orderpriority AS g, exp(-date_diff('day', o_orderdate::DATE, DATE '2024-01-31') / 2000.0::DOUBLE) AS x, o_totalprice / 1e5::DOUBLE AS y FROM orders),
+e AS (SELECT *, min(x) OVER (PARTITION BY g) AS lo, max(x) OVER (PARTITION BY g) - min(x) OVER (PARTITION BY g) AS sp FROM r), t AS (SELECT g, lo, sp, (x - lo) / sp AS u, y FROM e),
+s AS (SELECT g, any_value(lo) AS lo, any_value(sp) AS sp, count(*)::DOUBLE AS n, sum(u) AS a, sum(u * u) AS b, sum(pow(u, 3)) AS c, sum(pow(u, 4)) AS d, sum(y) AS p, sum(u * y) AS q, sum(u * u * y) AS w, sum(y * y) AS yy FROM t GROUP BY g),
+k AS (SELECT *, d * (b * n - a * a) - c * (c * n - a * b) + b * (c * a - b * b) AS det FROM s),
+v AS (SELECT *, (w * (b * n - a * a) - c * (q * n - a * p) + b * (q * a - b * p)) / det AS c2, (d * (q * n - p * a) - w * (c * n - a * b) + b * (c * p - q * b)) / det AS c1, (d * (b * p - a * q) - c * (c * p - b * q) + w * (c * a - b * b)) / det AS c0 FROM k)
+SELECT g AS o_orderpriority, round((c2 / (sp * sp))::DECIMAL(38,12), 3)::DOUBLE AS a, round((c1 / sp - 2 * c2 * lo / (sp * sp))::DECIMAL(38,12), 3)::DOUBLE AS b, round((c0 - c1 * lo / sp + c2 * lo * lo / (sp * sp))::DECIMAL(38,12), 3)::DOUBLE AS c,
+  round((1 - (yy - c2 * w - c1 * q - c0 * p) / (yy - p * p / n))::DECIMAL(38,12), 5)::DOUBLE AS r2 FROM v""")
+def q150_quadratic(spark, d):
+    """The curve that SQL has in closed form; the other two are held against known curves in tests."""
+    at = lambda i: F.round(F.get("params", F.lit(i)).cast("decimal(38,12)"), 3).cast("double")
+    return q150(spark, d).where("curve = 'polynomial'").select("o_orderpriority", at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), F.round(F.col("r2").cast("decimal(38,12)"), 5).cast("double").alias("r2"))
+
+
 @query("q151_held_out_groups", None)
 def q151(spark, d):
     return trees.held_out_groups(_model_rows(spark, d), "y", models.BASE, "l_returnflag")
