@@ -131,6 +131,24 @@ def test_language_model_is_kneser_ney():
         want = sum(math.log2(prob(lang, tuple(code[i - 3 : i + 1]))) for i in range(3, len(code)))
         assert model.score(["the lake xyz"])[0][0, k] == pytest.approx(want, rel=1e-4)
 
+    # predictions, scores and rejections from the plain cross-entropies
+    model.normal = np.array([[2.0, 0.5, 1.0], [2.2, 0.4, 0.1]])
+    texts = ["the lake", "und die katze", "the lake xyz qqq zzz", "1 2 3", None, "haus", "w" * 40]
+    lang, score, cross, rejected = model.predict(texts)
+    for j, t in enumerate(texts):
+        if not any(map(str.isalpha, t or "")):
+            assert (lang[j], score[j], cross[j], rejected[j]) == ("und", 0, 0, True)
+            continue
+        code = [0] * 3 + [int(c) for c in langid.symbols([t])[0][3:]]
+        n = len(code) - 3
+        h = [-sum(math.log2(prob(x, tuple(code[i - 3 : i + 1]))) for i in range(3, len(code))) / n for x in ("a", "b")]
+        best = h.index(min(h))
+        assert lang[j] == "ab"[best] and cross[j] == pytest.approx(h[best], rel=1e-4)
+        assert score[j] == pytest.approx(1 / sum(2 ** ((h[best] - x) * min(n, 20)) for x in h), rel=1e-3)
+        mean, dev, slack = model.normal[best]
+        assert rejected[j] == (h[best] > mean + 4 * dev / math.sqrt(n) + slack)
+    assert rejected.any() and not rejected.all()
+
 
 def test_language_edges():
     model = langid.fit({"a": ["hallo welt"], "b": ["hello world"]})
