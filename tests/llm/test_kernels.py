@@ -220,3 +220,12 @@ def test_maxent_probabilities_add_up():
         down = likelihood()
         table[row, c] += 0.05
         assert (up - down) / 0.1 == pytest.approx(g[row, col], abs=0.03)
+
+
+def test_places_of_long_texts(monkeypatch):
+    """More places than fit beside a key are sorted apart, with the same result."""
+    key = np.random.default_rng(3).integers(0, 1 << 38, 50, dtype=np.uint64)[np.arange(400) % 50]
+    want = maxent._by_key(key)
+    monkeypatch.setattr(maxent, "PLACE_BITS", 4)
+    for a, b in zip(want, maxent._by_key(key)):
+        assert a.tolist() == b.tolist()
