@@ -183,11 +183,20 @@ def gradient(w: Weights | None, texts: Iterator[np.ndarray]) -> np.ndarray:
     return np.concatenate((total1, total2), axis=1).astype(np.float32)
 
 
+#: Bits of a place that are sorted along with its key.
+PLACE_BITS = 26
+
+
 def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys of under 38 bits, places sorted by key, the distinct key's number at each of these)."""
-    packed = np.sort(key << np.uint64(26) | np.arange(len(key), dtype=np.uint64))
-    place = (packed & np.uint64((1 << 26) - 1)).astype(np.int64)
-    key = packed >> np.uint64(26)
+    if len(key) >> PLACE_BITS:
+        # a text of more tokens than places fit beside a key
+        place = np.argsort(key, kind="stable")
+        key = key[place]
+    else:
+        packed = np.sort(key << np.uint64(PLACE_BITS) | np.arange(len(key), dtype=np.uint64))
+        place = (packed & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        key = packed >> np.uint64(PLACE_BITS)
     fresh = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     return key[fresh], place, np.cumsum(fresh) - 1
 
