@@ -13,6 +13,34 @@ from quarry.schema import UNKNOWN_VOLATILITY, VOLATILITY_NAME, VOLATILITY_SCORE,
 NO_SIMILARITY, NO_LEAST = 0.1, 0.05
 
 
+def diversity_index(rows: DataFrame, by: list[str], source: str) -> DataFrame:
+    """(by..., sdi): Shannon entropy, in bits, of a group's sources; counts by group and source come first, so that a group is as many rows as it has sources."""
+    n = rows.groupBy(*by, source).agg(F.count("*").alias("__n"))
+    total = n.groupBy(*by).agg(F.sum("__n").alias("__t"), F.sum(F.col("__n") * F.log2(F.col("__n").cast("double"))).alias("__s"))
+    # log2(total) less the mean of log2(count)
+    return total.select(*by, six(F.log2(F.col("__t").cast("double")) - F.col("__s") / F.col("__t")).alias("sdi"))
+
+
+def write_back(rows: DataFrame, measured: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """rows with measured(key..., names...) written into them, each metric only where the row has none yet; rows that were not measured stay as they are."""
+    new = measured.select(*key, *[F.col(n).alias(f"__{n}") for n in names])
+    both = rows.join(new, key, "left")
+    filled = {n: F.coalesce(F.col(n), F.col(f"__{n}")) if n in rows.columns else F.col(f"__{n}") for n in names}
+    return both.withColumns(filled).drop(*[f"__{n}" for n in names])
+
+
+def existence(dimension: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, found, rows) of each key of dimension: whether rows has any, and how many, -1 where none."""
+    got = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
+    return dimension.join(got, F.col(key) == F.col("__key"), "left").select(key, F.col("__n").isNotNull().alias("found"), F.coalesce("__n", F.lit(-1)).alias("rows"))
+
+
+def fastest(timings: DataFrame, by: str, took: str) -> DataFrame:
+    """(winner, mean): the group of least mean time, the first by name where it is shared; means come first, so that one row a group is compared."""
+    m = timings.groupBy(by).agg(F.avg(took).alias("m"))
+    return m.agg(F.min(F.struct("m", by)).alias("b")).select(F.col(f"b.{by}").alias("winner"), six(F.col("b.m")).alias("mean"))
+
+
 def mean_freshness(freshness: Column) -> Column:
     """Mean over a set's rows; a missing value counts as 0."""
     return F.avg(F.coalesce(freshness, F.lit(0.0)))

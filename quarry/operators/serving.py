@@ -49,14 +49,14 @@ def predict(requests: DataFrame, coefficients: DataFrame, bounds: DataFrame) ->
     """(request_id, metric, expected, lower, upper, mae) from coefficients(metric, feature, coef) and bounds(metric, mae).
 
     A coefficient set without squares leaves them out, as the join only keeps its own features. Both tables
-    have a row per metric and feature and are broadcast.
+    have a row per metric and feature; Spark broadcasts them by their size.
     """
-    terms = request_features(requests).join(F.broadcast(coefficients), "feature")
+    terms = request_features(requests).join(coefficients, "feature")
     sums = terms.groupBy("request_id", "metric").agg(F.sum(F.col("coef") * F.col("value")).alias("raw"))
     m = F.col("metric")
     # rounded once finely, so that the order of summing does not decide a half
     v = clamp_metric(m, F.round("raw", 9))
-    both = sums.join(F.broadcast(bounds), "metric")
+    both = sums.join(bounds, "metric")
     return both.select("request_id", "metric", four(v).alias("expected"), four(clamp_metric(m, v - F.col("mae"))).alias("lower"), four(clamp_metric(m, v + F.col("mae"))).alias("upper"), F.round("mae", 4).alias("mae"))
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dates, terms, text, urls
 from quarry.operators import conditions as cond
-from quarry.operators import crawl, dedup, keywords, quality
+from quarry.operators import crawl, dedup, experiment, keywords, quality
 from quarry.plans.registry import query
 from quarry.plans.texts import CASE_DAYS, NORM
-from quarry.schema import AGED_SQL, AS_OF, CONDITIONS, CORPUS_SQL, SIGNALS_SQL, corpus, signals, table
+from quarry.schema import AGED_SQL, AS_OF, CONDITIONS, CORPUS_SQL, SIGNALS_SQL, conditions, corpus, signals, table
 from quarry.storage import spread
 
 BLOB = NORM.format("title || ' ' || text")
@@ -234,7 +234,4 @@ def q138(spark, d):
 
 @query("q179_existence_checks", f"WITH {BUILT_SQL}, n AS (SELECT condition_id, count(*) AS n FROM built GROUP BY ALL) SELECT c.condition_id, n.n IS NOT NULL AS found, coalesce(n.n, -1) AS rows FROM conditions c LEFT JOIN n ON c.condition_id = n.condition_id")
 def q179(spark, d):
-    from quarry.schema import conditions
-
-    got = cond.build_conditions(corpus(spark, d), AS_OF, 100).groupBy(F.col("condition_id").alias("c")).agg(F.count("*").alias("n"))
-    return conditions(spark).join(got, F.col("condition_id") == F.col("c"), "left").select("condition_id", F.col("n").isNotNull().alias("found"), F.coalesce("n", F.lit(-1)).alias("rows"))
+    return experiment.existence(conditions(spark), cond.build_conditions(corpus(spark, d), AS_OF, 100), "condition_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text, vectors
 from quarry.operators import evaluation as ev
+from quarry.operators import experiment as ex
 from quarry.operators import retrieval as rt
 from quarry.plans.registry import query
 from quarry.plans.texts import CLAIMS_SQL, STEM_SQL
@@ -65,11 +66,7 @@ def q110(spark, d):
 
 @query("q103_source_diversity", f"WITH {CORPUS_SQL}, n AS (SELECT domain, source_name, count(*) AS n FROM corpus GROUP BY ALL), s AS (SELECT domain, n / sum(n) OVER (PARTITION BY domain) AS p FROM n) SELECT domain, round(-sum(p * log2(p)), 6) AS sdi FROM s GROUP BY domain")
 def q103(spark, d):
-    from pyspark.sql import Window
-
-    n = corpus(spark, d).groupBy("domain", "source_name").agg(F.count("*").alias("n"))
-    p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("domain")))
-    return p.groupBy("domain").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("sdi"))
+    return ex.diversity_index(corpus(spark, d), ["domain"], "source_name")
 
 
 @query("q102_relevance_labels", f"WITH {CORPUS_SQL} SELECT seq, (contains(lower(title || ' ' || text), 'license') OR contains(lower(title || ' ' || text), 'tion the'))::INT AS label, 1 AS none FROM corpus")
@@ -151,8 +148,8 @@ def q119(spark, d):
 @query("q025_metric_write_back", "SELECT d.doc_id, coalesce(l.quality, length(d.text) % 2)::INT AS metric FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def q025(spark, d):
     """A metric is added only where none is yet."""
-    new = table(spark, d, "documents").select("doc_id", (F.char_length("text") % 2).alias("fresh"))
-    return new.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", "fresh").cast("int").alias("metric"))
+    rows = table(spark, d, "documents").select("doc_id", (F.char_length("text") % 2).alias("fresh")).join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("metric")), "doc_id", "left")
+    return ex.write_back(rows.select("doc_id", "metric"), rows.select("doc_id", F.col("fresh").alias("metric")), ["doc_id"], ["metric"]).select("doc_id", F.col("metric").cast("int").alias("metric"))
 
 
 @query("q081_bank_by_domain", f"WITH {CORPUS_SQL}, b AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'technology' WHEN 1 THEN 'healthcare' ELSE 'history' END AS domain FROM benchmark) SELECT domain, count(*) AS pairs FROM corpus JOIN b USING (domain) GROUP BY domain")
@@ -172,6 +169,4 @@ def q140(spark, d):
 
 @query("q193_latency_harness", "SELECT arg_min(event_type, (m, event_type)) AS winner, round(min(m), 6) AS mean FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY 1)")
 def q193(spark, d):
-    m = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"))
-    best = F.min(F.struct("m", "event_type"))
-    return m.agg(best.alias("b")).select(F.col("b.event_type").alias("winner"), F.round("b.m", 6).alias("mean"))
+    return ex.fastest(table(spark, d, "events"), "event_type", "value")

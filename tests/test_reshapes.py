@@ -103,3 +103,19 @@ def test_collection_in_one_plan(spark):
     assert (counts["raw"], counts["cleaned"], counts["deduplicated"], counts["dropped_duplicate_url"], counts["quality"], counts["final"]) == (12, 10, 9, 1, 8, 5)
     assert sorted(r["seq"] for r in read_stage(spark, base, "final").collect()) == [0, 1, 2, 3, 4]
     assert read_stage(spark, base, "cleaned").count() == 10
+
+
+def test_experiment_tables(spark):
+    rows = spark.createDataFrame([(1, 0.5), (2, None), (3, None)], "query_id long, rouge double")
+    measured = spark.createDataFrame([(1, 0.9, 1), (2, 0.7, 2)], "query_id long, rouge double, extra int")
+    got = {r["query_id"]: (r["rouge"], r["extra"]) for r in experiment.write_back(rows, measured, ["query_id"], ["rouge", "extra"]).collect()}
+    assert got == {1: (0.5, 1), 2: (0.7, 2), 3: (None, None)}
+    sources = spark.createDataFrame([("a", s) for s in "xxyz"] + [("b", "x")] * 3 + [("c", None), ("c", "x")], "g string, s string")
+    assert {r["g"]: r["sdi"] for r in experiment.diversity_index(sources, ["g"], "s").collect()} == {"a": 1.5, "b": 0.0, "c": 1.0}
+    found = experiment.existence(rows, spark.createDataFrame([(2,), (2,), (9,)], "query_id long"), "query_id")
+    assert {tuple(r) for r in found.collect()} == {(1, False, -1), (2, True, 2), (3, False, -1)}
+    times = spark.createDataFrame([("b", 2.0), ("a", 1.0), ("a", 3.0), ("c", None)], "p string, t double")
+    assert tuple(experiment.fastest(times.where("t IS NOT NULL"), "p", "t").first()) == ("a", 2.0)
+    pairs = spark.createDataFrame([("C1", "the hospital treats patients daily.", "the hospital treats patients daily."), ("C1", None, "x")], "condition_id string, response string, reference string")
+    m = sorted(experiment.response_metrics(pairs, ["condition_id"]).collect(), key=lambda r: r["meteor"])
+    assert m[0]["meteor"] == 0 and m[1]["meteor"] > 0.9 and all(r["hallucination_rate"] == 0 for r in m)
