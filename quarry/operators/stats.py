@@ -7,7 +7,6 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def f_tail(spark: SparkSession, f: float, d1: float, d2: float) -> float:
@@ -64,10 +63,15 @@ def one_way_fallback(cells: DataFrame, by: list[str], factors: list[str]) -> Dat
 
 
 def with_p(tests: DataFrame, by: list[str]) -> DataFrame:
-    """Adds p to one_way() results, a row per test; the few rows go through the driver."""
-    spark = tests.sparkSession
-    rows = [(*r, round(f_tail(spark, r["f"], r["k"] - 1, r["n"] - r["k"]), 6)) for r in tests.collect()]
-    return spark.createDataFrame(rows, T.StructType([*tests.schema.fields, T.StructField("p", T.DoubleType())]))
+    """Adds p to one_way() results where they lie; null without an F."""
+
+    @F.pandas_udf("double")
+    def exceeds(f, k, n):
+        import pandas as pd
+
+        return pd.Series([f_exceeds(x, a - 1, c - a) for x, a, c in zip(f, k, n)], dtype=float)
+
+    return tests.withColumn("p", F.round(exceeds(F.coalesce("f", F.lit(float("nan"))), "k", "n"), 6)).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
 
 
 def group_stats(cells: DataFrame, by: list[str], group: str) -> DataFrame:
@@ -113,23 +117,57 @@ def design_test(n: np.ndarray, mean: np.ndarray, full: np.ndarray, drop: list[in
     return (float((b - a) / (ra - rb) / mse), ra - rb) if ra > rb else (float("nan"), 0)
 
 
+def f_exceeds(f: float, d1: float, d2: float) -> float:
+    """f_tail() without the JVM, for tasks: the regularized incomplete beta function by its continued fraction (modified Lentz)."""
+    if f != f or d1 <= 0 or d2 <= 0:
+        return float("nan")
+    if f <= 0:
+        return 1.0
+    x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    if x <= 0:
+        return 1.0 if flip else 0.0
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    total = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            total *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    found = min(1.0, max(0.0, front * total))
+    return 1 - found if flip else found
+
+
 def two_way(cells: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """(by, term, f, df, p): type III tests of both factors and their interaction, also where cells are missing; a few rows per test."""
-    spark = cells.sparkSession
-    out = []
-    for key, part in cells.toPandas().groupby(by):
+    """(by, term, f, df, p): type III tests of both factors and their interaction, also where cells are missing; each test in a task of its own, from its cells. Without a degree of freedom f and p are null."""
+    import pandas as pd
+
+    def test(part: pd.DataFrame) -> pd.DataFrame:
+        part = part[part["n"] > 0]
         la, lb = sorted(part[a].unique()), sorted(part[b].unique())
         n, m = part["n"].to_numpy(float), part["mean"].to_numpy(float)
-        mse = ((n - 1) * part["std"].to_numpy(float) ** 2).sum() / (n.sum() - len(part))
-        xa = np.array([[float(v == x) for x in la[1:]] for v in part[a]])
-        xb = np.array([[float(v == x) for x in lb[1:]] for v in part[b]])
+        rest = n.sum() - len(part)
+        mse = ((n - 1) * part["std"].to_numpy(float) ** 2).sum() / rest if rest > 0 else 0.0
+        xa = np.array([[float(v == x) for x in la[1:]] for v in part[a]]).reshape(len(part), -1)
+        xb = np.array([[float(v == x) for x in lb[1:]] for v in part[b]]).reshape(len(part), -1)
         xi = np.einsum("ij,ik->ijk", xa, xb).reshape(len(part), -1)
         full = np.concatenate((np.ones((len(part), 1)), xa, xb, xi), axis=1)
         na, nb = xa.shape[1], xb.shape[1]
+        out = []
         for term, cols in ((a, range(1, 1 + na)), (b, range(1 + na, 1 + na + nb)), (f"{a}:{b}", range(1 + na + nb, full.shape[1]))):
-            f, df = design_test(n, m, full, list(cols), mse)
-            out.append((key, term, None if math.isnan(f) else round(f, 4), df, None if math.isnan(f) else round(f_tail(spark, f, df, n.sum() - len(part)), 6)))
-    return spark.createDataFrame(out, f"{by} {cells.schema[by].dataType.simpleString()}, term string, f double, df int, p double")
+            f, df = design_test(n, m, full, list(cols), mse) if mse > 0 else (float("nan"), 0)
+            known = not math.isnan(f)
+            out.append((part[by].iloc[0], term, round(f, 4) if known else None, df, round(f_exceeds(f, df, rest), 6) if known else None))
+        return pd.DataFrame(out, columns=[by, "term", "f", "df", "p"]).astype({"f": float, "p": float})
+
+    some = cells.where("n > 0")
+    return some.groupBy(by).applyInPandas(test, f"{by} {cells.schema[by].dataType.simpleString()}, term string, f double, df int, p double").withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("f", "p")})
 
 
 def studentized_range_tail(q: float, k: int, df: float) -> float:
@@ -211,7 +249,7 @@ def levene(rows: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
 def homogeneity(rows: DataFrame, by: list[str], group: str, value: str, alpha: float = 0.05) -> DataFrame:
     """levene() with p and homogeneous; all three are null for a single group."""
     found = with_p(levene(rows, by, group, value), by)
-    return found.withColumn("p", F.when(~F.isnan("p"), F.col("p"))).withColumn("homogeneous", F.col("p") >= alpha)
+    return found.withColumn("homogeneous", F.col("p") >= alpha)
 
 
 #: Ranks whose expected normal values are summed in one row.

@@ -129,3 +129,10 @@ def test_chart_frames(spark):
     assert [tuple(r) for r in heat] == [("d", 0.5, 1.0, None)]
     bins = rows.select(charts.bin_of(F.col("m"), 0.0, 1.0, 4).alias("b")).collect()
     assert [r["b"] for r in bins] == [2, 3, None, 1]
+
+
+def test_f_distribution_without_the_jvm(spark):
+    for f in (0.0, 0.01, 0.5, 1.0, 2.552675, 7.3, 80.0):
+        for d1, d2 in ((1, 1), (2, 2397), (3, 10), (40, 7), (1, 300000)):
+            assert stats.f_exceeds(f, d1, d2) == pytest.approx(stats.f_tail(spark, f, d1, d2), abs=1e-9)
+    assert math.isnan(stats.f_exceeds(1.0, 0, 5)) and stats.f_exceeds(2.552675, 2, 2397) == pytest.approx(0.0780848, abs=1e-6)
