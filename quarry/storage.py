@@ -37,7 +37,10 @@ def shared_file(uri: str, mode: str):
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    return store.open_output_stream(path) if mode == "wb" else store.open_input_file(path)
+    if mode == "wb":
+        store.create_dir(os.path.dirname(path), recursive=True)
+        return store.open_output_stream(path)
+    return store.open_input_file(path)
 
 
 def spread(df: DataFrame, task_bytes: int = 16 << 20) -> DataFrame:

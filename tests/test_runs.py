@@ -242,3 +242,30 @@ def test_publish_switches_once(spark, monkeypatch):
     artifacts.publish(spark, {"a": f"{source}/a"}, target)
     new = artifacts.published(spark, target)
     assert spark.read.parquet(new["a"]).count() == 4 and new["b"] == old["b"] and spark.read.parquet(old["a"]).count() == 3
+
+
+def test_stages_go_on_after_a_failure(spark):
+    from quarry.streaming.stages import run_stages, stage_table
+
+    base, calls = new_path(spark, "stages"), []
+
+    def stage(name, n, fails=False):
+        def work(tables):
+            calls.append(name)
+            if fails:
+                raise ValueError("no luck")
+            return spark.range(n + sum(t.count() for t in tables.values()))
+
+        return name, work
+
+    told = lambda df: [(r["stage"], r["status"], r["rows"]) for r in df.collect()]
+    report = run_stages(spark, [stage("a", 2), stage("b", 3, fails=True), stage("c", 1)], base)
+    assert told(report) == [("a", "made", 2), ("b", "failed", None), ("c", "skipped", None)] and report.collect()[1]["error"] == "no luck"
+    with pytest.raises(FileNotFoundError):
+        stage_table(spark, base, "b")
+    good = [stage("a", 2), stage("b", 3), stage("c", 1)]
+    assert told(run_stages(spark, good, base)) == [("a", "kept", 2), ("b", "made", 5), ("c", "made", 8)]
+    assert told(run_stages(spark, good, base)) == [("a", "kept", 2), ("b", "kept", 5), ("c", "kept", 8)] and calls == ["a", "b", "b", "c"]
+    # a stage is asked for that hangs on one that is not there; one is made anew, and what hangs on it
+    assert told(run_stages(spark, good, new_path(spark, "stages"), only=["b"])) == [("a", "missing", None), ("b", "skipped", None), ("c", "skipped", None)]
+    assert told(run_stages(spark, [good[0], stage("b", 10), good[2]], base, only=["b", "c"], force=True)) == [("a", "kept", 2), ("b", "made", 12), ("c", "made", 15)]
