@@ -88,19 +88,24 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(text_or_empty(c)), r"\s+"), lambda t: t != "")
 
 
+def bare(w: Column) -> Column:
+    """The word in lower case without trailing punctuation."""
+    return F.rtrim(F.lower(w), F.lit(".,!?;:\"'"))
+
+
+def cut(b: Column) -> Column:
+    """A bare word without the first suffix that leaves three letters. Ends are compared one by one, which a pattern would try at every letter."""
+    out = None
+    for x in SUFFIXES:
+        ends = F.endswith(b, F.lit(x)) & (F.char_length(b) >= len(x) + 3)
+        rest = F.substring(b, F.lit(1), F.char_length(b) - len(x))
+        out = F.when(ends, rest) if out is None else out.when(ends, rest)
+    return out.otherwise(b)
+
+
 def stem(w: Column) -> Column:
-    """The word without trailing punctuation and without the first suffix that leaves three letters. Ends are compared one by one, which a pattern would try at every letter."""
-
-    def cut(b: Column) -> Column:
-        out = None
-        for x in SUFFIXES:
-            ends = F.endswith(b, F.lit(x)) & (F.char_length(b) >= len(x) + 3)
-            rest = F.substring(b, F.lit(1), F.char_length(b) - len(x))
-            out = F.when(ends, rest) if out is None else out.when(ends, rest)
-        return out.otherwise(b)
-
-    # the bare word is made once for all ends
-    return F.get(F.transform(F.array(F.rtrim(F.lower(w), F.lit(".,!?;:\"'"))), cut), F.lit(0))
+    """cut() of bare(), which is made once for all ends. Of a column of its own both are faster by themselves."""
+    return F.get(F.transform(F.array(bare(w)), cut), F.lit(0))
 
 
 def claims(c: Column, most: int = 10) -> Column:

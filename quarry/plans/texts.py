@@ -200,7 +200,7 @@ STEM_SQL = "CASE " + " ".join(f"WHEN ends_with(w, '{s}') AND length(w) >= {len(s
 SELECT lang, {STEM_SQL} AS stem, count(*) AS n FROM t GROUP BY ALL""")
 def q053(spark, d):
     w = table(spark, d, "documents").select("lang", F.explode(text.words(F.col("text"))).alias("w"))
-    return w.groupBy("lang", text.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
+    return w.select("lang", text.bare(F.col("w")).alias("b")).groupBy("lang", text.cut(F.col("b")).alias("stem")).agg(F.count("*").alias("n"))
 
 
 CLAIMS_SQL = "list_filter(list_transform(string_split(regexp_replace(trim(coalesce({0}, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 20 AND NOT regexp_matches(lower(s), '^(" + "|".join(text.META_PREFIXES) + ")'))[1:10]"
