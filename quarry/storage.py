@@ -50,6 +50,12 @@ def spread(df: DataFrame, task_bytes: int = 16 << 20) -> DataFrame:
     return df.repartition(cores) if size < cores * task_bytes else df
 
 
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Bounds the batches that go to Python workers by rows and, where Spark can hold to it, by bytes; texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Makes DataFrame.checkpoint() write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
