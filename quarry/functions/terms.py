@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import W, normalize_text, text_or_empty, word_count
+from quarry.functions.text import W, WORDLY, normalize_text, text_or_empty, word_count
 
 # Hint terms of each domain.
 DOMAIN_HINTS = {
@@ -59,14 +59,25 @@ def _count(tests: list[Column]) -> Column:
 
 
 def word_set(blob: Column) -> Column:
-    return F.array_distinct(F.split(blob, f"[^{W}]+"))
+    return F.array_distinct(F.split(blob, f"[^{WORDLY}]+"))
+
+
+def single_words(terms: list[str]) -> list[str]:
+    """Those of the terms that a word_set() can hold."""
+    return [t for t in terms if re.fullmatch(r"\w+", t)]
+
+
+def words_among(blob: Column, lists: list[list[str]]) -> Column:
+    """word_set() without the words that are in none of the lists, so that counts look at a few words instead of the whole text's."""
+    asked = list(dict.fromkeys(t for terms in lists for t in single_words(terms)))
+    return F.array_intersect(F.split(blob, f"[^{WORDLY}]+"), F.array(*[F.lit(t) for t in asked]))
 
 
 def count_terms(blob: Column, words: Column | None, terms: list[str]) -> Column:
-    """How many of the terms a normalized text holds as whole words; words is its word_set(), so that single words cost one look-up, or None where there are few."""
+    """How many of the terms a normalized text holds as whole words; words is its word_set(), or words_among() lists with these terms, so that single words cost one look-up, or None where there are few."""
     if words is None:
         return _count([has_term(blob, t) for t in terms])
-    single = [t for t in terms if re.fullmatch(r"\w+", t)]
+    single = single_words(terms)
     found = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in single])))
     return found + _count([has_term(blob, t) for t in terms if t not in single])
 
@@ -101,8 +112,8 @@ def min_hits(domain: Column) -> Column:
 
 
 def offtopic(blob: Column, words: Column) -> Column:
-    """Whether normalized text holds a pattern of sports news; words is its word_set()."""
-    single = [t for t in OFFTOPIC if re.fullmatch(r"\w+", t)]
+    """Whether normalized text holds a pattern of sports news; words is its word_set(), or words_among() lists with these patterns."""
+    single = single_words(OFFTOPIC)
     found = F.arrays_overlap(words, F.array(*[F.lit(t) for t in single]))
     for t in OFFTOPIC:
         if t not in single:
@@ -123,15 +134,17 @@ def counted(docs: DataFrame, keywords: dict | None = None) -> DataFrame:
     """
     c = F.col
     d = docs.withColumns({
-        "t_blob": normalize_text(F.concat_ws(" ", text_or_empty(c("title")), text_or_empty(c("text")))),
         "t_head": normalize_text(c("title")),
         "t_body": normalize_text(c("text")),
         "t_link": F.lower(F.trim(text_or_empty(c("url")))),
     })
-    d = d.withColumns({"t_words": word_set(c("t_blob")), "t_head_words": word_set(c("t_head")), "t_n_words": word_count(c("text"))})
+    # both parts are normalized already, so that the text is not gone through once more
+    d = d.withColumn("t_blob", F.trim(F.concat_ws(" ", "t_head", "t_body")))
+    told = [HEALTHCARE_CORE, FINANCE_NOISE, HISTORY_CORE, HISTORY_NOISE, TECH_TEXT, TECH_NOISE, HISTORY_STRUCTURE, OFFTOPIC]
+    d = d.withColumns({"t_words": words_among(c("t_blob"), told), "t_head_words": words_among(c("t_head"), [TECH_TITLE, HISTORY_STRUCTURE, WALL_TITLE])})
     blob = lambda terms: count_terms(c("t_blob"), c("t_words"), terms)
     head = lambda terms: count_terms(c("t_head"), c("t_head_words"), terms)
-    return d.withColumns({
+    d = d.withColumns({
         "t_hits": blob_hits(c("t_blob"), c("domain"), keywords),
         "t_offtopic": offtopic(c("t_blob"), c("t_words")),
         "t_care": blob(HEALTHCARE_CORE),
@@ -149,6 +162,8 @@ def counted(docs: DataFrame, keywords: dict | None = None) -> DataFrame:
         "t_wall_title": head(WALL_TITLE),
         "t_wall_text": count_terms(c("t_body"), None, WALL_TEXT),
     })
+    # words are counted where two phrases make the number matter
+    return d.withColumn("t_n_words", F.when(c("t_wall_text") >= 2, word_count(c("text"))))
 
 
 def news_relevant() -> Column:

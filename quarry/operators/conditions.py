@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import dates, text
 from quarry.operators.quality import cleaned, first_wins, quality_reasons
 from quarry.schema import VOLATILITY_DAYS, conditions, lookup
+from quarry.storage import checkpoints
 
 
 def effective_age(age: Column, domain: Column, label: Column) -> Column:
@@ -65,7 +66,11 @@ def build_conditions(docs: DataFrame, as_of: str, target: int, seq: str = "seq")
 
 
 def combined(condition_rows: DataFrame, keywords: dict | None = None) -> DataFrame:
-    """All conditions in order, through the quality cascade: of a record that several share, the first condition's copy stays."""
-    rows = condition_rows.withColumn("condition_place", F.struct("position", "rank"))
+    """All conditions in order, through the quality cascade: of a record that several share, the first condition's copy stays.
+
+    The conditions' rows, which their limits bound, are made once for both passes.
+    """
+    checkpoints(condition_rows.sparkSession)
+    rows = condition_rows.withColumn("condition_place", F.struct("position", "rank")).checkpoint()
     kept = quality_reasons(rows, keywords, seq="condition_place").where("reason IS NULL").select("condition_place")
     return cleaned(rows).join(kept, "condition_place", "left_semi").drop("condition_place")

@@ -76,8 +76,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def clean_data(docs: DataFrame, as_of: str, keywords: dict | None = None) -> DataFrame:
-    """Rows that pass every filter: no challenge page, long enough, dated, English, relevant, documentation where asked."""
-    d = terms.counted(ensure_metadata(cleaned(spread(docs)), as_of), keywords)
+    """Rows that pass every filter: no challenge page, long enough, dated, English, relevant, documentation where asked.
+
+    Metadata is filled on what is kept; beside the counts its code would be too long to compile.
+    """
+    d = terms.counted(cleaned(spread(docs)), keywords)
     english = text.is_english(F.concat_ws(" ", "title", "text"), F.col("lang") if "lang" in docs.columns else None)
     kept = (
         ~terms.is_interstitial()
@@ -87,7 +90,7 @@ def clean_data(docs: DataFrame, as_of: str, keywords: dict | None = None) -> Dat
         & relevant()
         & documents_only()
     )
-    return terms.without_counts(passing(d, kept))
+    return ensure_metadata(terms.without_counts(passing(d, kept)), as_of)
 
 
 def passing(rows: DataFrame, rule: Column) -> DataFrame:

@@ -40,3 +40,40 @@ def test_predictions_of_repeated_ids_and_missing_values(spark):
     assert {tuple(r)[:3] for r in rows if r["metric"] == "m"} == {(1, "m", 0.4375), (2, "m", 0.125), (3, "m", 0.125)}
     assert {(r["request_id"], r["expected"]) for r in rows if r["metric"] == "s" and r["request_id"] == 1} == {(1, 0.375)}
     assert {r["metric"] for r in rows} == {"m", "s"} and len(rows) == 6
+
+
+def test_clean_text_and_counts_pass_by_what_is_not_there(spark):
+    from quarry.functions import terms, text
+
+    rows = spark.createDataFrame([("a  b\t c\u0085d \u00e9!",), ("<!-- x --><script>y</script>T&amp;lt;b",), ("1 < 2 & 3 > 0",), (" \n ",), (None,)], "t string")
+    found = [tuple(r) for r in rows.select(text.clean_text(F.col("t")), text.normalize_text(F.col("t"))).collect()]
+    assert found == [("a b c d \u00e9!", "a b c\u0085d \u00e9!"), ("T lt;b", "<!-- x --><script>y</script>t&amp;lt;b"), ("1 0", "1 < 2 & 3 > 0"), ("", ""), ("", "")]
+    docs = spark.createDataFrame([("History museum", "live score of the archive; archive", "", "history"), ("", "captcha security check", "", "history")], "title string, text string, url string, domain string")
+    a, b = terms.counted(docs).orderBy("t_past").collect()[::-1]
+    # only asked words are looked through, and words are counted only where phrases ask for the number
+    assert set(a["t_words"]) == {"history", "museum", "archive"} and (a["t_past"], a["t_offtopic"], a["t_n_words"]) == (3, True, None)
+    assert (b["t_wall_text"], b["t_n_words"]) == (2, 3)
+
+
+def test_metadata_is_filled_on_what_cleaning_keeps(spark):
+    """The code of the classifiers is that of one stage, which has to stay small enough to compile."""
+    from quarry.operators import quality
+    from quarry.plans.corpora import KEYWORDS
+    from quarry.schema import AS_OF, signals
+
+    plan = executed(quality.clean_data(signals(spark, SF), AS_OF, KEYWORDS))
+    below = plan[plan.index("CollectMetrics") :]
+    assert "t_blob" in below and "freshness_window" not in below and "freshness_window" in plan
+
+
+def test_response_metrics_hold_a_slice_of_a_batch(spark, monkeypatch):
+    import pandas as pd
+
+    from quarry.operators import evaluation
+
+    seen = []
+    monkeypatch.setattr(evaluation, "SLICE_CHARS", 10)
+    score = evaluation.by_slices(lambda h, r: seen.append(len(h)) or h.fillna("").str.len().astype(float))
+    found = score(pd.Series(["abcde", None, "x" * 30, "a", "b"]), pd.Series(["ab", "abc", None, "", None]))
+    assert seen == [2, 1, 2] and found.tolist() == [5.0, 0.0, 30.0, 1.0, 1.0]
+    assert score(pd.Series([], dtype=object), pd.Series([], dtype=object)).tolist() == []
