@@ -84,7 +84,7 @@ def q107(spark, d):
         return assemble(queries, hits, docs, replies, relevance_label(F.col("title"), F.col("text"), F.col("relevance_keywords")))
 
     log = RunLog(spark, new_path(spark, "run"), RECORD)
-    log.run(asked, work, batch_rows=500)
+    log.run(asked, work, batch_rows=500, once=True)
     list_of = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
     total = F.aggregate("similarities", F.lit(0.0), lambda s, x: s + x)
     return log.records().select(

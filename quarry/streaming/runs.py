@@ -54,13 +54,17 @@ class RunLog:
             raise e
         return True
 
-    def run(self, queries: DataFrame, work: Callable[[DataFrame], DataFrame], batch_rows: int = 1000) -> int:
+    def run(self, queries: DataFrame, work: Callable[[DataFrame], DataFrame], batch_rows: int = 1000, once: bool = False) -> int:
         """Works on all pending queries in batches of about batch_rows, dealt by hash of the key; returns how many were pending.
 
         work may leave queries out, as after an error of a back-end; they are pending in the next run. Queries
         without a key are left out, and one that repeats is work's to decide on, within one batch.
+        once asks work for all pending queries at a time, as where it is a pass over other tables whatever the batch;
+        its records wait by batch and are committed batch by batch, so that the passes don't grow in number with the queries.
         """
         asked = queries.where(F.col(self.key).isNotNull())
+        if once:
+            return self._run_once(asked, work, batch_rows)
         left = pending(asked, self.records(), self.key).count()
         parts = -(-left // batch_rows)
         for p in range(parts):
@@ -69,11 +73,39 @@ class RunLog:
                 pass
         return left
 
+    def _run_once(self, asked: DataFrame, work: Callable[[DataFrame], DataFrame], batch_rows: int) -> int:
+        spark, base = self.spark, f"{self.path}/waiting/{uuid.uuid4().hex}"
+        seen = len(child_names(spark, f"{self.path}/commits"))
+        pending(asked, self.records(), self.key).write.parquet(f"{base}/asked")
+        todo = spark.read.schema(asked.schema).parquet(f"{base}/asked")
+        left = todo.count()
+        parts = -(-left // batch_rows)
+        if parts:
+            none = spark.createDataFrame([], self.schema)
+            rows = work(todo).select(*none.columns).withColumn("__part", F.pmod(F.xxhash64(self.key), F.lit(parts)))
+            rows.repartition("__part").write.partitionBy("__part").parquet(f"{base}/made")
+            made = spark.read.schema(none.withColumn("__part", F.lit(0).cast("long")).schema).parquet(f"{base}/made")
+        others: list[str] = []
+        for p in range(parts):
+            while True:
+                names = child_names(spark, f"{self.path}/commits")
+                # what other runs have committed since this one began; its own batches share no query
+                others += [f"{self.path}/data/{read_small(spark, f'{self.path}/commits/{n}')[0]}" for n in names[seen:]]
+                seen, batch = len(names), uuid.uuid4().hex
+                part = made.where(F.col("__part") == p).drop("__part")
+                self.write(pending(part, spark.read.schema(self.schema).parquet(*others), self.key) if others else part, batch)
+                if self.commit(seen, batch):
+                    seen += 1
+                    break
+        remove(spark, base)
+        return left
+
     def vacuum(self) -> list[str]:
         """Removes the data of batches that were never committed; no other run may be under way."""
         lost = sorted(set(child_names(self.spark, f"{self.path}/data")) - set(self.batches()))
         for b in lost:
             remove(self.spark, f"{self.path}/data/{b}")
+        remove(self.spark, f"{self.path}/waiting")
         return lost
 
 

@@ -77,3 +77,56 @@ def test_response_metrics_hold_a_slice_of_a_batch(spark, monkeypatch):
     found = score(pd.Series(["abcde", None, "x" * 30, "a", "b"]), pd.Series(["ab", "abc", None, "", None]))
     assert seen == [2, 1, 2] and found.tolist() == [5.0, 0.0, 30.0, 1.0, 1.0]
     assert score(pd.Series([], dtype=object), pd.Series([], dtype=object)).tolist() == []
+
+
+def test_a_run_works_once_and_commits_by_batch(spark):
+    from quarry.storage import new_path
+    from quarry.streaming.runs import RunLog
+
+    asked, schema = [], "query_id long, response string"
+
+    def work(queries):
+        asked.append(queries.count())
+        return queries.where("query_id <> 7").select("query_id", F.concat(F.lit("r"), "query_id").alias("response"))
+
+    class Dying(RunLog):
+        def commit(self, number, batch):
+            if number == 2:
+                raise OSError("gone")
+            return super().commit(number, batch)
+
+    class Met(RunLog):
+        met = False
+
+        def write(self, records, batch):
+            super().write(records, batch)
+            if not self.met:  # another run commits while this one's first batch is written
+                self.met = True
+                RunLog(spark, self.path, schema).append(queries.where("query_id >= 30"), lambda q: q.select("query_id", F.lit("other").alias("response")))
+
+    queries = spark.range(40).withColumnRenamed("id", "query_id")
+    log = RunLog(spark, new_path(spark, "run"), schema)
+    with pytest.raises(OSError):
+        Dying(spark, log.path, schema).run(queries, work, batch_rows=10, once=True)
+    some = log.records().count()
+    assert asked == [40] and 0 < some < 39 and len(log.batches()) == 2
+    assert log.run(queries, work, batch_rows=10, once=True) == 40 - some and asked == [40, 40 - some]
+    assert sorted(r["query_id"] for r in log.records().collect()) == [i for i in range(40) if i != 7]
+    # two runs at once: no query has two records
+    met = Met(spark, new_path(spark, "run"), schema)
+    met.run(queries, work, batch_rows=10, once=True)
+    found = met.records().collect()
+    assert sorted(r["query_id"] for r in found) == [i for i in range(40) if i != 7]
+    assert {r["query_id"] for r in found if r["response"] == "other"} == set(range(30, 40))
+
+
+def test_a_crawl_moves_no_text_with_its_links(spark):
+    from quarry.operators import crawl
+
+    pages = spark.createDataFrame([("https://a.org/1", "t", "x", '<a href="/2">n</a>'), ("https://a.org/2", "u", "y", "")], "url string, title string, text string, html string")
+    found = crawl.seed_crawl(spark.createDataFrame([("https://a.org/1", 0)], "url string, place long"), pages)
+    assert [(r["url"], r["title"], r["hop"]) for r in found.orderBy("hop").collect()] == [("https://a.org/1", "t", 0), ("https://a.org/2", "u", 1)]
+    # texts are read once, for the pages that are taken
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "title#" in line.split("Relation")[1] for line in plan.splitlines()) >= 1
+    assert "title#" not in plan[plan.index("Union") :].split("Relation")[0]
