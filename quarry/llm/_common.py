@@ -6,10 +6,14 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.storage import remove
+
 #: Rows in an Arrow batch handed to Python; documents are a few KB, so a batch is a few MB.
 ARROW_ROWS = 2000
 #: Bytes in such a batch, where Spark can hold to it.
@@ -34,14 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(_scratch.get() or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is staged inside is removed at the end; a table that is read later needs a path from before."""
+    folder = new_path(spark, "scratch")
+    before = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        remove(spark, folder)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it back."""
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Cut lineage: write df as Parquet to the shared folder, or to a path there, and read it back."""
     spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

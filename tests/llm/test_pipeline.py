@@ -68,3 +68,37 @@ def test_stages_take_odd_tables(spark):
     assert sorted(str(r.doc_id) + str(r.doc) for r in p.near(spark, docs, SF).collect()) == ["ay", "bx"]
     mixed = [tuple(r) for r in p.mix_sources(spark, docs, SF).collect()]
     assert set(mixed) <= set(rows) and mixed.count(rows[0]) <= 6
+
+
+def _bytes(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_stages_leave_little_on_disk(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+    from quarry.llm import _common
+
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (p.exact, p.near):
+        held = _bytes(tmp_path)
+        done = stage(spark, docs, SF)
+        assert _bytes(tmp_path) - held < 60_000  # the rows that go, and no text, shingle or state
+        docs = _common.staged(done, "done")
+    assert sorted(x.name.rpartition("-")[0] for x in tmp_path.iterdir()) == ["done", "done", "exact-gone", "near-gone"]
+    held = set(tmp_path.iterdir())
+    assert p.run(spark, SF).count() > 0
+    # of the stages' tables, only the one that the last stage reads is left
+    assert [x.name.rpartition("-")[0] for x in tmp_path.iterdir() if x not in held] == ["mix_sources"]
+
+
+@pytest.mark.parametrize("bits", [1, 64, 1 << 23])
+def test_rows_go_whatever_the_filter_lets_through(spark, monkeypatch, bits):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(p, "DROP_BITS", bits)
+    rows = spark.range(500).select(F.col("id").alias("row"), F.struct(F.col("id").alias("doc_id"), F.lit("t").alias("text")).alias("doc"))
+    for gone in ([], [3], list(range(0, 500, 7)), list(range(500))):
+        got = p._without(rows, spark.createDataFrame([(x,) for x in gone], "row long"))
+        assert got.columns == ["doc_id", "text"]
+        assert sorted(r.doc_id for r in got.collect()) == sorted(set(range(500)) - set(gone))
