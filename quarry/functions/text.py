@@ -119,13 +119,13 @@ def stem(w: Column) -> Column:
     return F.get(F.transform(F.array(bare(w)), cut), F.lit(0))
 
 
-def claims(c: Column, most: int = 10) -> Column:
-    """Sentences of 20 characters or more that speak about the matter, the first ones."""
+def claims(c: Column, most: int | None = 10) -> Column:
+    """Sentences of 20 characters or more that speak about the matter, the first ones; all with most None."""
     marked = F.regexp_replace(F.trim(text_or_empty(c)), r"([.!?])\s+", "$1\u0001")
     kept = F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: F.char_length(s) >= 20)
     about = "^(" + "|".join(META_PREFIXES) + ")"
     kept = F.filter(kept, lambda s: ~F.lower(s).rlike(about))
-    return F.slice(kept, 1, most)
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def excerpt(c: Column, n: int | Column) -> Column:

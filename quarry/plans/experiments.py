@@ -9,7 +9,7 @@ from quarry.operators import evaluation as ev
 from quarry.operators import experiment as ex
 from quarry.operators import retrieval as rt
 from quarry.plans.registry import query
-from quarry.plans.texts import CLAIMS_SQL, STEM_SQL
+from quarry.plans.texts import ALL_CLAIMS_SQL, CLAIMS_SQL, STEM_SQL
 from quarry.schema import CORPUS_SQL, QA_SQL, corpus, qa, table
 
 #: The stated query set of searches: ids divisible by 20, against all rows.
@@ -112,14 +112,22 @@ def q113(spark, d):
 CW = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z]{{4,}}$')))"
 
 
-@query("q114_hallucination", f"""WITH {QA_SQL}, c AS (SELECT *, {CLAIMS_SQL.format('response')} AS cs FROM qa),
-u AS (SELECT conv_id, turn, unnest(cs) AS claim, substr(reference, 1, 800) AS p1, substr(question, 1, 800) AS p2 FROM c),
+def _hallucination_sql(claims: str, p1: str, p2: str) -> str:
+    return f"""WITH {QA_SQL}, c AS (SELECT *, {claims.format('response')} AS cs FROM qa),
+u AS (SELECT conv_id, turn, unnest(cs) AS claim, {p1} AS p1, {p2} AS p2 FROM c),
 w AS (SELECT *, {CW.format('claim')} AS cw, {CW.format('p1')} AS w1, {CW.format('p2')} AS w2 FROM u),
 s AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (NOT (len(cw) = 0 OR len(list_intersect(cw, w1)) / len(cw) >= 0.4 OR len(list_intersect(cw, w2)) / len(cw) >= 0.4)) AS bad FROM w GROUP BY ALL)
-SELECT c.conv_id, c.turn, round(coalesce(bad / n, 0), 6) AS rate FROM c LEFT JOIN s ON c.conv_id = s.conv_id AND c.turn = s.turn""")
+SELECT c.conv_id, c.turn, round(coalesce(bad / n, 0), 6) AS rate FROM c LEFT JOIN s ON c.conv_id = s.conv_id AND c.turn = s.turn"""
+
+
+#: Of whole texts: all claims, against whole passages.
+HALLUCINATION_SQL = _hallucination_sql(ALL_CLAIMS_SQL, "reference", "question")
+
+
+@query("q114_hallucination", _hallucination_sql(CLAIMS_SQL, "substr(reference, 1, 800)", "substr(question, 1, 800)"))
 def q114(spark, d):
-    """Claims against passages: #114 with the word rule #116."""
-    return qa(spark, d).select("conv_id", "turn", ev.hallucination_rate(F.col("response"), F.array("reference", "question")).alias("rate"))
+    """Claims against passages: #114 with the word rule #116; the first ten claims against a passage's first 800 characters."""
+    return qa(spark, d).select("conv_id", "turn", ev.hallucination_rate(F.col("response"), F.array("reference", "question"), most=10, chars=800).alias("rate"))
 
 
 @query("q117_attribution", f"WITH {QA_SQL} SELECT conv_id, turn, round((contains(lower(response), 'the')::INT + contains(lower(response), lower(substr(question, 1, 3)))::INT + contains(lower(response), lower(substr(reference, 1, 2)))::INT) / 4, 6) AS share FROM qa")

@@ -12,7 +12,7 @@ from quarry.operators.conditions import build_conditions
 from quarry.operators.quality import REASONS
 from quarry.operators.retrieval import relevance_label, six_sql, top_k
 from quarry.plans.corpora import BUILT_SQL, CLEANED_SQL, DOCS_SQL, KEYWORDS, RELEVANT_SQL
-from quarry.plans.experiments import TOP_SQL
+from quarry.plans.experiments import HALLUCINATION_SQL, TOP_SQL
 from quarry.plans.registry import SQL, query
 from quarry.plans.texts import NORM
 from quarry.schema import AGED_SQL, AS_OF, CONDITIONS, CORPUS_SQL, VOLATILITY_DAYS, VOLATILITY_NAME, cells, corpus, lookup, qa, signals, table
@@ -333,7 +333,7 @@ def _tree_sql(name: str) -> str:
     return f"SELECT condition_id, n_records, '{name}' AS metric, mean, std, n FROM (SELECT condition_id, count(*) AS n_records, {six_sql(f'avg({name})')} AS mean, {six_sql(f'coalesce(stddev_samp({name}), 0)')} AS std, count({name}) AS n FROM per GROUP BY condition_id)"
 
 
-@query("q121_response_tree", f"WITH per AS (SELECT 'C' || (m.conv_id % 12 + 1) AS condition_id, m.meteor, h.rate AS hallucination_rate, a.share AS source_attribution FROM ({SQL['q112_meteor']}) m JOIN ({SQL['q114_hallucination']}) h USING (conv_id, turn) JOIN ({SQL['q117_attribution']}) a USING (conv_id, turn)) " + " UNION ALL ".join(map(_tree_sql, experiment.RESPONSE)))
+@query("q121_response_tree", f"WITH per AS (SELECT 'C' || (m.conv_id % 12 + 1) AS condition_id, m.meteor, h.rate AS hallucination_rate, a.share AS source_attribution FROM ({SQL['q112_meteor']}) m JOIN ({HALLUCINATION_SQL}) h USING (conv_id, turn) JOIN ({SQL['q117_attribution']}) a USING (conv_id, turn)) " + " UNION ALL ".join(map(_tree_sql, experiment.RESPONSE)))
 def q121_response(spark, d):
     """The conditions' tree of what is measured of responses."""
     pairs = qa(spark, d).withColumn("condition_id", F.concat(F.lit("C"), (F.col("conv_id") % 12 + 1).cast("string")))

@@ -203,7 +203,8 @@ def q053(spark, d):
     return w.select("lang", text.bare(F.col("w")).alias("b")).groupBy("lang", text.cut(F.col("b")).alias("stem")).agg(F.count("*").alias("n"))
 
 
-CLAIMS_SQL = "list_filter(list_transform(string_split(regexp_replace(trim(coalesce({0}, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 20 AND NOT regexp_matches(lower(s), '^(" + "|".join(text.META_PREFIXES) + ")'))[1:10]"
+ALL_CLAIMS_SQL = "list_filter(list_transform(string_split(regexp_replace(trim(coalesce({0}, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 20 AND NOT regexp_matches(lower(s), '^(" + "|".join(text.META_PREFIXES) + ")'))"
+CLAIMS_SQL = ALL_CLAIMS_SQL + "[1:10]"
 
 
 @query("q054_claims", f"SELECT doc_id, len({CLAIMS_SQL.format('text')})::INT AS n, md5(array_to_string({CLAIMS_SQL.format('text')}, '|')) AS digest FROM documents")

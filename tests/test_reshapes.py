@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import collection, dashboard, experiment, models, pipeline, stats
+from quarry.operators import collection, dashboard, evaluation, experiment, models, pipeline, stats
 from quarry.schema import AS_OF
 from quarry.sources import artifacts, feeds
 from quarry.storage import new_path
@@ -119,3 +119,16 @@ def test_experiment_tables(spark):
     pairs = spark.createDataFrame([("C1", "the hospital treats patients daily.", "the hospital treats patients daily."), ("C1", None, "x")], "condition_id string, response string, reference string")
     m = sorted(experiment.response_metrics(pairs, ["condition_id"]).collect(), key=lambda r: r["meteor"])
     assert m[0]["meteor"] == 0 and m[1]["meteor"] > 0.9 and all(r["hallucination_rate"] == 0 for r in m)
+
+
+def test_hallucination_rate_takes_whole_texts(spark):
+    """A passage's words past its 800th character support a claim, and claims past the tenth count."""
+    far = "x " * 500 + "the hospital treats patients daily."
+    late = "The hospital treats patients daily. " * 10 + "Satellites orbit distant planets quietly."
+    rows = [("C1", "The hospital treats patients daily.", far), ("C2", late, far), ("C3", None, far), ("C4", "The hospital treats patients daily.", None)]
+    pairs = spark.createDataFrame(rows, "condition_id string, response string, reference string")
+    got = {r["condition_id"]: r["hallucination_rate"] for r in experiment.response_metrics(pairs, ["condition_id"]).collect()}
+    assert got == {"C1": 0.0, "C2": pytest.approx(1 / 11, abs=1e-6), "C3": 0.0, "C4": 1.0}
+    passages = F.array("reference")
+    cut = {r[0]: r[1] for r in pairs.select("condition_id", evaluation.hallucination_rate(F.col("response"), passages, most=10, chars=800)).collect()}
+    assert (cut["C1"], cut["C2"]) == (1.0, 1.0)
