@@ -2,18 +2,20 @@
 
 Fingerprints alone would lose pairs close to the bound, so candidates come from two sides. SimHash links (the
 tiled comparison of simhash.py) propose rows with equal or close fingerprints. Prefix filtering proposes every
-pair that shares one of the first shingles of both sets, rare ones first, which no pair at the bound can avoid.
+pair that shares two of the first shingles of both sets, rare ones first, which no pair at the bound can avoid.
 A count sketch of each set, some thirty times smaller than the set, bounds the shingles that a pair can share
-from above; only pairs that pass it have their sets fetched and compared.
+from above; only pairs that pass it have their sets fetched and compared. Pairs are taken in rounds, at first one
+a row, and what a round joins is not compared again: sets moved for a group grow with its rows, not its pairs.
 
 A list of very many rows is not taken pair by pair: its rows are compared with one of them, which joins the
 copies of one text in a single pass. Only where rows of such lists are left in different groups, these are
-compared in tiles, without pairs that are joined already.
+compared in tiles, without pairs that are joined already. A tile is a file, which its pairs name.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,19 +23,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import SLICE_BYTES, arrow_batches, slices, staged
+from quarry.llm._common import SLICE_BYTES, arrow_batches, new_path, slices, staged
 from quarry.llm.components import components
 from quarry.llm.simhash import forest, majority, near_links, shingles
+from quarry.llm.warc import open_shared
 
 #: Repeated shingles whose counts every worker holds, the longest list of rows taken pair by pair, bytes of shingle hashes in a tile.
-FREQUENT, LONG, TILE_BYTES = 1 << 18, 64, 4 << 20
+FREQUENT, LONG, TILE_BYTES = 1 << 19, 64, 4 << 20
 #: Differing bits at which fingerprints propose a pair.
 RADIUS = 2
 #: Bytes of text in which repeated shingles are counted at a time.
 COUNT_BYTES = 16 << 20
+#: Among shingles that are not known to be frequent the least hashes come first, so those below this are counted across slices, in an eighth of the rows.
+COUNTED = np.uint64(1 << 62)
+#: By how much the pairs of a row that a round compares grow from round to round.
+MORE = 8
 #: Buckets of the filter that picks the rows whose sets are fetched; 32,768 to a bitmap.
 PICK_BITS = 1 << 23
 #: Guards comparisons of whole numbers with a fraction of others.
@@ -46,8 +53,8 @@ def shingle_set(text: bytes | None, width: int, digest) -> np.ndarray:
     return np.unique(np.fromiter(map(digest, found), np.uint64, len(found)))
 
 
-def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, rare ones first: two sets whose Jaccard similarity reaches the bound share one of them.
+def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, similarity: float, shared: int = 1) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets whose Jaccard similarity reaches the bound share one of them, or so many.
 
     common (sorted) and count name the frequent shingles; any order serves that is the same for all sets.
     """
@@ -55,12 +62,12 @@ def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, similarity:
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         n = np.where(common[at] == found, count[at], 0)
-    return found[np.argsort(n, kind="stable")[: len(found) - math.ceil(similarity * len(found) - HAIR) + 1]]
+    return found[np.argsort(n, kind="stable")[: len(found) - math.ceil(similarity * len(found) - HAIR) + shared]]
 
 
-def leading(size: int, similarity: float) -> int:
-    """How many of a set's first shingles hold the first one that it shares with a larger or equal set of that similarity."""
-    return size - math.ceil(2 * similarity / (1 + similarity) * size - HAIR) + 1
+def leading(size: int, similarity: float, shared: int = 1) -> int:
+    """How many of a set's first shingles hold the first ones, so many, that it shares with a larger or equal set of that similarity."""
+    return size - math.ceil(2 * similarity / (1 + similarity) * size - HAIR) + shared
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -187,27 +194,35 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes | None]
 
 
 def _frequent(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes sorted, counts) of shingles that repeat within slices of rows(id, t), the most frequent of them, a fixed number at most."""
+    """(hashes sorted, counts) of shingles that repeat, the most frequent of them, a fixed number at most.
+
+    Shingles of rows(id, t) are counted where they repeat within a slice, and hashes below COUNTED across slices in an
+    eighth of the rows too. Counts only make an order, and any order loses no pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = partial(xxhash.xxh64_intdigest, seed=seed)
-        held, size = [], 0
+        held, some, size = [], [], 0
 
         def counted() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+            told = (n > 1) | np.isin(h, np.concatenate(some)) if some else n > 1
+            return pa.RecordBatch.from_arrays([pa.array(h[told].view(np.int64)), pa.array(n[told])], names=["h", "n"])
 
         for batch in batches:
-            for _, _, texts in _texts(batch):
-                held += [shingle_set(t, width, digest) for t in texts]
+            eighth = np.asarray(batch.column(0)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) < np.uint64(1 << 61)
+            for a, b, texts in _texts(batch):
+                sets = [shingle_set(t, width, digest) for t in texts]
+                held += sets
+                some += [s[s < COUNTED] for s, x in zip(sets, eighth[a:b]) if x]
                 size += sum(len(t or b"") for t in texts)
                 if size >= COUNT_BYTES:
                     yield counted()
-                    held, size = [], 0
+                    held, some, size = [], [], 0
         if held:
             yield counted()
 
-    counts = staged(rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    counts = staged(rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "frequent")
     # counts by an eighth of a power of two: a few hundred rows tell from which count on they fit
     sizes = counts.groupBy(F.floor(8 * F.log2(F.col("n").cast("double"))).alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("least"))
     cut, room = 1 << 62, FREQUENT
@@ -223,7 +238,7 @@ def _frequent(rows: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.nd
     return h[order], n[order]
 
 
-def _read(rows: DataFrame, common, width: int, similarity: float, seed: int) -> DataFrame:
+def _read(rows: DataFrame, common, width: int, similarity: float, shared: int, seed: int) -> DataFrame:
     """(id, size, fp, heads, leads, sketch) of rows(id, t): the set's size, fingerprint and first shingles, how many of these lead, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +248,10 @@ def _read(rows: DataFrame, common, width: int, similarity: float, seed: int) ->
             for a, b, texts in _texts(batch):
                 sets = [shingle_set(t, width, digest) for t in texts]
                 size = np.array([len(s) for s in sets], np.int32)
-                heads = [prefix(s, hashes, counts, similarity) for s in sets]
+                heads = [prefix(s, hashes, counts, similarity, shared) for s in sets]
                 edge = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(heads).view(np.int64)))
-                leads = np.array([leading(n, similarity) for n in size.tolist()], np.int32)
+                leads = np.array([leading(n, similarity, shared) for n in size.tolist()], np.int32)
                 fps = majority(np.concatenate(sets), size.astype(np.int64)).view(np.int64)
                 columns = [batch.column(0).slice(a, b - a), pa.array(size), pa.array(fps), lists, pa.array(leads), pa.array([sketch(s) for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "fp", "heads", "leads", "sketch"])
@@ -279,7 +294,10 @@ def _held(pairs: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, read: DataFrame, rows: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
-    """The links among distinct pairs(a, b): those whose sketches allow the similarity and whose sets reach it."""
+    """Links that join what the distinct pairs(a, b) link: those whose sketches allow the similarity and whose sets reach it.
+
+    A round takes a few pairs of each b, and more from round to round; pairs that links join already are dropped.
+    """
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,10 +310,25 @@ def _verified(pairs: DataFrame, read: DataFrame, rows: DataFrame, width: int, si
             good = [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), similarity) for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sketched = _held(pairs, read, ["sketch", "size"]).select("a", "b", "sketcha", "sketchb", "sizea", "sizeb")
-    left = staged(sketched.mapInArrow(bounded, "a long, b long"), "bounded-pairs")
-    sets = staged(_sets(rows, left.select(F.explode(F.array("a", "b")).alias("id")), width, seed), "sets")
-    return staged(_held(left, sets, ["s"]).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "pair-links")
+    links, most = None, 1
+    while True:
+        place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        now = staged(pairs.withColumn("place", place).where(F.col("place") <= most).select("a", "b"), "round-pairs")
+        sketched = _held(now, read, ["sketch", "size"]).select("a", "b", "sketcha", "sketchb", "sizea", "sizeb")
+        left = staged(sketched.mapInArrow(bounded, "a long, b long"), "bounded-pairs")
+        sets = staged(_sets(rows, left.select(F.explode(F.array("a", "b")).alias("id")), width, seed), "sets")
+        found = staged(_held(left, sets, ["s"]).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "pair-links")
+        links = found if links is None else links.union(found)
+        pairs = staged(pairs.join(now, ["a", "b"], "left_anti"), "other-pairs")
+        if pairs.isEmpty():
+            return links
+        roots = components(links)
+        for c in "ab":
+            pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+        pairs = staged(pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "open-pairs")
+        if pairs.isEmpty():
+            return links
+        most *= MORE
 
 
 def _tiled(left: DataFrame, rows: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
@@ -314,27 +347,49 @@ def _tiled(left: DataFrame, rows: DataFrame, width: int, similarity: float, seed
     number = F.when(F.col("big"), F.pmod(F.xxhash64("id"), F.ceil(F.col("bytes") / TILE_BYTES))).otherwise(F.pmod(F.xxhash64("root"), F.col("shared")))
     tile = sets.join(dealt, ["place", "root"]).select("place", F.when(F.col("big"), F.col("root")).alias("of"), number.alias("tile"), F.struct("id", "s", "root").alias("row"))
     tile = tile.groupBy("place", "of", "tile").agg(F.collect_list("row").alias("rows"))
-    tile = staged(tile.withColumn("n", F.xxhash64("place", "of", "tile")), "set-tiles")
-    one, two = (tile.select("place", F.col("of").alias(f"of{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    pairs = one.join(two, "place").where("na < nb AND NOT (ofa IS NOT NULL AND ofa <=> ofb)").select("na", "nb")
-    for c in "ab":
-        pairs = pairs.join(tile.select(F.col("n").alias(f"n{c}"), F.col("rows").alias(f"r{c}")), f"n{c}")
-    pairs = pairs.select("na", "nb", "ra", "rb").repartition(spread, "na", "nb")
-    alone = tile.where("of IS NULL").select(F.col("n").alias("na"), F.col("n").alias("nb"), F.col("rows").alias("ra"))
-    work = alone.withColumn("rb", F.lit(None).cast(tile.schema["rows"].dataType)).union(pairs)
+    tile = tile.select("place", "of", F.xxhash64("place", "of", "tile").alias("n"), "rows")
+    folder = new_path(spark, "set-tiles")
 
-    def unpack(found) -> tuple[np.ndarray, list | None, np.ndarray]:
-        if not found.is_valid:
-            return np.zeros(0, np.int64), None, np.zeros(0, np.int64)
-        found = found.values
-        return np.asarray(found.field("id")), [np.frombuffer(x.as_buffer(), np.uint64) for x in found.field("s")], np.asarray(found.field("root"))
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [uuid.uuid4().hex for _ in range(batch.num_rows)]
+            for name, found in zip(names, batch.column(3)):
+                found = found.values
+                sets = [x.as_buffer() for x in found.field("s")]
+                with open_shared(f"{folder}/{name}", "wb") as out:
+                    # rows, their ids, roots and sizes, then the sets one after another
+                    for x in ([len(sets)], found.field("id"), found.field("root"), [x.size // 8 for x in sets]):
+                        out.write(np.asarray(x, np.int64).tobytes())
+                    for x in sets:
+                        out.write(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.string())], names=["place", "of", "n", "name"])
+
+    # a file a tile; pairs name tiles, so that no tile is moved with its pairs. A repeated task's extra files are named by no row
+    tile = staged(tile.mapInArrow(save, "place long, of long, n long, name string"), "tile-names")
+    one, two = (tile.select("place", *[F.col(x).alias(f"{x}{c}") for x in ("of", "n", "name")]) for c in "ab")
+    pairs = one.join(two, "place").where("na < nb AND NOT (ofa IS NOT NULL AND ofa <=> ofb)").select("namea", "nameb")
+    alone = tile.where("of IS NULL").select("name", F.col("name"))
+    # a task's pairs lie by their first tile, which is then read once
+    work = pairs.union(alone).repartition(spread, "namea", "nameb").sortWithinPartitions("namea")
+
+    def unpack(name: str) -> tuple[np.ndarray, list, np.ndarray]:
+        with open_shared(f"{folder}/{name}", "rb") as f:
+            data = np.frombuffer(f.read(), np.int64)
+        ids, roots, sizes = data[1 : 1 + 3 * data[0]].reshape(3, -1)
+        return ids, np.split(data[1 + 3 * data[0] :].view(np.uint64), np.cumsum(sizes)[:-1]), roots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, one = None, None
         for batch in batches:
-            for k in range(batch.num_rows):
-                (ia, a, ra), (ib, b, rb) = unpack(batch.column(2)[k]), unpack(batch.column(3)[k])
-                ids = np.concatenate((ia, ib))
-                i, j = set_links(a, b, similarity, np.concatenate((ra, rb)))
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x != last:
+                    last, one = x, unpack(x)
+                ids, a, roots = one
+                b = None
+                if x != y:
+                    more, b, others = unpack(y)
+                    ids, roots = np.concatenate((ids, more)), np.concatenate((roots, others))
+                i, j = set_links(a, b, similarity, roots)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
     return staged(work.mapInArrow(run, "a long, b long"), "tile-links")
@@ -354,7 +409,9 @@ def near_duplicate_groups(docs: DataFrame, row_col: str, text_col: str = "text",
     rows = docs.select(F.col(row_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     common = spark.sparkContext.broadcast(_frequent(rows, width, seed))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    read = staged(_read(rows, common, width, similarity, seed), "near-read")
+    # above a half, sets that share one shingle only can be alike only if both have no other; these have equal fingerprints
+    shared = 2 if similarity > 0.5 else 1
+    read = staged(_read(rows, common, width, similarity, shared, seed), "near-read")
 
     # SimHash: rows of one fingerprint with the least of them, and the least rows of close fingerprints
     least = staged(read.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-fingerprints")
@@ -372,7 +429,9 @@ def near_duplicate_groups(docs: DataFrame, row_col: str, text_col: str = "text",
         for found in gather(([c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches), similarity):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["long", "a", "b"])
 
-    candidates = staged(postings.mapInArrow(run, "long boolean, a long, b long").distinct(), "candidates")
+    # a pair that shares fewer in lists that are taken pair by pair shares one in a long list
+    met = postings.mapInArrow(run, "long boolean, a long, b long").groupBy("long", "a", "b").agg(F.count("*").alias("n"))
+    candidates = staged(met.where((F.col("n") >= shared) | F.col("long")).select("long", "a", "b"), "candidates")
     stars = candidates.where("long").select("a", "b")
     pairs = staged(proposed.union(candidates.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "near-pairs")
     links = _verified(pairs, read, rows, width, similarity, seed)

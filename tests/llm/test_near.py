@@ -68,3 +68,37 @@ def test_prefix_and_tiles():
         assert (len(near.set_links([a], [b], 0.8)[0]) == 1) == alike
         if alike:
             assert len(np.intersect1d(near.prefix(a, common, count, 0.8), near.prefix(b, common, count, 0.8)))
+
+
+def _counts(monkeypatch):
+    """Rows of the tables that near.py stages, by name."""
+    counts, staged = {}, near.staged
+
+    def counted(df, name, *more):
+        out = staged(df, name, *more)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near, "staged", counted)
+    return counts
+
+
+def test_sets_moved_for_a_group_grow_with_its_rows(spark, monkeypatch):
+    """A group of near copies is joined by a pair a row, not by all its pairs."""
+    counts, rng = _counts(monkeypatch), random.Random(5)
+    base = [f"b{k}" for k in range(300)]
+    rows = [(i, " ".join(_edited(rng, base, 2))) for i in range(60)]
+    got = {r["id"]: r["group"] for r in near.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
+    assert got == _groups(rows)[0] and set(got.values()) == {0}
+    assert counts["bounded-pairs"] < 3 * len(rows)
+
+
+def test_one_shared_shingle_makes_no_pair(spark, monkeypatch):
+    """Texts that have one shingle in common are no candidates; texts of one shingle still meet."""
+    counts, rng = _counts(monkeypatch), random.Random(6)
+    word = lambda: f"w{rng.random()}"
+    rows = [(100 * g + i, " ".join([*(word() for _ in range(20)), f"s{g} a b c d", *(word() for _ in range(20))])) for g in range(12) for i in range(20)]
+    rows += [(5000, "one two three four five"), (5001, "One two three four FIVE"), (5002, "one two"), (5003, "one  two")]
+    got = {r["id"]: r["group"] for r in near.near_duplicate_groups(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
+    assert got == {i: {5001: 5000, 5003: 5002}.get(i, i) for i, _ in rows}
+    assert counts["candidates"] == 0
